@@ -158,6 +158,51 @@ def with_last_rows(
     return joined.select(*df.columns, F.when(F.size("_here") >= n, F.col("_here")).otherwise(last).alias(name))
 
 
-def with_islands(df: DataFrame, island: str, starts: Column, key=("mmsi",), order=ORDER) -> DataFrame:
-    """Number the runs that begin where `starts` is true."""
-    return with_history(df, running_sum(island, starts.cast("int").cast("long")), key=key, order=order)
+def with_islands(
+    df: DataFrame,
+    name: str,
+    cols: list[str],
+    starts: Callable[[Column, Column], Column],
+    key=("mmsi",),
+    order=ORDER,
+    before: str | None = None,
+    seconds: int | None = None,
+) -> DataFrame:
+    """Add struct(cols) of the report that began the current run.
+
+    `starts(previous, current)` takes two structs of `cols` and says whether a run begins at
+    the current report; the first report of a key always begins one. `before` names a column
+    for the previous report's struct. The first report of a slice is judged on the slice table,
+    so one pass finds both the runs and their beginnings.
+    """
+    key = list(key)
+    rows = sliced(df, seconds)
+    own, ordering = _cols(cols), _cols(order)
+    w = Window.partitionBy(*key, "_slice").orderBy(*order)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        seen = rows.withColumn("_own", own).withColumn("_lag", F.lag("_own").over(w))
+        begins = F.col("_lag").isNotNull() & F.coalesce(starts(F.col("_lag"), F.col("_own")), F.lit(False))
+        return seen.withColumn("_begin", F.when(begins, F.col("_own")))
+
+    needed = list(dict.fromkeys([*key, "_slice", *order, *cols]))
+    summary = (
+        judged(rows.select(*needed))
+        .groupBy(*key, "_slice")
+        .agg(
+            F.min_by("_own", ordering).alias("_first"),
+            F.max_by("_own", ordering).alias("_last"),
+            F.max_by("_begin", F.when(F.col("_begin").isNotNull(), ordering)).alias("_latest"),
+        )
+    )
+    slices = Window.partitionBy(*key).orderBy("_slice")
+    linked = summary.withColumn("_prev", F.lag("_last").over(slices))
+    fresh = F.col("_prev").isNull() | F.coalesce(starts(F.col("_prev"), F.col("_first")), F.lit(False))
+    headed = linked.withColumn("_head", F.when(fresh, F.col("_first"))).withColumn(
+        "_open", F.last(F.coalesce("_latest", "_head"), ignorenulls=True).over(_before(slices))
+    )
+    carried = headed.select(*key, "_slice", "_prev", F.coalesce("_head", "_open").alias("_carry"))
+    joined = judged(rows.join(carried, [*key, "_slice"]))
+    begun = F.coalesce(F.last("_begin", ignorenulls=True).over(_to_date(w, True)), F.col("_carry"))
+    extra = [F.coalesce("_lag", "_prev").alias(before)] if before else []
+    return joined.select(*df.columns, begun.alias(name), *extra)

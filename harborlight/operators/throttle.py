@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.operators.history import last_seen, previous, with_history
+from harborlight.operators.history import with_islands
 
 
 def _run_starts(batch: pa.RecordBatch, keys: list[str], last_key: tuple | None) -> tuple[np.ndarray, tuple]:
@@ -79,21 +79,21 @@ def thin_track(df: DataFrame, tolerance: float = 0.0001, key: str = "mmsi") -> D
     whatever happened earlier, so the history splits there. A report equal in place to the one
     before it is never kept.
     """
-    moved = with_history(
-        df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()),
-        previous("_prev", "latitude", "longitude"),
-        key=(key,),
-    )
-    dlat = F.abs(F.col("latitude") - F.col("_prev.latitude"))
-    dlon = F.abs(F.col("longitude") - F.col("_prev.longitude"))
     # The small addition keeps the split safe from rounding.
-    sure = F.col("_prev").isNull() | (F.greatest(dlat, dlon) > 2 * tolerance + 1e-9)
-    candidates = moved.withColumn("_sure", sure).where(F.col("_sure") | (dlat > 0) | (dlon > 0))
-    headed = with_history(
-        candidates.drop("_prev"),
-        last_seen("_head", F.when(F.col("_sure"), F.struct("t_s", "row_id"))),
+    split_at = 2 * tolerance + 1e-9
+
+    def jump(p, c):
+        return F.greatest(F.abs(c["latitude"] - p["latitude"]), F.abs(c["longitude"] - p["longitude"]))
+
+    here = F.struct("latitude", "longitude")
+    headed = with_islands(
+        df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()),
+        "_head",
+        ["t_s", "row_id", "latitude", "longitude"],
+        lambda p, c: jump(p, c) > split_at,
         key=(key,),
-    )
+        before="_prev",
+    ).where(F.col("_prev").isNull() | (jump(F.col("_prev"), here) > 0))
     keys = [key, "_head_t", "_head_row"]
     split = headed.select(
         *df.columns, F.col("_head.t_s").alias("_head_t"), F.col("_head.row_id").alias("_head_row")

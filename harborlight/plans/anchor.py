@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from harborlight.functions import geo
 from harborlight.functions.alerts import or_unknown, to_alerts
 from harborlight.functions.geo import METERS_PER_NM
-from harborlight.operators.history import last_seen, previous, running_max, running_sum, with_history
+from harborlight.operators.history import running_max, running_sum, with_history, with_islands
 from harborlight.operators.throttle import throttle
 from harborlight.operators.zones import in_zones
 from harborlight.plans.cable import zones_of_type
+from harborlight.session import written
 
 # Fixed values.
 ANCHORED_STATUSES = (1, 5)
@@ -26,18 +27,21 @@ def claims_anchored(nav_status: Column) -> Column:
 
 
 def anchor_spells(positions: DataFrame) -> DataFrame:
-    """Reports at anchor with `anchor` = struct(t_s, row_id, latitude, longitude), the spell's first report."""
-    rows = with_history(positions, previous("_prev", "nav_status"))
-    before = claims_anchored(F.col("_prev.nav_status")) & F.col("_prev").isNotNull()
-    at_anchor = rows.where(claims_anchored(F.col("nav_status"))).withColumn("_starts", ~before)
-    first = F.struct("t_s", "row_id", "latitude", "longitude")
-    return with_history(
-        at_anchor.drop("_prev"), last_seen("anchor", F.when(F.col("_starts"), first))
-    ).drop("_starts")
+    """Reports at anchor with `anchor` = struct(t_s, row_id, latitude, longitude, ...), the spell's first report."""
+    runs = with_islands(
+        positions,
+        "anchor",
+        ["t_s", "row_id", "latitude", "longitude", "nav_status"],
+        lambda p, c: claims_anchored(p["nav_status"]) != claims_anchored(c["nav_status"]),
+    )
+    return runs.where(claims_anchored(F.col("nav_status")))
 
 
 def anchor_drift(positions: DataFrame) -> DataFrame:
-    """Later reports of a spell with drift from the anchor point and the largest drift so far."""
+    """Later reports of a spell with drift from the anchor point and the largest drift so far.
+
+    The reports at anchor are stored before the second pass over them.
+    """
     drift = geo.haversine_nm("anchor.latitude", "anchor.longitude", "latitude", "longitude")
     rows = (
         anchor_spells(positions)
@@ -45,7 +49,9 @@ def anchor_drift(positions: DataFrame) -> DataFrame:
         .where(F.col("row_id") != F.col("anchor_row"))
         .withColumn("drift_nm", drift)
     )
-    return with_history(rows, running_max("max_drift_nm", F.col("drift_nm")), key=("mmsi", "anchor_row"))
+    return with_history(
+        written(rows, "anchored"), running_max("max_drift_nm", F.col("drift_nm")), key=("mmsi", "anchor_row")
+    )
 
 
 def anchor_candidates(positions: DataFrame, zones: DataFrame) -> DataFrame:
@@ -86,7 +92,7 @@ def anchor_candidates(positions: DataFrame, zones: DataFrame) -> DataFrame:
 
 def anchor_events(positions: DataFrame, zones: DataFrame) -> DataFrame:
     """Alerts with `alert_count`, the alerts of the spell before this one."""
-    kept = throttle(anchor_candidates(positions, zones), ["mmsi"], COOLDOWN_S)
+    kept = written(throttle(anchor_candidates(positions, zones), ["mmsi"], COOLDOWN_S), "anchor-alerts")
     counted = with_history(
         kept, running_sum("alert_count", F.lit(1).cast("long"), inclusive=False), key=("mmsi", "anchor_row")
     )

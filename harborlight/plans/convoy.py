@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.functions import geo
 from harborlight.functions.alerts import to_alerts
-from harborlight.operators.history import last_seen, previous, with_history
+from harborlight.operators.history import with_islands
 from harborlight.operators.pairs import neighbours, with_validity
 from harborlight.operators.throttle import throttle
+from harborlight.session import written
 
 # Fixed values.
 MIN_KNOTS = 1.0
@@ -24,32 +25,29 @@ def convoy_reports(
     positions: DataFrame, nm: float = 3.0, dknots: float = 5.0, dcourse: float = 30.0, min_vessels: int = 2
 ) -> DataFrame:
     """Reports of a vessel in company: convoy_id, members, mean speed and course."""
-    tracked = with_validity(positions, STALE_S)
+    tracked = with_validity(positions).where(
+        F.col("speed_over_ground").isNotNull() & F.col("course_over_ground").isNotNull()
+    )
     slim = tracked.select(
-        "mmsi", "t_s", "row_id", "seq", "latitude", "longitude", "speed_over_ground", "course_over_ground",
-        "ship_name", "_next", "_until",
-    ).where(F.col("speed_over_ground").isNotNull() & F.col("course_over_ground").isNotNull())
-    looking = tracked.drop("_next", "_until").where(
-        (F.col("speed_over_ground") >= MIN_KNOTS) & F.col("course_over_ground").isNotNull()
+        "mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "course_over_ground", "ship_name",
+        "next_t", "next_row",
     )
+    looking = tracked.drop("next_t", "next_row").where(F.col("speed_over_ground") >= MIN_KNOTS)
     alike = neighbours(looking, slim, nm, STALE_S).where(
-        (F.abs(F.col("other.speed_over_ground") - F.col("speed_over_ground")) <= dknots)
-        & (geo.course_diff("other.course_over_ground", "course_over_ground") <= dcourse)
-    )
-    member = F.struct(
-        F.col("other.mmsi").alias("mmsi"),
-        F.col("other.ship_name").alias("name"),
-        F.col("other.speed_over_ground").alias("speed"),
-        F.col("other.course_over_ground").alias("course"),
-    )
-    own = F.struct(
-        F.col("mmsi"),
-        F.col("ship_name").alias("name"),
-        F.col("speed_over_ground").alias("speed"),
-        F.col("course_over_ground").alias("course"),
+        (F.abs(F.col("o_speed_over_ground") - F.col("speed_over_ground")) <= dknots)
+        & (geo.course_diff("o_course_over_ground", "course_over_ground") <= dcourse)
     )
-    grouped = alike.groupBy(*looking.columns).agg(F.collect_list(member).alias("_others"))
-    members = F.concat(F.array(own), F.array_sort("_others"))
+
+    def member(prefix: str) -> Column:
+        return F.struct(
+            F.col(f"{prefix}mmsi").alias("mmsi"),
+            F.col(f"{prefix}ship_name").alias("name"),
+            F.col(f"{prefix}speed_over_ground").alias("speed"),
+            F.col(f"{prefix}course_over_ground").alias("course"),
+        )
+
+    grouped = alike.groupBy(*looking.columns).agg(F.collect_list(member("o_")).alias("_others"))
+    members = F.concat(F.array(member("")), F.array_sort("_others"))
     n = F.size("members")
     zero = F.lit(0.0)
     return (
@@ -69,23 +67,19 @@ def convoy_candidates(positions: DataFrame, minutes: int = 3, **limits) -> DataF
     The convoy holds while the vessel's successive reports, at most ten minutes apart, give the
     same members.
     """
-    together = with_history(
-        convoy_reports(positions, **limits), previous("_prev", "seq", "convoy_id", "t_s")
-    )
-    goes_on = (
-        (F.col("_prev.seq") == F.col("seq") - 1)
-        & (F.col("_prev.convoy_id") == F.col("convoy_id"))
-        & (F.col("t_s") - F.col("_prev.t_s") <= STALE_S)
-    )
-    starts = ~F.coalesce(goes_on, F.lit(False))
-    timed = with_history(
-        together.withColumn("_starts", starts),
-        last_seen("_start", F.when(F.col("_starts"), F.col("t_s"))),
-    )
+    def breaks(p: Column, c: Column) -> Column:
+        goes_on = (
+            (p["seq"] == c["seq"] - 1) & (p["convoy_id"] == c["convoy_id"]) & (c["t_s"] - p["t_s"] <= STALE_S)
+        )
+        return ~goes_on
+
+    # Stored, because finding the runs reads the reports twice and the join behind them is dear.
+    together = written(convoy_reports(positions, **limits), "convoys")
+    runs = with_islands(together, "_start", ["t_s", "row_id", "seq", "convoy_id"], breaks)
     return (
-        timed.withColumn("duration_minutes", F.floor((F.col("t_s") - F.col("_start")) / 60))
-        .where(~F.col("_starts") & (F.col("duration_minutes") >= minutes))
-        .drop("_prev", "_starts", "_start")
+        runs.withColumn("duration_minutes", F.floor((F.col("t_s") - F.col("_start.t_s")) / 60))
+        .where((F.col("row_id") != F.col("_start.row_id")) & (F.col("duration_minutes") >= minutes))
+        .drop("_start")
     )
 
 

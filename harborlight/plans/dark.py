@@ -9,7 +9,7 @@ from harborlight import dims
 from harborlight.functions import ais, geo
 from harborlight.functions.alerts import or_unknown, to_alerts
 from harborlight.operators.history import following, last_seen, with_history
-from harborlight.plans.state import STATIC_COLUMNS, with_interval_mean
+from harborlight.plans.state import STATIC_COLUMNS, interval_features, interval_means
 
 # Fixed values.
 MIN_MESSAGES = 5
@@ -43,24 +43,26 @@ def gone_dark_events(
     rows = with_history(
         positions,
         following("_next", "t_s"),
+        *interval_features(),
         *[last_seen(f"_{c}", F.col(c)) for c in STATIC_COLUMNS],
     )
-    timed = with_interval_mean(rows)
     gap_end = F.coalesce(F.col("_next.t_s"), F.lit(as_of).cast("long"))
     gap = F.floor((gap_end - F.col("t_s")) / 60).cast("long")
     speed = F.col("speed_over_ground")
+    known = rows.withColumn("gap_minutes", gap).withColumns({c: F.col(f"_{c}") for c in STATIC_COLUMNS})
+    silent = (
+        (F.col("gap_minutes") >= threshold_min)
+        & (F.col("message_count") >= MIN_MESSAGES)
+        & (speed.isNull() | (speed >= 0.5))
+        & ~quiet_type(F.col("ship_type"))
+    )
     tanker = ais.is_tanker("ship_type")
+    noted = sensitive if sensitive is not None else F.lit(False)
     return (
-        timed.withColumn("gap_minutes", gap)
-        .where(F.col("gap_minutes") >= threshold_min)
-        .where(F.col("message_count") >= MIN_MESSAGES)
-        .where(speed.isNull() | (speed >= 0.5))
+        interval_means(known.drop("_next", *[f"_{c}" for c in STATIC_COLUMNS]), F.coalesce(silent, F.lit(False)))
         .where(~((F.col("avg_interval_s") > 0) & (F.col("gap_minutes") * 60 < F.col("avg_interval_s") * 10)))
-        .withColumns({c: F.col(f"_{c}") for c in STATIC_COLUMNS})
-        .where(~quiet_type(F.col("ship_type")))
-        .withColumn("severity", gap_severity(F.col("gap_minutes"), tanker, sensitive if sensitive is not None else F.lit(False)))
+        .withColumn("severity", gap_severity(F.col("gap_minutes"), tanker, noted))
         .withColumn("title", F.lit("Vessel Gone Dark"))
-        .drop("_next", *[f"_{c}" for c in STATIC_COLUMNS])
     )
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from harborlight import dims
 from harborlight.functions import ais, geo
 from harborlight.functions.alerts import or_unknown, to_alerts
+from harborlight.functions.geo import METERS_PER_NM
 from harborlight.operators.history import last_seen, previous, with_history
-from harborlight.operators.pairs import BUCKET_SECONDS, neighbours, valid_at, with_validity
+from harborlight.operators.pairs import bucket_of, buckets, neighbours, valid_at, with_validity
+from harborlight.session import written
 
 # Fixed values.
 MAX_KNOTS = 5.0
@@ -24,63 +26,70 @@ def eligible(port_nm: float, ports=dims.OPEN_SEA_PORTS) -> Column:
     return slow & geo.is_open_sea("latitude", "longitude", ports, port_nm)
 
 
-def contacts(tracked: DataFrame, dist_m: float) -> DataFrame:
-    """One row per report and nearby vessel: lo/hi pair, both report numbers, distance.
+PAIR_COLUMNS = [
+    "mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "ship_type", "ship_name", "imo_number",
+]
 
-    `tracked` comes from with_validity, with an `eligible` column.
+
+def eligible_reports(positions: DataFrame, port_nm: float) -> DataFrame:
+    """Reports that can meet, with the vessel's report number and its next report of any kind.
+
+    Stored, because the pair join and the search for partings read it several times.
     """
-    able = tracked.where("eligible")
+    tracked = with_validity(positions.select(*PAIR_COLUMNS))
+    return written(tracked.where(eligible(port_nm)), "eligible")
+
+
+def contacts(able: DataFrame, dist_m: float) -> DataFrame:
+    """One row per report and nearby vessel (`o_` columns): lo/hi pair, both report numbers, distance."""
     # The radius in NM is on a slightly different sphere; a margin keeps the exact test in metres.
-    near = neighbours(able, able, dist_m / 1852 * 1.01, STALE_S)
-    meters = geo.haversine_m("latitude", "longitude", "other.latitude", "other.longitude")
-    first = F.col("mmsi") < F.col("other.mmsi")
+    near = neighbours(able, able, dist_m / METERS_PER_NM * 1.01, STALE_S)
+    meters = geo.haversine_m("latitude", "longitude", "o_latitude", "o_longitude")
+    first = F.col("mmsi") < F.col("o_mmsi")
     return (
         near.withColumn("distance_m", meters)
         .where(F.col("distance_m") <= dist_m)
-        .withColumn("lo", F.when(first, F.col("mmsi")).otherwise(F.col("other.mmsi")))
-        .withColumn("hi", F.when(first, F.col("other.mmsi")).otherwise(F.col("mmsi")))
-        .withColumn("lo_seq", F.when(first, F.col("seq")).otherwise(F.col("other.seq")))
-        .withColumn("hi_seq", F.when(first, F.col("other.seq")).otherwise(F.col("seq")))
-        .drop("distance_nm")
+        .withColumn("lo", F.when(first, F.col("mmsi")).otherwise(F.col("o_mmsi")))
+        .withColumn("hi", F.when(first, F.col("o_mmsi")).otherwise(F.col("mmsi")))
+        .withColumn("lo_seq", F.when(first, F.col("seq")).otherwise(F.col("o_seq")))
+        .withColumn("hi_seq", F.when(first, F.col("o_seq")).otherwise(F.col("seq")))
+        .select(
+            "lo", "hi", "lo_seq", "hi_seq", "distance_m", *PAIR_COLUMNS, "o_mmsi", "o_ship_type", "o_ship_name"
+        )
     )
 
 
-def _partings(gaps: DataFrame, tracked: DataFrame, dist_m: float) -> DataFrame:
+def _partings(gaps: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
     """The gaps (lo, hi, t_s, row_id) in which some report saw the other vessel beyond `dist_m`.
 
-    `gaps` are two contacts of a pair with further reports in between; few rows, joined to the
-    reports of the two vessels by vessel and time bucket.
+    A gap lies between two contacts of a pair (`from_t`, `from_row` is the earlier one) that have
+    further reports in between; few rows, joined to the reports of the two vessels by vessel and
+    time.
     """
     hour = 3600
     sides = gaps.select(
-        "lo", "hi", "t_s", "row_id", F.col("_prev").alias("_from"),
+        "lo", "hi", "t_s", "row_id", "from_t", "from_row",
         F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")),
-                          F.struct(F.col("hi").alias("a"), F.col("lo").alias("b")))).alias("_v"),
-    ).withColumn("_hour", F.explode(F.sequence(F.floor(F.col("_from.t_s") / hour), F.floor(F.col("t_s") / hour))))
-    able = tracked.where("eligible")
-    looking = able.select(
-        F.col("mmsi").alias("_a"),
-        F.floor(F.col("t_s") / hour).alias("_h"),
-        F.struct("t_s", "row_id", "latitude", "longitude").alias("x"),
+                          F.struct(F.col("hi").alias("a"), F.col("lo").alias("b")))).alias("v"),
+    ).select(
+        "lo", "hi", "t_s", "row_id", "from_t", "from_row", F.col("v.a").alias("x_mmsi"), F.col("v.b").alias("y_mmsi"),
+        F.explode(F.sequence(F.floor(F.col("from_t") / hour), F.floor(F.col("t_s") / hour))).alias("hour"),
     )
-    after = F.struct(F.col("x.t_s"), F.col("x.row_id")) > F.struct(F.col("_from.t_s"), F.col("_from.row_id"))
-    before = F.struct(F.col("x.t_s"), F.col("x.row_id")) < F.struct(F.col("t_s"), F.col("row_id"))
-    between = sides.join(
-        looking, (F.col("_v.a") == F.col("_a")) & (F.col("_hour") == F.col("_h")) & after & before
-    ).withColumn("_bucket", F.floor(F.col("x.t_s") / BUCKET_SECONDS).cast("long"))
-    seen = (
-        able.select(
-            F.col("mmsi").alias("_b"),
-            F.struct("t_s", "row_id", "latitude", "longitude", "_next").alias("y"),
-            F.explode(F.sequence(F.floor(F.col("t_s") / BUCKET_SECONDS).cast("long"),
-                                 F.floor(F.col("_until") / BUCKET_SECONDS).cast("long"))).alias("_k"),
-        )
+    place = ["mmsi", "t_s", "row_id", "latitude", "longitude"]
+    looking = able.select(*[F.col(c).alias(f"x_{c}") for c in place], F.floor(F.col("t_s") / hour).alias("hour"))
+    after = (F.col("x_t_s") > F.col("from_t")) | ((F.col("x_t_s") == F.col("from_t")) & (F.col("x_row_id") > F.col("from_row")))
+    before = (F.col("x_t_s") < F.col("t_s")) | ((F.col("x_t_s") == F.col("t_s")) & (F.col("x_row_id") < F.col("row_id")))
+    between = (
+        sides.join(looking, ["x_mmsi", "hour"]).where(after & before).withColumn("bucket", bucket_of(F.col("x_t_s")))
     )
-    x_cell, y_cell = geo.grid_cell("x.latitude", "x.longitude", CELL), geo.grid_cell("y.latitude", "y.longitude", CELL)
-    apart = geo.haversine_m("x.latitude", "x.longitude", "y.latitude", "y.longitude") > dist_m
+    seen = able.select(
+        *[F.col(c).alias(f"y_{c}") for c in [*place, "next_t", "next_row"]], F.explode(buckets(STALE_S)).alias("bucket")
+    )
+    x_cell, y_cell = geo.grid_cell("x_latitude", "x_longitude", CELL), geo.grid_cell("y_latitude", "y_longitude", CELL)
+    apart = geo.haversine_m("x_latitude", "x_longitude", "y_latitude", "y_longitude") > dist_m
     return (
-        between.join(seen, (F.col("_v.b") == F.col("_b")) & (F.col("_bucket") == F.col("_k")))
-        .where(valid_at("y", F.col("x.t_s"), F.col("x.row_id"), STALE_S))
+        between.join(seen, ["y_mmsi", "bucket"])
+        .where(valid_at("y_", F.col("x_t_s"), F.col("x_row_id"), STALE_S))
         .where((F.abs(x_cell[0] - y_cell[0]) <= 1) & (F.abs(x_cell[1] - y_cell[1]) <= 1) & apart)
         .select("lo", "hi", "t_s", "row_id")
         .distinct()
@@ -88,14 +97,15 @@ def _partings(gaps: DataFrame, tracked: DataFrame, dist_m: float) -> DataFrame:
 
 
 def encounters(positions: DataFrame, dist_m: float = 1500, port_nm: float = 30) -> DataFrame:
-    """Contacts with `_start` = struct(t_s, row_id) of the first contact of their encounter.
+    """Contacts with `started_s`, `started_row`: the first contact of their encounter.
 
     An encounter ends when a report of either vessel sees the other beyond `dist_m`, or after
-    two hours without contact.
+    two hours without contact. The contacts are stored: they are few beside the reports, and
+    the steps below read them more than once.
     """
-    tracked = with_validity(positions, STALE_S).withColumn("eligible", eligible(port_nm))
+    able = eligible_reports(positions, port_nm)
     met = with_history(
-        contacts(tracked, dist_m),
+        written(contacts(able, dist_m), "contacts"),
         previous("_prev", "t_s", "row_id", "lo_seq", "hi_seq"),
         key=("lo", "hi"),
     )
@@ -103,16 +113,18 @@ def encounters(positions: DataFrame, dist_m: float = 1500, port_nm: float = 30)
     forgotten = F.col("t_s") - F.col("_prev.t_s") > FORGET_S
     # Consecutive reports of the pair leave no room for a parting in between.
     doubtful = met.where(F.col("_prev").isNotNull() & ~forgotten & (steps > 1)).select(
-        "lo", "hi", "t_s", "row_id", "_prev"
+        "lo", "hi", "t_s", "row_id", F.col("_prev.t_s").alias("from_t"), F.col("_prev.row_id").alias("from_row")
     )
-    partings = _partings(doubtful, tracked, dist_m).withColumn("_parted", F.lit(True))
+    partings = _partings(doubtful, able, dist_m).withColumn("_parted", F.lit(True))
     marked = met.join(partings, ["lo", "hi", "t_s", "row_id"], "left")
     starts = F.col("_prev").isNull() | forgotten | F.coalesce(F.col("_parted"), F.lit(False))
-    return with_history(
-        marked.withColumn("_starts", starts).drop("_prev", "_parted"),
-        last_seen("_start", F.when(F.col("_starts"), F.struct("t_s", "row_id"))),
-        key=("lo", "hi"),
-    ).drop("_starts")
+    flagged = written(marked.withColumn("_starts", starts).drop("_prev", "_parted"), "encounters")
+    begun = with_history(
+        flagged, last_seen("_start", F.when(F.col("_starts"), F.struct("t_s", "row_id"))), key=("lo", "hi")
+    )
+    return begun.withColumn("started_s", F.col("_start.t_s")).withColumn("started_row", F.col("_start.row_id")).drop(
+        "_starts", "_start"
+    )
 
 
 def rendezvous_events(
@@ -120,32 +132,29 @@ def rendezvous_events(
 ) -> DataFrame:
     """One row per encounter that qualifies: its first qualifying contact."""
     met = encounters(positions, dist_m, port_nm).withColumn(
-        "duration_minutes", F.floor((F.col("t_s") - F.col("_start.t_s")) / 60)
+        "duration_minutes", F.floor((F.col("t_s") - F.col("started_s")) / 60)
     )
-    tanker = ais.is_tanker("ship_type") | ais.is_tanker("other.ship_type")
-    cargo = ais.is_cargo("ship_type") | ais.is_cargo("other.ship_type")
-    fishing = ais.is_fishing("ship_type") | ais.is_fishing("other.ship_type")
+    tanker = ais.is_tanker("ship_type") | ais.is_tanker("o_ship_type")
+    cargo = ais.is_cargo("ship_type") | ais.is_cargo("o_ship_type")
+    fishing = ais.is_fishing("ship_type") | ais.is_fishing("o_ship_type")
     long_enough = (F.col("duration_minutes") >= minutes) & (
         tanker | (cargo & fishing) | (F.col("duration_minutes") >= 2 * minutes)
     )
-    row = F.struct(*[c for c in met.columns if c not in ("lo", "hi", "_start")])
+    encounter = ["lo", "hi", "started_s", "started_row"]
+    row = F.struct(*[c for c in met.columns if c not in encounter])
     order = F.struct("t_s", "row_id")
-    chosen = (
-        met.where(long_enough)
-        .groupBy("lo", "hi", "_start")
-        .agg(F.min_by(row, order).alias("r"))
-    )
+    chosen = met.where(long_enough).groupBy(*encounter).agg(F.min_by(row, order).alias("r"))
     # Mean distance of the encounter up to the chosen contact.
     distances = (
-        met.select("lo", "hi", "_start", order.alias("_at"), "distance_m")
-        .join(chosen.select("lo", "hi", "_start", F.struct("r.t_s", "r.row_id").alias("_to")), ["lo", "hi", "_start"])
+        met.select(*encounter, order.alias("_at"), "distance_m")
+        .join(chosen.select(*encounter, F.struct("r.t_s", "r.row_id").alias("_to")), encounter)
         .where(F.col("_at") <= F.col("_to"))
-        .groupBy("lo", "hi", "_start")
+        .groupBy(*encounter)
         .agg(F.avg("distance_m").alias("mean_distance_m"))
     )
     return (
-        chosen.join(distances, ["lo", "hi", "_start"])
-        .select("lo", "hi", F.col("_start.t_s").alias("started_s"), "mean_distance_m", "r.*")
+        chosen.join(distances, encounter)
+        .select(*encounter, "mean_distance_m", "r.*")
         .withColumn("severity", F.when(tanker, "HIGH").otherwise("MEDIUM"))
         .withColumn("title", F.lit("Potential Ship-to-Ship Transfer"))
     )
@@ -156,7 +165,7 @@ def detect_rendezvous(
 ) -> DataFrame:
     text = F.format_string(
         "Vessels %s and %s within %.0fm for %d minutes at open sea",
-        or_unknown("ship_name", F.col("mmsi")), or_unknown("other.ship_name", F.col("other.mmsi")),
+        or_unknown("ship_name", F.col("mmsi")), or_unknown("o_ship_name", F.col("o_mmsi")),
         F.col("mean_distance_m"), F.col("duration_minutes"),
     )
     return to_alerts(
@@ -164,12 +173,12 @@ def detect_rendezvous(
         "RENDEZVOUS",
         text,
         {
-            "vessel2_mmsi": "other.mmsi",
-            "vessel2_name": "other.ship_name",
+            "vessel2_mmsi": "o_mmsi",
+            "vessel2_name": "o_ship_name",
             "distance_meters": "mean_distance_m",
             "duration_minutes": "duration_minutes",
             "vessel1_type": "ship_type",
-            "vessel2_type": "other.ship_type",
+            "vessel2_type": "o_ship_type",
         },
-        subject=F.col("other.mmsi"),
+        subject=F.col("o_mmsi"),
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight import dims
 from harborlight.functions import ais, geo
 from harborlight.functions.alerts import or_unknown, to_alerts
-from harborlight.operators.history import last_seen, previous, running_sum, with_history
+from harborlight.operators.history import previous, with_history
 from harborlight.operators.throttle import throttle
 
 # Fixed values.
@@ -83,20 +83,20 @@ def risk_steps(positions: DataFrame, signals: DataFrame | None = None) -> DataFr
         F.max(F.col("kind") == "first").alias("_fresh"),
         *[count_of(k) for k in FACTORS],
     )
-    # Counters start again with each fresh report.
-    life = with_history(merged, last_seen("_life", F.when(F.col("_fresh"), F.col("row_id"))))
-    counted = with_history(
-        life, *[running_sum(f"{k}_count", F.col(f"n_{k}")) for k in FACTORS], key=("mmsi", "_life")
-    )
+    # Plain windows: visits are a day apart and signals obey their cooldowns, so what a vessel
+    # has here grows with time and not with its reports. Counters start again when fresh.
+    vessel = Window.partitionBy("mmsi").orderBy("t_s", "row_id")
+    life = merged.withColumn("_life", F.sum(F.col("_fresh").cast("int")).over(vessel))
+    in_life = Window.partitionBy("mmsi", "_life").orderBy("t_s", "row_id")
+    counted = life.withColumns({f"{k}_count": F.sum(f"n_{k}").over(in_life) for k in FACTORS})
     high_risk = F.coalesce(ais.mid("mmsi").isin(dims.HIGH_RISK_MIDS), F.lit(False))
     total = F.when(high_risk, FLAG_POINTS).otherwise(0)
     for kind, (points, most) in FACTORS.items():
         total = total + F.least(F.col(f"{kind}_count"), F.lit(most)) * points
     scored = counted.withColumn("high_risk_flag", high_risk).withColumn("score", F.least(total, F.lit(100)).cast("int"))
-    stepped = with_history(scored, previous("_before", "score"), key=("mmsi", "_life"))
     return (
-        stepped.withColumn("previous_score", F.coalesce(F.col("_before.score"), F.lit(0)))
-        .drop("_before", "_fresh", *[f"n_{k}" for k in FACTORS])
+        scored.withColumn("previous_score", F.coalesce(F.lag("score").over(in_life), F.lit(0)))
+        .drop("_fresh", *[f"n_{k}" for k in FACTORS])
         .where(F.col("score") > F.col("previous_score"))
     )
 

@@ -6,30 +6,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.functions import ais, geo
-from harborlight.operators.history import last_seen, previous, running_sum, with_history
+from harborlight.operators.history import Feature, first_seen, following, last_seen, previous, running_sum, with_history
+from harborlight.session import written
 
 KEEP_POSITIONS = 20
 STATIC_COLUMNS = ["ship_type", "imo_number", "ship_name"]
 
 
-def with_interval_mean(df: DataFrame) -> DataFrame:
-    """Add `message_count` and `avg_interval_s` as of each report.
+def interval_features() -> list[Feature]:
+    """What interval_means needs from with_history."""
+    return [
+        previous("_prev", "t_s"),
+        first_seen("_first_t", F.col("t_s")),
+        running_sum("message_count", F.lit(1).cast("long")),
+    ]
 
-    The mean is updated as (mean * n + gap) / (n + 1) and left alone when the gap is not
-    positive, while n still grows. Written as sums: with s = sum of ln((n + 1) / n) over the
-    reports that left it alone, mean = exp(s) / n * sum(gap * exp(-s)).
+
+def interval_means(rows: DataFrame, wanted: Column) -> DataFrame:
+    """The `wanted` rows with `avg_interval_s`; `rows` carry interval_features().
+
+    The mean is updated as (mean * n + gap) / (n + 1), and left alone when the gap is zero while
+    n still grows. With s = mean * n that is s + gap, or s * (n + 1) / n for a zero gap: between
+    zero gaps s just follows the clock. So only the wanted rows and the zero-gap rows take part:
+    with p = the sum of ln((n + 1) / n) over the zero gaps so far, s = exp(p) * sum of (time
+    since the row before * exp(-p before)).
     """
-    rows = with_history(df, previous("_prev", "t_s"), running_sum("message_count", F.lit(1).cast("long")))
-    gap = F.col("t_s") - F.col("_prev.t_s")
+    stalled = F.col("_prev").isNotNull() & (F.col("t_s") <= F.col("_prev.t_s"))
     n = F.col("message_count").cast("double")
-    stalled = with_history(
-        rows, running_sum("_stall", F.when(gap <= 0, F.ln(n / F.greatest(n - 1, F.lit(1.0)))), zero=0.0)
+    few = written(
+        rows.withColumn("_wanted", wanted)
+        .withColumn("_grow", F.when(stalled, F.ln(n / F.greatest(n - 1, F.lit(1.0)))).otherwise(0.0))
+        .where(F.col("_wanted") | stalled)
+        .drop("_prev"),
+        "intervals",
+    )
+    linked = with_history(
+        few, previous("_before", "t_s"), running_sum("_p", F.col("_grow"), zero=0.0)
     )
-    weighed = with_history(
-        stalled, running_sum("_sum", F.when(gap > 0, gap * F.exp(-F.col("_stall"))), zero=0.0)
+    since = F.col("t_s") - F.coalesce(F.col("_before.t_s"), F.col("_first_t"))
+    summed = with_history(
+        linked.withColumn("_part", since * F.exp(F.col("_grow") - F.col("_p"))),
+        running_sum("_sum", F.col("_part"), zero=0.0),
+    )
+    mean = F.exp("_p") * F.col("_sum") / n
+    return (
+        summed.where("_wanted")
+        .withColumn("avg_interval_s", mean)
+        .drop("_wanted", "_grow", "_before", "_p", "_part", "_sum", "_first_t")
     )
-    mean = F.exp("_stall") / n * F.col("_sum")
-    return weighed.withColumn("avg_interval_s", mean).drop("_prev", "_stall", "_sum")
 
 
 def enrich_static(df: DataFrame, columns: list[str] = STATIC_COLUMNS, motion_only: bool = True) -> DataFrame:
@@ -45,22 +69,25 @@ def enrich_static(df: DataFrame, columns: list[str] = STATIC_COLUMNS, motion_onl
 
 def vessel_state(df: DataFrame, keep: int = KEEP_POSITIONS) -> DataFrame:
     """One row per vessel: latest values, counts, mean interval and the last `keep` positions."""
-    order = F.struct("t_s", "row_id")
-
-    def last_known(c: str) -> Column:
-        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
-
-    timed = with_interval_mean(df)
-    summary = timed.groupBy("mmsi").agg(
-        *[last_known(c) for c in STATIC_COLUMNS],
-        F.max_by("latitude", order).alias("last_latitude"),
-        F.max_by("longitude", order).alias("last_longitude"),
-        F.max_by("speed_over_ground", order).alias("last_speed"),
-        F.max_by("course_over_ground", order).alias("last_course"),
-        F.min("t_s").alias("first_seen"),
-        F.max("t_s").alias("last_seen"),
-        F.max("message_count").alias("message_count"),
-        F.max_by("avg_interval_s", order).alias("avg_interval_s"),
+    rows = with_history(
+        df,
+        *interval_features(),
+        following("_next", "row_id"),
+        *[last_seen(f"_{c}", F.col(c)) for c in STATIC_COLUMNS],
+    )
+    first_seen_s = F.col("_first_t").alias("first_seen")
+    latest = interval_means(rows.select("*", first_seen_s), F.col("_next").isNull())
+    summary = latest.select(
+        "mmsi",
+        *[F.col(f"_{c}").alias(c) for c in STATIC_COLUMNS],
+        F.col("latitude").alias("last_latitude"),
+        F.col("longitude").alias("last_longitude"),
+        F.col("speed_over_ground").alias("last_speed"),
+        F.col("course_over_ground").alias("last_course"),
+        "first_seen",
+        F.col("t_s").alias("last_seen"),
+        "message_count",
+        "avg_interval_s",
     )
     newest = Window.partitionBy("mmsi").orderBy(F.desc("t_s"), F.desc("row_id"))
     point = F.struct(
@@ -71,6 +98,7 @@ def vessel_state(df: DataFrame, keep: int = KEEP_POSITIONS) -> DataFrame:
         F.col("speed_over_ground").alias("speed"),
         F.col("course_over_ground").alias("course"),
     )
+    # Ranking up to a constant is cut off within each partition before the exchange.
     recent = (
         df.withColumn("_n", F.row_number().over(newest))
         .where(F.col("_n") <= keep)
