@@ -371,15 +371,15 @@ loit as materialized (select * from lt where radius_nm <= 0.5 and loiter_minutes
 
 def _loiter_select(source: str) -> str:
     return (
-        "select row_id, mmsi, t_s, loiter_minutes, round(radius_nm, 4) as loiter_radius_nm, position_count, round(average_speed, 4) as average_speed, "
-        f"round(center_lat, 4) as center_lat, round(center_lon, 4) as center_lon from {source}"
+        "select row_id, mmsi, t_s, loiter_minutes, round(radius_nm, 6) as loiter_radius_nm, position_count, round(average_speed, 6) as average_speed, "
+        f"round(center_lat, 6) as center_lat, round(center_lon, 6) as center_lon from {source}"
     )
 
 
 def _loiter_columns(df):
     return df.select(
-        "row_id", "mmsi", "t_s", "loiter_minutes", r4("loiter_radius_nm"), F.col("position_count").cast("long").alias("position_count"),
-        r4("average_speed"), r4("center_lat"), r4("center_lon"),
+        "row_id", "mmsi", "t_s", "loiter_minutes", F.col("position_count").cast("long").alias("position_count"),
+        *[F.round(c, 6).alias(c) for c in ("loiter_radius_nm", "average_speed", "center_lat", "center_lon")],
     )
 
 
@@ -815,10 +815,10 @@ zs as (select mmsi, count(*) as reports_in_zone, min(speed_over_ground) as min_s
 attr as (select mmsi, arg_min(trim(ship_name), (t_s, row_id)) filter (where ship_name <> '') as ship_name,
    arg_min(imo_number, (t_s, row_id)) filter (where imo_number <> '') as imo_number from tr where entered group by mmsi),
 inv as materialized (select *, {S.INVESTIGATOR_FLAG} as flag_state from vis join zs using (mmsi) join attr using (mmsi)),
-sus as materialized (select *, array_to_string(list_filter([case when stopped >= 3 then 'STOPPED_IN_ZONE' end, case when anchored > 0 then 'ANCHOR_STATUS' end,
+sus as materialized (select *, concat_ws(',', case when stopped >= 3 then 'STOPPED_IN_ZONE' end, case when anchored > 0 then 'ANCHOR_STATUS' end,
    case when avg_speed < 3 then 'SLOW_TRANSIT' end, case when flag_state in {S.listed(dims.FLAGS_OF_CONVENIENCE)} then 'FLAG_OF_CONVENIENCE' end,
    case when flag_state in {S.listed(dims.HIGH_RISK_FLAGS)} then 'HIGH_RISK_FLAG' end, case when minutes_in_zone > 30 then 'PROLONGED_TIME' end,
-   case when max_speed > 0 and min_speed / max_speed < 0.3 then 'SPEED_VARIATION' end], x -> x is not null), ',') as indicators from inv)""",
+   case when max_speed > 0 and min_speed / max_speed < 0.3 then 'SPEED_VARIATION' end) as indicators from inv)""",
 ]
 
 

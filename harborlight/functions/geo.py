@@ -21,6 +21,11 @@ def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value) if isinstance(value, str) else F.lit(float(value))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _central_angle(lat1, lon1, lat2, lon2) -> Column:
     lat1, lon1, lat2, lon2 = map(_col, (lat1, lon1, lat2, lon2))
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)

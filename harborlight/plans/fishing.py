@@ -25,20 +25,28 @@ def fishing_analysis(
     framed = with_last_rows(
         positions, "_last", KEEP_POSITIONS, "latitude", "longitude", "speed_over_ground", "course_over_ground"
     ).where(F.size("_last") >= min_pos)
-    speeds = F.transform("_last", lambda p: p["speed_over_ground"])
-    lats, lons = F.transform("_last", lambda p: p["latitude"]), F.transform("_last", lambda p: p["longitude"])
-    squares = F.transform(speeds, lambda s: s * s)
-    mean = F.coalesce(mean_of(speeds), F.lit(0.0))
-    measured = (
-        framed.withColumn("avg_speed", mean)
-        .withColumn("speed_variance", F.coalesce(mean_of(squares), F.lit(0.0)) - F.col("avg_speed") * F.col("avg_speed"))
-        .withColumn("course_changes", turn_count(F.transform("_last", lambda p: p["course_over_ground"])))
-        .withColumn("positions_analyzed", F.size("_last"))
-        .withColumn(
-            "area_nm2",
-            geo.box_area_nm2(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons)),
+
+    def measure(last):
+        speeds = F.transform(last, lambda p: p["speed_over_ground"])
+        lats, lons = F.transform(last, lambda p: p["latitude"]), F.transform(last, lambda p: p["longitude"])
+        mean = F.coalesce(mean_of(speeds), F.lit(0.0))
+        square = F.coalesce(mean_of(F.transform(speeds, lambda s: s * s)), F.lit(0.0))
+        return F.struct(
+            mean.alias("avg_speed"),
+            (square - mean * mean).alias("speed_variance"),
+            geo.let(F.transform(last, lambda p: p["course_over_ground"]), turn_count).alias("course_changes"),
+            F.size(last).alias("positions_analyzed"),
+            F.array_min(lats).alias("south"),
+            F.array_min(lons).alias("west"),
+            F.array_max(lats).alias("north"),
+            F.array_max(lons).alias("east"),
         )
-        .drop("_last")
+
+    m = F.col("_m")
+    measured = framed.withColumn("_m", geo.let(F.col("_last"), measure)).select(
+        *positions.columns,
+        *[m[c].alias(c) for c in ("avg_speed", "speed_variance", "course_changes", "positions_analyzed")],
+        geo.box_area_nm2(m["south"], m["west"], m["north"], m["east"]).alias("area_nm2"),
     )
     hourly = F.col("course_changes") * 60.0 / (F.col("positions_analyzed") * MINUTES_PER_POSITION)
     signs = [

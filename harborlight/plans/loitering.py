@@ -63,24 +63,37 @@ def loitering_candidates(
     )
     # Reports of the same second that come later are not history yet.
     past = F.filter("_frame", lambda p: (p["t_s"] < F.col("t_s")) | (p["row_id"] <= F.col("row_id")))
-    located = (
-        framed.withColumn("_past", past)
-        .where(F.size("_past") >= MIN_POINTS)
-        .withColumn("_centre", geo.centroid(F.col("_past")))
-    )
-    farthest = F.array_max(
-        F.transform("_past", lambda p: geo.haversine_nm(F.col("_centre.lat"), F.col("_centre.lon"), p["lat"], p["lon"]))
-    )
-    start = F.array_min(F.transform("_past", lambda p: p["t_s"]))
+
+    def measure(history):
+        start = F.array_min(F.transform(history, lambda p: p["t_s"]))
+
+        def around(centre):
+            farthest = F.array_max(
+                F.transform(history, lambda p: geo.haversine_nm(centre["lat"], centre["lon"], p["lat"], p["lon"]))
+            )
+            return F.struct(
+                farthest.alias("radius"),
+                F.floor((F.col("t_s") - start) / 60).alias("minutes"),
+                F.size(history).alias("count"),
+                F.coalesce(mean_of(F.transform(history, lambda p: p["speed"])), F.lit(0.0)).alias("speed"),
+                centre.alias("centre"),
+            )
+
+        return geo.let(geo.centroid(history), around)
+
+    m = F.col("_m")
     return (
-        located.withColumn("loiter_radius_nm", farthest)
-        .withColumn("loiter_minutes", F.floor((F.col("t_s") - start) / 60))
-        .where((F.col("loiter_radius_nm") <= radius_nm) & (F.col("loiter_minutes") >= minutes))
-        .withColumn("position_count", F.size("_past"))
-        .withColumn("average_speed", F.coalesce(mean_of(F.transform("_past", lambda p: p["speed"])), F.lit(0.0)))
-        .withColumn("center_lat", F.col("_centre.lat"))
-        .withColumn("center_lon", F.col("_centre.lon"))
-        .drop("_own", "_slice", "_bucket", "_frame", "_past", "_centre")
+        framed.withColumn("_m", F.when(F.size("_frame") >= MIN_POINTS, geo.let(past, measure)))
+        .where((m["count"] >= MIN_POINTS) & (m["radius"] <= radius_nm) & (m["minutes"] >= minutes))
+        .select(
+            *positions.columns,
+            m["radius"].alias("loiter_radius_nm"),
+            m["minutes"].alias("loiter_minutes"),
+            m["count"].alias("position_count"),
+            m["speed"].alias("average_speed"),
+            m["centre"]["lat"].alias("center_lat"),
+            m["centre"]["lon"].alias("center_lon"),
+        )
     )
 
 

@@ -32,20 +32,42 @@ def path_box(path: Column) -> Column:
     )
 
 
-def first_hit(path: Column, edges: Column) -> Column:
-    """Where the path first meets an edge: struct(t, x, y) on its first segment that does; else null."""
-    segments = F.sequence(F.lit(1), F.size(path) - 1)
+def _touching(a: Column, b: Column) -> Column:
+    return (
+        (a["min_lat"] <= b["max_lat"]) & (a["max_lat"] >= b["min_lat"])
+        & (a["min_lon"] <= b["max_lon"]) & (a["max_lon"] >= b["min_lon"])
+    )
+
+
+def first_hit(path: Column, box: Column, edges: Column) -> Column:
+    """Where the path first meets an edge: struct(t, x, y) on its first segment that does; else null.
+
+    `box` is the path's box; edges outside it are dropped before any intersection is worked out.
+    """
+    near = F.filter(
+        edges,
+        lambda e: (F.least(e["x1"], e["x2"]) <= box["max_lon"]) & (F.greatest(e["x1"], e["x2"]) >= box["min_lon"])
+        & (F.least(e["y1"], e["y2"]) <= box["max_lat"]) & (F.greatest(e["y1"], e["y2"]) >= box["min_lat"]),
+    )
+    segments = F.transform(
+        F.sequence(F.lit(1), F.size(path) - 1),
+        lambda i: F.struct(F.element_at(path, i).alias("p"), F.element_at(path, i + 1).alias("q")),
+    )
 
-    def nearest(i: Column) -> Column:
-        p, q = F.element_at(path, i), F.element_at(path, i + 1)
+    def nearest(s: Column, candidates: Column) -> Column:
+        p, q = s["p"], s["q"]
         return F.array_min(
             F.transform(
-                edges,
+                candidates,
                 lambda e: geo.segment_hit(p["lon"], p["lat"], q["lon"], q["lat"], e["x1"], e["y1"], e["x2"], e["y2"]),
             )
         )
 
-    return F.get(F.filter(F.transform(segments, nearest), lambda h: h.isNotNull()), F.lit(0))
+    def along(candidates: Column) -> Column:
+        hits = F.transform(segments, lambda s: nearest(s, candidates))
+        return F.when(F.size(candidates) > 0, F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0)))
+
+    return geo.let(near, along)
 
 
 def path_zone_hits(
@@ -72,12 +94,7 @@ def path_zone_hits(
     lowest = (
         F.col("_cell_lat") == F.floor(F.greatest(F.col("_box.min_lat"), F.col("bbox.min_lat")) / size)
     ) & (F.col("_cell_lon") == F.floor(F.greatest(F.col("_box.min_lon"), F.col("bbox.min_lon")) / size))
-    overlap = (
-        (F.col("_box.min_lat") <= F.col("bbox.max_lat"))
-        & (F.col("_box.max_lat") >= F.col("bbox.min_lat"))
-        & (F.col("_box.min_lon") <= F.col("bbox.max_lon"))
-        & (F.col("_box.max_lon") >= F.col("bbox.min_lon"))
-    )
+    overlap = _touching(F.col("_box"), F.col("bbox"))
     outside = ~(
         geo.in_bbox("latitude", "longitude", F.col("bbox")) & geo.point_in_edges("latitude", "longitude", F.col("edges"))
     )
@@ -85,7 +102,7 @@ def path_zone_hits(
         paths.join(cells, ["_cell_lat", "_cell_lon"])
         .where(lowest & overlap)
         .where(outside)
-        .withColumn("_hit", first_hit(F.col("_path"), F.col("edges")))
+        .withColumn("_hit", first_hit(F.col("_path"), F.col("_box"), F.col("edges")))
         .where(F.col("_hit").isNotNull())
         .select(
             *positions.columns, "course", "zone_id", "zone_name",
