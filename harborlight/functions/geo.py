@@ -26,6 +26,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def path_points(lat, lon, course, knots, minutes: int = 45, step: int = 5) -> Column:
+    """The start point, then one predicted point every `step` minutes: array of struct(lat, lon)."""
+    lat, lon, course, knots = map(_col, (lat, lon, course, knots))
+    start = F.struct(lat.alias("lat"), lon.alias("lon"))
+    # Written out rather than as a lambda over minutes, so that it runs as generated code.
+    ahead = [destination(lat, lon, course, knots * (m / 60.0)) for m in range(step, minutes + 1, step)]
+    return F.array(start, *ahead)
+
+
 def _central_angle(lat1, lon1, lat2, lon2) -> Column:
     lat1, lon1, lat2, lon2 = map(_col, (lat1, lon1, lat2, lon2))
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
@@ -66,17 +75,6 @@ def destination(lat, lon, course, nm) -> Column:
     return F.struct(F.degrees(lat2).alias("lat"), F.degrees(lon2).alias("lon"))
 
 
-def path_points(lat, lon, course, knots, minutes: int = 45, step: int = 5) -> Column:
-    """The start point, then one predicted point every `step` minutes: array of struct(lat, lon)."""
-    lat, lon, course, knots = map(_col, (lat, lon, course, knots))
-    start = F.array(F.struct(lat.alias("lat"), lon.alias("lon")))
-    ahead = F.transform(
-        F.sequence(F.lit(step), F.lit(minutes), F.lit(step)),
-        lambda m: destination(lat, lon, course, knots * (m / 60.0)),
-    )
-    return F.concat(start, ahead)
-
-
 def segment_hit(px, py, qx, qy, x1, y1, x2, y2) -> Column:
     """Where segment p-q meets segment 1-2 in the plane: struct(t, x, y), t along p-q; else null.
 

@@ -28,12 +28,10 @@ def convoy_reports(
     tracked = with_validity(positions).where(
         F.col("speed_over_ground").isNotNull() & F.col("course_over_ground").isNotNull()
     )
-    slim = tracked.select(
-        "mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "course_over_ground", "ship_name",
-        "next_t", "next_row",
-    )
-    looking = tracked.drop("next_t", "next_row").where(F.col("speed_over_ground") >= MIN_KNOTS)
-    alike = neighbours(looking, slim, nm, STALE_S).where(
+    place = ["mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "course_over_ground", "ship_name"]
+    # Only what the members need goes through the join.
+    looking = tracked.where(F.col("speed_over_ground") >= MIN_KNOTS).select(*place, "seq")
+    alike = neighbours(looking, tracked.select(*place, "next_t", "next_row"), nm, STALE_S).where(
         (F.abs(F.col("o_speed_over_ground") - F.col("speed_over_ground")) <= dknots)
         & (geo.course_diff("o_course_over_ground", "course_over_ground") <= dcourse)
     )
@@ -46,18 +44,21 @@ def convoy_reports(
             F.col(f"{prefix}course_over_ground").alias("course"),
         )
 
-    grouped = alike.groupBy(*looking.columns).agg(F.collect_list(member("o_")).alias("_others"))
-    members = F.concat(F.array(member("")), F.array_sort("_others"))
-    n = F.size("members")
-    zero = F.lit(0.0)
-    return (
-        grouped.withColumn("members", members)
-        .drop("_others")
-        .where(n >= min_vessels)
-        .withColumn("vessel_count", n)
-        .withColumn("convoy_id", F.array_join(F.array_sort(F.transform("members", lambda m: m["mmsi"])), "-"))
-        .withColumn("mean_speed", F.aggregate("members", zero, lambda a, m: a + m["speed"]) / n)
-        .withColumn("mean_course", F.aggregate("members", zero, lambda a, m: a + m["course"]) / n)
+    grouped = alike.groupBy("mmsi", "t_s", "row_id", "seq").agg(
+        F.first(member("")).alias("_own"),
+        F.collect_list(member("o_")).alias("_others"),
+        F.sum("o_speed_over_ground").alias("_speeds"),
+        F.sum("o_course_over_ground").alias("_courses"),
+    )
+    n = F.size("_others") + 1
+    ids = F.array_append(F.transform("_others", lambda m: m["mmsi"]), F.col("mmsi"))
+    return grouped.where(n >= min_vessels).select(
+        "mmsi", "t_s", "row_id", "seq",
+        n.alias("vessel_count"),
+        F.array_join(F.array_sort(ids), "-").alias("convoy_id"),
+        ((F.col("_own.speed") + F.col("_speeds")) / n).alias("mean_speed"),
+        ((F.col("_own.course") + F.col("_courses")) / n).alias("mean_course"),
+        F.concat(F.array("_own"), F.array_sort("_others")).alias("members"),
     )
 
 
@@ -87,8 +88,11 @@ def convoy_events(positions: DataFrame, minutes: int = 3, **limits) -> DataFrame
     large = (F.col("vessel_count") >= LARGE_CONVOY) | (F.col("duration_minutes") >= LONG_CONVOY_MIN)
     # Two members can report in the same second; the lower row number goes first.
     kept = throttle(convoy_candidates(positions, minutes, **limits), ["convoy_id"], COOLDOWN_S)
-    return kept.withColumn("severity", F.when(large, "HIGH").otherwise("MEDIUM")).withColumn(
-        "title", F.lit("Convoy Detected")
+    # The alerting report's own columns, for the few that are left.
+    return (
+        kept.join(positions, ["mmsi", "t_s", "row_id"])
+        .withColumn("severity", F.when(large, "HIGH").otherwise("MEDIUM"))
+        .withColumn("title", F.lit("Convoy Detected"))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harborlight.functions import ais, geo
 from harborlight.functions.alerts import or_unknown, to_alerts
 from harborlight.operators.history import previous, with_history, with_last_rows
+from harborlight.operators.once import once
 from harborlight.operators.zones import in_zones
 from harborlight.plans.state import KEEP_POSITIONS, mean_of, turn_count
 
@@ -43,7 +44,7 @@ def fishing_analysis(
         )
 
     m = F.col("_m")
-    measured = framed.withColumn("_m", geo.let(F.col("_last"), measure)).select(
+    measured = once(framed, "_m", geo.let(F.col("_last"), measure)).select(
         *positions.columns,
         *[m[c].alias(c) for c in ("avg_speed", "speed_variance", "course_changes", "positions_analyzed")],
         geo.box_area_nm2(m["south"], m["west"], m["north"], m["east"]).alias("area_nm2"),

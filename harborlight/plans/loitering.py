@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlight.functions import geo
 from harborlight.functions.alerts import or_unknown, to_alerts
+from harborlight.operators.once import once
 from harborlight.operators.throttle import throttle
 from harborlight.plans.state import mean_of
 
@@ -18,17 +19,25 @@ SPREAD_BUCKET_S = 600
 
 def _possible(positions: DataFrame, radius_nm: float, history_s: int) -> DataFrame:
     """(mmsi, bucket) in which a report can loiter: the whole buckets that every frame ending
-    there contains do not reach further than the circle's diameter in latitude.
+    there contains do not reach further than the circle's diameter.
 
     One row per vessel and ten minutes, from a map-side combined aggregate.
     """
     bucket = F.floor(F.col("t_s") / SPREAD_BUCKET_S)
     extent = positions.groupBy("mmsi", bucket.alias("_bucket")).agg(
-        F.min("latitude").alias("_south"), F.max("latitude").alias("_north")
+        F.min("latitude").alias("_south"),
+        F.max("latitude").alias("_north"),
+        F.min("longitude").alias("_west"),
+        F.max("longitude").alias("_east"),
     )
     whole = history_s // SPREAD_BUCKET_S - 1
     frame = Window.partitionBy("mmsi").orderBy("_bucket").rangeBetween(-whole, -1)
-    reach = (F.max("_north").over(frame) - F.min("_south").over(frame)) * 60
+    south, north = F.min("_south").over(frame), F.max("_north").over(frame)
+    west, east = F.min("_west").over(frame), F.max("_east").over(frame)
+    # Narrowest parallel of the range, so that the width is not overstated.
+    width = (east - west) * 60 * F.cos(F.radians(F.greatest(F.abs(south), F.abs(north))))
+    # Longitudes that seem to go round the globe may just cross its seam.
+    reach = F.greatest((north - south) * 60, F.when(east - west < 180, width).otherwise(0.0))
     near = F.col("_reach").isNull() | (F.col("_reach") <= 2 * radius_nm * 1.01)
     return extent.withColumn("_reach", reach).where(near).select("mmsi", "_bucket")
 
@@ -57,7 +66,10 @@ def loitering_candidates(
     framed = (
         copied.join(slices, ["mmsi", "_slice"], "left_semi")
         .withColumn("_frame", F.collect_list(point).over(frame))
+        .withColumn("_since", F.min("t_s").over(frame))
         .where(F.col("_slice") == F.col("_own"))
+        # Too little history for the time limit: no need to measure.
+        .where((F.col("t_s") - F.col("_since") >= minutes * 60) & (F.size("_frame") >= MIN_POINTS))
         .withColumn("_bucket", F.floor(F.col("t_s") / SPREAD_BUCKET_S))
         .join(possible, ["mmsi", "_bucket"], "left_semi")
     )
@@ -83,7 +95,7 @@ def loitering_candidates(
 
     m = F.col("_m")
     return (
-        framed.withColumn("_m", F.when(F.size("_frame") >= MIN_POINTS, geo.let(past, measure)))
+        once(framed, "_m", geo.let(past, measure))
         .where((m["count"] >= MIN_POINTS) & (m["radius"] <= radius_nm) & (m["minutes"] >= minutes))
         .select(
             *positions.columns,

@@ -9,8 +9,8 @@ from harborlight import dims
 from harborlight.functions import ais, geo
 from harborlight.functions.alerts import or_unknown, to_alerts
 from harborlight.functions.geo import METERS_PER_NM
-from harborlight.operators.history import last_seen, previous, with_history
-from harborlight.operators.pairs import bucket_of, buckets, neighbours, valid_at, with_validity
+from harborlight.operators.history import following, last_seen, previous, with_history
+from harborlight.operators.pairs import bucket_of, buckets, neighbours, valid_at
 from harborlight.session import written
 
 # Fixed values.
@@ -29,32 +29,70 @@ def eligible(port_nm: float, ports=dims.OPEN_SEA_PORTS) -> Column:
 PAIR_COLUMNS = [
     "mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "ship_type", "ship_name", "imo_number",
 ]
+NEIGHBOUR_REPORT = ["t_s", "row_id", "latitude", "longitude", "able"]
 
 
 def eligible_reports(positions: DataFrame, port_nm: float) -> DataFrame:
-    """Reports that can meet, with the vessel's report number and its next report of any kind.
+    """Reports that can meet, each with the vessel's report before (`prev_`) and after (`next_`).
 
     Stored, because the pair join and the search for partings read it several times.
     """
-    tracked = with_validity(positions.select(*PAIR_COLUMNS))
-    return written(tracked.where(eligible(port_nm)), "eligible")
+    rows = with_history(
+        positions.select(*PAIR_COLUMNS).withColumn("able", eligible(port_nm)),
+        previous("_prev", *NEIGHBOUR_REPORT),
+        following("_next", *NEIGHBOUR_REPORT),
+    ).where("able")
+    short = {"t_s": "t", "row_id": "row", "latitude": "lat", "longitude": "lon", "able": "able"}
+    sides = [F.col(f"_{side}.{c}").alias(f"{side}_{n}") for side in ("prev", "next") for c, n in short.items()]
+    return written(rows.select(*PAIR_COLUMNS, *sides).drop("prev_row"), "eligible")
+
+
+def _before(t1: Column, row1: Column, t2: Column, row2: Column) -> Column:
+    return (t1 < t2) | ((t1 == t2) & (row1 < row2))
 
 
 def contacts(able: DataFrame, dist_m: float) -> DataFrame:
-    """One row per report and nearby vessel (`o_` columns): lo/hi pair, both report numbers, distance."""
+    """One row per report and nearby vessel, with the contact's place in its run.
+
+    `link` says what the pair did one step earlier, when the later of the two reports before
+    this one came in: "goes_on" (in contact), "starts" (seen apart), or "unsure" (nothing was
+    seen). That step compares this vessel's report before with the other vessel's current one,
+    whichever came first, so it needs no ordering of the pair's contacts. `ends` says that the
+    pair's next step is not a contact, by the same argument.
+    """
     # The radius in NM is on a slightly different sphere; a margin keeps the exact test in metres.
     near = neighbours(able, able, dist_m / METERS_PER_NM * 1.01, STALE_S)
+    c = F.col
     meters = geo.haversine_m("latitude", "longitude", "o_latitude", "o_longitude")
-    first = F.col("mmsi") < F.col("o_mmsi")
+    earlier_m = geo.haversine_m("prev_lat", "prev_lon", "o_latitude", "o_longitude")
+    seen_earlier = F.coalesce(c("prev_able") & (F.abs(c("prev_t") - c("o_t_s")) < STALE_S), F.lit(False))
+    this_cell, that_cell = geo.grid_cell("prev_lat", "prev_lon", CELL), geo.grid_cell("o_latitude", "o_longitude", CELL)
+    close_cells = (F.abs(this_cell[0] - that_cell[0]) <= 1) & (F.abs(this_cell[1] - that_cell[1]) <= 1)
+    link = (
+        F.when(seen_earlier & (earlier_m <= dist_m), "goes_on")
+        .when(seen_earlier & close_cells, "starts")
+        .otherwise("unsure")
+    )
+    own_next = c("next_t").isNotNull() & (
+        c("o_next_t").isNull() | _before(c("next_t"), c("next_row"), c("o_next_t"), c("o_next_row"))
+    )
+    next_contact = F.when(
+        own_next,
+        c("next_able") & (c("next_t") - c("o_t_s") < STALE_S)
+        & (geo.haversine_m("next_lat", "next_lon", "o_latitude", "o_longitude") <= dist_m),
+    ).otherwise(
+        c("o_next_able") & (c("o_next_t") - c("t_s") < STALE_S)
+        & (geo.haversine_m("o_next_lat", "o_next_lon", "latitude", "longitude") <= dist_m)
+    )
     return (
         near.withColumn("distance_m", meters)
-        .where(F.col("distance_m") <= dist_m)
-        .withColumn("lo", F.when(first, F.col("mmsi")).otherwise(F.col("o_mmsi")))
-        .withColumn("hi", F.when(first, F.col("o_mmsi")).otherwise(F.col("mmsi")))
-        .withColumn("lo_seq", F.when(first, F.col("seq")).otherwise(F.col("o_seq")))
-        .withColumn("hi_seq", F.when(first, F.col("o_seq")).otherwise(F.col("seq")))
+        .where(c("distance_m") <= dist_m)
         .select(
-            "lo", "hi", "lo_seq", "hi_seq", "distance_m", *PAIR_COLUMNS, "o_mmsi", "o_ship_type", "o_ship_name"
+            F.least("mmsi", "o_mmsi").alias("lo"),
+            F.greatest("mmsi", "o_mmsi").alias("hi"),
+            "t_s", "row_id", "mmsi", "ship_type", "o_mmsi", "o_t_s", "o_row_id", "o_ship_type", "distance_m",
+            link.alias("link"),
+            (~F.coalesce(next_contact, F.lit(False))).alias("ends"),
         )
     )
 
@@ -62,9 +100,8 @@ def contacts(able: DataFrame, dist_m: float) -> DataFrame:
 def _partings(gaps: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
     """The gaps (lo, hi, t_s, row_id) in which some report saw the other vessel beyond `dist_m`.
 
-    A gap lies between two contacts of a pair (`from_t`, `from_row` is the earlier one) that have
-    further reports in between; few rows, joined to the reports of the two vessels by vessel and
-    time.
+    A gap lies between two contacts of a pair; `from_t`, `from_row` is the earlier one. Few rows,
+    joined to the reports of the two vessels by vessel and time.
     """
     hour = 3600
     sides = gaps.select(
@@ -77,8 +114,8 @@ def _partings(gaps: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
     )
     place = ["mmsi", "t_s", "row_id", "latitude", "longitude"]
     looking = able.select(*[F.col(c).alias(f"x_{c}") for c in place], F.floor(F.col("t_s") / hour).alias("hour"))
-    after = (F.col("x_t_s") > F.col("from_t")) | ((F.col("x_t_s") == F.col("from_t")) & (F.col("x_row_id") > F.col("from_row")))
-    before = (F.col("x_t_s") < F.col("t_s")) | ((F.col("x_t_s") == F.col("t_s")) & (F.col("x_row_id") < F.col("row_id")))
+    after = _before(F.col("from_t"), F.col("from_row"), F.col("x_t_s"), F.col("x_row_id"))
+    before = _before(F.col("x_t_s"), F.col("x_row_id"), F.col("t_s"), F.col("row_id"))
     between = (
         sides.join(looking, ["x_mmsi", "hour"]).where(after & before).withColumn("bucket", bucket_of(F.col("x_t_s")))
     )
@@ -96,31 +133,49 @@ def _partings(gaps: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
     )
 
 
+def _resumed(met: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
+    """The unsure contacts (lo, hi, t_s, row_id) that carry on an earlier run.
+
+    The run before ended within two hours and no report in between saw the vessels apart. Only
+    run ends and unsure contacts take part, about two per encounter.
+    """
+    hour = 3600
+    pair = ["lo", "hi"]
+    unsure = met.where(F.col("link") == "unsure").select(*pair, "t_s", "row_id")
+    ends = met.where("ends").select(
+        *pair, F.col("t_s").alias("from_t"), F.col("row_id").alias("from_row"), F.floor(F.col("t_s") / hour).alias("hour")
+    )
+    hours = F.sequence(F.floor((F.col("t_s") - FORGET_S) / hour), F.floor(F.col("t_s") / hour))
+    before = _before(F.col("from_t"), F.col("from_row"), F.col("t_s"), F.col("row_id"))
+    gaps = (
+        unsure.withColumn("hour", F.explode(hours))
+        .join(ends, [*pair, "hour"])
+        .where(before & (F.col("t_s") - F.col("from_t") <= FORGET_S))
+        .groupBy(*pair, "t_s", "row_id")
+        .agg(F.max(F.struct("from_t", "from_row")).alias("f"))
+        .select(*pair, "t_s", "row_id", "f.from_t", "f.from_row")
+    )
+    gaps = written(gaps, "gaps")
+    return gaps.join(_partings(gaps, able, dist_m), [*pair, "t_s", "row_id"], "left_anti").select(*pair, "t_s", "row_id")
+
+
 def encounters(positions: DataFrame, dist_m: float = 1500, port_nm: float = 30) -> DataFrame:
     """Contacts with `started_s`, `started_row`: the first contact of their encounter.
 
     An encounter ends when a report of either vessel sees the other beyond `dist_m`, or after
-    two hours without contact. The contacts are stored: they are few beside the reports, and
-    the steps below read them more than once.
+    two hours without contact. The contacts are stored, as the steps below read them repeatedly.
     """
     able = eligible_reports(positions, port_nm)
-    met = with_history(
-        written(contacts(able, dist_m), "contacts"),
-        previous("_prev", "t_s", "row_id", "lo_seq", "hi_seq"),
-        key=("lo", "hi"),
-    )
-    steps = F.col("lo_seq") - F.col("_prev.lo_seq") + F.col("hi_seq") - F.col("_prev.hi_seq")
-    forgotten = F.col("t_s") - F.col("_prev.t_s") > FORGET_S
-    # Consecutive reports of the pair leave no room for a parting in between.
-    doubtful = met.where(F.col("_prev").isNotNull() & ~forgotten & (steps > 1)).select(
-        "lo", "hi", "t_s", "row_id", F.col("_prev.t_s").alias("from_t"), F.col("_prev.row_id").alias("from_row")
-    )
-    partings = _partings(doubtful, able, dist_m).withColumn("_parted", F.lit(True))
-    marked = met.join(partings, ["lo", "hi", "t_s", "row_id"], "left")
-    starts = F.col("_prev").isNull() | forgotten | F.coalesce(F.col("_parted"), F.lit(False))
-    flagged = written(marked.withColumn("_starts", starts).drop("_prev", "_parted"), "encounters")
+    met = written(contacts(able, dist_m), "contacts")
+    place = ["lo", "hi", "t_s", "row_id"]
+    resumed = _resumed(met, able, dist_m).withColumn("_resumed", F.lit(True))
+    unsure = F.col("link") == "unsure"
+    sure = met.where(~unsure).withColumn("_starts", F.col("link") == "starts")
+    settled = met.where(unsure).join(resumed, place, "left").withColumn("_starts", F.col("_resumed").isNull()).drop("_resumed")
     begun = with_history(
-        flagged, last_seen("_start", F.when(F.col("_starts"), F.struct("t_s", "row_id"))), key=("lo", "hi")
+        sure.unionByName(settled).drop("link", "ends"),
+        last_seen("_start", F.when(F.col("_starts"), F.struct("t_s", "row_id"))),
+        key=("lo", "hi"),
     )
     return begun.withColumn("started_s", F.col("_start.t_s")).withColumn("started_row", F.col("_start.row_id")).drop(
         "_starts", "_start"
@@ -131,9 +186,8 @@ def rendezvous_events(
     positions: DataFrame, dist_m: float = 1500, minutes: int = 3, port_nm: float = 30
 ) -> DataFrame:
     """One row per encounter that qualifies: its first qualifying contact."""
-    met = encounters(positions, dist_m, port_nm).withColumn(
-        "duration_minutes", F.floor((F.col("t_s") - F.col("started_s")) / 60)
-    )
+    met = written(encounters(positions, dist_m, port_nm), "encounters")
+    timed = met.withColumn("duration_minutes", F.floor((F.col("t_s") - F.col("started_s")) / 60))
     tanker = ais.is_tanker("ship_type") | ais.is_tanker("o_ship_type")
     cargo = ais.is_cargo("ship_type") | ais.is_cargo("o_ship_type")
     fishing = ais.is_fishing("ship_type") | ais.is_fishing("o_ship_type")
@@ -141,9 +195,9 @@ def rendezvous_events(
         tanker | (cargo & fishing) | (F.col("duration_minutes") >= 2 * minutes)
     )
     encounter = ["lo", "hi", "started_s", "started_row"]
-    row = F.struct(*[c for c in met.columns if c not in encounter])
+    row = F.struct(*[c for c in timed.columns if c not in encounter])
     order = F.struct("t_s", "row_id")
-    chosen = met.where(long_enough).groupBy(*encounter).agg(F.min_by(row, order).alias("r"))
+    chosen = timed.where(long_enough).groupBy(*encounter).agg(F.min_by(row, order).alias("r"))
     # Mean distance of the encounter up to the chosen contact.
     distances = (
         met.select(*encounter, order.alias("_at"), "distance_m")
@@ -152,9 +206,17 @@ def rendezvous_events(
         .groupBy(*encounter)
         .agg(F.avg("distance_m").alias("mean_distance_m"))
     )
+    # Names and places of the few chosen contacts.
+    report = positions.select(*[c for c in PAIR_COLUMNS if c != "ship_type"])
+    other = positions.select(
+        F.col("mmsi").alias("o_mmsi"), F.col("t_s").alias("o_t_s"), F.col("row_id").alias("o_row_id"),
+        F.col("ship_name").alias("o_ship_name"),
+    )
     return (
         chosen.join(distances, encounter)
         .select(*encounter, "mean_distance_m", "r.*")
+        .join(report, ["mmsi", "t_s", "row_id"])
+        .join(other, ["o_mmsi", "o_t_s", "o_row_id"])
         .withColumn("severity", F.when(tanker, "HIGH").otherwise("MEDIUM"))
         .withColumn("title", F.lit("Potential Ship-to-Ship Transfer"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlight.functions import geo
 from harborlight.functions.alerts import or_unknown, to_alerts
+from harborlight.operators.once import once
 from harborlight.operators.throttle import throttle
 from harborlight.operators.zones import CELL_DEGREES, with_edges
 from harborlight.plans.cable import zones_of_type
@@ -22,6 +23,16 @@ def _box_cells(box: Column, size: float) -> tuple[Column, Column]:
     return span("min_lat", "max_lat"), span("min_lon", "max_lon")
 
 
+def _reach_box(lat: Column, lon: Column, nm: Column) -> Column:
+    """Box around every point within `nm`, cut at latitude 89."""
+    north, south = F.least(lat + nm / 60, F.lit(89.0)), F.greatest(lat - nm / 60, F.lit(-89.0))
+    # Meridians are closest at the latitude farthest from the equator.
+    dlon = nm / 60 * 1.05 / F.cos(F.radians(F.greatest(F.abs(north), F.abs(south))))
+    return F.struct(
+        south.alias("min_lat"), (lon - dlon).alias("min_lon"), north.alias("max_lat"), (lon + dlon).alias("max_lon")
+    )
+
+
 def path_box(path: Column) -> Column:
     lats, lons = F.transform(path, lambda p: p["lat"]), F.transform(path, lambda p: p["lon"])
     return F.struct(
@@ -75,35 +86,34 @@ def path_zone_hits(
 ) -> DataFrame:
     """(report, cable zone) whose predicted path meets the zone from outside, with the entry point.
 
-    Paths and zones meet on grid cells. A pair that shares several cells is taken in the lowest
-    shared one only, so no distinct is needed.
+    Vessels and zones first meet on grid cells, by how far the vessel can get at all; only then
+    is the path worked out. A pair that shares several cells is taken in the lowest shared one
+    only, so no distinct is needed.
     """
-    course = F.coalesce(F.col("course_over_ground"), F.col("heading"))
+    lat, lon, knots = F.col("latitude"), F.col("longitude"), F.col("speed_over_ground")
+    reach = F.lit(minutes / 60.0 * 1.01) * knots
     moving = (
-        positions.where(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180))
-        .withColumn("course", course)
+        positions.where(lat.between(-85, 85) & lon.between(-180, 180))
+        .withColumn("course", F.coalesce(F.col("course_over_ground"), F.col("heading")))
         .where(F.col("course").isNotNull())
-        .withColumn("_path", geo.path_points("latitude", "longitude", "course", "speed_over_ground", minutes, step))
-        .withColumn("_box", path_box(F.col("_path")))
+        .withColumn("_reach", _reach_box(lat, lon, reach))
     )
-    plats, plons = _box_cells(F.col("_box"), size)
-    paths = moving.withColumn("_cell_lat", F.explode(plats)).withColumn("_cell_lon", F.explode(plons))
     targets = with_edges(zones_of_type(zones)).select("zone_id", "zone_name", "edges", "bbox")
+    vlats, vlons = _box_cells(F.col("_reach"), size)
     zlats, zlons = _box_cells(F.col("bbox"), size)
+    vessels = moving.withColumn("_cell_lat", F.explode(vlats)).withColumn("_cell_lon", F.explode(vlons))
     cells = targets.withColumn("_cell_lat", F.explode(zlats)).withColumn("_cell_lon", F.explode(zlons))
     lowest = (
-        F.col("_cell_lat") == F.floor(F.greatest(F.col("_box.min_lat"), F.col("bbox.min_lat")) / size)
-    ) & (F.col("_cell_lon") == F.floor(F.greatest(F.col("_box.min_lon"), F.col("bbox.min_lon")) / size))
-    overlap = _touching(F.col("_box"), F.col("bbox"))
-    outside = ~(
-        geo.in_bbox("latitude", "longitude", F.col("bbox")) & geo.point_in_edges("latitude", "longitude", F.col("edges"))
-    )
+        F.col("_cell_lat") == F.floor(F.greatest(F.col("_reach.min_lat"), F.col("bbox.min_lat")) / size)
+    ) & (F.col("_cell_lon") == F.floor(F.greatest(F.col("_reach.min_lon"), F.col("bbox.min_lon")) / size))
+    outside = ~(geo.in_bbox("latitude", "longitude", F.col("bbox")) & geo.point_in_edges("latitude", "longitude", F.col("edges")))
+    near = vessels.join(cells, ["_cell_lat", "_cell_lon"]).where(lowest & _touching(F.col("_reach"), F.col("bbox")))
+    ahead = once(near, "_path", geo.path_points("latitude", "longitude", "course", "speed_over_ground", minutes, step))
+    boxed = once(ahead, "_box", path_box(F.col("_path")))
+    hit = F.when(_touching(F.col("_box"), F.col("bbox")), first_hit(F.col("_path"), F.col("_box"), F.col("edges")))
     return (
-        paths.join(cells, ["_cell_lat", "_cell_lon"])
-        .where(lowest & overlap)
+        once(boxed, "_hit", hit, keep_null=False)
         .where(outside)
-        .withColumn("_hit", first_hit(F.col("_path"), F.col("_box"), F.col("edges")))
-        .where(F.col("_hit").isNotNull())
         .select(
             *positions.columns, "course", "zone_id", "zone_name",
             F.col("_hit.y").alias("entry_lat"), F.col("_hit.x").alias("entry_lon"),
