@@ -535,12 +535,12 @@ def convoy_(t: Tables):
     "e12_convoy_means",
     S.query(
         S.POSITIONS, *CONVOY_CTE,
-        "select row_id, convoy_id, vessel_count, round(mean_speed, 4) as mean_speed, round(mean_course, 4) as mean_course from cr",
+        "select row_id, vessel_count, round(mean_speed, 4) as mean_speed, round(mean_course, 4) as mean_course from cr",
     ),
 )
 def convoy_means(t: Tables):
-    return convoy.convoy_reports(t.positions).select(
-        "row_id", "convoy_id", F.col("vessel_count").cast("long").alias("vessel_count"), r4("mean_speed"), r4("mean_course")
+    return convoy.convoy_reports(convoy.tracked_reports(t.positions)).select(
+        "row_id", "vessel_count", r4("mean_speed"), r4("mean_course")
     )
 
 

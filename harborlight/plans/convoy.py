@@ -21,62 +21,71 @@ LONG_CONVOY_MIN = 60
 NAMES_SHOWN = 3
 
 
-def convoy_reports(
-    positions: DataFrame, nm: float = 3.0, dknots: float = 5.0, dcourse: float = 30.0, min_vessels: int = 2
-) -> DataFrame:
-    """Reports of a vessel in company: convoy_id, members, mean speed and course."""
-    tracked = with_validity(positions).where(
+PLACE = ["mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "course_over_ground"]
+CREW = ["mark_1", "mark_2", "vessel_count"]
+
+
+def tracked_reports(positions: DataFrame) -> DataFrame:
+    """Reports with speed and course, their number and the vessel's next report; stored, as it is read repeatedly."""
+    known = with_validity(positions.select(*PLACE, "ship_name")).where(
         F.col("speed_over_ground").isNotNull() & F.col("course_over_ground").isNotNull()
     )
-    place = ["mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "course_over_ground", "ship_name"]
-    # Only what the members need goes through the join.
-    looking = tracked.where(F.col("speed_over_ground") >= MIN_KNOTS).select(*place, "seq")
-    alike = neighbours(looking, tracked.select(*place, "next_t", "next_row"), nm, STALE_S).where(
+    return written(known, "tracked")
+
+
+def companions(looking: DataFrame, tracked: DataFrame, nm: float, dknots: float, dcourse: float) -> DataFrame:
+    """Reports of `looking` with each vessel (`o_` columns) that moves alongside."""
+    return neighbours(looking.where(F.col("speed_over_ground") >= MIN_KNOTS), tracked, nm, STALE_S).where(
         (F.abs(F.col("o_speed_over_ground") - F.col("speed_over_ground")) <= dknots)
         & (geo.course_diff("o_course_over_ground", "course_over_ground") <= dcourse)
     )
 
-    def member(prefix: str) -> Column:
-        return F.struct(
-            F.col(f"{prefix}mmsi").alias("mmsi"),
-            F.col(f"{prefix}ship_name").alias("name"),
-            F.col(f"{prefix}speed_over_ground").alias("speed"),
-            F.col(f"{prefix}course_over_ground").alias("course"),
-        )
 
-    grouped = alike.groupBy("mmsi", "t_s", "row_id", "seq").agg(
-        F.first(member("")).alias("_own"),
-        F.collect_list(member("o_")).alias("_others"),
+def convoy_reports(
+    tracked: DataFrame, nm: float = 3.0, dknots: float = 5.0, dcourse: float = 30.0, min_vessels: int = 2
+) -> DataFrame:
+    """Reports of a vessel in company: how many, mean speed and course, and marks of who.
+
+    The marks are two 64-bit fingerprints of the set of MMSIs, the same for every member. They
+    and the sums combine before the exchange, where lists of members would not.
+    """
+    alike = companions(tracked.select(*PLACE, "seq"), tracked.drop("ship_name", "seq"), nm, dknots, dcourse)
+
+    def mark(who: str, salt: int) -> Column:
+        return F.xxhash64(F.col(who), F.lit(salt))
+
+    grouped = alike.groupBy("mmsi", "t_s", "row_id", "seq", "speed_over_ground", "course_over_ground").agg(
+        F.count("*").alias("_n"),
         F.sum("o_speed_over_ground").alias("_speeds"),
         F.sum("o_course_over_ground").alias("_courses"),
+        F.bit_xor(mark("o_mmsi", 1)).alias("_1"),
+        F.bit_xor(mark("o_mmsi", 2)).alias("_2"),
     )
-    n = F.size("_others") + 1
-    ids = F.array_append(F.transform("_others", lambda m: m["mmsi"]), F.col("mmsi"))
+    n = F.col("_n") + 1
     return grouped.where(n >= min_vessels).select(
         "mmsi", "t_s", "row_id", "seq",
         n.alias("vessel_count"),
-        F.array_join(F.array_sort(ids), "-").alias("convoy_id"),
-        ((F.col("_own.speed") + F.col("_speeds")) / n).alias("mean_speed"),
-        ((F.col("_own.course") + F.col("_courses")) / n).alias("mean_course"),
-        F.concat(F.array("_own"), F.array_sort("_others")).alias("members"),
+        ((F.col("speed_over_ground") + F.col("_speeds")) / n).alias("mean_speed"),
+        ((F.col("course_over_ground") + F.col("_courses")) / n).alias("mean_course"),
+        F.col("_1").bitwiseXOR(mark("mmsi", 1)).alias("mark_1"),
+        F.col("_2").bitwiseXOR(mark("mmsi", 2)).alias("mark_2"),
     )
 
 
-def convoy_candidates(positions: DataFrame, minutes: int = 3, **limits) -> DataFrame:
+def convoy_candidates(tracked: DataFrame, minutes: int = 3, **limits) -> DataFrame:
     """Reports in a convoy that lasted `minutes`, before the cooldown.
 
     The convoy holds while the vessel's successive reports, at most ten minutes apart, give the
     same members.
     """
+
     def breaks(p: Column, c: Column) -> Column:
-        goes_on = (
-            (p["seq"] == c["seq"] - 1) & (p["convoy_id"] == c["convoy_id"]) & (c["t_s"] - p["t_s"] <= STALE_S)
-        )
-        return ~goes_on
+        same = (p["mark_1"] == c["mark_1"]) & (p["mark_2"] == c["mark_2"]) & (p["vessel_count"] == c["vessel_count"])
+        return ~(same & (p["seq"] == c["seq"] - 1) & (c["t_s"] - p["t_s"] <= STALE_S))
 
     # Stored, because finding the runs reads the reports twice and the join behind them is dear.
-    together = written(convoy_reports(positions, **limits), "convoys")
-    runs = with_islands(together, "_start", ["t_s", "row_id", "seq", "convoy_id"], breaks)
+    together = written(convoy_reports(tracked, **limits), "convoys")
+    runs = with_islands(together, "_start", ["t_s", "row_id", "seq", *CREW], breaks)
     return (
         runs.withColumn("duration_minutes", F.floor((F.col("t_s") - F.col("_start.t_s")) / 60))
         .where((F.col("row_id") != F.col("_start.row_id")) & (F.col("duration_minutes") >= minutes))
@@ -84,13 +93,40 @@ def convoy_candidates(positions: DataFrame, minutes: int = 3, **limits) -> DataF
     )
 
 
-def convoy_events(positions: DataFrame, minutes: int = 3, **limits) -> DataFrame:
-    large = (F.col("vessel_count") >= LARGE_CONVOY) | (F.col("duration_minutes") >= LONG_CONVOY_MIN)
+def convoy_events(
+    positions: DataFrame, minutes: int = 3, nm: float = 3.0, dknots: float = 5.0, dcourse: float = 30.0, min_vessels: int = 2
+) -> DataFrame:
+    """Alerts with convoy_id and members; only the alerting reports look up who their members are."""
+    tracked = tracked_reports(positions)
+    candidates = convoy_candidates(
+        tracked, minutes, nm=nm, dknots=dknots, dcourse=dcourse, min_vessels=min_vessels
+    )
     # Two members can report in the same second; the lower row number goes first.
-    kept = throttle(convoy_candidates(positions, minutes, **limits), ["convoy_id"], COOLDOWN_S)
-    # The alerting report's own columns, for the few that are left.
+    kept = written(throttle(candidates, CREW, COOLDOWN_S), "convoy-alerts")
+
+    def member(prefix: str) -> Column:
+        return F.struct(
+            F.col(f"{prefix}mmsi").alias("mmsi"),
+            F.col(f"{prefix}ship_name").alias("name"),
+            F.col(f"{prefix}speed_over_ground").alias("speed"),
+            F.col(f"{prefix}course_over_ground").alias("course"),
+        )
+
+    report = ["mmsi", "t_s", "row_id"]
+    looking = tracked.join(kept.select(*report), report, "left_semi").select(*PLACE, "ship_name")
+    who = (
+        companions(looking, tracked.drop("seq"), nm, dknots, dcourse)
+        .groupBy(*report)
+        .agg(F.first(member("")).alias("_own"), F.collect_list(member("o_")).alias("_others"))
+    )
+    ids = F.array_append(F.transform("_others", lambda m: m["mmsi"]), F.col("mmsi"))
+    large = (F.col("vessel_count") >= LARGE_CONVOY) | (F.col("duration_minutes") >= LONG_CONVOY_MIN)
     return (
-        kept.join(positions, ["mmsi", "t_s", "row_id"])
+        kept.join(who, report)
+        .withColumn("convoy_id", F.array_join(F.array_sort(ids), "-"))
+        .withColumn("members", F.concat(F.array("_own"), F.array_sort("_others")))
+        .drop("_own", "_others", "mark_1", "mark_2")
+        .join(positions, report)
         .withColumn("severity", F.when(large, "HIGH").otherwise("MEDIUM"))
         .withColumn("title", F.lit("Convoy Detected"))
     )
@@ -110,7 +146,7 @@ def detect_convoy(positions: DataFrame, nm: float = 3.0, minutes: int = 3, **lim
         member_names(F.col("members")),
     )
     return to_alerts(
-        convoy_events(positions, minutes, nm=nm, **limits),
+        convoy_events(positions, minutes, nm, **limits),
         "CONVOY",
         text,
         {
