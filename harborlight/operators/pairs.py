@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from harborlight.functions import geo
 from harborlight.operators.history import following, running_sum, with_history
 
-BUCKET_SECONDS = 300
+BUCKET_SECONDS = 150
 
 
 def with_validity(positions: DataFrame) -> DataFrame:
@@ -99,9 +99,10 @@ def neighbours(looking: DataFrame, seen: DataFrame, radius_nm: float, stale_s: i
     )
     return (
         left.join(right, ["_cell_lat", "_cell_lon", "_bucket"])
-        .where(F.col("mmsi") != F.col("o_mmsi"))
-        .where(valid_at("o_", F.col("t_s"), F.col("row_id"), stale_s))
+        # Cheap tests first; the distance is only worked out for what they leave.
         .where(F.abs(lat - F.col("o_latitude")) <= dlat)
+        .where(valid_at("o_", F.col("t_s"), F.col("row_id"), stale_s))
+        .where(F.col("mmsi") != F.col("o_mmsi"))
         .withColumn("distance_nm", geo.haversine_nm(lat, lon, "o_latitude", "o_longitude"))
         .where(F.col("distance_nm") <= radius_nm)
         .drop("_cell_lat", "_cell_lon", "_bucket")

@@ -37,10 +37,12 @@ def tune(spark: SparkSession) -> SparkSession:
     """Session settings the queries count on; all can be changed at run time.
 
     Generated methods above 8000 bytes of bytecode are never compiled by HotSpot. The distance
-    formulas reach that quickly, and Spark's per-operator code is then many times faster.
+    formulas reach that quickly, and Spark's per-operator code is then many times faster. A busy
+    cell's reports are kept in memory during a merge join up to the given number of rows.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.sortMergeJoinExec.buffer.in.memory.threshold", "100000")
     return spark
 
 
