@@ -150,9 +150,9 @@ def latest_zone_per_id(t: Tables):
     S.query(
         S.POSITIONS,
         """m as (select row_id, imo_number, mmsi, substr(mmsi, 1, 3) as mid, ship_name, row_id % 5 = 0 as is_flag from p),
-k as (select 'IMO:' || imo_number as key, row_id, ship_name as who from m where not is_flag and imo_number <> ''
+keyed as (select 'IMO:' || imo_number as key, row_id, ship_name as who from m where not is_flag and imo_number <> ''
   union all select 'MMSI:' || mmsi, row_id, ship_name from m where not is_flag union all select 'FLAG:' || mid, row_id, null from m where is_flag)""",
-        "select key, arg_max(coalesce(who, '-'), row_id) as who, max(row_id) as at from k group by key".replace(" as at", " as last_offset"),
+        "select key, arg_max(coalesce(who, '-'), row_id) as who, max(row_id) as last_offset from keyed group by key",
     ),
 )
 def latest_sanction_per_key(t: Tables):
@@ -314,7 +314,7 @@ def extract_sanction_rows(t: Tables):
     text = F.format_string("<p>1. OCEAN STAR (IMO %s)</p>", imo)
     script = F.format_string('<script>var v = {"imo": "%s", "vessel": "JSON %s"};</script>', imo, pid)
     added = F.when(F.col("page_id") % 3 == 0, table).when(F.col("page_id") % 3 == 1, text).otherwise(script)
-    pages = t.table("pages").withColumn("html", F.replace("html", F.lit("</body>"), F.concat(added, F.lit("</body>"))))
+    pages = t.table("pages").withColumn("html", F.concat(added, F.col("html")))
     return fleet.extract_sanction_rows(pages)
 
 
@@ -766,7 +766,7 @@ def alert_incident_ids(t: Tables):
 
 @register(
     "j14_incident_detail",
-    S.query(S.POSITIONS, *INCIDENT_CTE, CUR, "select id, inc.mmsi, severity, cur.row_id as vessel_row from inc left join cur using (mmsi) where mmsi = '412000010'.replace".replace("'412000010'.replace", "(select min(mmsi) from inc)")),
+    S.query(S.POSITIONS, *INCIDENT_CTE, CUR, "select id, inc.mmsi, severity, cur.row_id as vessel_row from inc left join cur using (mmsi) where mmsi = (select min(mmsi) from inc)"),
 )
 def incident_detail(t: Tables):
     inc = _incidents(t)
