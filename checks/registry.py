@@ -30,7 +30,6 @@ class Tables:
         """The position table, derived from the events once per session and stored like any table."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _POSITIONS:
-            _POSITIONS.clear()
             _POSITIONS[key] = written(positions_from_events(self.spark, self.table("events")), "positions")
         return _POSITIONS[key]
 
