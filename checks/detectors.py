@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
-from checks.registry import Tables, register
+from checks.registry import SQL, Tables, register
 from harborlight import dims
 from harborlight.functions import ais
 from harborlight.operators.throttle import throttle
 from harborlight.plans import (
     anchor, cable, convoy, dark, fishing, geofence, incidents, investigate, loitering, rendezvous, risk,
-    sanctions_match, spoofing, state, trajectory,
+    pipeline, sanctions_match, spoofing, state, trajectory,
 )
 from harborlight.session import written
 from harborlight.sources.reference import latest_sanctions
@@ -927,3 +927,54 @@ def zone_speeds(t: Tables):
 )
 def cooldown(t: Tables):
     return throttle(t.positions.where("speed_over_ground < 3").select("row_id", "mmsi", "t_s"), ["mmsi"], 900)
+
+
+# ---------------------------------------------------------------- everything together
+
+_PARTS = {
+    "GEOFENCE_VIOLATION": ["j01_geofence"],
+    "DARK_EVENT": ["j02_gone_dark", "j03_appeared_dark"],
+    "RENDEZVOUS": ["j04_rendezvous"],
+    "FISHING_IN_MPA": ["j05_fishing"],
+    "CABLE_PROXIMITY": ["j06_cable_proximity"],
+    "TRAJECTORY_PREDICTION": ["j07_trajectory"],
+    "AIS_SPOOFING": ["j09_spoofing"],
+    "CONVOY": ["j10_convoy"],
+    "ANCHOR_DRAGGING": ["j11_anchor_drag"],
+    "SANCTIONS_MATCH": ["j12_shadow_fleet", "j13_vessel_risk"],
+}
+
+
+@register(
+    "j17_all_detectors",
+    "select alert_type, severity, count(*) as alerts from ("
+    + " union all ".join(
+        f"select '{kind}' as alert_type, severity from ({SQL[name]})" for kind, names in _PARTS.items() for name in names
+    )
+    + ") group by all",
+)
+def all_detectors(t: Tables):
+    alerts = pipeline.run_pipeline(t.positions, t.zones, written(sanction_records(t), "sanctions"))
+    return alerts.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"))
+
+
+@register(
+    "c34_state_tests",
+    S.query(
+        S.POSITIONS,
+        INTERVALS,
+        """last as (select o.*, m.avg_s, row_number() over (partition by o.mmsi order by o.n desc) as back
+  from ord o join mean m on m.mmsi = o.mmsi and m.n = o.n),
+cs as (select *, lag(course_over_ground) over (partition by mmsi order by n) as pc from last where back <= 20),
+tn as (select mmsi, count(*) as points, coalesce(avg(speed_over_ground), 0) as mean_kts,
+   count(*) filter (where case when abs(course_over_ground - pc) > 180 then 360 - abs(course_over_ground - pc) else abs(course_over_ground - pc) end > 30) as turns from cs group by mmsi)""",
+        """select mmsi, points >= 10 and mean_kts < 5 and turns >= 5 as fishing_like, coalesce(speed_over_ground > 0.5, false) as moving,
+  floor((1704100000 - t_s) / 60) >= 30 and case when n > 10 and avg_s > 0 then floor((1704100000 - t_s) / 60) > floor(avg_s / 60) * 10 else true end as maybe_dark
+  from last join tn using (mmsi) where back = 1""",
+    ),
+)
+def state_tests(t: Tables):
+    return state.vessel_state(t.positions).select(
+        "mmsi", state.exhibits_fishing_pattern(F.col("recent_positions")).alias("fishing_like"),
+        ais.is_moving("last_speed").alias("moving"), state.is_potentially_dark(1704100000).alias("maybe_dark"),
+    )

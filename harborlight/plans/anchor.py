@@ -26,6 +26,16 @@ def claims_anchored(nav_status: Column) -> Column:
     return F.coalesce(nav_status.isin(*ANCHORED_STATUSES), F.lit(False))
 
 
+def drag_cause() -> Column:
+    """What gives a report at anchor away: fast, moving, drift, or null."""
+    speed = F.coalesce(F.col("speed_over_ground"), F.lit(0.0))
+    return (
+        F.when(speed > FAST_DRAG_KNOTS, "fast")
+        .when(speed > DRAG_KNOTS, "moving")
+        .when(F.col("drift_nm") > DRIFT_NM, "drift")
+    )
+
+
 def anchor_spells(positions: DataFrame) -> DataFrame:
     """Reports at anchor with `anchor` = struct(t_s, row_id, latitude, longitude, ...), the spell's first report."""
     runs = with_islands(
@@ -56,16 +66,10 @@ def anchor_drift(positions: DataFrame) -> DataFrame:
 
 def anchor_candidates(positions: DataFrame, zones: DataFrame) -> DataFrame:
     """Dragging reports, before the cooldown."""
-    speed = F.coalesce(F.col("speed_over_ground"), F.lit(0.0))
-    cause = (
-        F.when(F.col("speed") > FAST_DRAG_KNOTS, "fast")
-        .when(F.col("speed") > DRAG_KNOTS, "moving")
-        .when(F.col("drift_nm") > DRIFT_NM, "drift")
-    )
     dragging = (
         anchor_drift(positions)
-        .withColumn("speed", speed)
-        .withColumn("cause", cause)
+        .withColumn("speed", F.coalesce(F.col("speed_over_ground"), F.lit(0.0)))
+        .withColumn("cause", drag_cause())
         .where(F.col("cause").isNotNull())
     )
     # The first cable by id, when a report lies in several.

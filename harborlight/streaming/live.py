@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborlight.functions import geo
 from harborlight.operators.zones import in_zones
+from harborlight.plans.anchor import drag_cause
 from harborlight.plans.cable import COOLDOWN_S, cable_candidates
 from harborlight.plans.geofence import geofence_events
 from harborlight.plans.sanctions_match import COOLDOWN_S as SANCTION_COOLDOWN_S
 from harborlight.plans.sanctions_match import sanction_matches
 from harborlight.plans.serving import TRAIL_POINTS
+from harborlight.plans.spoofing import report_findings, with_jump
 from harborlight.session import written
-from harborlight.streaming.stateful import throttle_stream
+from harborlight.streaming.stateful import throttle_stream, with_memory
 
 TRAIL_KEEP_S = 72 * 3600
 TRAIL_PARTS = 64
@@ -32,6 +35,24 @@ def shadow_fleet_stream(positions: DataFrame, records: DataFrame) -> DataFrame:
     return throttle_stream(sanction_matches(positions, records), ["mmsi"], SANCTION_COOLDOWN_S)
 
 
+def spoofing_stream(positions: DataFrame) -> DataFrame:
+    """Failed checks of each report, by the batch rules over the remembered report before.
+
+    All but the name check; its distinct names would grow with the stream. Every failed check
+    comes out; throttle_stream in a second query over the result gives the cooldown.
+    """
+    before = F.struct(F.col("prev_t").alias("t_s"), F.col("prev_lat").alias("latitude"), F.col("prev_lon").alias("longitude"))
+    rows = with_memory(positions).withColumn("_prev", F.when(F.col("prev_t").isNotNull(), before))
+    return report_findings(with_jump(rows), positions.columns)
+
+
+def anchor_stream(positions: DataFrame) -> DataFrame:
+    """Reports that drag their anchor, with cause and drift, before the cooldown."""
+    drift = geo.haversine_nm("anchor_lat", "anchor_lon", "latitude", "longitude")
+    rows = with_memory(positions).where(F.col("anchor_row").isNotNull() & (F.col("anchor_row") != F.col("row_id")))
+    return rows.withColumn("drift_nm", drift).withColumn("cause", drag_cause()).where(F.col("cause").isNotNull())
+
+
 def positions_in_zones_stream(positions: DataFrame, zones: DataFrame) -> DataFrame:
     return in_zones(positions, zones, "zone_id", "zone_name", "zone_type")
 

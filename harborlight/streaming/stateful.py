@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType, _parse_datatype_string
 
+from harborlight.plans.anchor import ANCHORED_STATUSES
 from harborlight.plans.dark import MIN_MESSAGES
 from harborlight.plans.incidents import GAP_S
 
@@ -155,6 +157,65 @@ def gone_dark_stream(positions: DataFrame, threshold_min: int = 30) -> DataFrame
     )
 
 
+class Memory(StatefulProcessor):
+    """Add to each report what its vessel's earlier reports leave behind.
+
+    The report before (time and place), the first IMO, and the first report of the current
+    spell at anchor. The detector rules then are column expressions, the same as in batch.
+    """
+
+    def __init__(self, anchored: tuple[int, ...]):
+        self.anchored = anchored
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.vessel = handle.getValueState(
+            "vessel",
+            "t_s long, lat double, lon double, imo string, anchor_row long, anchor_t long, anchor_lat double, anchor_lon double",
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(rows).sort_values(["t_s", "row_id"])
+        t, lat, lon, imo, *anchor = tuple(self.vessel.get()) if self.vessel.exists() else (None,) * 8
+        added = []
+        for r in batch.itertuples(index=False):
+            if imo is None and isinstance(r.imo_number, str) and r.imo_number not in ("", "0"):
+                imo = r.imo_number
+            if pd.isna(r.nav_status) or int(r.nav_status) not in self.anchored:
+                anchor = [None] * 4
+            elif anchor[0] is None:
+                anchor = [int(r.row_id), int(r.t_s), float(r.latitude), float(r.longitude)]
+            added.append((t, lat, lon, imo, *anchor))
+            t, lat, lon = int(r.t_s), float(r.latitude), float(r.longitude)
+        self.vessel.update((t, lat, lon, imo, *anchor))
+        known = pd.DataFrame(added, columns=MEMORY_COLUMNS, index=batch.index).astype(MEMORY_TYPES)
+        yield pd.concat([batch, known], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+MEMORY_COLUMNS = ["prev_t", "prev_lat", "prev_lon", "first_imo", "anchor_row", "anchor_t", "anchor_lat", "anchor_lon"]
+MEMORY_TYPES = {
+    "prev_t": "Int64", "prev_lat": "float64", "prev_lon": "float64", "first_imo": "object", "anchor_row": "Int64",
+    "anchor_t": "Int64", "anchor_lat": "float64", "anchor_lon": "float64",
+}
+MEMORY_SCHEMA = (
+    "prev_t long, prev_lat double, prev_lon double, first_imo string, anchor_row long, anchor_t long, anchor_lat double, anchor_lon double"
+)
+
+
+def with_memory(positions: DataFrame) -> DataFrame:
+    """Positions with MEMORY_COLUMNS; missing places come out as null."""
+    schema = StructType(positions.schema.fields + _parse_datatype_string(MEMORY_SCHEMA).fields)
+    rows = positions.groupBy("mmsi").transformWithStateInPandas(
+        statefulProcessor=Memory(ANCHORED_STATUSES), outputStructType=schema, outputMode="Append", timeMode="None"
+    )
+    return rows.withColumns(
+        {c: F.when(F.col("prev_t" if c.startswith("prev") else "anchor_t").isNotNull(), F.col(c))
+         for c in ("prev_lat", "prev_lon", "anchor_lat", "anchor_lon")}
+    )
+
+
 class Incidents(StatefulProcessor):
     """Collect a vessel's alerts until none came for the gap, then emit the incident's outline."""
 

@@ -151,3 +151,14 @@ def test_haversine_is_symmetric_and_bearings(spark):
     ).first()
     assert 100 < df.a < 250 and abs(df.a - df.b) < 1e-9
     assert abs(df.n) < 0.5 and 85 < df.e < 95 and 175 < df.s < 185
+
+
+def test_adjacent_cells_and_combined_alerts(spark):
+    from harborlight.plans.serving import combined_alerts
+
+    cells = spark.range(1).select(geo.adjacent_cells(F.lit(5), F.lit(-1)).alias("c")).first().c
+    assert len({tuple(c) for c in cells}) == 9 and (4, -2) in {tuple(c) for c in cells}
+    schema = "alert_id string, mmsi string, detected_at timestamp"
+    a = spark.createDataFrame([("a", "1", None), ("b", "2", None)], schema).withColumn("detected_at", F.timestamp_seconds(F.lit(10)))
+    b = spark.createDataFrame([("i", "1", None)], schema).withColumn("detected_at", F.timestamp_seconds(F.lit(20)))
+    assert [r.alert_id for r in combined_alerts(a, b, "1").collect()] == ["i", "a"]

@@ -9,6 +9,7 @@ from conftest import T0
 
 from harborlight import dims
 from harborlight.operators.throttle import throttle
+from harborlight.plans import spoofing
 from harborlight.plans.cable import cable_events
 from harborlight.sources.positions import parse_positions, with_event_time
 from harborlight.streaming import live, stateful, topics
@@ -132,3 +133,25 @@ def test_geofence_stream_static_join(spark, feed, tmp_path):
     stream = topics.positions_stream(topics.read_folder(spark, str(feed)))
     got = drain(live.geofence_stream(stream, zones).select("mmsi", "t_s", "zone_id"), "fences", tmp_path / "c")
     assert len(got) == 25 + 12 and {r.zone_id for r in got} == {"R"}
+
+
+def test_memory_streams_equal_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+
+    def msg(t, lat, **more):
+        return json.dumps(dict(mmsi="230000011", timestamp=iso(t), latitude=lat, longitude=20.0, speed_over_ground=4.0, course_over_ground=0.0, heading=0.0, ship_type=70, ship_name="M", **more))
+
+    write(folder, "a.json", [msg(0, 57.0, imo_number="9000001"), msg(60, 59.0), msg(120, 59.0, nav_status=1)])
+    stream = topics.positions_stream(topics.read_folder(spark, str(folder), files_per_trigger=1))
+    found = live.spoofing_stream(stream).select("t_s", "check", "severity")
+    q = found.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "c1")).start()
+    q.processAllAvailable()
+    write(folder, "b.json", [msg(180, 57.0, imo_number="9000002"), msg(240, 57.0, nav_status=1), msg(300, 57.01, nav_status=5)])
+    q.processAllAvailable()
+    q.stop()
+    batch = with_event_time(parse_positions(spark.read.text(str(folder))))
+    want = spoofing.spoofing_findings(batch).select("t_s", "check", "severity").collect()
+    assert len(want) == 3 and sorted(map(tuple, spark.table("found").collect())) == sorted(map(tuple, want))
+    again = topics.positions_stream(topics.read_folder(spark, str(folder), files_per_trigger=1))
+    drags = drain(live.anchor_stream(again).select("t_s", "cause"), "drags", tmp_path / "c2")
+    assert [(r.t_s - T0, r.cause) for r in drags] == [(300, "fast")]
