@@ -187,7 +187,10 @@ class Memory(StatefulProcessor):
             added.append((t, lat, lon, imo, *anchor))
             t, lat, lon = int(r.t_s), float(r.latitude), float(r.longitude)
         self.vessel.update((t, lat, lon, imo, *anchor))
-        known = pd.DataFrame(added, columns=MEMORY_COLUMNS, index=batch.index).astype(MEMORY_TYPES)
+        # Column by column, so that row numbers with gaps do not pass through floating point.
+        known = pd.DataFrame(
+            {c: pd.Series(list(v), dtype=MEMORY_TYPES[c], index=batch.index) for c, v in zip(MEMORY_COLUMNS, zip(*added))}
+        )
         yield pd.concat([batch, known], axis=1)
 
     def close(self) -> None:
