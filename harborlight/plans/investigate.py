@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from harborlight import dims
 from harborlight.functions import ais, geo
 from harborlight.operators.history import previous, running_max, with_history
-from harborlight.operators.zones import with_edges
+from harborlight.operators.zones import CELL_DEGREES, with_edges
 
 # Fixed values.
 SEARCH_MARGIN = 0.5
@@ -45,23 +45,35 @@ class Investigation:
 def zone_track(positions: DataFrame, zone: DataFrame, start_s: int | None = None, end_s: int | None = None) -> DataFrame:
     """Reports near the zone with `inside`, `was_inside` and `entered` (inside now or earlier).
 
-    `zone` is a zones DataFrame with one row; its box and edges travel with the join, which is
-    by box first.
+    `zone` is a zones DataFrame with one row.
     """
     rows = positions
     if start_s is not None:
         rows = rows.where(F.col("t_s") >= start_s)
     if end_s is not None:
         rows = rows.where(F.col("t_s") <= end_s)
-    shape = with_edges(zone).select("edges", "bbox").limit(1)
+    # The searched box cut into grid cells, so that reports meet it by an equi-join; a report
+    # lies in one cell only.
+    box = F.col("bbox")
+
+    def span(low: str, high: str) -> Column:
+        first, last = box[low] - SEARCH_MARGIN, box[high] + SEARCH_MARGIN
+        return F.sequence(F.floor(first / CELL_DEGREES).cast("int"), F.floor(last / CELL_DEGREES).cast("int"))
+
+    shape = (
+        with_edges(zone).select("edges", "bbox")
+        .withColumn("_cell_lat", F.explode(span("min_lat", "max_lat")))
+        .withColumn("_cell_lon", F.explode(span("min_lon", "max_lon")))
+    )
+    cell_lat, cell_lon = geo.grid_cell("latitude", "longitude", CELL_DEGREES)
+    inside = geo.in_bbox("latitude", "longitude", box) & geo.point_in_edges("latitude", "longitude", F.col("edges"))
     near = (
-        rows.join(shape, geo.in_bbox("latitude", "longitude", F.col("bbox"), SEARCH_MARGIN))
-        .withColumn(
-            "inside",
-            geo.in_bbox("latitude", "longitude", F.col("bbox"))
-            & geo.point_in_edges("latitude", "longitude", F.col("edges")),
-        )
-        .drop("edges", "bbox")
+        rows.withColumn("_cell_lat", cell_lat)
+        .withColumn("_cell_lon", cell_lon)
+        .join(shape, ["_cell_lat", "_cell_lon"])
+        .where(geo.in_bbox("latitude", "longitude", box, SEARCH_MARGIN))
+        .withColumn("inside", inside)
+        .drop("edges", "bbox", "_cell_lat", "_cell_lon")
     )
     tracked = with_history(
         near, previous("_prev", "inside"), running_max("_entered", F.col("inside").cast("int"))
