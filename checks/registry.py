@@ -30,7 +30,10 @@ class Tables:
         """The position table, derived from the events once per session and stored like any table."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _POSITIONS:
-            _POSITIONS[key] = written(positions_from_events(self.spark, self.table("events")), "positions")
+            derived = positions_from_events(self.spark, self.table("events"))
+            # Files by time, as a position table grows, and enough of them for every core.
+            files = self.spark.sparkContext.defaultParallelism
+            _POSITIONS[key] = written(derived.repartitionByRange(files, "t_s"), "positions")
         return _POSITIONS[key]
 
     @property
