@@ -217,5 +217,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit word, all their columns kept."""
-    found = find_contamination(documents, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    key = F.xxhash64("doc_id", "text")
+    found = find_contamination(documents.select(key.alias("doc_id"), "text"), benchmark).where("n_hit > 0")
+    return documents.join(found.select(F.col("doc_id").alias("gone")).distinct(), key == F.col("gone"), "left_anti")

@@ -421,9 +421,10 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, all their columns kept.
+    """One document of each component, the one with the smallest doc_id, all its columns kept.
 
-    Of rows that share this doc_id, those with the same text are one; rows without a doc_id stay.
+    Of rows that share this doc_id one stays; rows without a doc_id all stay.
     """
     found = jaccard_components(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(found, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    kept = documents.where("doc_id is not null").join(found, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return kept.dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import decontaminate, jaccard, substrings
+from harborlight.llm import decontaminate, jaccard, languages, sentencepieces, substrings, token_files, toxicity, vectors
 from harborlight.llm.common import table
 
+#: Vocabulary files, and the id that ends a document in token files.
+PIECES, BYTE_PAIRS, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.remove_repeated(table(spark, sf_dir, "documents")))
@@ -18,14 +22,39 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_files.write_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_PAIRS), END_ID)
+    return token_files.digest(token_files.read_documents(blocks))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(
         decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     )
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op6_decontamination)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_ngram_jaccard_join, op3_sentencepiece, op4_language_id, op5_token_files, op6_decontamination,
+        op7_embedding_near_dedup, op10_toxicity,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -95,5 +124,17 @@ with b as (
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (rid) left join t using (rid)
+""",
+    "op7_embedding_near_dedup": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+  where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.9
+), c as (
+  select vec_id as node, vec_id as root from v union select l.b, c.root from c join l on c.node = l.a
+)
+select vec_id, (select count(*) from l where l.a = vec_id) as n_links, min(root) as component_id, vec_id = min(root) as kept
+from v join c on node = vec_id group by vec_id
 """,
 }
