@@ -1,8 +1,11 @@
-"""Toxicity: class-conditional Kneser-Ney bigram models over a shared backoff.
-
-Each class has a bigram model with absolute discounting whose lower order counts in how many contexts a word
-occurs; where that is rare, both classes fall back on one distribution of words over all documents. The
-score compares the two log-likelihoods, normalised for the length of the text.
+"""Toxicity: class-conditional Kneser-Ney models of words, letter by letter, over a shared backoff.
+
+A word's probability in a class is the product of its bytes', each given the four bytes before it in
+the word. Words count by the number of different words that they follow, as in
+Kneser-Ney smoothing, so copied passages weigh little. Each order keeps its counts less a discount and
+leaves the rest to the next shorter one; below three bytes both classes share one model, counted over all
+documents. The score compares the log-likelihoods of the classes, normalised for the length of the text.
+Bytes rather than whole words tell toxic stems with unseen endings.
 """
 
 from __future__ import annotations
@@ -15,104 +18,146 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.llm.common import crc_remainder
-from harborlight.llm.words import NOT_ALNUM, Words, gram_hashes, hashes, slices, text_bytes
+from harborlight.llm.words import NOT_ALNUM, Words, hashes, slices, text_bytes
 
-#: Labelled documents of each class that the class models are fitted on, chosen by a hash of the id.
+#: Labelled documents of each class at most that the class models are fitted on, chosen by a hash of the id.
 SAMPLE = 6000
-#: Absolute discount, and counts below which an expression is left to the backoff.
-DISCOUNT, LEAST_CONTEXTS, LEAST_PAIRS = 0.75, 4, 3
-#: Lengths are normalised by this power of the number of words.
-LENGTH_POWER = 0.5
+#: Bytes of the longest and shortest sequences that are counted by class.
+LONGEST, SHORTEST = 5, 3
+DISCOUNT = 0.75
+#: Log-likelihoods are divided by this power of the number of words.
+LENGTH_POWER = 0.75
 
 
-def hashed_words(batch: pa.RecordBatch) -> tuple[Words, np.ndarray]:
+def read_words(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, pa.Array]:
     words = Words(text_bytes(batch.column("text")), NOT_ALNUM, lower=True)
-    ids, names = words.dictionary()
-    return words, (hashes(names)[ids] if len(words) else np.empty(0, np.uint64)).view(np.int64)
+    return words, *words.dictionary()
+
 
+def sequences(names: pa.Array, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each byte of the words, the last 1, 2, ... bytes up to it as one number, and the first place of each word.
 
-def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic) to counts (toxic, first, second, n) of neighbouring words; a text's first word follows 0."""
+    A space stands before and after each word; sequences don't reach beyond the one before.
+    """
+    raw = names.to_pylist()
+    data = np.frombuffer(b" " + b"".join(raw), np.uint8).astype(np.uint64)
+    at = np.arange(len(data))
+    space = np.maximum.accumulate(np.where(data == 32, at, 0))
+    room = at[1:] - space[:-1] + 1
+    found, keys = [], data[1:].copy()
+    for m in range(1, longest + 1):
+        if m > 1:
+            shift = np.uint64(8 * (m - 1))
+            further = np.where(room >= m, data[np.maximum(at[1:] - m + 1, 0)] << shift, np.uint64(0))
+            keys = keys | further
+        found.append(keys)
+    return found, np.cumsum([0, *map(len, raw[:-1])]) if raw else np.empty(0, np.int64)
+
+
+def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, toxic) to the different (toxic, before, word): a word and the hash of the one before it."""
     for batch in slices(batches):
-        words, h = hashed_words(batch)
-        before = np.concatenate(([0], h[:-1])) if len(h) else h
+        words, ids, names = read_words(batch)
+        if not len(words):
+            continue
+        before = np.concatenate(([0], hashes(names).view(np.int64)[ids][:-1]))
         before[words.bounds[:-1][np.diff(words.bounds) > 0]] = 0
         toxic = batch.column("toxic").to_numpy().astype(np.int64)[words.document()]
-        order = np.lexsort((h, before, toxic))
-        toxic, before, h = toxic[order], before[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (toxic[1:] != toxic[:-1]) | (before[1:] != before[:-1]) | (h[1:] != h[:-1])
-        first = np.flatnonzero(new)
+        order = np.lexsort((before, ids, toxic))
+        toxic, ids, before = toxic[order], ids[order], before[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (toxic[1:] != toxic[:-1]) | (ids[1:] != ids[:-1]) | (before[1:] != before[:-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(toxic[first]), pa.array(before[first]), pa.array(h[first]), pa.array(np.diff(np.append(first, len(h))))],
-            names=["toxic", "first", "second", "n"],
+            [pa.array(toxic[new]), pa.array(before[new]), names.cast(pa.binary()).take(pa.array(ids[new]))],
+            names=["toxic", "before", "word"],
         )
 
 
-def count_words(vocabulary):
-    """Texts to (word, n): occurrences of the words of the vocabulary, and of all others under 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        total = np.zeros(len(known) + 1, np.int64)
-        for batch in slices(batches):
-            _, h = hashed_words(batch)
-            total += np.bincount(lookup(known, h), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(known, 0)[some]), pa.array(total[some])], names=["word", "n"])
-
-    return run
+def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (pair, n): how often each byte follows each other in their words."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in slices(batches):
+        _, ids, names = read_words(batch)
+        if not len(ids):
+            continue
+        pairs = sequences(names, 2)[0][1].astype(np.int64)
+        times = np.repeat(np.bincount(ids, minlength=len(names)), [len(x) for x in names.to_pylist()])
+        total += np.bincount(pairs, times, 1 << 16).astype(np.int64)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+
+def shared_model(pairs: dict[int, int]) -> np.ndarray:
+    """The probability of each byte after each other, from counts over all documents."""
+    n = np.zeros((256, 256))
+    for pair, times in pairs.items():
+        n[pair >> 8, pair & 255] = times
+    types = (n > 0).sum(axis=0) + 1e-3  # in how many contexts a byte occurs
+    single = types / types.sum()
+    seen = n.sum(axis=1, keepdims=True)
+    kept = np.maximum(n - DISCOUNT, 0) + DISCOUNT * (n > 0).sum(axis=1, keepdims=True) * single
+    return np.where(seen > 0, kept / np.maximum(seen, 1), single).reshape(-1)
+
+
+def lookup(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key in a sorted array, and whether it is there."""
+    slot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return slot, known[slot] == keys
 
 
-def lookup(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The place of each value in a sorted array, or its length if it isn't there."""
-    if not len(known):
-        return np.zeros(len(h), np.int64)
-    slot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[slot] == h, slot, len(known))
+class Model:
+    """For each order, how much likelier a byte sequence is in the toxic class, as a difference of logarithms.
 
+    Where a sequence is unseen in both classes, its context has the difference of the two backoff weights.
+    """
 
-class Model:
-    """Two bigram models over one vocabulary; the last word stands for all others."""
-
-    def __init__(self, pairs: pa.Table, shared: dict[int, int], vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
-        size = len(vocabulary) + 1
-        base = np.array([shared.get(w, 0) for w in [*vocabulary.tolist(), 0]], np.float64) + 0.5
-        base /= base.sum()
-        toxic, first, second, n = (pairs.column(c).to_numpy() for c in ("toxic", "first", "second", "n"))
-        self.unigram, self.back, keys, extra = [], [], [], []
-        for k in (0, 1):
-            own = toxic == k
-            a, b, c = lookup(vocabulary, first[own]), lookup(vocabulary, second[own]), n[own].astype(np.float64)
-            contexts = np.bincount(b, minlength=size).astype(np.float64)
-            total = max(contexts.sum(), 1.0)
-            contexts[-1] = 0
-            held = np.where(contexts >= LEAST_CONTEXTS, contexts - DISCOUNT, 0.0)
-            self.unigram.append(held / total + (1 - held.sum() / total) * base)
-            seen = np.maximum(np.bincount(a, c, size), 1.0)
-            strong = (c >= LEAST_PAIRS) & (a < size - 1) & (b < size - 1)
-            kept = np.bincount(a[strong], c[strong] - DISCOUNT, size)
-            self.back.append(1 - kept / seen)
-            keys.append(a[strong] * size + b[strong])
-            extra.append((c[strong] - DISCOUNT) / seen[a[strong]])
-        self.keys = np.unique(np.concatenate(keys))
-        self.extra = [np.zeros(len(self.keys) + 1), np.zeros(len(self.keys) + 1)]
-        for k in (0, 1):
-            self.extra[k][np.searchsorted(self.keys, keys[k])] = extra[k]
-        self.slope, self.shift = 1.0, 0.0
-
-    def ratios(self, words: Words, h: np.ndarray) -> np.ndarray:
-        """For each text the difference of its toxic and ordinary log-likelihoods, normalised for its length."""
-        size = len(self.vocabulary) + 1
-        w = lookup(self.vocabulary, h)
-        before = np.concatenate(([size - 1], w[:-1])) if len(w) else w
-        sizes = np.diff(words.bounds)
-        before[words.bounds[:-1][sizes > 0]] = size - 1
-        pair = lookup(self.keys, before * size + w)
-        like = [np.log(self.extra[k][pair] + self.back[k][before] * self.unigram[k][w]) for k in (0, 1)]
-        total = np.concatenate(([0.0], np.cumsum(like[1] - like[0])))[words.bounds]
-        return np.diff(total) / np.maximum(sizes, 1) ** LENGTH_POWER
+    def __init__(self, words: pa.Array, weights: list[np.ndarray], shared: np.ndarray):
+        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.slope, self.shift = 0.0, -30.0
+        if not len(words):
+            return
+        keys, _ = sequences(words, LONGEST)
+        lengths = [len(x) for x in words.to_pylist()]
+        weights = [np.repeat(w, lengths) for w in weights]
+        lower = [shared[keys[1].astype(np.int64)]] * 2
+        for m in range(SHORTEST, LONGEST + 1):
+            seen, first, place = np.unique(keys[m - 1], return_index=True, return_inverse=True)
+            context = seen >> np.uint64(8)
+            begins = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(seen))))
+            logs, backs = [], []
+            for k in (0, 1):
+                n = np.bincount(place, weights[k], len(seen))
+                total = np.maximum(np.add.reduceat(n, begins), 1e-300)
+                back = np.where(total >= 1, DISCOUNT * np.add.reduceat((n > 0).astype(float), begins) / np.maximum(total, 1), 1.0)
+                own = np.where(total[group] >= 1, np.maximum(n - DISCOUNT, 0) / np.maximum(total[group], 1), 0.0)
+                p = own + back[group] * lower[k][first]
+                logs.append(np.log(p))
+                backs.append(np.log(back))
+                lower = [p[place] if j == k else lower[j] for j in (0, 1)]
+            self.orders.append((seen, logs[1] - logs[0], context[begins], backs[1] - backs[0]))
+
+    def differences(self, names: pa.Array) -> np.ndarray:
+        """For each word the difference of its log-likelihoods."""
+        if not len(names) or not self.orders:
+            return np.zeros(len(names))
+        keys, first = sequences(names, LONGEST)
+        out, open_ = np.zeros(len(keys[0])), np.arange(len(keys[0]))
+        for m in range(LONGEST, SHORTEST - 1, -1):
+            seen, log, context, back = self.orders[m - SHORTEST]
+            own = keys[m - 1][open_]
+            slot, found = lookup(seen, own)
+            out[open_[found]] += log[slot[found]]
+            open_, own = open_[~found], own[~found]
+            slot, found = lookup(context, own >> np.uint64(8))
+            out[open_[found]] += back[slot[found]]
+        return np.add.reduceat(out, first)
+
+    def ratios(self, batch: pa.RecordBatch) -> np.ndarray:
+        """For each text the difference of its log-likelihoods, normalised for its length."""
+        words, ids, names = read_words(batch)
+        total = np.concatenate(([0.0], np.cumsum(self.differences(names)[ids])))[words.bounds]
+        return np.diff(total) / np.maximum(np.diff(words.bounds), 1) ** LENGTH_POWER
 
     def scores(self, ratios: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * ratios + self.shift, -30, 30)))
@@ -120,7 +165,6 @@ class Model:
     def calibrate(self, ratios: np.ndarray, toxic: np.ndarray) -> None:
         """Logistic regression of the label on the ratio, both classes weighing alike."""
         if len(np.unique(toxic)) < 2:
-            self.slope, self.shift = 0.0, -30.0
             return
         weight = np.where(toxic == 1, 0.5 / (toxic == 1).sum(), 0.5 / (toxic == 0).sum())
         centre, spread = ratios.mean(), max(ratios.std(), 1e-9)
@@ -135,54 +179,52 @@ class Model:
 
 
 def chosen(labels: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` labelled documents of each class: (labelled_id, toxic)."""
-    order = F.xxhash64("labelled_id", F.lit(10))
-    rows = labels.where("toxic in (0, 1) and doc_id is not null").select(
-        F.col("doc_id").alias("labelled_id"), F.col("toxic").cast("long").alias("toxic")
+    """At most `sample` labelled documents of each class: (labelled_id, toxic). Of labels that differ the toxic one holds."""
+    rows = (
+        labels.where("toxic in (0, 1) and doc_id is not null")
+        .groupBy(F.col("doc_id").cast("long").alias("labelled_id"))
+        .agg(F.max("toxic").cast("long").alias("toxic"))
     )
-    rows = rows.groupBy("labelled_id").agg(F.max("toxic").alias("toxic"))
+    order = F.xxhash64("labelled_id", F.lit(10))
     parts = [rows.where(F.col("toxic") == k).orderBy(order, "labelled_id").limit(sample) for k in (0, 1)]
     return parts[0].unionAll(parts[1])
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Models from a bounded sample of labelled rows, and the shared backoff from all documents.
+    """Class models from a bounded sample of labelled rows, the shared backoff from all documents.
 
-    The driver gets the sample's word pairs; counts of the sample's words over all documents add up in the
-    tasks first. The score is calibrated on a second sample of labelled documents that the models have not seen,
-    a quarter of `sample` for each class.
+    The driver gets the words of the sample with their counts. A fifth of the sample, chosen by another hash,
+    calibrates the score instead of teaching the models.
     """
     spark = documents.sparkSession
-    every = chosen(labels, sample + sample // 4).collect()
-    # The hash decides who calibrates: about a fifth of each class.
-    rows = spark.createDataFrame([(r.labelled_id, r.toxic) for r in every] or [], "labelled_id long, toxic long")
+    every = [(r.labelled_id, r.toxic) for r in chosen(labels, sample).collect()]
+    rows = spark.createDataFrame(every, "labelled_id long, toxic long")
     rows = F.broadcast(rows.withColumn("calibrates", F.pmod(F.xxhash64("labelled_id", F.lit(11)), F.lit(5)) == 0))
     texts = documents.select("doc_id", "text").where("text is not null").join(rows, F.col("doc_id") == F.col("labelled_id"))
-    pairs = (
+    found = (
         texts.where("not calibrates")
         .select("text", "toxic")
-        .mapInArrow(count_pairs, "toxic long, first long, second long, n long")
-        .groupBy("toxic", "first", "second")
-        .agg(F.sum("n").alias("n"))
+        .mapInArrow(contexts, "toxic long, before long, word binary")
+        .distinct()
+        .groupBy("word")
+        .agg(F.count_if(F.expr("toxic = 0")).alias("ordinary"), F.count_if(F.expr("toxic = 1")).alias("toxic"))
         .toArrow()
+        .sort_by("word")
+        .combine_chunks()
     )
-    second = pairs.column("second").to_numpy()
-    words, times = np.unique(second, return_counts=True)
-    vocabulary = words[times >= LEAST_CONTEXTS]
-    shared = (
-        documents.select("text")
-        .mapInArrow(count_words(spark.sparkContext.broadcast(vocabulary)), "word long, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .collect()
+    pairs = (
+        documents.select("text").mapInArrow(count_bytes, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    )
+    model = Model(
+        pa.array(found.column("word").to_pylist(), pa.binary()),
+        [found.column(c).to_numpy().astype(float) for c in ("ordinary", "toxic")],
+        shared_model({r.pair: r.n for r in pairs}),
     )
-    model = Model(pairs, {r.word: r.n for r in shared}, vocabulary)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, h = hashed_words(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.ratios(words, h)), batch.column("toxic")], names=["ratio", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.ratios(batch)), batch.column("toxic")], names=["ratio", "toxic"])
 
     seen = texts.where("calibrates").select("text", "toxic").mapInArrow(run, "ratio double, toxic long").toArrow()
     model.calibrate(seen.column("ratio").to_numpy(), seen.column("toxic").to_numpy())
@@ -192,18 +234,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, score (0 to 1; higher: more likely toxic).
 
-    Null and empty texts have a ratio of 0. Repeated rows are scored alike; an empty table gives no rows. Without labels of
-    both classes every score is about 0.
+    Null and empty texts have a ratio of 0. Repeated rows are scored alike; an empty table gives no
+    rows. Without labels of both classes every score is about 0.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, h = hashed_words(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sent.value.scores(sent.value.ratios(words, h)))], names=["doc_id", "score"]
-            )
+            ratios = sent.value.ratios(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(ratios))], names=["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
