@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import decontaminate, jaccard, languages, sentencepieces, substrings, token_files, toxicity, vectors
+from harborlight.llm import decontaminate, jaccard, languages, personal, sentencepieces, substrings, token_files, toxicity, urls, vectors
 from harborlight.llm.common import table
 
 #: Vocabulary files, and the id that ends a document in token files.
@@ -45,6 +45,14 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.find_personal(table(spark, sf_dir, "documents")))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(urls.judge_urls(table(spark, sf_dir, "pages")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_ngram_jaccard_join, op3_sentencepiece, op4_language_id, op5_token_files, op6_decontamination,
-        op7_embedding_near_dedup, op10_toxicity,
+        op7_embedding_near_dedup, op8_personal_data, op9_url_filters, op10_toxicity,
     )
 }
 
