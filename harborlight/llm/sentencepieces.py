@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from harborlight.llm.words import encode_words, slices, text_bytes
 
 SPACE = "▁".encode()
+#: Text bytes that are encoded together; ids and spans take many times that.
+TOGETHER = 2 << 20
 
 
 class CharacterMap:
@@ -207,7 +209,7 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, size=TOGETHER):
             texts = text_bytes(batch.column("text"))
             ids, counts, starts, stops = encoder.encode(texts)
             cuts = np.concatenate(([0], np.cumsum(counts)))[1:-1]
