@@ -17,6 +17,8 @@ from harborlight.session import written
 #: Most frequent n-grams of a profile and of a document that are compared.
 RANKS = 400
 UNKNOWN = "und"
+#: Text bytes whose n-grams are counted together; the counting takes many times that.
+TOGETHER = 2 << 20
 
 
 def letters() -> np.ndarray:
@@ -92,7 +94,7 @@ def count_grams(letter):
     """Rows (text, lang) to (lang, gram, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=TOGETHER):
             coded = batch.column("lang").dictionary_encode()
             owners = coded.indices.to_numpy().astype(np.int64)
             grams = Grams(batch.column("text").to_pylist(), owners, letter.value)
@@ -148,7 +150,7 @@ def identify(documents: DataFrame, profiles: dict[str, list[str]], ranks: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, number, rank = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, size=TOGETHER):
             n = batch.num_rows
             grams = Grams(batch.column("text").to_pylist(), np.arange(n), letter)
             first = np.searchsorted(grams.owner, np.arange(n + 1))
