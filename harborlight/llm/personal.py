@@ -226,7 +226,9 @@ class Labels:
 
 def learn(documents: DataFrame) -> Labels:
     """Labels from all candidate tokens of all documents; they are counted by votes and features before they move."""
-    tokens = with_tokens(documents.select(F.coalesce("text", F.lit("")).alias("text"))).select(F.explode("tokens").alias("t"))
+    tokens = with_tokens(documents.select(F.coalesce("text", F.lit("")).alias("text")))
+    # The outer form: for the plain one, a filter on the array's size would run all patterns twice.
+    tokens = tokens.select(F.explode_outer("tokens").alias("t")).where("t is not null")
     counted = tokens.groupBy(F.col("t.votes").alias("v"), F.col("t.features").alias("f")).agg(F.count("*").alias("n"))
     return Labels([(r.v, tuple(r.f), r.n) for r in counted.orderBy("v", "f").collect()])
 
