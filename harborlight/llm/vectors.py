@@ -20,10 +20,10 @@ from harborlight.llm.components import connected
 from harborlight.session import written
 
 COSINE = 0.9
-#: Vectors for each pivot, pivots at most (they are broadcast), and vectors of a part of a cell.
-PER_PIVOT, PIVOTS, PART = 1024, 1024, 1024
-#: Products that differ from the threshold by less are computed again, pair by pair.
-CLOSE = 1e-9
+#: Vectors for each pivot, pivots at most (they are broadcast), vectors of a part of a cell, and rows compared at a time.
+PER_PIVOT, PIVOTS, PART, BLOCK = 4096, 1024, 4096, 256
+#: Single-precision products that differ from the threshold by less are computed again in double precision.
+CLOSE = 1e-4
 
 
 def as_rows(column: pa.Array) -> np.ndarray:
@@ -70,15 +70,23 @@ def place(pivots: dict[int, np.ndarray], reach: float):
     return run
 
 
-def compare(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows have a cosine of at least the threshold."""
-    a, b = unit(left), unit(right)
-    product = a @ b.T
-    linked = product >= threshold
-    for i, j in zip(*np.nonzero(np.abs(product - threshold) < CLOSE)):
-        x, y = left[i], right[j]
-        linked[i, j] = float(np.dot(x, y)) / (math.sqrt(float(np.dot(x, x))) * math.sqrt(float(np.dot(y, y)))) >= threshold
-    return linked
+def linked_blocks(left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Which rows have a cosine of at least the threshold: BLOCK rows of `left` at a time against all of `right`.
+
+    Products in single precision decide where they are clear; those near the threshold are computed again in double.
+    """
+    a, b = unit(left).astype(np.float32), unit(right).astype(np.float32)
+    long_left, long_right = (np.sqrt((x * x).sum(axis=1)) for x in (left, right))
+    margin = max(CLOSE, 2e-7 * left.shape[1])
+    for begin in range(0, len(a), BLOCK):
+        product = a[begin : begin + BLOCK] @ b.T
+        linked = product >= threshold
+        at, to = np.nonzero(np.abs(product - threshold) < margin)
+        for k in range(0, len(at), 1 << 14):
+            i, j = at[k : k + (1 << 14)], to[k : k + (1 << 14)]
+            dots = np.einsum("ij,ij->i", left[begin + i], right[j])
+            linked[i, j] = dots / (long_left[begin + i] * long_right[j]) >= threshold
+        yield begin, linked
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -110,19 +118,22 @@ def join_cells(threshold: float):
             left, right = own[side[own] < 2], own[side[own] != 1]
             if not len(left) or not len(right):
                 continue
-            linked = compare(as_rows(embeddings.take(pa.array(left))), as_rows(embeddings.take(pa.array(right))), threshold)
-            linked &= rep[left][:, None] != rep[right]
-            if not linked.any():
-                continue
-            for i, found in zip(rep[left].tolist(), (linked @ weight[right]).tolist()):
-                links[i] = links.get(i, 0) + found
-            same = side[left][:, None] == side[right]  # both of side 0: seen from either end
-            for i, found in zip(rep[right].tolist(), ((linked & ~same).T @ weight[left]).tolist()):
-                links[i] = links.get(i, 0) + found
-            i, j = np.nonzero(linked)
-            nodes, where = np.unique(np.concatenate((rep[left][i], rep[right][j])), return_inverse=True)
-            root = nodes[spanning(where[: len(i)], where[len(i) :], len(nodes))]
-            edges += [(x, r) for x, r in zip(nodes.tolist(), root.tolist()) if x != r]
+            rows_left, rows_right = (as_rows(embeddings.take(pa.array(x))) for x in (left, right))
+            for begin, linked in linked_blocks(rows_left, rows_right, threshold):
+                own_left = left[begin : begin + len(linked)]
+                linked &= rep[own_left][:, None] != rep[right]
+                if not linked.any():
+                    continue
+                i, j = np.nonzero(linked)
+                for x, times in zip(rep[own_left].tolist(), np.bincount(i, weight[right[j]], len(own_left)).astype(int).tolist()):
+                    links[x] = links.get(x, 0) + times
+                once = side[own_left[i]] != side[right[j]]  # both of side 0: seen from either end
+                for x, times in zip(rep[right].tolist(), np.bincount(j[once], weight[own_left[i[once]]], len(right)).astype(int).tolist()):
+                    if times:
+                        links[x] = links.get(x, 0) + times
+                nodes, where = np.unique(np.concatenate((rep[own_left[i]], rep[right[j]])), return_inverse=True)
+                root = nodes[spanning(where[: len(i)], where[len(i) :], len(nodes))]
+                edges += [(x, r) for x, r in zip(nodes.tolist(), root.tolist()) if x != r]
         edges = sorted(set(edges))
         found = [(r, n, None) for r, n in links.items() if n] + [(x, 0, r) for x, r in edges]
         return pa.table(
@@ -135,6 +146,12 @@ def join_cells(threshold: float):
     return run
 
 
+def _numbers(embeddings: DataFrame):
+    """The vectors as they are if of single precision, else as doubles."""
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    return F.col("embedding") if single else F.col("embedding").cast("array<double>")
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (vec_id = component_id).
 
@@ -145,7 +162,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = COSINE) -> DataFrame:
     several, each is judged on its own as far as the id tells them apart.
     """
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), _numbers(embeddings).alias("embedding"))
     sound = F.expr(
         "vec_id is not null and embedding is not null and size(embedding) > 0 and exists(embedding, x -> x <> 0) and "
         "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
@@ -163,7 +180,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = COSINE) -> DataFrame:
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     placed = different.mapInArrow(
         place(spark.sparkContext.broadcast(pivots), reach),
-        "width int, cell int, guest boolean, rep long, n long, embedding array<double>",
+        f"width int, cell int, guest boolean, rep long, n long, embedding {different.schema['embedding'].dataType.simpleString()}",
     )
     placed = written(placed, "cells")
     sizes = placed.groupBy(F.col("width").alias("w"), F.col("cell").alias("c"), F.col("guest").alias("g")).agg(
