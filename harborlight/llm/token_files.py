@@ -8,7 +8,9 @@ the block is stored, so that groups are coded and decoded side by side.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,20 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = (1 << 15) - 1
 GROUP = 256
+#: The width that each number up to ESCAPE needs.
+NEEDED = np.unique(BITS)[np.searchsorted(1 << np.unique(BITS), np.arange(ESCAPE + 1), side="right")].astype(np.int8)
 #: Ids of a block, about; a document is never cut.
 BLOCK = 1 << 16
+#: Groups coded side by side, and text bytes encoded together.
+TOGETHER, TEXT_BYTES = 2048, 6 << 20
+#: Words whose ids a task remembers.
+KNOWN = 200_000
+
+#: Letters whose class no Unicode version has changed: ASCII and Latin-1.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The characters under which byte-level models know the bytes: printable ones stand for themselves, the others follow at 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 
 #: White space beyond ASCII: a text that holds any is given to the tokenizer whole.
 WIDE_SPACES = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -35,12 +49,10 @@ WIDE_SPACES = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000,
 def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all groups one after the other, and the number of words of each.
 
-    `groups` has a row of GROUP numbers below 2**60 for each group, of which the first `sizes` count;
+    `groups` has a row of GROUP numbers up to ESCAPE for each group, of which the first `sizes` count;
     the others must be 0.
     """
-    need = np.zeros(groups.shape, np.int8)
-    for bits in np.unique(BITS)[::-1]:
-        need[groups < (1 << int(bits))] = bits
+    need = NEEDED[groups]
     best = np.full(groups.shape, len(COUNTS) - 1, np.int8)
     window, width = need.copy(), 1
     for selector in range(len(COUNTS) - 1, -1, -1):
@@ -50,7 +62,7 @@ def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             window[:, : GROUP - step] = np.maximum(window[:, : GROUP - step], window[:, step:])
             width += step
         best[window <= BITS[selector]] = selector
-    padded = np.concatenate((groups.astype(np.uint64), np.zeros((len(groups), int(COUNTS[0])), np.uint64)), axis=1)
+    padded = np.concatenate((groups, np.zeros((len(groups), int(COUNTS[0])), np.uint16)), axis=1)
     rows, at = np.flatnonzero(sizes > 0), np.zeros(len(groups), np.int64)
     out, owner = [], []
     while len(rows):
@@ -60,7 +72,7 @@ def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             own = np.flatnonzero(selectors == s)
             bits = int(BITS[s])
             if bits:
-                values = padded[rows[own][:, None], at[rows[own]][:, None] + np.arange(COUNTS[s])]
+                values = padded[rows[own][:, None], at[rows[own]][:, None] + np.arange(COUNTS[s])].astype(np.uint64)
                 words[own] |= np.bitwise_or.reduce(values << (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(bits)), axis=1)
         out.append(words)
         owner.append(rows)
@@ -114,12 +126,18 @@ def block_rows(ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int,
     ends = np.concatenate(([0], np.cumsum(counts)))[cuts]
     sizes = np.diff(ends)
     groups = -(-sizes // GROUP)
-    matrix = np.zeros((int(groups.sum()), GROUP), np.int64)
-    held = np.full(len(matrix), GROUP)
+    held = np.full(int(groups.sum()), GROUP)
     last = np.cumsum(groups) - 1
     held[last[groups > 0]] = (sizes - GROUP * (groups - 1))[groups > 0]
-    matrix[np.arange(GROUP) < held[:, None]] = np.minimum(ids, ESCAPE)
-    words, used = pack(matrix, held)
+    begins = np.concatenate(([0], np.cumsum(held)))
+    parts = []
+    for g in range(0, len(held), TOGETHER):
+        own = held[g : g + TOGETHER]
+        matrix = np.zeros((len(own), GROUP), np.uint16)
+        matrix[np.arange(GROUP) < own[:, None]] = np.minimum(ids[begins[g] : begins[g + len(own)]], ESCAPE)
+        parts.append(pack(matrix, own))
+    words = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
+    used = np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)])
     where = np.concatenate(([0], np.cumsum(used)))
     first = np.cumsum(groups) - groups
     for b, (a, z) in enumerate(zip(cuts, cuts[1:])):
@@ -144,14 +162,47 @@ class PieceEncoder:
     def __init__(self, path_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(path_json)
+        self.model, self.known = self.tokenizer.model, {}
+        plain = self.tokenizer.encode("a b", add_special_tokens=False).ids
+        direct = [t.id for name in ("a", "\u0120b") for t in self.model.tokenize(name)]
+        if plain != direct or self.tokenizer.normalizer is not None:
+            raise ValueError("a byte-level tokenizer without a normaliser is needed")
+        self.marks = {m.encode(): self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",.;:!?"}
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [any(s in t for s in WIDE_SPACES) if not t.isascii() else False for t in texts]
-        if any(whole):
+        every = b"\xff".join(texts)
+        wide = [s for s in WIDE_SPACES if s in every]
+        if wide:
+            whole = [any(s in t for s in wide) for t in texts]
             parts = [self._whole(t) if w else self._stretches([t]) for t, w in zip(texts, whole)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         return self._stretches(texts)
 
+    def _stretch(self, stretch: bytes) -> list[int]:
+        """The ids of one stretch. Letters, with a space before and a mark behind at most, go to the library's model at once.
+
+        The pattern would give the model just these pieces: a space and letters, and the mark.
+        """
+        space = stretch[:1] == b" "
+        letters = stretch[1:] if space else stretch
+        tail = self.marks.get(letters[-1:])
+        if tail:
+            letters = letters[:-1]
+        if letters.isalpha():
+            name = letters.decode()
+        elif LATIN.fullmatch(letters.decode()):
+            name = letters.decode("latin-1").translate(BYTE_NAMES)
+        else:
+            return self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids
+        if space:
+            name = "\u0120" + name
+        found = self.known.get(name)
+        if found is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            found = self.known[name] = [t.id for t in self.model.tokenize(name)]
+        return found + tail if tail else found
+
     def _whole(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.int64)
         return ids, np.array([len(ids)])
@@ -168,9 +219,9 @@ class PieceEncoder:
         first[begins[sizes > 0]] = True
         offsets = np.append(np.flatnonzero(first), len(data))
         words, names = encode_words(data, offsets)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in names.to_pylist()], add_special_tokens=False)]
+        coded = list(map(self._stretch, names.to_pylist()))
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for c in coded for i in c), np.int64, lengths.sum())
+        flat = np.fromiter(chain.from_iterable(coded), np.int64, lengths.sum())
         starts = np.cumsum(lengths) - lengths
         each = lengths[words]
         ids = flat[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[words], each)]
@@ -196,7 +247,7 @@ def write_blocks(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(shared.value)
         part, block, offset = TaskContext.get().partitionId(), 0, 0
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXT_BYTES):
             ids, counts = encoder.encode(text_bytes(batch.column("text")))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
