@@ -29,15 +29,18 @@ from harborlight.session import written
 
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a count vector.
-GROUPS = 64
-#: Frequent shingles that sort last; they only set the order in which shingles are tried.
-FREQUENT = 1 << 16
+GROUPS = 256
+#: Frequent shingles that sort last, at most, and how often a shingle must occur to be one of them. They only
+#: set the order in which shingles are tried.
+FREQUENT, OFTEN = 1 << 20, 3
 #: Text bytes for each bucket of shingles or of pairs.
 BUCKET_BYTES = 12 << 20
 #: Rounds of comparing with one pivot for each block.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 5
 #: Points in one R-tree at most, members compared with a pivot in one task, and points of a leaf.
 CELL, CHUNK, LEAF = 256, 128, 8
+#: Blocks of at most so many members have one round of pivots only.
+SMALL = 24
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -68,53 +71,63 @@ def overlap_needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def signatures(size: int):
-    """Documents to (doc_id, n, sig, frequent): set size, a 128-bit name of the set, and once per slice its repeated shingles."""
+def signatures(size: int, buckets: int):
+    """Documents to rows (bucket, doc_id, n, sig, counted).
+
+    A row has a document's set size and a 128-bit name of its set, or for one bucket all shingles of the slice's
+    different sets, in 32 bits each: sorted, as differences, byte by byte, compressed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
             sets = shingle_sets(text_bytes(batch.column("text")), size)
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            every = np.sort(np.concatenate([np.empty(0, np.uint64), *dict(zip(sigs, sets)).values()]))
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
-            counts = np.diff(np.append(first, len(every)))
-            often = counts > 1
-            often = np.rec.fromarrays([every[first][often].view(np.int64), counts[often]], names="shingle,n")
+            every = np.sort(short(np.concatenate([np.empty(0, np.uint64), *dict(zip(sigs, sets)).values()])))
+            cuts = np.searchsorted(every, (np.arange(buckets + 1) << 32) // buckets).tolist()
+            blobs = [
+                press.compress(np.diff(every[a:b], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+                for a, b in zip(cuts, cuts[1:])
+            ]
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(sigs, pa.binary()), pa.array([often.tobytes()] + [None] * (len(sets) - 1), pa.binary()),
+                    pa.array([*(np.arange(n) % buckets), *range(buckets)], pa.int32()),
+                    pa.array([*batch.column("doc_id").to_pylist(), *[None] * buckets], pa.int64()),
+                    pa.array([*map(len, sets), *[None] * buckets], pa.int64()),
+                    pa.array([*sigs, *[None] * buckets], pa.binary()), pa.array([*[None] * n, *blobs], pa.binary()),
                 ],
-                names=["doc_id", "n", "sig", "frequent"],
+                names=["bucket", "doc_id", "n", "sig", "counted"],
             )
 
     return run
 
 
-def unpack_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("frequent").to_pylist():
-            both = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["shingle", "n"])
+def short(shingles: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of hashes: enough to count by."""
+    return (shingles >> np.uint64(32)).astype(np.uint32)
 
 
-def frequent_shingles(sets: DataFrame) -> np.ndarray:
-    """The most frequent shingles, rarest first.
+def count_shingles(bucket: pa.Table) -> pa.Table:
+    """All rows of a bucket to the documents' rows as they are, and rows (shingle, times) of those that occur OFTEN."""
+    unpress = zstandard.ZstdDecompressor()
+    parts = []
+    for blob in bucket.column("counted").drop_null().to_pylist():
+        steps = np.frombuffer(unpress.decompress(blob), np.uint8).reshape(4, -1).T
+        parts.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint32).reshape(-1), dtype=np.uint32))
+    every = np.sort(np.concatenate([np.empty(0, np.uint32), *parts]))
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
+    times = np.diff(np.append(first, len(every)))
+    often = times >= OFTEN
+    docs = bucket.filter(bucket.column("sig").is_valid()).select(["doc_id", "n", "sig"])
+    found = pa.table({"shingle": pa.array(every[first][often].astype(np.int64)), "times": pa.array(times[often])})
+    return pa.concat_tables([docs, found], promote_options="default").select(["doc_id", "n", "sig", "shingle", "times"])
 
-    Counted wherever a slice has a shingle twice, so each one with more occurrences than slices
-    is seen. The list only orders the shingles; results don't depend on it.
-    """
-    rows = (
-        sets.where("frequent is not null")
-        .select("frequent")
-        .mapInArrow(unpack_frequent, "shingle long, n long")
-        .groupBy("shingle")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "shingle")
-        .limit(FREQUENT)
-        .toArrow()
-    )
-    return rows.column("shingle").to_numpy()[::-1].view(np.uint64) if rows.num_rows else np.empty(0, np.uint64)
+
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """The most frequent shingles in short form, rarest first. Counted over all documents; results don't depend on the list."""
+    rows = sets.where("shingle is not null").select("shingle", "times").orderBy(F.desc("times"), "shingle").limit(FREQUENT).toArrow()
+    return rows.column("shingle").to_numpy()[::-1].astype(np.uint32) if rows.num_rows else np.empty(0, np.uint32)
 
 
 def prefix_keys(size: int, percent: int, buckets: int, frequent):
@@ -139,11 +152,11 @@ def prefix_keys(size: int, percent: int, buckets: int, frequent):
             for doc, s in different.values():
                 take = len(s) - -(-percent * len(s) // 100) + 1
                 if len(known):
-                    slot = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = known[slot] == s
+                    slot = np.minimum(np.searchsorted(known, short(s)), len(known) - 1)
+                    often = known[slot] == short(s)
                     rare = s[~often][:take]
                     if len(rare) < take:
-                        rare = np.concatenate((rare, ranked[np.sort(order[slot[often]])[: take - len(rare)]]))
+                        rare = np.concatenate((rare, s[often][np.argsort(order[slot[often]], kind="stable")[: take - len(rare)]]))
                 else:
                     rare = s[:take]
                 keys.append(rare)
@@ -203,55 +216,75 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verify_pairs(size: int, percent: int):
-    """Rows (bucket, pivot, doc_id, is_pivot, text) to linked pairs (a, b)."""
+    """Rows (bucket, team, doc_id, partners, text) to linked pairs (a, b): each document is compared with its partners of its team."""
 
     def run(rows: pa.Table) -> pa.Table:
-        docs, texts = rows.column("doc_id").to_pylist(), rows.column("text").combine_chunks()
-        sets = shingle_sets(text_bytes(texts), size)
-        counts = points(sets)
-        sizes = np.array([len(s) for s in sets])
-        heads: dict[int, list[int]] = {}
-        tails: dict[int, list[int]] = {}
-        for i, (p, head) in enumerate(zip(rows.column("pivot").to_pylist(), rows.column("is_pivot").to_pylist())):
-            (heads if head else tails).setdefault(p, []).append(i)
+        team, docs = rows.column("team").to_pylist(), rows.column("doc_id").to_pylist()
+        sets = shingle_sets(text_bytes(rows.column("text").combine_chunks()), size)
+        counts, sizes = points(sets), np.array([len(s) for s in sets], np.int64)
+        at: dict[tuple[int, int], list[int]] = {}
+        for i, name in enumerate(zip(team, docs)):
+            at.setdefault(name, []).append(i)
         linked = set()
-        for p, own in heads.items():
-            for i in {sets[i].tobytes(): i for i in own}.values():
-                other = np.array(tails.get(p, []), np.int64)
-                needed = overlap_needed(sizes[other], sizes[i], percent)
-                other = other[np.minimum(counts[other], counts[i]).sum(axis=1) >= needed]
-                for j in other.tolist():
-                    s = sets[j]
-                    slot = np.minimum(np.searchsorted(sets[i], s), len(sets[i]) - 1)
-                    if np.count_nonzero(sets[i][slot] == s) >= overlap_needed(len(s), sizes[i], percent):
-                        linked.add((p, docs[j]))
-        linked = sorted(linked)
-        return pa.table({"a": pa.array([x[0] for x in linked], pa.int64()), "b": pa.array([x[1] for x in linked], pa.int64())})
+        for i, partners in enumerate(rows.column("partners").to_pylist()):
+            other = np.array([j for x in partners for j in at.get((team[i], x), [])], np.int64)
+            needed = overlap_needed(sizes[other], sizes[i], percent)
+            for j in other[np.minimum(counts[other], counts[i]).sum(axis=1) >= needed].tolist():
+                slot = np.minimum(np.searchsorted(sets[i], sets[j]), len(sets[i]) - 1)
+                if np.count_nonzero(sets[i][slot] == sets[j]) >= overlap_needed(sizes[j], sizes[i], percent):
+                    linked.add((docs[i], docs[j]))
+        found = sorted(linked)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (p, x) whose sets link, as (a, b).
-
-    Texts of a pivot's partners come to the pivot's text; a pivot with many partners has several groups.
-    """
-    pairs = written(pairs, "pairs")
-    groups = pairs.groupBy(F.col("p").alias("q")).agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    spread = pairs.join(groups, F.col("p") == F.col("q")).select("p", "x", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
-    roles = spread.select("p", "part", F.col("x").alias("role_id"), F.lit(False).alias("is_pivot")).unionAll(
-        groups.select(F.col("q").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        .select("p", "part", F.col("p").alias("role_id"), F.lit(True).alias("is_pivot"))
+    """The pairs (p, x) of rows (team, p, x) whose sets link, as (a, b). The texts of a team meet in one place, each once."""
+    none = F.array().cast("array<long>")
+    heads = pairs.groupBy("team", "p").agg(F.collect_list("x").alias("partners"))
+    roles = heads.select("team", F.col("p").alias("role_id"), "partners").unionAll(
+        pairs.select("team", F.col("x").alias("role_id"), none.alias("partners")).distinct()
     )
+    roles = roles.groupBy("team", "role_id").agg(F.flatten(F.collect_list("partners")).alias("partners"))
     buckets = parts_for(2 * text_total(texts), BUCKET_BYTES, least=48)
     return (
         roles.join(texts, F.col("role_id") == F.col("doc_id"))
-        .select(F.pmod(F.xxhash64("p", "part"), F.lit(buckets)).alias("bucket"), F.col("p").alias("pivot"), "doc_id", "is_pivot", "text")
+        .select(F.pmod(F.xxhash64("team"), F.lit(buckets)).alias("bucket"), "team", "doc_id", "partners", "text")
         .groupBy("bucket")
         .applyInArrow(verify_pairs(size, percent), "a long, b long")
     )
 
 
+def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs (p, x), in either order, that haven't been compared."""
+    low, high = F.least("p", "x"), F.greatest("p", "x")
+    return pairs.join(tested, (low == F.col("low")) & (high == F.col("high")), "left_anti")
+
+
+def pivot_pairs(open_blocks: DataFrame, tested: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Rows (team, p, x): in each block one member, another each turn, with those that aren't in its component yet."""
+    if turn:
+        large = open_blocks.groupBy(F.col("key").alias("large_key")).count().where(F.col("count") > SMALL)
+        open_blocks = open_blocks.join(large, F.col("key") == F.col("large_key"), "left_semi")
+    order = F.xxhash64("rep", F.lit(turn))
+    pivots = open_blocks.groupBy(F.col("key").alias("pivot_key")).agg(
+        F.min(F.struct(order.alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("v")
+    )
+    pairs = (
+        open_blocks.join(pivots, F.col("key") == F.col("pivot_key"))
+        .select("rep", "n", "comp", "v.p", "v.pn", "v.pc")
+        .where(F.expr(f"comp <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)"))
+        .select("p", F.col("rep").alias("x"))
+        .distinct()
+    )
+    pairs = untested(pairs, tested)
+    groups = pairs.groupBy(F.col("p").alias("q")).agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    return pairs.join(groups, F.col("p") == F.col("q")).select(
+        F.xxhash64("p", F.pmod(F.xxhash64("x"), F.col("parts"))).alias("team"), "p", "x"
+    )
+
+
 class RTree:
     """Points packed into boxes level by level (sort-tile-recursive order); boxes keep upper corners and set sizes."""
 
@@ -290,16 +323,14 @@ class RTree:
 
 
 def block_pairs(percent: int):
-    """Rows (bucket, key, cell, side, rep, comp, n, point) to pairs (p, x) that may link and aren't connected yet."""
+    """Rows (bucket, cell, side, rep, comp, n, point) to rows (team, p, x): pairs of a cell that may link and aren't connected yet."""
 
     def run(rows: pa.Table) -> pa.Table:
-        cell = np.array(rows.column("cell").to_pylist(), dtype=object)
-        rep, comp, n, side = (rows.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+        cell, rep, comp, n, side = (rows.column(c).to_numpy() for c in ("cell", "rep", "comp", "n", "side"))
         counts = np.array([np.frombuffer(x, np.int32) for x in rows.column("point").to_pylist()]).reshape(-1, GROUPS)
-        found: set[tuple[int, int]] = set()
-        _, number = np.unique(cell.astype(str), return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else []:
+        found: dict[tuple[int, int], int] = {}
+        order = np.argsort(cell, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
             left, right = own[side[own] < 2], own[side[own] != 1]
             if not len(left) or not len(right):
                 continue
@@ -307,9 +338,14 @@ def block_pairs(percent: int):
             for i in left.tolist():
                 near = right[tree.near(counts[i], n[i], counts[right], n[right], percent)]
                 near = near[(comp[near] != comp[i]) & (rep[near] != rep[i])]
-                found.update((min(rep[i], x), max(rep[i], x)) for x in rep[near].tolist())
-        found_list = sorted(found)
-        return pa.table({"p": pa.array([x[0] for x in found_list], pa.int64()), "x": pa.array([x[1] for x in found_list], pa.int64())})
+                for x in rep[near].tolist():
+                    found.setdefault((min(rep[i], x), max(rep[i], x)), cell[i])
+        return pa.table(
+            {
+                "team": pa.array(list(found.values()), pa.int64()), "p": pa.array([x[0] for x in found], pa.int64()),
+                "x": pa.array([x[1] for x in found], pa.int64()),
+            }
+        )
 
     return run
 
@@ -334,25 +370,36 @@ def unresolved(members: DataFrame, component: DataFrame) -> DataFrame:
     return now.join(several.select("open_key"), F.col("key") == F.col("open_key"), "left_semi")
 
 
-def tree_pairs(open_blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of not yet connected members that pass the R-trees' bounds. A large block is cut into cells of two parts each."""
+def tree_pairs(open_blocks: DataFrame, tested: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows (team, p, x): not yet connected members that pass the R-trees' bounds. A large block is cut into cells of two parts each."""
     parts = open_blocks.groupBy(F.col("key").alias("block")).agg(F.ceil(F.count("*") / (CELL // 2)).alias("parts"))
     rows = open_blocks.join(parts, F.col("key") == F.col("block")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     # Side 0 meets all in its cell; sides 1 and 2 meet each other only.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     rows = rows.withColumn("other", other).select(
-        "key", "rep", "comp", "n",
-        F.concat_ws("_", "key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
+        "rep", "comp", "n", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     found = texts.mapInArrow(point_rows(size), "point_id long, point binary")
-    return (
+    pairs = (
         rows.join(found, F.col("rep") == F.col("point_id"))
-        .select(F.pmod(F.xxhash64("cell"), F.lit(256)).alias("bucket"), "key", "cell", "side", "rep", "comp", "n", "point")
+        .select(F.pmod(F.xxhash64("cell"), F.lit(256)).alias("bucket"), "cell", "side", "rep", "comp", "n", "point")
         .groupBy("bucket")
-        .applyInArrow(block_pairs(percent), "p long, x long")
-        .distinct()
+        .applyInArrow(block_pairs(percent), "team long, p long, x long")
+        .groupBy("p", "x")
+        .agg(F.min("team").alias("team"))
+    )
+    return untested(pairs, tested).select("team", "p", "x")
+
+
+def different_blocks(members: DataFrame) -> DataFrame:
+    """Of blocks with the same members, as the rare shingles of near copies give them, one stays."""
+    names = members.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("h"),
+        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g"),
     )
+    chosen = names.where("size > 1").groupBy("size", "least", "h", "g").agg(F.min("key").alias("kept"))
+    return members.join(chosen.select("kept"), F.col("key") == F.col("kept"), "left_semi")
 
 
 def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -365,8 +412,15 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(rows.mapInArrow(signatures(size), "doc_id long, n long, sig binary, frequent binary"), "sets")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(sets))
+    buckets = parts_for(text_total(documents), BUCKET_BYTES, least=48)
+    counted = written(
+        rows.mapInArrow(signatures(size, buckets), "bucket int, doc_id long, n long, sig binary, counted binary")
+        .groupBy("bucket")
+        .applyInArrow(count_shingles, "doc_id long, n long, sig binary, shingle long, times long"),
+        "sets",
+    )
+    frequent = spark.sparkContext.broadcast(frequent_shingles(counted))
+    sets = counted.where("sig is not null").select("doc_id", "n", "sig")
     # Empty sets and rows without an id stand for themselves.
     alone = F.expr("n = 0 or doc_id is null")
     classes = sets.where(~alone).groupBy(F.col("sig").alias("class")).agg(F.min("doc_id").alias("rep"))
@@ -376,7 +430,6 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         ),
         "ids",
     )
-    buckets = parts_for(text_total(documents), BUCKET_BYTES, least=48)
     shared = (
         rows.mapInArrow(prefix_keys(size, percent, buckets, frequent), "bucket int, keys binary, members binary")
         .groupBy("bucket")
@@ -384,6 +437,7 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     )
     found = ids.select(F.col("doc_id").alias("own_id"), "n", "rep").distinct()
     members = written(shared.join(found, F.col("doc_id") == F.col("own_id")).select("key", "rep", "n").distinct(), "members")
+    members = different_blocks(members)
     # A doc_id with several texts has several representatives.
     several = found.where("n > 0").groupBy("own_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     links = found.join(several.select("own_id"), "own_id").where("n > 0").select(F.col("own_id").alias("a"), F.col("rep").alias("b"))
@@ -393,24 +447,19 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         rows.join(open_blocks.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"), "texts"
     )
     component = empty
+    tested = spark.createDataFrame([], "low long, high long")
     for turn in range(PIVOT_ROUNDS + 1):
         open_blocks = written(unresolved(members, component), "blocks")
         if open_blocks.isEmpty():
             break
-        if turn == PIVOT_ROUNDS:
-            pairs = tree_pairs(open_blocks, texts, size, percent)
+        if turn < PIVOT_ROUNDS:
+            pairs = pivot_pairs(open_blocks, tested, turn, percent)
         else:
-            order = F.xxhash64("rep", F.lit(turn))
-            pivots = open_blocks.groupBy(F.col("key").alias("pivot_key")).agg(
-                F.min(F.struct(order.alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("v")
-            )
-            pairs = (
-                open_blocks.join(pivots, F.col("key") == F.col("pivot_key"))
-                .select("rep", "n", "comp", "v.p", "v.pn", "v.pc")
-                .where(F.expr(f"comp <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)"))
-                .select("p", F.col("rep").alias("x"))
-                .distinct()
-            )
+            pairs = tree_pairs(open_blocks, tested, texts, size, percent)
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionAll(pairs.select(F.least("p", "x"), F.greatest("p", "x")))
         links = written(links.unionAll(verified(pairs, texts, size, percent)), "links")
         component = connected(links)
     if component is empty:
