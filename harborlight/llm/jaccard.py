@@ -32,9 +32,11 @@ SHINGLE, PERCENT = 5, 80
 GROUPS = 256
 #: Frequent shingles that sort last, at most, and how often a shingle must occur to be one of them. They only
 #: set the order in which shingles are tried.
-FREQUENT, OFTEN = 1 << 20, 3
+FREQUENT, OFTEN = 1 << 19, 3
 #: Text bytes for each bucket of shingles or of pairs.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
+#: Text bytes whose shingles are worked on together.
+TOGETHER = 4 << 20
 #: Rounds of comparing with one pivot for each block.
 PIVOT_ROUNDS = 5
 #: Points in one R-tree at most, members compared with a pivot in one task, and points of a leaf.
@@ -80,7 +82,7 @@ def signatures(size: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
+        for batch in slices(batches, size=TOGETHER):
             sets = shingle_sets(text_bytes(batch.column("text")), size)
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             every = np.sort(short(np.concatenate([np.empty(0, np.uint64), *dict(zip(sigs, sets)).values()])))
@@ -142,7 +144,7 @@ def prefix_keys(size: int, percent: int, buckets: int, frequent):
         ranked = frequent.value
         order = np.argsort(ranked)
         known = ranked[order]
-        for batch in slices(batches):
+        for batch in slices(batches, size=TOGETHER):
             different = {}
             for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(text_bytes(batch.column("text")), size)):
                 if doc is not None and len(s):
@@ -352,7 +354,7 @@ def block_pairs(percent: int):
 
 def point_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=TOGETHER):
             counts = points(shingle_sets(text_bytes(batch.column("text")), size)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x.tobytes() for x in counts], pa.binary())], names=["point_id", "point"]
@@ -437,21 +439,20 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     )
     found = ids.select(F.col("doc_id").alias("own_id"), "n", "rep").distinct()
     members = written(shared.join(found, F.col("doc_id") == F.col("own_id")).select("key", "rep", "n").distinct(), "members")
-    members = different_blocks(members)
+    members = written(different_blocks(members), "blocks")
     # A doc_id with several texts has several representatives.
     several = found.where("n > 0").groupBy("own_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     links = found.join(several.select("own_id"), "own_id").where("n > 0").select(F.col("own_id").alias("a"), F.col("rep").alias("b"))
     empty = spark.createDataFrame([], "node long, component long")
-    open_blocks = unresolved(members, empty)
-    texts = written(
-        rows.join(open_blocks.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"), "texts"
-    )
+    texts = written(rows.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"), "texts")
     component = empty
     tested = spark.createDataFrame([], "low long, high long")
     for turn in range(PIVOT_ROUNDS + 1):
         open_blocks = written(unresolved(members, component), "blocks")
         if open_blocks.isEmpty():
             break
+        # A block with one component stays so.
+        members = open_blocks.select("key", "rep", "n")
         if turn < PIVOT_ROUNDS:
             pairs = pivot_pairs(open_blocks, tested, turn, percent)
         else:

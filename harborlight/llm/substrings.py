@@ -25,7 +25,7 @@ WINDOW, MINIMISER = 35, 4
 #: Windows of one super-k-mer at most; a longer run goes on in the next one.
 LONGEST = 64
 #: Text bytes for each bucket.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 
 
 def super_kmers(words: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -45,6 +45,8 @@ BYTE_NAMES = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PRINTAB
 #: White space beyond ASCII: a text that holds any is given to the tokenizer whole.
 WIDE_SPACES = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
+WIDE_BEGINNINGS = sorted({s[:2] for s in WIDE_SPACES if s[0] != 0xC2}) + [s for s in WIDE_SPACES if s[0] == 0xC2]
+
 
 def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all groups one after the other, and the number of words of each.
@@ -171,7 +173,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         every = b"\xff".join(texts)
-        wide = [s for s in WIDE_SPACES if s in every]
+        wide = [s for s in WIDE_SPACES if s in every] if any(s in every for s in WIDE_BEGINNINGS) else []
         if wide:
             whole = [any(s in t for s in wide) for t in texts]
             parts = [self._whole(t) if w else self._stretches([t]) for t, w in zip(texts, whole)]
