@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of any class, pickled by value; see held()."""
+    return spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(value)})
+
+
+def held(shared: Broadcast) -> object:
+    """The object behind share(). A worker process unpickles it once and keeps it from task to task."""
+    place = shared.value
+    if "object" not in place:
+        place["object"] = pickle.loads(place["pickled"])
+    return place["object"]
+
+
 def parts_for(total: int | None, each: int, least: int = 12) -> int:
     """How many parts of about `each` units a total needs."""
     return max(least, -(-int(total or 0) // each))

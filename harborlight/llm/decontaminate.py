@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborlight.llm.common import held, share
 from harborlight.llm.words import NOT_ALNUM, Words, mix, slices, text_bytes
 
 #: Words of a pattern, and words of the blocks that the shift table knows.
@@ -170,10 +171,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
 
 def _search(found: DataFrame, index: Index, last: bool) -> DataFrame:
-    shared = found.sparkSession.sparkContext.broadcast(index)
+    shared = share(found.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = held(shared)
         for batch in slices(batches):
             words = Words(text_bytes(batch.column("text")), NOT_ALNUM, lower=True)
             edges, text, item = index.search(words, words.dictionary())

@@ -15,6 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harborlight.llm.common import held, share
 from harborlight.llm.words import encode_words, slices, text_bytes
 
 SPACE = "▁".encode()
@@ -192,6 +193,18 @@ class Encoder:
         return ids, np.array([len(ids)]), source[stops - width], source[stops]
 
 
+class LazyEncoder:
+    """A model that a worker process loads when it first needs it."""
+
+    def __init__(self, model: bytes):
+        self.model, self.encoder = model, None
+
+    def ready(self) -> Encoder:
+        if self.encoder is None:
+            self.encoder = Encoder(self.model)
+        return self.encoder
+
+
 SCHEMA = "n_tokens long, ids binary, starts binary, stops binary, decoded string"
 
 
@@ -204,11 +217,11 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
     pass has no shuffle; a repeated row is encoded again; an empty table gives no rows.
     """
     with open(model, "rb") as file:
-        shared = documents.sparkSession.sparkContext.broadcast(file.read())
+        shared = share(documents.sparkSession, LazyEncoder(file.read()))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = held(shared).ready()
         for batch in slices(batches, size=TOGETHER):
             texts = text_bytes(batch.column("text"))
             ids, counts, starts, stops = encoder.encode(texts)

@@ -7,8 +7,10 @@ the block is stored, so that groups are coded and decoded side by side.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from codecs import charmap_decode
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from harborlight.llm.common import held, share
 from harborlight.llm.words import SPACES, encode_words, slices, text_bytes
 from harborlight.session import written
 
@@ -31,21 +34,24 @@ GROUP = 256
 NEEDED = np.unique(BITS)[np.searchsorted(1 << np.unique(BITS), np.arange(ESCAPE + 1), side="right")].astype(np.int8)
 #: Ids of a block, about; a document is never cut.
 BLOCK = 1 << 16
+#: Blocks decoded together.
+BLOCKS_TOGETHER = 16
 #: Groups coded side by side, and text bytes encoded together.
-TOGETHER, TEXT_BYTES = 2048, 6 << 20
-#: Words whose ids a task remembers.
-KNOWN = 200_000
+TOGETHER, TEXT_BYTES = 8192, 6 << 20
+#: Stretches whose ids a worker process remembers.
+KNOWN = 300_000
 
-#: Letters whose class no Unicode version has changed: ASCII and Latin-1.
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A space, letters whose class no Unicode version has changed (ASCII and Latin-1, in UTF-8), and a mark or none.
+PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[,.;:!?]?")
 #: The characters under which byte-level models know the bytes: printable ones stand for themselves, the others follow at 256.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_NAMES = {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = iter(range(256, 512))
+BYTE_NAMES = "".join(chr(b if b in _PRINTABLE else next(_OTHERS)) for b in range(256))
 
 #: White space beyond ASCII: a text that holds any is given to the tokenizer whole.
 WIDE_SPACES = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
-WIDE_BEGINNINGS = sorted({s[:2] for s in WIDE_SPACES if s[0] != 0xC2}) + [s for s in WIDE_SPACES if s[0] == 0xC2]
+WIDE_FIRST = sorted({s[:1] for s in WIDE_SPACES})
 
 
 def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +61,7 @@ def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     the others must be 0.
     """
     need = NEEDED[groups]
-    best = np.full(groups.shape, len(COUNTS) - 1, np.int8)
+    best = np.zeros(groups.shape, np.int8)  # selectors that don't fit; all after the first that fits do
     window, width = need.copy(), 1
     for selector in range(len(COUNTS) - 1, -1, -1):
         count = int(COUNTS[selector])
@@ -63,7 +69,7 @@ def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             step = min(width, count - width)
             window[:, : GROUP - step] = np.maximum(window[:, : GROUP - step], window[:, step:])
             width += step
-        best[window <= BITS[selector]] = selector
+        best += window > BITS[selector]
     padded = np.concatenate((groups, np.zeros((len(groups), int(COUNTS[0])), np.uint16)), axis=1)
     rows, at = np.flatnonzero(sizes > 0), np.zeros(len(groups), np.int64)
     out, owner = [], []
@@ -86,16 +92,15 @@ def pack(groups: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(groups))
 
 
-def unpack(words: np.ndarray, offsets: np.ndarray, total: int, escapes: np.ndarray) -> np.ndarray:
-    """The ids of a block of `total` ids; `offsets` says at which word each group begins."""
+def unpack(words: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, escapes: np.ndarray) -> np.ndarray:
+    """The ids of some groups; `offsets` says at which word each group begins, `sizes` how many ids it has."""
+    total = int(sizes.sum())
     if not total:
         return np.empty(0, np.uint32)
     selectors = (words >> np.uint64(60)).astype(np.int64)
     counts = COUNTS[selectors]
     ends = np.append(offsets[1:], len(words)) - 1
     sums = np.concatenate(([0], np.cumsum(counts)))
-    sizes = np.full(len(offsets), GROUP)
-    sizes[-1] = total - GROUP * (len(offsets) - 1)
     counts[ends] = sizes - (sums[ends] - sums[offsets])
     begins = np.cumsum(counts) - counts
     out = np.zeros(total, np.uint64)
@@ -115,6 +120,20 @@ def unpack(words: np.ndarray, offsets: np.ndarray, total: int, escapes: np.ndarr
     return out
 
 
+def unpack_rows(rows: list[dict]) -> np.ndarray:
+    """The ids of some blocks, one after the other."""
+    offsets, sizes, before = [], [], 0
+    for row in rows:
+        own = np.frombuffer(row["offsets"], "<u4").astype(np.int64)
+        held = np.full(len(own), GROUP)
+        held[-1:] = row["n_ids"] - GROUP * (len(own) - 1)
+        offsets.append(own + before)
+        sizes.append(held)
+        before += len(row["words"]) // 8
+    words, escapes = (np.frombuffer(b"".join(row[c] for row in rows), kind) for c, kind in (("words", "<u8"), ("escapes", "<u4")))
+    return unpack(words, np.concatenate(offsets), np.concatenate(sizes), escapes)
+
+
 def block_rows(ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, dict]]:
     """Cut documents into blocks and code them: first document, end, and the block's fields."""
     cuts, total = [0], 0
@@ -161,49 +180,73 @@ class PieceEncoder:
     stretches of white space and what follows can be encoded alone.
     """
 
-    def __init__(self, path_json: str):
+    def __init__(self, vocabulary: str):
+        self.vocabulary, self.tokenizer = vocabulary, None
+
+    def ready(self) -> PieceEncoder:
+        """Load the tokenizer where it isn't yet; a worker process does so once."""
+        if self.tokenizer is not None:
+            return self
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_str(self.vocabulary)
+        self.known, self.numbers = {}, list(range(self.tokenizer.get_vocab_size()))
+        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError("a byte-level tokenizer without a normaliser is needed")
+        direct = [t.id for t in self.tokenizer.model.tokenize(BYTE_NAMES[32] + "a")]
+        if direct != self.tokenizer.encode(" a", add_special_tokens=False).ids:
+            raise ValueError("the model's names of bytes are others")
+        self.marks = {ord(m): self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",.;:!?"}
+        return self
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_str(self.vocabulary)
+        self.known, self.numbers = {}, list(range(self.tokenizer.get_vocab_size()))
+        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError("a byte-level tokenizer without a normaliser is needed")
+        self.bytes = np.zeros(len(self.numbers), np.int64)
+        for name, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(name)  # a character stands for a byte
+        return self
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(path_json)
-        self.model, self.known = self.tokenizer.model, {}
-        plain = self.tokenizer.encode("a b", add_special_tokens=False).ids
-        direct = [t.id for name in ("a", "\u0120b") for t in self.model.tokenize(name)]
+        self.tokenizer = Tokenizer.from_str(self.vocabulary)
+        self.known, self.numbers = {}, list(range(self.tokenizer.get_vocab_size()))
+        plain = self.tokenizer.encode("\na b", add_special_tokens=False).ids
+        self.feed = [t.id for t in self.model.tokenize(BYTE_NAMES[10])]
+        direct = self.feed + [t.id for name in ("a", BYTE_NAMES[32] + "b") for t in self.model.tokenize(name)]
         if plain != direct or self.tokenizer.normalizer is not None:
             raise ValueError("a byte-level tokenizer without a normaliser is needed")
         self.marks = {m.encode(): self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",.;:!?"}
+        return self
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         every = b"\xff".join(texts)
-        wide = [s for s in WIDE_SPACES if s in every] if any(s in every for s in WIDE_BEGINNINGS) else []
+        wide = [s for s in WIDE_SPACES if s in every] if any(s in every for s in WIDE_FIRST) else []
         if wide:
             whole = [any(s in t for s in wide) for t in texts]
             parts = [self._whole(t) if w else self._stretches([t]) for t, w in zip(texts, whole)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         return self._stretches(texts)
 
-    def _stretch(self, stretch: bytes) -> list[int]:
-        """The ids of one stretch. Letters, with a space before and a mark behind at most, go to the library's model at once.
+    def _different(self, stretches: list[bytes]) -> list[list[int]]:
+        """The ids of different stretches.
 
-        The pattern would give the model just these pieces: a space and letters, and the mark.
+        What isn't remembered and is a space and letters, with a mark behind at most, goes to the library's model at
+        once, as the pattern would give it: the letters with their space, and the mark.
         """
-        space = stretch[:1] == b" "
-        letters = stretch[1:] if space else stretch
-        tail = self.marks.get(letters[-1:])
-        if tail:
-            letters = letters[:-1]
-        if letters.isalpha():
-            name = letters.decode()
-        elif LATIN.fullmatch(letters.decode()):
-            name = letters.decode("latin-1").translate(BYTE_NAMES)
-        else:
-            return self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids
-        if space:
-            name = "\u0120" + name
-        found = self.known.get(name)
-        if found is None:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            found = self.known[name] = [t.id for t in self.model.tokenize(name)]
-        return found + tail if tail else found
+        tokens, numbers, plain = self.tokenizer.model.tokenize, self.numbers, PLAIN.fullmatch
+        coded = list(map(self.known.get, stretches))
+        missing = [i for i, c in enumerate(coded) if c is None]
+        for i in missing:
+            s = stretches[i]
+            if not plain(s):
+                coded[i] = self.tokenizer.encode(s.decode(), add_special_tokens=False).ids
+            elif s[-1] in self.marks:
+                name = charmap_decode(s, "strict", BYTE_NAMES)[0]
+                coded[i] = [numbers[t.id] for t in tokens(name[:-1])] + self.marks[s[-1]]
+            else:
+                coded[i] = [numbers[t.id] for t in tokens(charmap_decode(s, "strict", BYTE_NAMES)[0])]
+        for i in missing[: KNOWN - len(self.known)]:
+            self.known[stretches[i]] = coded[i]
+        return coded
 
     def _whole(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.int64)
@@ -221,9 +264,11 @@ class PieceEncoder:
         first[begins[sizes > 0]] = True
         offsets = np.append(np.flatnonzero(first), len(data))
         words, names = encode_words(data, offsets)
-        coded = list(map(self._stretch, names.to_pylist()))
+        gc.disable()  # so many lists would set it off again and again; none of them is in a cycle
+        coded = self._different(names.to_pylist())
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         flat = np.fromiter(chain.from_iterable(coded), np.int64, lengths.sum())
+        gc.enable()
         starts = np.cumsum(lengths) - lengths
         each = lengths[words]
         ids = flat[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[words], each)]
@@ -244,10 +289,10 @@ def write_blocks(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame
     `offset` counts the ids before the block in its part.
     """
     with open(tokenizer) as file:
-        shared = documents.sparkSession.sparkContext.broadcast(file.read())
+        shared = share(documents.sparkSession, PieceEncoder(file.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        encoder = held(shared).ready()
         part, block, offset = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, size=TEXT_BYTES):
             ids, counts = encoder.encode(text_bytes(batch.column("text")))
@@ -283,15 +328,17 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                offsets = np.frombuffer(row["offsets"], "<u4").astype(np.int64)
-                ids = unpack(np.frombuffer(row["words"], "<u8"), offsets, row["n_ids"], np.frombuffer(row["escapes"], "<u4"))
-                ends = np.cumsum(counts)
+            for a in range(0, batch.num_rows, BLOCKS_TOGETHER):
+                rows = batch.slice(a, BLOCKS_TOGETHER).to_pylist()
+                ids = unpack_rows(rows).astype("<u4").tobytes()
+                counts = [np.frombuffer(row["counts"], "<u4").astype(np.int64) for row in rows]
+                starts = [row["offset"] + np.cumsum(c) - c for row, c in zip(rows, counts)]
+                counts = np.concatenate(counts)
+                ends = (4 * np.cumsum(counts)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"], pa.int64()), pa.array(row["offset"] + ends - counts), pa.array(counts),
-                        pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - counts, ends)], pa.binary()),
+                        pa.array([d for row in rows for d in row["doc_ids"]], pa.int64()), pa.array(np.concatenate(starts)),
+                        pa.array(counts), pa.array([ids[x:y] for x, y in zip([0, *ends], ends)], pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import crc_remainder
+from harborlight.llm.common import crc_remainder, held, share
 from harborlight.llm.words import NOT_ALNUM, Words, hashes, slices, text_bytes
 
 #: Labelled documents of each class at most that the class models are fitted on, chosen by a hash of the id.
@@ -220,11 +220,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         [found.column(c).to_numpy().astype(float) for c in ("ordinary", "toxic")],
         shared_model({r.pair: r.n for r in pairs}),
     )
-    sent = spark.sparkContext.broadcast(model)
+    sent = share(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.ratios(batch)), batch.column("toxic")], names=["ratio", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(held(sent).ratios(batch)), batch.column("toxic")], names=["ratio", "toxic"])
 
     seen = texts.where("calibrates").select("text", "toxic").mapInArrow(run, "ratio double, toxic long").toArrow()
     model.calibrate(seen.column("ratio").to_numpy(), seen.column("toxic").to_numpy())
@@ -237,13 +237,13 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have a ratio of 0. Repeated rows are scored alike; an empty table gives no
     rows. Without labels of both classes every score is about 0.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = share(documents.sparkSession, model)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ratios = sent.value.ratios(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(ratios))], names=["doc_id", "score"])
+            ratios = held(sent).ratios(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held(sent).scores(ratios))], names=["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 

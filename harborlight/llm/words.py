@@ -29,7 +29,11 @@ LOWER[65:91] += 32
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each part hold about `size` bytes at most."""
+    """Cut batches so that the texts of each part hold about `size` bytes at most.
+
+    Arrow's buffers come from the system's allocator, which gives large ones back at once.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue
