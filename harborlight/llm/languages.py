@@ -18,7 +18,7 @@ from harborlight.session import written
 RANKS = 400
 UNKNOWN = "und"
 #: Text bytes whose n-grams are counted together; the counting takes many times that.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 
 
 def letters() -> np.ndarray:
