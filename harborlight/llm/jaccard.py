@@ -37,10 +37,12 @@ FREQUENT, OFTEN = 1 << 19, 3
 BUCKET_BYTES = 8 << 20
 #: Text bytes whose shingles are worked on together.
 TOGETHER = 4 << 20
-#: Rounds of comparing with one pivot for each block.
-PIVOT_ROUNDS = 5
+#: Rounds of comparing with pivots, and pivots of a block from the second round on.
+PIVOT_ROUNDS, PIVOTS = 4, 4
 #: Points in one R-tree at most, members compared with a pivot in one task, and points of a leaf.
-CELL, CHUNK, LEAF = 256, 128, 8
+CELL, CHUNK, LEAF = 1024, 128, 8
+#: Pairs whose documents' names are broadcast to the texts; with more, texts and names are shuffled.
+FEW_PAIRS = 1 << 16
 #: Blocks of at most so many members have one round of pivots only.
 SMALL = 24
 
@@ -250,6 +252,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     )
     roles = roles.groupBy("team", "role_id").agg(F.flatten(F.collect_list("partners")).alias("partners"))
     buckets = parts_for(2 * text_total(texts), BUCKET_BYTES, least=48)
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        roles = F.broadcast(roles)
     return (
         roles.join(texts, F.col("role_id") == F.col("doc_id"))
         .select(F.pmod(F.xxhash64("team"), F.lit(buckets)).alias("bucket"), "team", "doc_id", "partners", "text")
@@ -265,14 +269,16 @@ def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(open_blocks: DataFrame, tested: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Rows (team, p, x): in each block one member, another each turn, with those that aren't in its component yet."""
+    """Rows (team, p, x): in each block one member, later some, others each turn, with those that aren't in its component yet."""
     if turn:
         large = open_blocks.groupBy(F.col("key").alias("large_key")).count().where(F.col("count") > SMALL)
         open_blocks = open_blocks.join(large, F.col("key") == F.col("large_key"), "left_semi")
-    order = F.xxhash64("rep", F.lit(turn))
-    pivots = open_blocks.groupBy(F.col("key").alias("pivot_key")).agg(
-        F.min(F.struct(order.alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("v")
+    pick = lambda k: F.min(
+        F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
     )
+    orders = [turn] if not turn else range(PIVOTS * turn, PIVOTS * (turn + 1))
+    pivots = open_blocks.groupBy(F.col("key").alias("pivot_key")).agg(F.array(*map(pick, orders)).alias("all"))
+    pivots = pivots.select("pivot_key", F.explode(F.array_distinct("all")).alias("v"))
     pairs = (
         open_blocks.join(pivots, F.col("key") == F.col("pivot_key"))
         .select("rep", "n", "comp", "v.p", "v.pn", "v.pc")

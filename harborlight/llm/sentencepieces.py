@@ -185,7 +185,7 @@ class Encoder:
         """One text by the library, placed by the normaliser's alignment."""
         if not text:
             return (np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-        pieces = self.library.encode(text.decode(), out_type="immutable_proto").pieces
+        pieces = self.library.encode(text.decode(), return_type="proto").pieces
         ids = np.array([p.id for p in pieces], np.int64)
         width = [1 if p.id in self.bytes else len(p.piece.encode()) for p in pieces]
         source = np.array(self.normaliser.align(text)[1], np.int64)

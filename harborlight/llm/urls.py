@@ -24,6 +24,8 @@ MANY, VARIED = 12, 0.2
 #: Pages that the next wider count is worth when a share is smoothed, the share from which a template is rejected, and
 #: standard errors by which branches may differ and still be judged together.
 SMOOTHING, REJECT, ALIKE = 5.0, 0.7, 1.5
+#: The share of a host without any label.
+NEUTRAL = 0.5
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -87,13 +89,11 @@ def judged(counted: DataFrame) -> DataFrame:
     """Rows (host, tokens, n, blocked, labelled) with `share`: the smoothed share of blocked pages of their template."""
     rows = templates(counted).withColumn("parent", F.expr("slice(template, 1, greatest(size(template) - 1, 0))"))
     sums = [F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")]
-    total = rows.agg(*[F.coalesce(s, F.lit(0)).alias(n) for s, n in zip(sums, ("blocked", "labelled"))]).first()
-    overall = (total.blocked + 0.5) / (total.labelled + 1.0)
     smooth = lambda blocked, labelled, prior: (blocked + SMOOTHING * prior) / (labelled + SMOOTHING)
     by_template = rows.groupBy("host", "parent", "template").agg(*sums)
     by_parent = by_template.groupBy("host", "parent").agg(*sums)
     by_host = by_parent.groupBy("host").agg(*sums).select(
-        "host", smooth(F.col("blocked"), F.col("labelled"), F.lit(overall)).alias("host_share")
+        "host", smooth(F.col("blocked"), F.col("labelled"), F.lit(NEUTRAL)).alias("host_share")
     )
     by_parent = by_parent.join(by_host, "host").select(
         "host", "parent", smooth(F.col("blocked"), F.col("labelled"), F.col("host_share")).alias("parent_share")

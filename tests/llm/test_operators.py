@@ -1,0 +1,403 @@
+"""Every operator against a brute-force version, on documents with all kinds of odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from harborlight.llm import (
+    decontaminate, jaccard, languages, personal, sentencepieces, substrings, token_files, toxicity, urls, vectors,
+)
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, n long, found string, tokens string"
+SYLLABLES = "the on an er st re ly tion é ñ ö ing".split()
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices(SYLLABLES, k=rng.randint(1, 3))) for _ in range(n))
+
+
+def texts():
+    """Nulls, empty and blank texts, one word, a very long text, copies, near copies, shared passages, odd characters."""
+    rng = random.Random(5)
+    passage, long_one = prose(rng, 60), prose(rng, 9000)
+    base = prose(rng, 120).split()
+    near = []
+    for k in range(30):
+        words = list(base)
+        for _ in range(1 + k % 3):
+            words[rng.randrange(len(words))] = f"x{k}"
+        near.append(" ".join(words))
+    out = [None, "", "   \n\t", "one", "One", "a b c d", long_one, long_one + " tail", "the " * 80, "the\tthe\x0bthe " * 30]
+    out += [prose(rng, 30) + " " + passage + " " + prose(rng, 20) for _ in range(4)] + near
+    out += ["same text of six words here"] * 3 + ["SAME text of six words here"]
+    out += ["Mail bob.x_1+y@mail.example.com, or a@b.c_d@e.f now", "ip 10.0.0.255 and 300.1.1.1 1.2.3.4.5", "+1 (555) 555-1234 +12",
+            "card 4111 1111 1111 1111 and 4111-1111-1111-1112 x", "é😀 4111111111111111 ok +44 20 7946 0958", "2001 id=77 5731080387325255"]
+    out += ["nbsp\u00a0 here \u2003 wide\u3000x", "tab\there  two   three \n\n lines\n", "ctrl \x00\x1c\x85 ▁piece▁ <s> <|endoftext|> end ", "日本語 テスト"]
+    out += [prose(rng, rng.randint(1, 60)) for _ in range(40)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    found = [(i, t) for i, t in enumerate(texts())]
+    return found + [(7, found[7][1]), (None, found[20][1]), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    langs = ["aa", "bb", None]
+    return spark.createDataFrame(
+        [(i, t, langs[(i or 0) % 3], "s", len(t) if t else None, 1, 2, "x", "y") for i, t in rows], DOCS
+    ).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def sha(text):
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def same(found, wanted):
+    order = lambda rows: sorted(map(tuple, rows), key=lambda r: tuple((x is None, x if x is not None else 0) for x in r))
+    assert order(found) == order(wanted)
+
+
+def test_substrings(docs, none, rows):
+    seen, k = {}, 35
+    for d, (_, t) in enumerate(rows):
+        w = words(t)
+        for i in range(len(w) - k + 1):
+            seen.setdefault(tuple(w[i : i + k]), []).append((d, i))
+    gone = {(d, i + j) for places in seen.values() if len(places) > 1 for d, i in places for j in range(k)}
+    wanted = []
+    for d, (doc, t) in enumerate(rows):
+        w = words(t)
+        wanted.append((doc, len(w), sum((d, i) in gone for i in range(len(w))), sha(" ".join(x for i, x in enumerate(w) if (d, i) not in gone))))
+    same(substrings.digest(substrings.remove_repeated(docs)).collect(), wanted)
+    assert substrings.remove_repeated(none).count() == 0
+
+
+def test_windows_of_one_hash_are_told_apart():
+    ids = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4, 0, 0, 0])
+    at = np.array([0, 3, 6])
+    assert substrings.equal_windows(ids, at, 3, np.zeros(3, np.uint64)).tolist() == [True, True, False]
+
+
+def shingles(text):
+    w = words(lowered(text))
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def components(nodes, links):
+    root = {x: x for x in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {x: top(x) for x in nodes}
+
+
+def test_jaccard(docs, none, rows):
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    links = [
+        (a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    found = components(sets, links)
+    same(jaccard.jaccard_components(docs).collect(), [(i, len(shingles(t)), found.get(i)) for i, t in rows])
+    assert jaccard.jaccard_components(none).count() == 0
+    kept = [r.doc_id for r in jaccard.one_of_each(docs).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted({x for x, c in found.items() if x == c}) and kept.count(None) == 2
+
+
+def test_large_blocks_are_compared_whole(spark):
+    """Near copies of which most don't link with each other, all in large blocks."""
+    rng = random.Random(2)
+    base, made = prose(rng, 100).split(), []
+    for k in range(150):
+        w = list(base)
+        for at in range(rng.randrange(9), 100, rng.choice([9, 14, 20, 33, 50])):
+            w[at] = f"y{k}z{at}"
+        made.append((k, " ".join(w)))
+    sets = {i: shingles(t) for i, t in made}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    found = components(sets, links)
+    got = jaccard.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"))
+    same(got.select("doc_id", "component_id").collect(), list(found.items()))
+
+
+def test_tree_bounds_lose_nothing():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64) << np.uint64(20)) for _ in range(120)]
+    counts, sizes = jaccard.points(sets), np.array([len(s) for s in sets])
+    tree = jaccard.RTree(counts, sizes)
+    for i, s in enumerate(sets):
+        true = {j for j, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))}
+        assert true <= set(tree.near(counts[i], sizes[i], counts, sizes, 80).tolist())
+
+
+def test_sentencepiece(docs, none, rows):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    found = sentencepieces.encode(docs, path)
+    wanted = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        wanted.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids))))
+    same(sentencepieces.digest(found).drop("spans_sha256").collect(), wanted)
+    for row in found.collect():
+        text = (dict(rows)[row.doc_id] or "").encode()
+        starts, stops = np.frombuffer(row.starts, "<u4"), np.frombuffer(row.stops, "<u4")
+        assert b"".join(text[a:b] for a, b in zip(starts, stops)) == text
+    assert sentencepieces.encode(none, path).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
+def test_normaliser_follows_the_character_map(rule):
+    from sentencepiece import sentencepiece_model_pb2
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    own = sentencepieces.Normaliser(proto.normalizer_spec.precompiled_charsmap, True, True, True)
+    for text in ["", "  ", "ＡＢＣ　ｄｅｆ", " ﬁne  ㍿ ½ ①  Ⅷ ", "e\u0301a\u0308 ＫＡＤＯＫＡＷＡ", "a\tb\r\n c ", "カ\u3099x"]:
+        normal, source = own.align(text.encode())
+        assert normal.decode() == library.normalize(text)
+        assert len(source) == len(normal) + 1 and source == sorted(source) and source[-1] <= len(text.encode())
+
+
+def test_languages(spark, none):
+    rng = random.Random(1)
+    sounds = {"aa": "ka ki ku mo ma".split(), "bb": "strö üng schw ent ß".split()}
+    made = [(i, " ".join("".join(rng.choices(sounds[lang], k=3)) for _ in range(30)), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    made += [(900, None, "aa"), (901, "", None), (902, "123 !?", "bb"), (903, "kamo kamo", None), (None, "kiku", "aa")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in languages.digest(docs).collect()}
+    for i, t, lang in made[:120]:
+        assert found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert found[i].lang_pred == lang and 0 <= found[i].score <= 1
+    assert [found[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
+    assert {r.doc_id for r in languages.with_language(docs).collect()} == {i for i, *_ in made} - {900, 901, 902}
+    assert languages.digest(none).count() == 0
+    # Ranks and distances by hand: "ab ab" has a, b, _a, ab, b_, _ab, ab_ twice each.
+    top = languages.fit_profiles(spark.createDataFrame([("ab Ab", "l")], "text string, lang string"))
+    assert top == {"l": sorted(["a", "b", "_a", "ab", "b_", "_ab", "ab_"])}
+
+
+def test_token_files(docs, none, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, start, wanted = Tokenizer.from_file(path), 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        wanted.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    same(token_files.digest(token_files.read_documents(token_files.write_blocks(docs, path, 2))).collect(), wanted)
+    assert token_files.read_documents(token_files.write_blocks(none, path, 2)).count() == 0
+
+
+def test_simple_8b_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (1, 255, 256, 257, 90_000):
+        for high in (1, 2, 40, 32767, 32768, 2**32):
+            ids = np.where(rng.random(n) < 0.5, rng.integers(0, high, n), 0)
+            counts = np.diff(np.concatenate(([0], np.sort(rng.integers(0, n, 5)), [n])))
+            blocks = [fields for _, _, fields in token_files.block_rows(ids, counts)]
+            assert (token_files.unpack_rows(blocks) == ids).all()
+
+
+def test_decontamination(spark, docs, none, rows, monkeypatch):
+    rng = random.Random(9)
+    long_text = dict(rows)[6].split()
+    items = [(1, " ".join(long_text[100:130])), (2, "Same Text, of six"), (3, None), (4, ""), (5, prose(rng, 40)), (6, "!!"), (10, "x1 the"), (None, "one")]
+    items.append((1, "words here"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    wanted = []
+    for doc, t in rows:
+        w, hit, found = alnum(t), set(), set()
+        for item, text in items:
+            x = alnum(text)
+            size = min(len(x), 10)
+            grams = {tuple(x[i : i + size]) for i in range(len(x) - size + 1)} if size else set()
+            for i in range(len(w) - size + 1):
+                if size and tuple(w[i : i + size]) in grams:
+                    hit |= set(range(i, i + size))
+                    if item is not None:
+                        found.add(str(item))
+        wanted.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    same(decontaminate.digest(decontaminate.find_contamination(docs, benchmark)).collect(), wanted)
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 60)  # several sets, one pass each
+    same(decontaminate.digest(decontaminate.find_contamination(docs, benchmark)).collect(), wanted)
+    assert decontaminate.find_contamination(none, benchmark).count() == 0
+    empty = decontaminate.digest(decontaminate.find_contamination(docs, benchmark.limit(0)))
+    assert empty.where("contaminated").count() == 0 and empty.count() == len(rows)
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 16))
+    made = [(i, (centres[i % 6] + rng.normal(scale=0.25, size=16)).astype(np.float32).tolist(), 0) for i in range(150)]
+    made += [(200 + i, made[0][1], 1) for i in range(20)] + [(5, made[5][1], 0)]
+    made += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] + [1.0] * 15, 0), (303, [None] + [1.0] * 15, 0), (304, [], 0), (305, [1.0, 2.0], 0), (306, [2.0, 4.0], 0), (307, [float("inf")] * 16, 0)]
+    sound = {
+        k: np.array(v, np.float64) for k, (_, v, _) in enumerate(made)
+        if v and None not in v and np.isfinite(v).all() and np.any(v)
+    }
+    near = lambda a, b: len(a) == len(b) and a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= 0.9
+    links = [(a, b) for a, b in combinations(sound, 2) if near(sound[a], sound[b])]
+    found = components({i for i, *_ in made}, [(made[a][0], made[b][0]) for a, b in links])
+    wanted = [(i, sum(k in pair for pair in links), found[i], found[i] == i) for k, (i, _, _) in enumerate(made)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int")
+    same(vectors.near_vectors(table).collect(), wanted)
+    small = {"PER_PIVOT": 12, "PART": 8, "BLOCK": 3}
+    for name, value in small.items():
+        setattr(vectors, name, value)
+    try:
+        same(vectors.near_vectors(table).collect(), wanted)  # many cells, each cut into parts
+    finally:
+        for name, value in {"PER_PIVOT": 4096, "PART": 4096, "BLOCK": 256}.items():
+            setattr(vectors, name, value)
+    assert vectors.near_vectors(table.limit(0)).count() == 0
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE:
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+            if (
+                kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))
+                or kind == "card" and 13 <= len(digits) <= 19 and luhn or kind == "phone" and 9 <= len(digits) <= 15
+            ):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_personal_data(docs, none, rows):
+    found = personal.find_personal(docs).collect()
+    wanted = [(i, base_spans(t)) for i, t in rows]
+    same([(r.doc_id, str([tuple(x) for x in r.base])) for r in found], [(i, str(b)) for i, b in wanted])
+    for r in found:
+        assert [tuple(x) for x in r.found][: len(r.base)] == [tuple(x) for x in r.base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.kind == k for x in r.base) for k, _ in BASE)
+    assert personal.digest(personal.find_personal(none)).count() == 0
+    kept = personal.redact(docs)
+    assert kept.columns == docs.columns
+    by_id = {r.doc_id: r for r in kept.collect() if r.doc_id is not None}
+    mail = by_id[next(i for i, t in rows if t and t.startswith("Mail"))]
+    assert mail.text.startswith("Mail [EMAIL], or [EMAIL][EMAIL] now") and mail.n_chars == len(mail.text)
+    assert by_id[0].text is None and by_id[6].text == dict(rows)[6]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b{i}.com +1 (555) 555-{i:04d}" for i in range(700))
+    row = personal.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(x) for x in row.base] == base_spans(text)
+
+
+def test_urls(spark):
+    made = [
+        (0, None), (1, "no scheme"), (2, ""), (3, "HTTP://WWW.Example.ORG/es/1?x=1"), (4, "http://a.example.org/en/12#top"), (5, "x://org/a://b"),
+        (6, "http://notorg/x"), (7, "http://x.com/fr/1"), (8, "http://com/de/1"), (9, "http://x.com/fr"), (10, "http://h.net"), (11, "http://É.net/Ä?q"),
+        (None, "http://x.com/de/9"), (7, "http://x.com/fr/1"), (12, "http://x.com/de"),
+    ]
+    made += [(100 + i, f"http://spam.com/de/{i}") for i in range(30)] + [(200 + i, f"http://w.net/p/{'abcdefghijklmnopqrstuvwxyz'[i]}") for i in range(26)]
+
+    def wanted(url):
+        host = path = ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.match(r"[^/?#]*", rest)[0]
+            path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = lowered(host)
+        fits = [(h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, None))
+
+    pages = spark.createDataFrame([(i, u, "h", 1) for i, u in made], "page_id long, url string, html string, n int")
+    found = urls.judge_urls(pages).collect()
+    same([(r.page_id, r.host, r.path, r.rule) for r in found], [(i, *wanted(u)[:3]) for i, u in made])
+    verdict = {r.page_id: r for r in found}
+    for i, u in made:
+        if wanted(u)[3]:
+            assert verdict[i].verdict == wanted(u)[3]
+    assert verdict[10].verdict == "allow" and verdict[200].template == "/p/*"
+    assert urls.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_toxicity(spark, none):
+    rng = random.Random(3)
+    made, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        w = prose(rng, 40).split()
+        for _ in range(4 * toxic):
+            w.insert(rng.randrange(40), rng.choice(["grub", "skum"]) + rng.choice(SYLLABLES[:6]))
+        made.append((i, " ".join(w)))
+        labels.append((i, None, int(toxic)))
+    made += [(700, None), (701, ""), (None, "the on an")]
+    labels += [(700, 1, 1), (None, 1, 0), (1, 0, None), (9999, 0, 1)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in made], "doc_id long, text string, toxic int")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in toxicity.digest(docs, table).collect()}
+    assert len(found) == len(made) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found.values())
+    held = [r for i, r in found.items() if i is not None and i < 600 and r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found.values() if r.doc_id is not None)
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) > 0.95 * len(held)
+    assert found[701].score == found[700].score
+    assert toxicity.digest(none, table.limit(0)).count() == 0
+    assert toxicity.digest(docs, table.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    rng = random.Random(8)
+    item, base = prose(rng, 30), prose(rng, 60)
+    made = [(i, prose(rng, 50), "aa", "s", 1) for i in range(30)]
+    made += [(50, None, "aa", "s", None), (51, "12 34", "aa", "s", 5), (52, base, "aa", "s", 1), (53, base + " more", "aa", "s", 1)]
+    made += [(54, prose(rng, 9) + " " + item, "aa", "s", 1), (55, base[::-1] + " bob@x.org", "aa", None, 1)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        docs = spark.createDataFrame(after.collect(), after.schema)
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert set(left) == {*range(30), 52, 55} and left[55].endswith("[EMAIL]")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    same([(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in found.collect()], [(i, library.encode(t, add_bos=True, add_eos=True)) for i, t in left.items()])
+    assert found.where(F.col("n_tokens") < 2).count() == 0
