@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from harborlight.llm.common import parts_for, text_total
 from harborlight.llm.components import connected
-from harborlight.llm.words import SPACES, Words, gram_hashes, hashes, mix, slices, text_bytes
+from harborlight.llm.words import SPACES, Words, gram_hashes, hashes, mix, release, slices, text_bytes
 from harborlight.session import written
 
 SHINGLE, PERCENT = 5, 80
@@ -34,7 +34,7 @@ GROUPS = 256
 #: set the order in which shingles are tried.
 FREQUENT, OFTEN = 1 << 19, 3
 #: Text bytes for each bucket of shingles or of pairs.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Text bytes whose shingles are worked on together.
 TOGETHER = 4 << 20
 #: Rounds of comparing with pivots, and pivots of a block from the second round on.
@@ -195,6 +195,7 @@ def prefix_keys(size: int, percent: int, buckets: int, frequent):
 
 def shared_keys(bucket: pa.Table) -> pa.Table:
     """All rows of a bucket to rows (key, doc_id) of shingles that several documents have."""
+    release()
     unpress = zstandard.ZstdDecompressor()
 
     def read(column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +224,7 @@ def verify_pairs(size: int, percent: int):
     """Rows (bucket, team, doc_id, partners, text) to linked pairs (a, b): each document is compared with its partners of its team."""
 
     def run(rows: pa.Table) -> pa.Table:
+        release()
         team, docs = rows.column("team").to_pylist(), rows.column("doc_id").to_pylist()
         sets = shingle_sets(text_bytes(rows.column("text").combine_chunks()), size)
         counts, sizes = points(sets), np.array([len(s) for s in sets], np.int64)
@@ -334,6 +336,7 @@ def block_pairs(percent: int):
     """Rows (bucket, cell, side, rep, comp, n, point) to rows (team, p, x): pairs of a cell that may link and aren't connected yet."""
 
     def run(rows: pa.Table) -> pa.Table:
+        release()
         cell, rep, comp, n, side = (rows.column(c).to_numpy() for c in ("cell", "rep", "comp", "n", "side"))
         counts = np.array([np.frombuffer(x, np.int32) for x in rows.column("point").to_pylist()]).reshape(-1, GROUPS)
         found: dict[tuple[int, int], int] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.llm.common import parts_for, text_total
-from harborlight.llm.words import SPACES, Words, encode_words, gram_hashes, hashes, mix, slices, text_bytes
+from harborlight.llm.words import SPACES, Words, encode_words, gram_hashes, hashes, mix, release, slices, text_bytes
 
 WINDOW, MINIMISER = 35, 4
 #: Windows of one super-k-mer at most; a longer run goes on in the next one.
@@ -126,6 +126,7 @@ def repeats_of(k: int):
     """
 
     def run(bucket: pa.Table) -> pa.Table:
+        release()
         unpress = zstandard.ZstdDecompressor()
         times: dict[bytes, int] = {}
         for blob in bucket.column("kmers").to_pylist():
