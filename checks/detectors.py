@@ -756,7 +756,7 @@ agg as (select mmsi, session, count(*) as alert_total, min(t_s) as first_s, max(
    arg_max(latitude, t_s || '|' || alert_id) as lat, arg_max(longitude, t_s || '|' || alert_id) as lon from ses group by all),
 inc0 as (select *, cast(least(100, floor((case when k >= 3 then floor(w * 1.3::double) when k = 2 then floor(w * 1.15::double) else w end) / k)) as int) as risk_score,
    least(alert_total, 30) as alert_count, last_s - first_s as secs from agg join types using (mmsi, session)),
-inc as materialized (select *, substr(sha256(mmsi || '|' || first_s), 1, 8) as id,
+inc as materialized (select *, substr(sha256(mmsi || '|' || first_s), 1, 32) as id,
    case when risk_score >= 85 or list_contains(alert_types, 'ANCHOR_DRAGGING') then 'CRITICAL'
         when risk_score >= 70 or list_contains(alert_types, 'CABLE_PROXIMITY') then 'HIGH' when risk_score >= 50 then 'MEDIUM' else 'LOW' end as severity,
    case when list_contains(alert_types, 'CABLE_PROXIMITY') and list_contains(alert_types, 'DARK_EVENT') then 'Suspicious Activity: ' || last_name || ' went dark near cable zone'
