@@ -6,6 +6,9 @@ A window partitioned by vessel alone puts a vessel's whole history in one task,
 one row per (vessel, slice), built with a map-side combined aggregate. That table is joined on
 the same (vessel, slice) key, so the large side is exchanged once.
 
+A slice is an hour long, and shorter where a vessel reports more than `slice_rows` an hour: see
+slice_table().
+
     with_history(df, previous("prev", "t_s", "latitude"), running_sum("score", F.col("points")))
 """
 
@@ -17,9 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.session import slice_seconds
+from harborlight.session import slice_rows, slice_seconds
 
 ORDER = ("t_s", "row_id")
+#: Keys are dealt into so many groups; all keys of a group have slices of one length.
+GROUPS = 4096
+MINUTE = 60
 
 
 def _cols(names) -> Column:
@@ -106,16 +112,68 @@ def last_seen(name: str, value: Column, inclusive: bool = True) -> Feature:
     )
 
 
-def sliced(df: DataFrame, seconds: int | None = None) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.col("t_s") / (seconds or slice_seconds(df.sparkSession))).cast("long"))
+def _group(key) -> Column:
+    return F.pmod(F.hash(*key), F.lit(GROUPS))
+
+
+def slice_table(counted: DataFrame, key, seconds: int, most: int) -> DataFrame:
+    """One row with an array: struct(group, length, parts) for each group of keys.
+
+    Where no key of a group has over `most` rows in a slice of `seconds`, the length stays. Else
+    it is as many minutes as hold `most` rows at the busiest minute's rate. If that minute alone
+    holds more, slices last a second, each cut by row number into `parts`. The array has GROUPS
+    entries whatever the input, so it fits in a scalar subquery.
+    """
+    by_minute = counted.groupBy(*key, F.floor(F.col("t_s") / MINUTE).alias("_minute")).agg(F.count("*").alias("_n"))
+    by_slice = by_minute.groupBy(*key, F.floor(F.col("_minute") * MINUTE / seconds).alias("_long")).agg(
+        F.sum("_n").alias("_n"), F.max("_n").alias("_minute_n")
+    )
+    at_once, busiest = F.col("_n") <= most, F.col("_minute_n")
+    minutes = F.floor(F.lit(most) / busiest).cast("long")
+    length = F.when(at_once, seconds).when(busiest > most, 1).otherwise(F.least(minutes * MINUTE, F.lit(seconds)))
+    parts = F.when(~at_once & (busiest > most), F.ceil(busiest / most)).otherwise(1)
+    busy = by_slice.select(_group(key).alias("group"), length.cast("long").alias("length"), parts.cast("long").alias("parts"))
+    every = counted.sparkSession.range(GROUPS).select(
+        F.col("id").cast("int").alias("group"), F.lit(seconds).cast("long").alias("length"), F.lit(1).cast("long").alias("parts")
+    )
+    settled = every.unionByName(busy).groupBy("group").agg(F.min("length").alias("length"), F.max("parts").alias("parts"))
+    return settled.agg(F.sort_array(F.collect_list(F.struct("group", "length", "parts"))).alias("slices"))
+
+
+def sliced(
+    df: DataFrame, key=("mmsi",), order=ORDER, seconds: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """Add `_slice`: ascending in time, of at most about slice_rows() rows of one key.
+
+    `counted` is a stored table that has at least as many rows of each key as `df`; counting it
+    spares a second run of a dear `df`. Rows of one second are only cut by a whole number in the
+    second place of `order`, and evenly if that is a fingerprint.
+    """
+    spark = df.sparkSession
+    counted = df if counted is None else counted
+    known = [k for k in key if k in counted.columns]
+    table = slice_table(counted, known, seconds or slice_seconds(spark), slice_rows(spark))
+    cut = F.get(table.scalar(), _group(known))
+    rows = df.withColumn("_cut", cut)
+    number = F.floor(F.col("t_s") / F.col("_cut.length")).cast("long")
+    if len(order) > 1 and df.schema[order[1]].dataType.typeName() == "long":
+        parts = F.col("_cut.parts")
+        share = F.col(order[1]) / F.lit(2.0**64) + 0.5
+        number = number * parts + F.least(parts - 1, F.floor(share * parts)).cast("long")
+    return rows.withColumn("_slice", number).drop("_cut")
 
 
 def with_history(
-    df: DataFrame, *features: Feature, key=("mmsi",), order=ORDER, seconds: int | None = None
+    df: DataFrame,
+    *features: Feature,
+    key=("mmsi",),
+    order=ORDER,
+    seconds: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the features to every row. Keys and order columns must not be null."""
+    """Add the features to every row. Keys and order columns must not be null. `counted`: see sliced()."""
     key = list(key)
-    rows = sliced(df, seconds)
+    rows = sliced(df, key, order, seconds, counted)
     ordering = _cols(order)
     summary = rows.groupBy(*key, "_slice").agg(
         *[f.summary(ordering).alias(f"_s_{i}") for i, f in enumerate(features)]
@@ -134,11 +192,18 @@ def with_history(
 
 
 def with_last_rows(
-    df: DataFrame, name: str, n: int, *cols: str, key=("mmsi",), order=ORDER, seconds: int | None = None
+    df: DataFrame,
+    name: str,
+    n: int,
+    *cols: str,
+    key=("mmsi",),
+    order=ORDER,
+    seconds: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add an array of struct(cols) of the last `n` reports, this one included, oldest first."""
     key = list(key)
-    rows = sliced(df, seconds)
+    rows = sliced(df, key, order, seconds, counted)
     newest = Window.partitionBy(*key, "_slice").orderBy(*[F.col(c).desc() for c in order])
     tail_item = F.struct(*[F.col(c) for c in order], _cols(cols).alias("_item"))
     tails = (
@@ -167,6 +232,7 @@ def with_islands(
     order=ORDER,
     before: str | None = None,
     seconds: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add struct(cols) of the report that began the current run.
 
@@ -176,7 +242,7 @@ def with_islands(
     so one pass finds both the runs and their beginnings.
     """
     key = list(key)
-    rows = sliced(df, seconds)
+    rows = sliced(df, key, order, seconds, counted)
     own, ordering = _cols(cols), _cols(order)
     w = Window.partitionBy(*key, "_slice").orderBy(*order)
 

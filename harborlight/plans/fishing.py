@@ -20,11 +20,17 @@ VARIANCE_LIMIT = 2.0
 
 
 def fishing_analysis(
-    positions: DataFrame, max_kts: float = 5.0, turns_per_h: float = 10.0, area_nm2: float = 100.0, min_pos: int = 10
+    positions: DataFrame,
+    max_kts: float = 5.0,
+    turns_per_h: float = 10.0,
+    area_nm2: float = 100.0,
+    min_pos: int = 10,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Reports whose last 20 positions look like fishing, with the measures behind it."""
     framed = with_last_rows(
-        positions, "_last", KEEP_POSITIONS, "latitude", "longitude", "speed_over_ground", "course_over_ground"
+        positions, "_last", KEEP_POSITIONS, "latitude", "longitude", "speed_over_ground", "course_over_ground",
+        counted=counted,
     ).where(F.size("_last") >= min_pos)
 
     def measure(last):
@@ -81,10 +87,10 @@ def fishing_events(positions: DataFrame, zones: DataFrame, once_per_visit: bool
     visitors = in_zones(positions, grounds).select("mmsi").distinct()
     tracks = positions.join(visitors, "mmsi", "left_semi")
     if once_per_visit:
-        tracks = with_history(tracks, previous("_prev", "row_id"))
+        tracks = with_history(tracks, previous("_prev", "row_id"), counted=positions)
     fishing = ais.is_fishing("ship_type")
     mpa = F.col("zone_type") == "MPA"
-    likely = fishing_analysis(tracks, **limits).where(F.col("confidence") >= MIN_CONFIDENCE)
+    likely = fishing_analysis(tracks, counted=positions, **limits).where(F.col("confidence") >= MIN_CONFIDENCE)
     hits = in_zones(likely, grounds, "zone_id", "zone_name", "zone_type").where(mpa | fishing)
     severity = (
         F.when(mpa & (F.col("confidence") > SURE_CONFIDENCE), "CRITICAL")
@@ -96,7 +102,7 @@ def fishing_events(positions: DataFrame, zones: DataFrame, once_per_visit: bool
         F.concat(F.when(fishing, "Fishing vessel").otherwise("Vessel"), F.lit(" fishing in "), F.col("zone_name")),
     )
     if once_per_visit:
-        seen = with_history(events, previous("_shown", "row_id"), key=("mmsi", "zone_id"))
+        seen = with_history(events, previous("_shown", "row_id"), key=("mmsi", "zone_id"), counted=positions)
         goes_on = F.col("_shown.row_id") == F.col("_prev.row_id")
         events = seen.where(~F.coalesce(goes_on, F.lit(False))).drop("_shown", "_prev")
     return events

@@ -36,7 +36,7 @@ def geofence_events(positions: DataFrame, zones: DataFrame, on_entry_only: bool
         "title", F.concat(F.lit("Geofence Violation: "), F.col("zone_name"))
     )
     if on_entry_only:
-        seen = with_history(events, previous("_last", "row_id"), key=("mmsi", "zone_id"))
+        seen = with_history(events, previous("_last", "row_id"), key=("mmsi", "zone_id"), counted=positions)
         events = seen.where(~F.col("_last.row_id").eqNullSafe(F.col("_prev.row_id")) | F.col("_last").isNull())
         events = events.drop("_last", "_prev")
     return events

@@ -176,6 +176,7 @@ def encounters(positions: DataFrame, dist_m: float = 1500, port_nm: float = 30)
         sure.unionByName(settled).drop("link", "ends"),
         last_seen("_start", F.when(F.col("_starts"), F.struct("t_s", "row_id"))),
         key=("lo", "hi"),
+        counted=met,
     )
     return begun.withColumn("started_s", F.col("_start.t_s")).withColumn("started_row", F.col("_start.row_id")).drop(
         "_starts", "_start"

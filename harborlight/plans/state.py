@@ -47,6 +47,7 @@ def interval_means(rows: DataFrame, wanted: Column) -> DataFrame:
     summed = with_history(
         linked.withColumn("_part", since * F.exp(F.col("_grow") - F.col("_p"))),
         running_sum("_sum", F.col("_part"), zero=0.0),
+        counted=few,
     )
     mean = F.exp("_p") * F.col("_sum") / n
     return (

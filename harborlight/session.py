@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Length of the time slices that split one vessel's history (see operators/history.py).
 SLICE_CONF = "spark.harborlight.slice.seconds"
 DEFAULT_SLICE_SECONDS = 3600
+#: Slices of vessels that report more often than this are shorter.
+SLICE_ROWS_CONF = "spark.harborlight.slice.rows"
+DEFAULT_SLICE_ROWS = 1_000_000
 
 
 def local_session(app: str = "harborlight", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -50,6 +53,10 @@ def slice_seconds(spark: SparkSession) -> int:
     return int(spark.conf.get(SLICE_CONF, str(DEFAULT_SLICE_SECONDS)))
 
 
+def slice_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from harborlight import dims
 from harborlight.functions import geo
 from harborlight.operators.history import (
-    first_seen, following, last_seen, previous, running_max, running_sum, with_history, with_islands, with_last_rows,
+    first_seen, following, last_seen, previous, running_max, running_sum, sliced, with_history, with_islands, with_last_rows,
 )
+from harborlight.session import SLICE_ROWS_CONF
 from harborlight.operators.throttle import thin_track, throttle
 from harborlight.operators.zones import in_zones
 
@@ -34,6 +35,37 @@ def ordered(data):
     return by
 
 
+def test_one_vessel_with_a_third_of_all_reports_is_split(spark):
+    """Bursts and all: no slice holds more than twice the target, order and results stay."""
+    rng = random.Random(5)
+    hot = [("hot", 3600 + (rng.randrange(0, 5) if i % 2 else rng.randrange(0, 7200)), rng.randrange(-(2**63), 2**63)) for i in range(3000)]
+    rest = [(f"v{i % 900}", rng.randrange(0, 86_400), rng.randrange(-(2**63), 2**63)) for i in range(6000)]
+    df = spark.createDataFrame(hot + rest, "mmsi string, t_s long, row_id long").cache()
+    spark.conf.set(SLICE_ROWS_CONF, "200")
+    try:
+        cut = sliced(df).collect()
+        sizes = {}
+        for r in cut:
+            sizes[(r.mmsi, r._slice)] = sizes.get((r.mmsi, r._slice), 0) + 1
+        assert max(sizes.values()) <= 400
+        mine = sorted((r.t_s, r.row_id, r._slice) for r in cut if r.mmsi == "hot")
+        assert [m[2] for m in mine] == sorted(m[2] for m in mine)
+        # Vessels of other groups keep slices of an hour.
+        assert sum(r._slice == r.t_s // 3600 for r in cut if r.mmsi != "hot") > 5900
+        got = {r.row_id: (r.p.row_id if r.p else None, r.n) for r in with_history(df, previous("p", "row_id"), running_sum("n", F.lit(1))).collect()}
+        lasts = {r.row_id: [x.row_id for x in r.last] for r in with_last_rows(df, "last", 5, "row_id").collect()}
+        starts = {r.row_id: r.s.row_id for r in with_islands(df, "s", ["t_s", "row_id"], lambda p, c: c["t_s"] - p["t_s"] >= 20).collect()}
+    finally:
+        spark.conf.unset(SLICE_ROWS_CONF)
+    before, start = None, None
+    for i, (t, row, _) in enumerate(mine):
+        if before is None or t - before[0] >= 20:
+            start = row
+        assert got[row] == (before[1] if before else None, i + 1) and starts[row] == start
+        assert lasts[row] == [m[1] for m in mine[max(0, i - 4) : i + 1]]
+        before = (t, row)
+
+
 def test_history_features_match_brute_force(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
