@@ -755,7 +755,7 @@ agg as (select mmsi, session, count(*) as alert_total, min(t_s) as first_s, max(
    arg_max(coalesce(vessel_name, 'MMSI ' || mmsi), t_s || '|' || alert_id) as last_name,
    arg_max(latitude, t_s || '|' || alert_id) as lat, arg_max(longitude, t_s || '|' || alert_id) as lon from ses group by all),
 inc0 as (select *, cast(least(100, floor((case when k >= 3 then floor(w * 1.3::double) when k = 2 then floor(w * 1.15::double) else w end) / k)) as int) as risk_score,
-   least(alert_total, 30) as alert_count, last_s - first_s as secs from agg join types using (mmsi, session)),
+   alert_total as alert_count, last_s - first_s as secs from agg join types using (mmsi, session)),
 inc as materialized (select *, substr(sha256(mmsi || '|' || first_s), 1, 32) as id,
    case when risk_score >= 85 or list_contains(alert_types, 'ANCHOR_DRAGGING') then 'CRITICAL'
         when risk_score >= 70 or list_contains(alert_types, 'CABLE_PROXIMITY') then 'HIGH' when risk_score >= 50 then 'MEDIUM' else 'LOW' end as severity,
@@ -783,14 +783,14 @@ def sample_alerts(t: Tables):
     "j14_incidents",
     S.query(
         S.POSITIONS, *INCIDENT_CTE,
-        "select id, mmsi, ship_name, severity, title, description, array_to_string(alert_types, ',') as alert_types, cast(alert_count as int) as alert_count, "
-        "alert_total, first_s, last_s, risk_score, lat, lon from inc",
+        "select id, mmsi, ship_name, severity, title, description, array_to_string(alert_types, ',') as alert_types, alert_count, "
+        "first_s, last_s, risk_score, lat, lon from inc",
     ),
 )
 def incidents_(t: Tables):
     return incidents.correlate_incidents(sample_alerts(t)).select(
         "id", "mmsi", "ship_name", "severity", "title", "description", F.array_join("alert_types", ",").alias("alert_types"),
-        "alert_count", "alert_total", F.unix_seconds("first_alert_time").alias("first_s"),
+        "alert_count", F.unix_seconds("first_alert_time").alias("first_s"),
         F.unix_seconds("last_alert_time").alias("last_s"), "risk_score", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"),
     )
 
@@ -877,7 +877,7 @@ def flag_counts(t: Tables):
     "a20_report_lines",
     S.query(
         S.POSITIONS, *INV_CTE,
-        "select first_entry_s, mmsi, '| ' || mmsi || ' | ' || substr(coalesce(ship_name, 'Unknown'), 1, 20) || ' | ' || coalesce(flag_state, '??') || ' | ' || entries || ' | ' "
+        "select first_entry_s, mmsi, '| ' || mmsi || ' | ' || coalesce(ship_name, 'Unknown') || ' | ' || coalesce(flag_state, '??') || ' | ' || entries || ' | ' "
         "|| cast(round(minutes_in_zone, 1) as decimal(18, 1)) || ' min | ' || coalesce(cast(round(min_speed, 1) as decimal(18, 1))::varchar, '-') || ' | ' "
         "|| coalesce(cast(round(avg_speed, 1) as decimal(18, 1))::varchar, '-') || ' | ' || case when indicators = '' then '-' else replace(indicators, ',', ', ') end || ' |' as line from sus",
     ),
@@ -920,13 +920,13 @@ def zone_speeds(t: Tables):
     "f11_cooldown",
     S.query(
         S.POSITIONS,
-        "slow as materialized (select row_id, mmsi, t_s from p where speed_over_ground < 3)",
-        S.throttled("slow", "kept", "mmsi", 900),
+        "seen as materialized (select row_id, mmsi, t_s from p)",
+        S.throttled("seen", "kept", "mmsi", 900),
         "select * from kept",
     ),
 )
 def cooldown(t: Tables):
-    return throttle(t.positions.where("speed_over_ground < 3").select("row_id", "mmsi", "t_s"), ["mmsi"], 900)
+    return throttle(t.positions.select("row_id", "mmsi", "t_s"), ["mmsi"], 900)
 
 
 # ---------------------------------------------------------------- everything together
@@ -945,17 +945,25 @@ _PARTS = {
 }
 
 
-@register(
-    "j17_all_detectors",
-    "select alert_type, severity, count(*) as alerts from ("
-    + " union all ".join(
-        f"select '{kind}' as alert_type, severity from ({SQL[name]})" for kind, names in _PARTS.items() for name in names
-    )
-    + ") group by all",
+_ALL_ALERTS = " union all ".join(
+    f"select '{kind}' as alert_type, severity, mmsi, t_s from ({SQL[name]})" for kind, names in _PARTS.items() for name in names
 )
+
+
+def _all_alerts(t: Tables, positions):
+    alerts = pipeline.run_pipeline(positions, t.zones, written(sanction_records(t), "sanctions"))
+    return alerts.select("alert_type", "severity", "mmsi", F.unix_seconds("detected_at").alias("t_s"))
+
+
+@register("j17_all_detectors", _ALL_ALERTS)
 def all_detectors(t: Tables):
-    alerts = pipeline.run_pipeline(t.positions, t.zones, written(sanction_records(t), "sanctions"))
-    return alerts.groupBy("alert_type", "severity").agg(F.count("*").alias("alerts"))
+    return _all_alerts(t, t.positions)
+
+
+@register("j17_repeated_messages", _ALL_ALERTS)
+def repeated_messages(t: Tables):
+    """Every report comes twice; the alerts stay the same."""
+    return _all_alerts(t, t.positions.union(t.positions))
 
 
 @register(

@@ -201,21 +201,18 @@ def high_risk_flag_reports(t: Tables):
     )
 
 
-FLEET = """vs as materialized (select v, min(imo_number) as imo, min(ship_name) as name from (select *, cast(substr(ship_name, 8) as int) as v from p
-   where ship_name like 'VESSEL %') group by v)"""
+# Every vessel that reports; those without an IMO number get one from their MMSI.
+FLEET = """vs as materialized (select imo, min(name) as name from (select mmsi, coalesce(min(imo_number), '9' || mmsi) as imo, min(ship_name) as name from p group by mmsi) group by imo)"""
 
 
 def _vessels(t: Tables):
-    v = F.substring("ship_name", 8, 20).cast("int")
-    return (
-        t.positions.where(F.col("ship_name").startswith("VESSEL ")).withColumn("v", v)
-        .groupBy("v").agg(F.min("imo_number").alias("imo"), F.min("ship_name").alias("name"))
-    )
+    own = t.positions.groupBy("mmsi").agg(F.min("imo_number").alias("imo"), F.min("ship_name").alias("name"))
+    return own.groupBy(F.coalesce("imo", F.concat(F.lit("9"), "mmsi")).alias("imo")).agg(F.min("name").alias("name"))
 
 
 def _source(vessels, marks, source):
     return vessels.select(
-        F.coalesce("imo", F.concat(F.lit("9"), F.lpad(F.col("v").cast("string"), 6, "0"))).alias("imo"), "name", F.lit("tanker").alias("type"),
+        "imo", "name", F.lit("tanker").alias("type"),
         F.array(*[F.lit(m) for m in marks]).alias("sanctions"), F.lit("high").alias("risk_level"), F.lit("").alias("notes"), F.lit(source).alias("source"),
     )
 
@@ -225,25 +222,29 @@ def _source(vessels, marks, source):
     S.query(
         S.POSITIONS, FLEET,
         "select 'IMO:' || imo as key, imo as imo_number, name as vessel_name, 'unknown' as vessel_type, 'high' as risk_level, 'shadow_fleet_database' as source "
-        "from vs where imo is not null",
+        "from vs",
     ),
 )
 def shadow_fleet_records(t: Tables):
-    rows = _vessels(t).where("imo is not null").select("imo", "name")
+    rows = _vessels(t).select("imo", "name")
     return fleet.shadow_fleet_records(rows).select("key", "imo_number", "vessel_name", "vessel_type", "risk_level", "source")
 
 
-_IMO_OF = "coalesce(imo, '9' || lpad(v::varchar, 6, '0'))"
-SOURCES = f"""src as (select {_IMO_OF} as imo, name, 'local' as source, 0 as s, ['UA'] as sanctions from vs where v % 2 = 0
-  union all select {_IMO_OF}, name, 'OFAC', 1, ['OFAC'] from vs where v % 3 = 0
-  union all select {_IMO_OF}, name, 'EU', 2, ['EU', 'CH'] from vs where v % 5 = 0),
+# The local list has the vessels with a number of their own, one list all, the last those with an old name.
+SOURCES = """src as (select imo, name, 'local' as source, 0 as s, ['UA'] as sanctions from vs where length(imo) = 7
+  union all select imo, name, 'OFAC', 1, ['OFAC'] from vs
+  union all select imo, name, 'EU', 2, ['EU', 'CH'] from vs where name like 'NAME %'),
 uni as (select * exclude (n) from (select *, row_number() over (partition by imo order by s, name) as n from src) where n = 1)"""
 _HASH = "substr(sha256(imo || ':' || name || ':' || array_to_string(list_sort(sanctions), ',')), 1, 16)"
 
 
 def _sources(t: Tables):
     v = _vessels(t)
-    return [_source(v.where("v % 2 = 0"), ["UA"], "local"), _source(v.where("v % 3 = 0"), ["OFAC"], "OFAC"), _source(v.where("v % 5 = 0"), ["EU", "CH"], "EU")]
+    return [
+        _source(v.where("length(imo) = 7"), ["UA"], "local"),
+        _source(v, ["OFAC"], "OFAC"),
+        _source(v.where("name like 'NAME %'"), ["EU", "CH"], "EU"),
+    ]
 
 
 @register("h02_union_sources", S.query(S.POSITIONS, FLEET, SOURCES, "select imo, name, source from uni"))
@@ -283,8 +284,8 @@ def refresh_sanctions(t: Tables):
     "d08_merge_vessels",
     S.query(
         S.POSITIONS, FLEET,
-        f"""a as (select {_IMO_OF} as imo, name, case when v % 4 = 0 then ['TT'] else ['EU'] end as s from vs where v % 2 = 0),
-b as (select {_IMO_OF} as imo, name from vs where v % 3 = 0)""",
+        """a as (select imo, name, case when name like 'NAME %' then ['TT'] else ['EU'] end as s from vs where length(imo) = 7),
+b as (select imo, name from vs)""",
         """select coalesce(a.imo, b.imo) as imo, coalesce(a.name, b.name) as name, case when a.imo is null then 'high' else 'critical' end as risk_level,
   case when a.imo is null then 'TT' when b.imo is not null and not list_contains(s, 'TT') then 'EU,TT' else array_to_string(s, ',') end as sanctions,
   case when a.imo is null then 'added' when b.imo is not null and not list_contains(s, 'TT') then 'updated' end as change
@@ -292,12 +293,12 @@ b as (select {_IMO_OF} as imo, name from vs where v % 3 = 0)""",
     ),
 )
 def merge_vessels(t: Tables):
-    v = _vessels(t).withColumn("imo", F.coalesce("imo", F.concat(F.lit("9"), F.lpad(F.col("v").cast("string"), 6, "0"))))
-    have = v.where("v % 2 = 0").select(
+    v = _vessels(t)
+    have = v.where("length(imo) = 7").select(
         "imo", "name", F.lit("RU").alias("flag"), F.lit("tanker").alias("type"),
-        F.array(F.when(F.col("v") % 4 == 0, "TT").otherwise("EU")).alias("sanctions"), F.lit("critical").alias("risk_level"), F.lit("").alias("notes"),
+        F.array(F.when(F.col("name").startswith("NAME "), "TT").otherwise("EU")).alias("sanctions"), F.lit("critical").alias("risk_level"), F.lit("").alias("notes"),
     )
-    found = v.where("v % 3 = 0").select("imo", "name", F.lit("").alias("flag"))
+    found = v.select("imo", "name", F.lit("").alias("flag"))
     return fleet.merge_vessels(have, found, "2024-01-01").select("imo", "name", "risk_level", F.array_join("sanctions", ",").alias("sanctions"), "change")
 
 
@@ -753,10 +754,24 @@ def retained_incidents(t: Tables):
         "select inc.id, string_agg(alert_id, ',' order by t_s, alert_id) as alert_ids from b join inc using (mmsi, session) where n <= 30 group by inc.id, mmsi",
     ),
 )
-def incident_alerts(t: Tables):
+def incident_shown_alerts(t: Tables):
     return _incidents(t).select("id", F.array_join(F.transform("alerts", lambda a: a["alert_id"]), ",").alias("alert_ids"))
 
 
+@register("g06_incident_all_alerts", S.query(S.POSITIONS, *INCIDENT_CTE, "select inc.id as incident_id, alert_id from ses join inc using (mmsi, session)"))
+def incident_all_alerts(t: Tables):
+    return incidents.incident_alerts(sample_alerts(t)).select("incident_id", "alert_id")
+
+
+@register(
+    "j14_vessel_incidents",
+    S.query(S.POSITIONS, *INCIDENT_CTE, "select id, severity, alert_count, risk_score from inc where mmsi = (select max(mmsi) from inc)"),
+)
+def vessel_incidents(t: Tables):
+    inc = _incidents(t)
+    return incidents.vessel_incidents(inc, inc.agg(F.max("mmsi")).scalar()).select("id", "severity", "alert_count", "risk_score")
+
+
 @register("d09_alert_incident_ids", S.query(S.POSITIONS, *INCIDENT_CTE, "select alert_id, inc.id as incident_id from ses join inc using (mmsi, session)"))
 def alert_incident_ids(t: Tables):
     a = sample_alerts(t)
@@ -766,14 +781,12 @@ def alert_incident_ids(t: Tables):
 
 @register(
     "j14_incident_detail",
-    S.query(S.POSITIONS, *INCIDENT_CTE, CUR, "select id, inc.mmsi, severity, cur.row_id as vessel_row from inc left join cur using (mmsi) where mmsi = (select min(mmsi) from inc)"),
+    S.query(S.POSITIONS, *INCIDENT_CTE, CUR, "select id, inc.mmsi, severity, cur.row_id as vessel_row from inc left join cur using (mmsi) where id = (select min(id) from inc)"),
 )
 def incident_detail(t: Tables):
     inc = _incidents(t)
-    first = inc.agg(F.min("mmsi").alias("mmsi"))
-    own = inc.join(first, "mmsi", "left_semi")
-    vessel = cur(t).select("mmsi", F.col("row_id").alias("vessel_row"))
-    return own.join(vessel, "mmsi", "left").select("id", "mmsi", "severity", "vessel_row")
+    found = incidents.incident_detail(inc, cur(t), inc.agg(F.min("id")).scalar())
+    return found.select("id", "mmsi", "severity", F.col("vessel.row_id").alias("vessel_row"))
 
 
 @register(
@@ -783,13 +796,13 @@ def incident_detail(t: Tables):
 )
 def system_stats(t: Tables):
     a = sample_alerts(t)
-    return serving.system_stats(cur(t), a, incidents.correlate_incidents(a))
+    return serving.system_stats(cur(t), a, written(incidents.correlate_incidents(a), "incidents"))
 
 
 @register(
     "e03_storage_stats",
     S.query(S.POSITIONS, *INCIDENT_CTE, THIN, TRAILS,
-            "select (select count(*) from tra) as trail_vessels, (select cast(sum(point_count) as bigint) from tra) as trail_points, (select count(*) from inc) as incidents, (select cast(sum(alert_count) as bigint) from inc) as incident_alerts, (select count(*) from inc) as active, 0::bigint as resolved"),
+            "select (select count(*) from tra) as trail_vessels, (select cast(sum(point_count) as bigint) from tra) as trail_points, (select count(*) from inc) as incidents, (select cast(sum(least(alert_count, 30)) as bigint) from inc) as incident_alerts, (select count(*) from inc) as active, 0::bigint as resolved"),
 )
 def storage_stats(t: Tables):
     return serving.storage_stats(_trails(t), _incidents(t))

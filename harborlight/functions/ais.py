@@ -69,14 +69,14 @@ def mid(mmsi="mmsi") -> Column:
     return F.when(F.length(m) >= 3, F.substring(m, 1, 3))
 
 
-def flag_state(mmsi="mmsi", source: str = "cable", mids: dict[str, list[str]] | None = None) -> Column:
+def flag_state(mmsi="mmsi", source: str = "cable", mids: list[tuple[str, str]] | None = None) -> Column:
     """Flag code of an MMSI by one of the tables.
 
     cable: unknown digits stay as they are, too short gives UNKNOWN. investigator and spoofing:
-    unknown gives null. display: unknown digits stay, too short gives XX. `mids` (flag -> digits)
-    replaces the table.
+    unknown gives null. display: unknown digits stay, too short gives XX. `mids`, pairs of
+    digits and flag, replaces the table.
     """
-    pairs = [(m, c) for c, ms in mids.items() for m in ms] if mids else dims.mid_pairs(source)
+    pairs = mids if mids else dims.mid_pairs(source)
     digits = mid(mmsi)
     known = F.element_at(dims.map_column(pairs), digits)
     if source == "cable":
@@ -89,7 +89,7 @@ def flag_state(mmsi="mmsi", source: str = "cable", mids: dict[str, list[str]] |
 def flag_display(mmsi="mmsi") -> Column:
     """struct(code, name, flagged) as shown to a user."""
     digits = mid(mmsi)
-    names = dims.map_column([(m, name) for _, name, ms in dims.DISPLAY_MIDS for m in ms])
+    names = dims.map_column([(m, name) for m, _, name in dims.DISPLAY_MIDS])
     name = F.coalesce(F.element_at(names, digits), F.concat(F.lit("MID "), digits), F.lit("Unknown"))
     return F.struct(
         flag_state(mmsi, "display").alias("code"),

@@ -76,7 +76,7 @@ def zone_track(positions: DataFrame, zone: DataFrame, start_s: int | None = None
         .drop("edges", "bbox", "_cell_lat", "_cell_lon")
     )
     tracked = with_history(
-        near, previous("_prev", "inside"), running_max("_entered", F.col("inside").cast("int"))
+        near, previous("_prev", "inside"), running_max("_entered", F.col("inside").cast("int")), counted=positions
     )
     return (
         tracked.withColumn("was_inside", F.coalesce(F.col("_prev.inside"), F.lit(False)))
@@ -155,7 +155,7 @@ def investigate_zone(
     zone_id: str,
     start_s: int | None = None,
     end_s: int | None = None,
-    mids: dict[str, list[str]] | None = None,
+    mids: list[tuple[str, str]] | None = None,
 ) -> Investigation:
     """Vessels that entered the zone, the timeline of crossings, flags and suspicious vessels."""
     track = zone_track(positions, zones.where(F.col("zone_id") == zone_id), start_s, end_s)
@@ -188,7 +188,7 @@ def report_lines(result: Investigation) -> DataFrame:
     found = F.when(F.size("indicators") > 0, F.array_join("indicators", ", ")).otherwise("-")
     line = F.format_string(
         "| %s | %s | %s | %d | %s min | %s | %s | %s |",
-        F.col("mmsi"), F.substring(F.coalesce(F.col("ship_name"), F.lit("Unknown")), 1, 20),
+        F.col("mmsi"), F.coalesce(F.col("ship_name"), F.lit("Unknown")),
         F.coalesce(F.col("flag_state"), F.lit("??")), F.col("entries"), F.format_string("%.1f", F.col("minutes_in_zone")),
         F.when(F.col("min_speed").isNull(), "-").otherwise(number("min_speed")),
         F.when(F.col("avg_speed").isNull(), "-").otherwise(number("avg_speed")),

@@ -18,6 +18,8 @@ from harborlight.plans.risk import score_vessel_risk
 from harborlight.plans.sanctions_match import detect_shadow_fleet
 from harborlight.plans.spoofing import detect_spoofing
 from harborlight.plans.trajectory import detect_trajectory
+from harborlight.session import written
+from harborlight.sources.positions import without_repeats
 
 
 def union_alerts(parts: list[DataFrame]) -> DataFrame:
@@ -29,8 +31,9 @@ def run_pipeline(
 ) -> DataFrame:
     """Alerts of all active detectors. Loitering is built but off, as it repeats what others report.
 
-    `positions` feeds every detector; hand in a stored table or one from session.written().
+    Repeated messages are dropped first, and the rest is stored, as it feeds every detector.
     """
+    positions = written(without_repeats(positions), "reports")
     parts = [
         detect_geofence(positions, zones),
         detect_gone_dark(positions, as_of=as_of),

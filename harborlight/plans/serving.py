@@ -156,18 +156,18 @@ def alert_stats(alerts: DataFrame) -> DataFrame:
 
 def system_stats(current: DataFrame, alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     """total_vessels, total_alerts, total_incidents, active_incidents as one row."""
-    parts = (
-        current.select(F.lit("total_vessels").alias("k"), F.lit(1).alias("v"))
-        .unionByName(alerts.select(F.lit("total_alerts").alias("k"), F.lit(1).alias("v")))
-        .unionByName(incidents.select(F.lit("total_incidents").alias("k"), F.lit(1).alias("v")))
-        .unionByName(
-            incidents.where(F.col("status") == "ACTIVE").select(F.lit("active_incidents").alias("k"), F.lit(1).alias("v"))
-        )
-    )
     names = ["total_vessels", "total_alerts", "total_incidents", "active_incidents"]
-    return parts.groupBy("k").agg(F.sum("v").alias("n")).agg(
-        *[F.coalesce(F.max(F.when(F.col("k") == name, F.col("n"))), F.lit(0)).alias(name) for name in names]
+
+    def part(df: DataFrame, **counts: Column) -> DataFrame:
+        return df.agg(*[counts.get(name, F.lit(0).cast("long")).alias(name) for name in names])
+
+    every = F.count("*")
+    parts = (
+        part(current, total_vessels=every)
+        .unionByName(part(alerts, total_alerts=every))
+        .unionByName(part(incidents, total_incidents=every, active_incidents=F.count_if(F.col("status") == "ACTIVE")))
     )
+    return parts.agg(*[F.sum(name).alias(name) for name in names])
 
 
 def storage_stats(trail: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -179,28 +179,28 @@ def storage_stats(trail: DataFrame, incidents: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ACTIVE").alias("active"),
         F.count_if(F.col("status") == "RESOLVED").alias("resolved"),
     )
-    # Two one-row tables.
-    return points.withColumn("_one", F.lit(1)).join(held.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    one = held.select(F.struct(*held.columns)).scalar()
+    return points.withColumn("_held", one).select(*points.columns, "_held.*")
 
 
 def active_vessels(current: DataFrame, now_s: int, most: int | None = None, spare: int = 0) -> DataFrame:
     """Vessels seen within six hours; if more than `most`, where given, the oldest go, `spare` beyond the excess.
 
-    The count is a one-row table joined to the rows, so nothing passes through the driver.
+    The count is a scalar subquery; only one number passes through the driver.
     """
     fresh = current.where(F.col("t_s") >= now_s - VESSEL_TTL_S)
     if most is None:
         return fresh
-    total = fresh.agg(F.count("*").alias("_total")).withColumn("_one", F.lit(1))
+    total = fresh.agg(F.count("*")).scalar()
     by_second = fresh.groupBy("t_s").agg(F.count("*").alias("_here"))
     # Vessels per second of last report; the running count goes over seconds, not vessels.
     earlier = by_second.withColumn(
         "_before", F.coalesce(F.sum("_here").over(Window.orderBy("t_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).drop("_here")
     within = Window.partitionBy("t_s").orderBy("mmsi")
-    ranked = fresh.withColumn("_n", F.row_number().over(within)).join(earlier, "t_s").withColumn("_one", F.lit(1))
+    ranked = fresh.withColumn("_n", F.row_number().over(within)).join(earlier, "t_s").withColumn("_total", total)
     drop = F.when(F.col("_total") > most, F.col("_total") - most + spare).otherwise(0)
-    return ranked.join(total, "_one").where(F.col("_before") + F.col("_n") > drop).select(*current.columns)
+    return ranked.where(F.col("_before") + F.col("_n") > drop).select(*current.columns)
 
 
 def position_changes(positions: DataFrame) -> DataFrame:

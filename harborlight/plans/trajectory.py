@@ -24,10 +24,11 @@ def _box_cells(box: Column, size: float) -> tuple[Column, Column]:
 
 
 def _reach_box(lat: Column, lon: Column, nm: Column) -> Column:
-    """Box around every point within `nm`, cut at latitude 89."""
-    north, south = F.least(lat + nm / 60, F.lit(89.0)), F.greatest(lat - nm / 60, F.lit(-89.0))
+    """Box around every point within `nm`; one that comes near a pole takes in all longitudes."""
+    north, south = F.least(lat + nm / 60, F.lit(90.0)), F.greatest(lat - nm / 60, F.lit(-90.0))
     # Meridians are closest at the latitude farthest from the equator.
-    dlon = nm / 60 * 1.05 / F.cos(F.radians(F.greatest(F.abs(north), F.abs(south))))
+    farthest = F.greatest(F.abs(north), F.abs(south))
+    dlon = F.when(farthest > 89, 360.0).otherwise(F.least(F.lit(360.0), nm / 60 * 1.05 / F.cos(F.radians(farthest))))
     return F.struct(
         south.alias("min_lat"), (lon - dlon).alias("min_lon"), north.alias("max_lat"), (lon + dlon).alias("max_lon")
     )
@@ -88,17 +89,30 @@ def path_zone_hits(
 
     Vessels and zones first meet on grid cells, by how far the vessel can get at all; only then
     is the path worked out. A pair that shares several cells is taken in the lowest shared one
-    only, so no distinct is needed.
+    only, so no distinct is needed. The reach is cut to the box around all zones, so a report
+    with any speed is copied to no more cells than the zones lie among.
     """
     lat, lon, knots = F.col("latitude"), F.col("longitude"), F.col("speed_over_ground")
     reach = F.lit(minutes / 60.0 * 1.01) * knots
+    targets = with_edges(zones_of_type(zones)).select("zone_id", "zone_name", "edges", "bbox")
+    lows, highs = ("min_lat", "min_lon"), ("max_lat", "max_lon")
+    around = targets.agg(F.struct(
+        *[F.min(f"bbox.{c}").alias(c) for c in lows], *[F.max(f"bbox.{c}").alias(c) for c in highs]
+    ).alias("box")).scalar()
+    box, whole = F.col("_reach"), F.col("_around")
+    cut = F.struct(
+        *[F.greatest(box[c], whole[c]).alias(c) for c in lows], *[F.least(box[c], whole[c]).alias(c) for c in highs]
+    )
     moving = (
-        positions.where(lat.between(-85, 85) & lon.between(-180, 180))
+        positions.where(lat.between(-90, 90) & lon.between(-180, 180))
         .withColumn("course", F.coalesce(F.col("course_over_ground"), F.col("heading")))
         .where(F.col("course").isNotNull())
         .withColumn("_reach", _reach_box(lat, lon, reach))
+        .withColumn("_around", around)
+        .where(_touching(box, whole))
+        .withColumn("_reach", cut)
+        .drop("_around")
     )
-    targets = with_edges(zones_of_type(zones)).select("zone_id", "zone_name", "edges", "bbox")
     vlats, vlons = _box_cells(F.col("_reach"), size)
     zlats, zlons = _box_cells(F.col("bbox"), size)
     vessels = moving.withColumn("_cell_lat", F.explode(vlats)).withColumn("_cell_lon", F.explode(vlons))

@@ -41,6 +41,11 @@ def with_event_time(positions: DataFrame, timestamp: str = "timestamp") -> DataF
     return timed.withColumn("t_s", F.unix_seconds("event_time")).withColumn("row_id", F.xxhash64(*positions.columns))
 
 
+def without_repeats(positions: DataFrame) -> DataFrame:
+    """Each report once. Topics deliver at least once, and equal messages have equal row ids."""
+    return positions.dropDuplicates(["mmsi", "t_s", "row_id"])
+
+
 def normalize_ais(raw: DataFrame, message: str = "value") -> DataFrame:
     """Raw JSON feed messages -> POSITION_SCHEMA, in one pass over the nested struct.
 

@@ -131,6 +131,17 @@ def read_sanction_entities(spark: SparkSession, path: str) -> DataFrame:
     return entity_columns(_documents(spark, path, "entities", ENTITY_ITEM))
 
 
+def read_mids(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Lines `digits,flag` -> pairs for the functions that take `mids`.
+
+    Other lines are left out, and the first flag by name counts where digits repeat; as digits
+    are three, that makes a thousand pairs at most.
+    """
+    lines = spark.read.schema("mid string, flag string").csv(path)
+    known = lines.where(F.col("mid").rlike("^[0-9]{3}$") & (F.col("flag") != ""))
+    return [(r.mid, r.flag) for r in known.groupBy("mid").agg(F.min("flag").alias("flag")).orderBy("mid").collect()]
+
+
 def wrap_reference(df: DataFrame, record_type: str, id_column: str, loaded_at: Column | None = None) -> DataFrame:
     """Rows -> reference messages: key `type:id`, value JSON {record_type, loaded_at, data}."""
     stamp = loaded_at if loaded_at is not None else F.current_timestamp()

@@ -31,9 +31,13 @@ def read_folder(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def positions_stream(messages: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Messages -> positions with event time and watermark; rows without a readable time are left out."""
+    """Messages -> positions with event time and watermark; rows without a readable time are left out.
+
+    A message delivered again within the lateness counts once.
+    """
     timed = with_event_time(parse_positions(messages))
-    return timed.where(F.col("event_time").isNotNull()).withWatermark("event_time", lateness)
+    kept = timed.where(F.col("event_time").isNotNull()).withWatermark("event_time", lateness)
+    return kept.dropDuplicatesWithinWatermark(["mmsi", "t_s", "row_id"])
 
 
 def read_positions_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:

@@ -5,13 +5,14 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from harborlight import dims
 from harborlight.functions import ais, alerts, geo
 from harborlight.plans.investigate import parse_timeframe
 from harborlight.sources import fleet, positions as src, reference
 
 
 def raw(kind, mmsi, body, **meta):
-    m = dict(MMSI=mmsi, ShipName="META", latitude=38.5, longitude=15.2, time_utc="2024-01-01 12:00:00.123456789 +0000 UTC", **meta)
+    m = dict(MMSI=mmsi, ShipName="META", latitude=58.9, longitude=19.4, time_utc="2024-01-01 12:00:00.123456789 +0000 UTC", **meta)
     if mmsi is None:
         del m["MMSI"]
     return json.dumps({"MessageType": kind, "MetaData": m, "Message": {kind: body}})
@@ -19,19 +20,19 @@ def raw(kind, mmsi, body, **meta):
 
 def test_normalize_three_types_and_drops(spark):
     messages = [
-        raw("PositionReport", 123456789, {"MessageID": 1, "Cog": 180.5, "Sog": 12.3, "TrueHeading": 179, "NavigationalStatus": 0}),
-        raw("ShipStaticData", 987654321, {"Name": "", "Type": 70, "ImoNumber": 7654321, "Dimension": {"A": 150, "B": 50, "C": 20, "D": 20}}),
-        raw("StandardClassBPositionReport", 111222333, {"Sog": 5.5, "Cog": 1.0}),
+        raw("PositionReport", 230145678, {"MessageID": 3, "Cog": 47.2, "Sog": 8.6, "TrueHeading": 51, "NavigationalStatus": 5}),
+        raw("ShipStaticData", 265547210, {"Name": "", "Type": 83, "ImoNumber": 9387421, "Dimension": {"A": 112, "B": 31, "C": 9, "D": 14}}),
+        raw("StandardClassBPositionReport", 276003491, {"Sog": 3.4, "Cog": 212.0}),
         raw("PositionReport", None, {"Sog": 1.0}),
         raw("BaseStationReport", 5, {}),
         "{broken",
     ]
     rows = {r.mmsi: r for r in src.with_event_time(src.normalize_ais(spark.createDataFrame([(m,) for m in messages], "value string"))).collect()}
-    assert set(rows) == {"123456789", "987654321", "111222333"}
-    a, b, c = rows["123456789"], rows["987654321"], rows["111222333"]
-    assert (a.message_type, a.speed_over_ground, a.course_over_ground, a.ship_type) == (1, 12.3, 180.5, None)
-    assert (b.ship_type, b.imo_number, b.dimension_a, b.dimension_b, b.ship_name, b.speed_over_ground) == (70, "7654321", 150, 50, "META", None)
-    assert (c.message_type, c.speed_over_ground, c.nav_status) == (18, 5.5, None)
+    assert set(rows) == {"230145678", "265547210", "276003491"}
+    a, b, c = rows["230145678"], rows["265547210"], rows["276003491"]
+    assert (a.message_type, a.speed_over_ground, a.course_over_ground, a.ship_type) == (3, 8.6, 47.2, None)
+    assert (b.ship_type, b.imo_number, b.dimension_a, b.dimension_b, b.ship_name, b.speed_over_ground) == (83, "9387421", 112, 31, "META", None)
+    assert (c.message_type, c.speed_over_ground, c.nav_status) == (18, 3.4, None)
     assert a.t_s == 1704110400
 
 
@@ -95,13 +96,13 @@ def test_scalar_cases(spark):
     def value(c):
         return one.select(c).first()[0]
 
-    cats = {70: "cargo", 84: "tanker", 35: "fishing", 69: "passenger", 99: "other", None: "unknown", 0: "unknown"}
+    cats = {77: "cargo", 81: "tanker", 30: "fishing", 64: "passenger", 96: "other", None: "unknown", 0: "unknown"}
     for t, want in cats.items():
         assert value(ais.vessel_category(F.lit(t).cast("int"))) == want
-    assert value(ais.format_coordinates(F.lit(38.5), F.lit(15.2))) == "38.5000° N, 15.2000° E"
-    assert value(ais.format_coordinates(F.lit(-33.9), F.lit(-151.2))) == "33.9000° S, 151.2000° W"
-    assert value(ais.format_speed(F.lit(12.3))) == "12.3 kts" and value(ais.format_speed(F.lit(None).cast("double"))) == "N/A"
-    assert value(ais.format_course(F.lit(180.5))) == "181°"
+    assert value(ais.format_coordinates(F.lit(59.44), F.lit(24.75))) == "59.4400° N, 24.7500° E"
+    assert value(ais.format_coordinates(F.lit(-12.5), F.lit(-77.25))) == "12.5000° S, 77.2500° W"
+    assert value(ais.format_speed(F.lit(7.8))) == "7.8 kts" and value(ais.format_speed(F.lit(None).cast("double"))) == "N/A"
+    assert value(ais.format_course(F.lit(90.6))) == "91°"
     assert value(ais.nav_status_name(F.lit(1))) == "At anchor" and value(ais.nav_status_name(F.lit(99))) == "Unknown"
     assert value(ais.zone_type_from_filename(F.lit("sanctioned_eez"))) == "EEZ"
     assert value(alerts.max_severity(F.lit("LOW"), F.lit("HIGH"), F.lit("MEDIUM"))) == "HIGH"
@@ -113,7 +114,15 @@ def test_scalar_cases(spark):
     assert value(geo.centroid(pts)) == (57.5, 21.0) and value(geo.points_area_nm2(F.slice(pts, 1, 1))) == 0.0
     assert value(ais.flag_display(F.lit("273000000"))) == ("RU", "Russia", True)
     assert value(ais.flag_state(F.lit("12"), "cable")) == "UNKNOWN" and value(ais.flag_state(F.lit("999000000"), "cable")) == "999"
-    assert value(ais.flag_state(F.lit("999000000"), "investigator", {"ZZ": ["999"]})) == "ZZ"
+    assert value(ais.flag_state(F.lit("999000000"), "investigator", [("999", "ZZ")])) == "ZZ"
+
+
+def test_flag_tables(spark, tmp_path):
+    tables = {s: dims.mid_pairs(s) for s in ("spoofing", "cable", "display", "investigator")}
+    assert [len(tables[s]) for s in ("spoofing", "cable", "display")] == [50, 27, 101]
+    assert all(len(t) == len({m for m, _ in t}) for t in tables.values())
+    (tmp_path / "mids.csv").write_text("273,RU\nabc,XX\n601,ZA\n601,ZZ\n12,QQ\n999,\n")
+    assert reference.read_mids(spark, str(tmp_path / "mids.csv")) == [("273", "RU"), ("601", "ZA")]
 
 
 def test_timeframe():
