@@ -117,27 +117,27 @@ def _group(key) -> Column:
 
 
 def slice_table(counted: DataFrame, key, seconds: int, most: int) -> DataFrame:
-    """One row with an array: struct(group, length, parts) for each group of keys.
+    """One row with an array of struct(length, parts), an entry for each group of keys.
 
-    Where no key of a group has over `most` rows in a slice of `seconds`, the length stays. Else
-    it is as many minutes as hold `most` rows at the busiest minute's rate. If that minute alone
-    holds more, slices last a second, each cut by row number into `parts`. The array has GROUPS
-    entries whatever the input, so it fits in a scalar subquery.
+    A slice lasts as many minutes as hold `most` rows at the rate of the group's busiest minute,
+    at most `seconds`. If that minute alone holds more, slices last a second, each cut by row
+    number into `parts`. The array has GROUPS entries whatever the input, so it fits in a scalar
+    subquery.
     """
     by_minute = counted.groupBy(*key, F.floor(F.col("t_s") / MINUTE).alias("_minute")).agg(F.count("*").alias("_n"))
-    by_slice = by_minute.groupBy(*key, F.floor(F.col("_minute") * MINUTE / seconds).alias("_long")).agg(
-        F.sum("_n").alias("_n"), F.max("_n").alias("_minute_n")
-    )
-    at_once, busiest = F.col("_n") <= most, F.col("_minute_n")
-    minutes = F.floor(F.lit(most) / busiest).cast("long")
-    length = F.when(at_once, seconds).when(busiest > most, 1).otherwise(F.least(minutes * MINUTE, F.lit(seconds)))
-    parts = F.when(~at_once & (busiest > most), F.ceil(busiest / most)).otherwise(1)
-    busy = by_slice.select(_group(key).alias("group"), length.cast("long").alias("length"), parts.cast("long").alias("parts"))
-    every = counted.sparkSession.range(GROUPS).select(
-        F.col("id").cast("int").alias("group"), F.lit(seconds).cast("long").alias("length"), F.lit(1).cast("long").alias("parts")
-    )
-    settled = every.unionByName(busy).groupBy("group").agg(F.min("length").alias("length"), F.max("parts").alias("parts"))
-    return settled.agg(F.sort_array(F.collect_list(F.struct("group", "length", "parts"))).alias("slices"))
+    busiest = by_minute.groupBy(_group(key).alias("g")).agg(F.max("_n").alias("n"))
+    # Groups that need no cutting are left out here and filled in below.
+    busy = busiest.where(F.ceil(F.lit(seconds) / MINUTE) * F.col("n") > most)
+    rates = busy.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("rates"))
+
+    def cut(n: Column) -> Column:
+        minutes = F.floor(F.lit(most) / n) * MINUTE
+        length = F.when(n.isNull(), seconds).when(n > most, 1).otherwise(F.least(minutes, F.lit(seconds)))
+        parts = F.when(n > most, F.ceil(n / most)).otherwise(1)
+        return F.struct(length.cast("long").alias("length"), parts.cast("long").alias("parts"))
+
+    groups = F.sequence(F.lit(0), F.lit(GROUPS - 1))
+    return rates.select(F.transform(groups, lambda g: cut(F.element_at("rates", g))).alias("slices"))
 
 
 def sliced(
