@@ -14,6 +14,8 @@ from harborlight.plans.sanctions_match import COOLDOWN_S as SANCTION_COOLDOWN_S
 from harborlight.plans.sanctions_match import sanction_matches
 from harborlight.plans.serving import TRAIL_POINTS
 from harborlight.plans.spoofing import report_findings, with_jump
+from harborlight.plans.trajectory import COOLDOWN_S as TRAJECTORY_COOLDOWN_S
+from harborlight.plans.trajectory import trajectory_candidates
 from harborlight.session import written
 from harborlight.streaming.stateful import throttle_stream, with_memory
 
@@ -35,6 +37,11 @@ def shadow_fleet_stream(positions: DataFrame, records: DataFrame) -> DataFrame:
     return throttle_stream(sanction_matches(positions, records), ["mmsi"], SANCTION_COOLDOWN_S)
 
 
+def trajectory_stream(positions: DataFrame, zones: DataFrame, **limits) -> DataFrame:
+    """Vessels predicted to enter a cable zone, under the cooldown."""
+    return throttle_stream(trajectory_candidates(positions, zones, **limits), ["mmsi", "zone_id"], TRAJECTORY_COOLDOWN_S)
+
+
 def spoofing_stream(positions: DataFrame) -> DataFrame:
     """Failed checks of each report, by the batch rules over the remembered report before.
 

@@ -16,18 +16,33 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from harborlight.plans.anchor import ANCHORED_STATUSES
 from harborlight.plans.dark import MIN_MESSAGES
-from harborlight.plans.incidents import GAP_S
+from harborlight.plans.incidents import (
+    GAP_S, incident_description, incident_id, incident_score, incident_severity, incident_title,
+)
 
 DAY_S = 86400
+#: Vessels silent for so long are forgotten.
+FORGET_S = 7 * DAY_S
+
+
+def _rearm(handle: StatefulProcessorHandle, at_s: int) -> None:
+    """Leave the key one timer only."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at_s * 1000)
 
 
 class Cooldown(StatefulProcessor):
-    """Emit a row, then drop the rows of its key until the cooldown has passed."""
+    """Emit a row, then drop the rows of its key until the cooldown has passed.
+
+    Once the watermark is past the cooldown, the key is forgotten: whatever may still come is kept.
+    """
 
     def __init__(self, cooldown_s: int, strict: bool = False):
         self.wait = cooldown_s + 1 if strict else cooldown_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "t_s long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -41,8 +56,13 @@ class Cooldown(StatefulProcessor):
                 last = t
         self.last.update((last,))
         if kept:
+            _rearm(self.handle, last + self.wait)
             yield batch.iloc[kept]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -53,7 +73,7 @@ def throttle_stream(rows: DataFrame, keys: list[str], cooldown_s: int, strict: b
         statefulProcessor=Cooldown(cooldown_s, strict),
         outputStructType=rows.schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -64,8 +84,9 @@ class Silence(StatefulProcessor):
     back: a timer alone would miss a silence that ends inside one batch.
     """
 
-    def __init__(self, threshold_min: int):
+    def __init__(self, threshold_min: int, forget_s: int = FORGET_S):
         self.threshold_s = threshold_min * 60
+        self.forget_s = forget_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -89,11 +110,6 @@ class Silence(StatefulProcessor):
             "imo_number": imo, "ship_type": ship_type, "latitude": lat, "longitude": lon,
         }
 
-    def _arm(self, at_s: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at_s * 1000)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values(["t_s", "row_id"])
         v = tuple(self.vessel.get()) if self.vessel.exists() else None
@@ -120,19 +136,24 @@ class Silence(StatefulProcessor):
                 float(r.latitude), float(r.longitude),
             )
         self.vessel.update(v)
-        self._arm(v[0] + self.threshold_s)
+        _rearm(self.handle, v[0] + self.threshold_s)
         if out:
             yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         v = tuple(self.vessel.get())
         until = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        if until - v[0] >= self.forget_s:
+            self.vessel.clear()
+            return
         silent = self._silent(key[0], v, until, "silent")
+        again = v[0] + self.forget_s
         if silent:
             yield pd.DataFrame([silent])
         elif until - v[0] < DAY_S:
             # Not yet long enough against the vessel's usual interval.
-            self.handle.registerTimer(max(until + 60, v[0] + int(v[3] / v[2] * 10) + 60) * 1000)
+            again = min(again, max(until + 60, v[0] + int(v[3] / v[2] * 10) + 60))
+        self.handle.registerTimer(again * 1000)
 
     def close(self) -> None:
         pass
@@ -144,13 +165,16 @@ SILENCE_SCHEMA = (
 )
 
 
-def gone_dark_stream(positions: DataFrame, threshold_min: int = 30) -> DataFrame:
-    """`stage` silent: the threshold has passed; returned: the whole gap, once the vessel is back."""
+def gone_dark_stream(positions: DataFrame, threshold_min: int = 30, forget_s: int = FORGET_S) -> DataFrame:
+    """`stage` silent: the threshold has passed; returned: the whole gap, once the vessel is back.
+
+    A vessel that stays away for `forget_s` is forgotten and starts anew.
+    """
     needed = positions.select(
         "mmsi", "t_s", "row_id", "event_time", "speed_over_ground", "ship_type", "ship_name", "imo_number", "latitude", "longitude"
     )
     return needed.groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=Silence(threshold_min),
+        statefulProcessor=Silence(threshold_min, forget_s),
         outputStructType=SILENCE_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
@@ -162,12 +186,15 @@ class Memory(StatefulProcessor):
 
     The report before (time and place), the first IMO, and the first report of the current
     spell at anchor. The detector rules then are column expressions, the same as in batch.
+    A vessel silent for `forget_s` is forgotten.
     """
 
-    def __init__(self, anchored: tuple[int, ...]):
+    def __init__(self, anchored: tuple[int, ...], forget_s: int):
         self.anchored = anchored
+        self.forget_s = forget_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.vessel = handle.getValueState(
             "vessel",
             "t_s long, lat double, lon double, imo string, anchor_row long, anchor_t long, anchor_lat double, anchor_lon double",
@@ -187,12 +214,17 @@ class Memory(StatefulProcessor):
             added.append((t, lat, lon, imo, *anchor))
             t, lat, lon = int(r.t_s), float(r.latitude), float(r.longitude)
         self.vessel.update((t, lat, lon, imo, *anchor))
+        _rearm(self.handle, t + self.forget_s)
         # Column by column, so that row numbers with gaps do not pass through floating point.
         known = pd.DataFrame(
             {c: pd.Series(list(v), dtype=MEMORY_TYPES[c], index=batch.index) for c, v in zip(MEMORY_COLUMNS, zip(*added))}
         )
         yield pd.concat([batch, known], axis=1)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.vessel.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -207,11 +239,11 @@ MEMORY_SCHEMA = (
 )
 
 
-def with_memory(positions: DataFrame) -> DataFrame:
+def with_memory(positions: DataFrame, forget_s: int = FORGET_S) -> DataFrame:
     """Positions with MEMORY_COLUMNS; missing places come out as null."""
     schema = StructType(positions.schema.fields + _parse_datatype_string(MEMORY_SCHEMA).fields)
     rows = positions.groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=Memory(ANCHORED_STATUSES), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=Memory(ANCHORED_STATUSES, forget_s), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
     return rows.withColumns(
         {c: F.when(F.col("prev_t" if c.startswith("prev") else "anchor_t").isNotNull(), F.col(c))
@@ -220,55 +252,81 @@ def with_memory(positions: DataFrame) -> DataFrame:
 
 
 class Incidents(StatefulProcessor):
-    """Collect a vessel's alerts until none came for the gap, then emit the incident's outline."""
+    """Collect a vessel's alerts until none came for the gap.
+
+    An incident comes out with each batch that adds to it (`stage` open) and once more at its end (closed).
+    """
 
     def __init__(self, gap_s: int):
         self.gap_s = gap_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "first_s long, last_s long, alerts long, types array<string>")
+        self.open = handle.getValueState(
+            "open",
+            "first_s long, last_s long, alerts long, types array<string>, first_name string, last_name string, lat double, lon double",
+        )
 
-    def _row(self, mmsi: str, v: tuple) -> dict:
-        return {"mmsi": mmsi, "first_s": v[0], "last_s": v[1], "alert_total": v[2], "alert_types": list(v[3])}
+    def _row(self, mmsi: str, v: tuple, stage: str) -> dict:
+        first_s, last_s, alerts, types, first_name, last_name, lat, lon = v
+        return {
+            "mmsi": mmsi, "stage": stage, "first_s": first_s, "last_s": last_s, "alert_count": alerts, "alert_types": list(types),
+            "ship_name": first_name, "last_name": last_name, "lat": lat, "lon": lon,
+        }
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values(["t_s", "alert_id"])
         v = tuple(self.open.get()) if self.open.exists() else None
-        closed = []
+        out = []
         for r in batch.itertuples(index=False):
             if v is not None and r.t_s - v[1] >= self.gap_s:
-                closed.append(self._row(key[0], v))
+                out.append(self._row(key[0], v, "closed"))
                 v = None
+            name = f"MMSI {key[0]}" if pd.isna(r.vessel_name) else r.vessel_name
             if v is None:
-                v = (int(r.t_s), int(r.t_s), 1, [r.alert_type])
-            else:
-                types = list(v[3]) if r.alert_type in v[3] else [*v[3], r.alert_type]
-                v = (v[0], int(r.t_s), v[2] + 1, types)
+                v = (int(r.t_s), int(r.t_s), 0, [], name, name, None, None)
+            place = (float(r.latitude), float(r.longitude)) if r.latitude and r.longitude and not (pd.isna(r.latitude) or pd.isna(r.longitude)) else v[6:]
+            types = list(v[3]) if r.alert_type in v[3] else [*v[3], r.alert_type]
+            v = (v[0], max(v[1], int(r.t_s)), v[2] + 1, types, v[4], name, *place)
         self.open.update(v)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((v[1] + self.gap_s) * 1000)
-        if closed:
-            yield pd.DataFrame(closed)
+        _rearm(self.handle, v[1] + self.gap_s)
+        yield pd.DataFrame([*out, self._row(key[0], v, "open")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            yield pd.DataFrame([self._row(key[0], tuple(self.open.get()))])
+            yield pd.DataFrame([self._row(key[0], tuple(self.open.get()), "closed")])
             self.open.clear()
 
     def close(self) -> None:
         pass
 
 
-INCIDENT_SCHEMA = "mmsi string, first_s long, last_s long, alert_total long, alert_types array<string>"
+INCIDENT_SCHEMA = (
+    "mmsi string, stage string, first_s long, last_s long, alert_count long, alert_types array<string>, ship_name string, "
+    "last_name string, lat double, lon double"
+)
 
 
 def incidents_stream(alerts: DataFrame, gap_s: int = GAP_S, lateness: str = "10 minutes") -> DataFrame:
-    """Alerts (ALERT_SCHEMA) -> closed incidents."""
-    rows = alerts.select("mmsi", "alert_id", "alert_type", "detected_at", F.unix_seconds("detected_at").alias("t_s")).where(
-        F.col("mmsi") != ""
-    )
-    return rows.withWatermark("detected_at", lateness).groupBy("mmsi").transformWithStateInPandas(
+    """Alerts (ALERT_SCHEMA) -> open and closed incidents, with the batch form's id, score, severity and texts.
+
+    A sink that keeps the newest row per id holds the current state.
+    """
+    rows = alerts.select(
+        "mmsi", "alert_id", "alert_type", "detected_at", F.unix_seconds("detected_at").alias("t_s"), "vessel_name", "latitude", "longitude"
+    ).where(F.col("mmsi") != "")
+    outlines = rows.withWatermark("detected_at", lateness).groupBy("mmsi").transformWithStateInPandas(
         statefulProcessor=Incidents(gap_s), outputStructType=INCIDENT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
+    types = F.col("alert_types")
+    scored = outlines.withColumn("risk_score", incident_score(types))
+    return scored.select(
+        incident_id(F.col("first_s")).alias("id"),
+        "mmsi", "ship_name", "stage",
+        incident_severity(types, F.col("risk_score")).alias("severity"),
+        incident_title(types, F.col("last_name")).alias("title"),
+        incident_description(F.col("alert_count"), types, F.col("last_s") - F.col("first_s")).alias("description"),
+        "alert_types", "alert_count", "first_s", "last_s",
+        F.when(F.col("lat").isNotNull(), F.struct("lat", "lon")).alias("location"),
+        "risk_score",
+    )

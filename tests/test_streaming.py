@@ -9,8 +9,11 @@ from conftest import T0
 
 from harborlight import dims
 from harborlight.operators.throttle import throttle
+from harborlight.functions.alerts import ALERT_SCHEMA
 from harborlight.plans import spoofing
 from harborlight.plans.cable import cable_events
+from harborlight.plans.incidents import correlate_incidents
+from harborlight.plans.trajectory import trajectory_events
 from harborlight.sources.positions import parse_positions, with_event_time
 from harborlight.streaming import live, stateful, topics
 
@@ -96,14 +99,65 @@ def test_silence_is_told_on_return_and_by_timer(spark, tmp_path):
 def test_incident_stream_closes_after_gap(spark, tmp_path):
     folder = tmp_path / "in"
 
-    def alert(t, kind):
-        return json.dumps(dict(mmsi="1", alert_id=f"{kind}{t}", alert_type=kind, detected_at=iso(t)))
+    def alert(t, kind, **more):
+        return json.dumps(dict(mmsi="1", alert_id=f"{kind}{t}", alert_type=kind, detected_at=iso(t), severity="HIGH", title="T", **more))
 
-    write(folder, "a.json", [alert(0, "DARK_EVENT"), alert(100, "CABLE_PROXIMITY"), alert(1899, "DARK_EVENT"), alert(3699, "CONVOY")])
-    raw = spark.readStream.schema("mmsi string, alert_id string, alert_type string, detected_at timestamp").json(str(folder))
+    write(folder, "a.json", [alert(0, "DARK_EVENT"), alert(100, "CABLE_PROXIMITY", vessel_name="B", latitude=57.0, longitude=20.0),
+                             alert(1899, "DARK_EVENT", vessel_name="C", latitude=0.0, longitude=20.0), alert(3699, "CONVOY")])
+    raw = spark.readStream.schema(ALERT_SCHEMA).json(str(folder))
     rows = drain(stateful.incidents_stream(raw), "incs", tmp_path / "c")
-    first = [r for r in rows if r.first_s == T0]
-    assert [(r.last_s - T0, r.alert_total, r.alert_types) for r in first] == [(1899, 3, ["DARK_EVENT", "CABLE_PROXIMITY"])]
+    columns = ["id", "mmsi", "ship_name", "severity", "title", "description", "alert_types", "alert_count", "location", "risk_score"]
+    whole = correlate_incidents(spark.read.schema(ALERT_SCHEMA).json(str(folder))).select(*columns).collect()
+    by_id = {r.id: [r[c] for c in columns] for r in whole}
+    assert len(by_id) == 2 and {r.id for r in rows} == set(by_id)
+    for r in rows:
+        assert [r[c] for c in columns] == by_id[r.id]
+    assert [(r.stage, r.last_s - T0) for r in rows if r.first_s == T0] == [("closed", 1899)]
+    assert "open" in [r.stage for r in rows if r.first_s != T0]
+
+
+def test_repeats_and_state_expiry(spark, tmp_path):
+    """A message given twice counts once, and a cooldown is forgotten when the watermark has passed it."""
+    folder = tmp_path / "in"
+    write(folder, "a.json", [message(t, mmsi=f"27300000{v}") for v in range(8) for t in (0, 0, 300)])
+    stream = topics.positions_stream(topics.read_folder(spark, str(folder), files_per_trigger=1), "1 minute")
+    q = stateful.throttle_stream(stream, ["mmsi"], 900).writeStream.format("memory").queryName("expiry").option(
+        "checkpointLocation", str(tmp_path / "c")
+    ).start()
+    q.processAllAvailable()
+
+    def held():
+        return [o["numRowsTotal"] for o in q.lastProgress["stateOperators"] if o["operatorName"].startswith("transformWithState")][0]
+
+    busy = held()
+    write(folder, "b.json", [message(300)])
+    write(folder, "c.json", [message(9000, mmsi="230000099")])
+    q.processAllAvailable()
+    write(folder, "d.json", [message(9001, mmsi="230000099"), message(9200)])
+    q.processAllAvailable()
+    after = held()
+    q.stop()
+    assert busy >= 8 and after < busy
+    rows = sorted((r.mmsi, r.t_s - T0) for r in spark.table("expiry").collect())
+    assert rows == sorted([(f"27300000{v}", 0) for v in range(8)] + [("230000099", 9000), ("273000001", 9200)])
+
+
+def test_trajectory_stream_equals_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    zones = dims.zones(spark)
+
+    def sailing(t, mmsi, lat, **more):
+        return json.dumps(dict(dict(mmsi=mmsi, timestamp=iso(t), latitude=lat, longitude=21.0, speed_over_ground=14.0, course_over_ground=0.0, ship_type=70, ship_name="T"), **more))
+
+    lines = [sailing(t, "230000021", 55.5 + t / 3600 * 14 / 60) for t in range(0, 40_000, 600)]
+    # Forged reports: a speed no vessel has, near the pole and anywhere.
+    lines += [sailing(50, "230000022", 89.5, speed_over_ground=10_000.0), sailing(60, "230000023", -40.0, speed_over_ground=1e7)]
+    write(folder, "a.json", lines[::2] + lines[1::2])
+    stream = topics.positions_stream(topics.read_folder(spark, str(folder)))
+    got = drain(live.trajectory_stream(stream, zones), "paths", tmp_path / "c")
+    batch = with_event_time(parse_positions(spark.read.text(str(folder))))
+    want = trajectory_events(batch, zones).collect()
+    assert want and {(r.mmsi, r.t_s, r.zone_id) for r in got} == {(r.mmsi, r.t_s, r.zone_id) for r in want}
 
 
 def test_change_feed_and_table_sink(spark, feed, tmp_path):
