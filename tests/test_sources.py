@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -125,6 +126,16 @@ def test_flag_tables(spark, tmp_path):
     assert reference.read_mids(spark, str(tmp_path / "mids.csv")) == [("273", "RU"), ("601", "ZA")]
 
 
+def test_investigator_flags(spark):
+    path = os.path.join(os.path.dirname(dims.__file__), "data", "investigator_mids.csv")
+    whole = reference.read_mids(spark, path)
+    assert len(whole) == 246 and dims.mid_pairs("investigator") == whole
+    vessels = spark.createDataFrame([(f"{digits}000001", flag) for digits, flag in whole], "mmsi string, want string")
+    assert vessels.where(~ais.flag_state("mmsi", "investigator").eqNullSafe(F.col("want"))).count() == 0
+    unseen = spark.createDataFrame([("201000001",), ("999000001",), ("12",)], "mmsi string")
+    assert [r[0] for r in unseen.select(ais.flag_state("mmsi", "investigator")).collect()] == ["AL", None, None]
+
+
 def test_timeframe():
     now = datetime(2026, 1, 2, tzinfo=timezone.utc)
     assert parse_timeframe("48h", now)[0] == datetime(2025, 12, 31, tzinfo=timezone.utc)
