@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -382,6 +383,29 @@ def test_toxicity(spark, none):
     assert toxicity.digest(docs, table.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_order_and_shared_counts(spark):
+    rng = random.Random(4)
+    made, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        w = prose(rng, 30).split()
+        for _ in range(3):
+            w[rng.randrange(30) : 0] = ["river", "stone"] if toxic else ["stone", "river"]
+        made.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = toxicity.digest(docs, table).where("held_out").collect()
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) > 0.95 * len(held)
+    # The shared counts cover every letter of every word, and grow with the documents.
+    words = [spark.createDataFrame(x, "word binary, n long") for x in ([(b"stone ", 2)], [(b"stone ", 2), ("рекаñ ".encode(), 3)])]
+    sizes = [toxicity.shared_model(x).collect() for x in words]
+    assert [len({r.key for r in x}) for x in sizes] == [len(x) for x in sizes] and len(sizes[0]) < len(sizes[1])
+    assert all(0 < r.p <= 1 for x in sizes for r in x)
+    keys, _, room, _ = toxicity.sequences(pa.array([b"stone ", "рекаñ ".encode()]), toxicity.LONGEST)
+    assert len(room) == 12 and set(keys[-1].view("int64").tolist()) <= {r.key for r in sizes[1]}
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(8)
     item, base = prose(rng, 30), prose(rng, 60)
