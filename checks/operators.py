@@ -319,20 +319,27 @@ def extract_sanction_rows(t: Tables):
     return fleet.extract_sanction_rows(pages)
 
 
+# By the last digits of the number: 0 names it in the id list, 1 and 2 in the remarks (seven digits are read), 3 nowhere.
 @register(
     "a22_extract_ofac_vessels",
-    S.query(S.POSITIONS, FLEET, "select '9' || lpad(v::varchar, 6, '0') as imo, name, 'OFAC SDN ID: ' || v as notes from vs where v % 4 <> 3"),
+    S.query(
+        S.POSITIONS, FLEET,
+        """select case when right(imo, 3)::int % 4 = 0 then imo else left(imo, 7) end as imo, coalesce(name, '') as name, 'OFAC SDN ID: ' || imo as notes
+  from vs where right(imo, 3)::int % 4 <> 3""",
+    ),
 )
 def extract_ofac_vessels(t: Tables):
     v = _vessels(t)
-    imo = F.concat(F.lit("9"), F.lpad(F.col("v").cast("string"), 6, "0"))
-    m = F.col("v") % 4
-    by_id = F.when(m == 0, F.array(F.struct(F.lit("Vessel Registration IMO").alias("idType"), imo.alias("idNumber"))))
+    m = F.substring("imo", -3, 3).cast("int") % 4
+    by_id = F.when(m == 0, F.array(F.struct(F.lit("Vessel Registration IMO").alias("idType"), F.col("imo").alias("idNumber"))))
     entry = F.struct(
-        F.col("v").cast("string").alias("uid"), F.lit("Vessel").alias("sdnType"), F.col("name").alias("lastName"),
-        F.when(m.isin(1, 2), F.concat(F.lit("Linked; vessel imo: "), imo)).otherwise("none").alias("remarks"), by_id.alias("idList"),
+        F.col("imo").alias("uid"), F.lit("Vessel").alias("sdnType"), F.col("name").alias("lastName"),
+        F.when(m.isin(1, 2), F.concat(F.lit("Linked; vessel imo: "), "imo")).otherwise("none").alias("remarks"), by_id.alias("idList"),
+    )
+    person = F.struct(
+        F.lit("0").alias("uid"), F.lit("Individual").alias("sdnType"), F.lit("X").alias("lastName"),
+        F.concat(F.lit("IMO "), "imo").alias("remarks"), F.lit(None).cast("array<struct<idType:string,idNumber:string>>").alias("idList"),
     )
-    person = F.struct(F.lit("0").alias("uid"), F.lit("Individual").alias("sdnType"), F.lit("X").alias("lastName"), F.concat(F.lit("IMO "), imo).alias("remarks"), F.lit(None).cast("array<struct<idType:string,idNumber:string>>").alias("idList"))
     docs = v.select(F.to_json(F.struct(F.array(entry, person).alias("sdnList"))).alias("value"))
     return fleet.extract_ofac_vessels(docs).select("imo", "name", "notes")
 
