@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import held, share
+from harborlight.llm.common import free_name, held, share
 from harborlight.llm.words import NOT_ALNUM, Words, mix, slices, text_bytes
 
 #: Words of a pattern, and words of the blocks that the shift table knows.
@@ -217,7 +217,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit word, all their columns kept."""
+    """The documents without any hit word, all their columns kept.
+
+    Null, empty and blank texts hold no words and stay; repeated rows share one fate; an empty benchmark keeps all documents.
+    """
     key = F.xxhash64("doc_id", "text")
     found = find_contamination(documents.select(key.alias("doc_id"), "text"), benchmark).where("n_hit > 0")
-    return documents.join(found.select(F.col("doc_id").alias("gone")).distinct(), key == F.col("gone"), "left_anti")
+    gone = free_name(documents, "gone")
+    return documents.join(found.select(F.col("doc_id").alias(gone)).distinct(), key == F.col(gone), "left_anti")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import parts_for, text_total
+from harborlight.llm.common import free_name, parts_for, text_total
 from harborlight.llm.components import connected
 from harborlight.llm.words import SPACES, Words, gram_hashes, hashes, mix, release, slices, text_bytes
 from harborlight.session import written
@@ -482,8 +482,25 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
 def one_of_each(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, all its columns kept.
 
-    Of rows that share this doc_id one stays; rows without a doc_id all stay.
+    Rows of one doc_id and one text are one document, of which one row stays. Different texts under one doc_id are different
+    documents: they link only if their sets do, and of those that share the smallest doc_id of a component the one with
+    the smallest hash stays. Rows without a doc_id, and null, empty or blank texts, link with nothing and stay. An empty
+    table stays empty.
     """
-    found = jaccard_components(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = documents.where("doc_id is not null").join(found, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return kept.dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    own, gone, text = (free_name(documents, name) for name in ("own_key", "gone_key", "text_hash"))
+    rows = documents.where("doc_id is not null").withColumn(text, F.xxhash64("text"))
+    several = rows.groupBy(F.col("doc_id").alias(gone)).agg(F.min(text).alias(own), F.max(text).alias(text)).where(f"`{own}` <> `{text}`")
+    # The doc_id names a document where it has one text.
+    rows = rows.join(several.select(gone), F.col("doc_id") == F.col(gone), "left")
+    key = F.when(F.col(gone).isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", text))
+    rows = rows.withColumn(own, key).select(*documents.columns, own)
+    linked = jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"))
+    linked = written(linked.where("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id").distinct(), "linked")
+    names = rows.select("doc_id", F.col(own).alias("node")).distinct()
+    # Only components of several documents lose any.
+    larger = linked.where("node <> component_id").select("component_id").distinct()
+    members = linked.join(larger, "component_id", "left_semi").join(names, "node")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "node"))["node"].alias("kept"))
+    lost = members.join(kept, "component_id").where("node <> kept").select(F.col("node").alias(gone))
+    stay = rows.join(lost, F.col(own) == F.col(gone), "left_anti").dropDuplicates([own]).select(*documents.columns)
+    return stay.unionByName(documents.where("doc_id is null"))

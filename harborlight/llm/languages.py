@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import crc_remainder
+from harborlight.llm.common import crc_remainder, free_name
 from harborlight.llm.words import slices
 from harborlight.session import written
 
@@ -197,7 +197,11 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def with_language(documents: DataFrame) -> DataFrame:
-    """The documents in which a language is recognised, all their columns kept."""
+    """The documents in which a language is recognised, all their columns kept.
+
+    Null, empty and blank texts, and texts without letters, go; repeated rows share one fate; an empty table stays empty.
+    """
     key = F.xxhash64("doc_id", "text")
     found = identify(documents.select(key.alias("doc_id"), "text"), learned(documents)).where(F.col("lang_pred") == UNKNOWN)
-    return documents.join(found.select(F.col("doc_id").alias("gone")).distinct(), key == F.col("gone"), "left_anti")
+    gone = free_name(documents, "gone")
+    return documents.join(found.select(F.col("doc_id").alias(gone)).distinct(), key == F.col(gone), "left_anti")

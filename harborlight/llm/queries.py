@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.llm import decontaminate, jaccard, languages, personal, sentencepieces, substrings, token_files, toxicity, urls, vectors
+from harborlight.llm import (
+    conversations, decontaminate, jaccard, languages, periodic, personal, sentencepieces, substrings, token_counts, token_files,
+    toxicity, urls, vectors,
+)
 from harborlight.llm.common import table
+from harborlight.session import shared_folder
 
 #: Vocabulary files, and the id that ends a document in token files.
 PIECES, BYTE_PAIRS, END_ID = "piece_bpe_32k.model", "byte_bpe_50k.json", 2
+#: Documents of more tokens are over the limit.
+TOKEN_LIMIT = 1024
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +64,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begins with an empty cache, so that it always encodes each different text once."""
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.digest(token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_PAIRS), cache), TOKEN_LIMIT)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.digest(given, conversations.repair(conversations.damage(given)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(table(spark, sf_dir, "documents"), periodic.stuttered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_ngram_jaccard_join, op3_sentencepiece, op4_language_id, op5_token_files, op6_decontamination,
         op7_embedding_near_dedup, op8_personal_data, op9_url_filters, op10_toxicity,
+        op11_token_counts, op12_conversation_repair, op13_periodic_runs,
     )
 }
 

@@ -197,25 +197,6 @@ class PieceEncoder:
             raise ValueError("the model's names of bytes are others")
         self.marks = {ord(m): self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",.;:!?"}
         return self
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(self.vocabulary)
-        self.known, self.numbers = {}, list(range(self.tokenizer.get_vocab_size()))
-        if self.tokenizer.normalizer is not None or type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel":
-            raise ValueError("a byte-level tokenizer without a normaliser is needed")
-        self.bytes = np.zeros(len(self.numbers), np.int64)
-        for name, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = len(name)  # a character stands for a byte
-        return self
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(self.vocabulary)
-        self.known, self.numbers = {}, list(range(self.tokenizer.get_vocab_size()))
-        plain = self.tokenizer.encode("\na b", add_special_tokens=False).ids
-        self.feed = [t.id for t in self.model.tokenize(BYTE_NAMES[10])]
-        direct = self.feed + [t.id for name in ("a", BYTE_NAMES[32] + "b") for t in self.model.tokenize(name)]
-        if plain != direct or self.tokenizer.normalizer is not None:
-            raise ValueError("a byte-level tokenizer without a normaliser is needed")
-        self.marks = {m.encode(): self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",.;:!?"}
-        return self
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         every = b"\xff".join(texts)
