@@ -35,7 +35,12 @@ def tracked_reports(positions: DataFrame) -> DataFrame:
 
 def companions(looking: DataFrame, tracked: DataFrame, nm: float, dknots: float, dcourse: float) -> DataFrame:
     """Reports of `looking` with each vessel (`o_` columns) that moves alongside."""
-    return neighbours(looking.where(F.col("speed_over_ground") >= MIN_KNOTS), tracked, nm, STALE_S).where(
+    near = neighbours(looking.where(F.col("speed_over_ground") >= MIN_KNOTS), tracked, nm, STALE_S)
+    return alongside(near, dknots, dcourse)
+
+
+def alongside(near: DataFrame, dknots: float, dcourse: float) -> DataFrame:
+    return near.where(
         (F.abs(F.col("o_speed_over_ground") - F.col("speed_over_ground")) <= dknots)
         & (geo.course_diff("o_course_over_ground", "course_over_ground") <= dcourse)
     )
@@ -51,19 +56,27 @@ def convoy_reports(
     """
     alike = companions(tracked.select(*PLACE, "seq"), tracked.drop("ship_name", "seq"), nm, dknots, dcourse)
 
+    return crews(alike, ["mmsi", "t_s", "row_id", "seq"], min_vessels)
+
+
+def crews(alike: DataFrame, report: list[str], min_vessels: int, *more: Column) -> DataFrame:
+    """What the companions of each report amount to; `more` aggregates are kept as they are."""
+
     def mark(who: str, salt: int) -> Column:
         return F.xxhash64(F.col(who), F.lit(salt))
 
-    grouped = alike.groupBy("mmsi", "t_s", "row_id", "seq", "speed_over_ground", "course_over_ground").agg(
+    grouped = alike.groupBy(*report, "speed_over_ground", "course_over_ground").agg(
         F.count("*").alias("_n"),
         F.sum("o_speed_over_ground").alias("_speeds"),
         F.sum("o_course_over_ground").alias("_courses"),
         F.bit_xor(mark("o_mmsi", 1)).alias("_1"),
         F.bit_xor(mark("o_mmsi", 2)).alias("_2"),
+        *more,
     )
     n = F.col("_n") + 1
+    kept = [c for c in grouped.columns if not c.startswith("_") and c not in (*report, "speed_over_ground", "course_over_ground")]
     return grouped.where(n >= min_vessels).select(
-        "mmsi", "t_s", "row_id", "seq",
+        *report, *kept,
         n.alias("vessel_count"),
         ((F.col("speed_over_ground") + F.col("_speeds")) / n).alias("mean_speed"),
         ((F.col("course_over_ground") + F.col("_courses")) / n).alias("mean_course"),
@@ -120,18 +133,21 @@ def convoy_events(
         .agg(F.first(member("")).alias("_own"), F.collect_list(member("o_")).alias("_others"))
     )
     ids = F.array_append(F.transform("_others", lambda m: m["mmsi"]), F.col("mmsi"))
-    large = (F.col("vessel_count") >= LARGE_CONVOY) | (F.col("duration_minutes") >= LONG_CONVOY_MIN)
-    return (
+    return graded(
         kept.join(who, report)
         .withColumn("convoy_id", F.array_join(F.array_sort(ids), "-"))
         .withColumn("members", F.concat(F.array("_own"), F.array_sort("_others")))
         .drop("_own", "_others", "mark_1", "mark_2")
         .join(positions, report)
-        .withColumn("severity", F.when(large, "HIGH").otherwise("MEDIUM"))
-        .withColumn("title", F.lit("Convoy Detected"))
     )
 
 
+def graded(events: DataFrame) -> DataFrame:
+    """Severity and title of reports that alert."""
+    large = (F.col("vessel_count") >= LARGE_CONVOY) | (F.col("duration_minutes") >= LONG_CONVOY_MIN)
+    return events.withColumn("severity", F.when(large, "HIGH").otherwise("MEDIUM")).withColumn("title", F.lit("Convoy Detected"))
+
+
 def member_names(members, shown: int = NAMES_SHOWN):
     """First few names, then how many more."""
     names = F.transform(F.slice(members, 1, shown), lambda m: F.coalesce(m["name"], m["mmsi"]))
@@ -140,13 +156,17 @@ def member_names(members, shown: int = NAMES_SHOWN):
 
 
 def detect_convoy(positions: DataFrame, nm: float = 3.0, minutes: int = 3, **limits) -> DataFrame:
+    return convoy_alerts(convoy_events(positions, minutes, nm, **limits), nm)
+
+
+def convoy_alerts(events: DataFrame, nm: float = 3.0) -> DataFrame:
     text = F.format_string(
         "%d vessels traveling together at %.1f kts, course %.0f° for %d minutes: %s",
         F.col("vessel_count"), F.col("mean_speed"), F.col("mean_course"), F.col("duration_minutes"),
         member_names(F.col("members")),
     )
     return to_alerts(
-        convoy_events(positions, minutes, nm, **limits),
+        events,
         "CONVOY",
         text,
         {

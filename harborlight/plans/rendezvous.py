@@ -51,28 +51,41 @@ def _before(t1: Column, row1: Column, t2: Column, row2: Column) -> Column:
     return (t1 < t2) | ((t1 == t2) & (row1 < row2))
 
 
-def contacts(able: DataFrame, dist_m: float) -> DataFrame:
-    """One row per report and nearby vessel, with the contact's place in its run.
+def distance_m() -> Column:
+    return geo.haversine_m("latitude", "longitude", "o_latitude", "o_longitude")
+
+
+def step_before(dist_m: float) -> Column:
+    """What the pair did one step earlier, when the later of the two reports before this one came in.
 
-    `link` says what the pair did one step earlier, when the later of the two reports before
-    this one came in: "goes_on" (in contact), "starts" (seen apart), or "unsure" (nothing was
-    seen). That step compares this vessel's report before with the other vessel's current one,
-    whichever came first, so it needs no ordering of the pair's contacts. `ends` says that the
-    pair's next step is not a contact, by the same argument.
+    "goes_on" (in contact), "starts" (seen apart), or "unsure" (nothing was seen). That step compares this vessel's report
+    before with the other vessel's current one, whichever came first, so it needs no ordering of the pair's contacts.
     """
-    # The radius in NM is on a slightly different sphere; a margin keeps the exact test in metres.
-    near = neighbours(able, able, dist_m / METERS_PER_NM * 1.01, STALE_S)
     c = F.col
-    meters = geo.haversine_m("latitude", "longitude", "o_latitude", "o_longitude")
     earlier_m = geo.haversine_m("prev_lat", "prev_lon", "o_latitude", "o_longitude")
     seen_earlier = F.coalesce(c("prev_able") & (F.abs(c("prev_t") - c("o_t_s")) < STALE_S), F.lit(False))
-    this_cell, that_cell = geo.grid_cell("prev_lat", "prev_lon", CELL), geo.grid_cell("o_latitude", "o_longitude", CELL)
-    close_cells = (F.abs(this_cell[0] - that_cell[0]) <= 1) & (F.abs(this_cell[1] - that_cell[1]) <= 1)
-    link = (
+    close_cells = in_adjacent_cells("prev_lat", "prev_lon", "o_latitude", "o_longitude")
+    return (
         F.when(seen_earlier & (earlier_m <= dist_m), "goes_on")
         .when(seen_earlier & close_cells, "starts")
         .otherwise("unsure")
     )
+
+
+def in_adjacent_cells(lat: str, lon: str, o_lat: str, o_lon: str) -> Column:
+    """Only vessels in adjacent cells are seen to be apart."""
+    this, that = geo.grid_cell(lat, lon, CELL), geo.grid_cell(o_lat, o_lon, CELL)
+    return (F.abs(this[0] - that[0]) <= 1) & (F.abs(this[1] - that[1]) <= 1)
+
+
+def contacts(able: DataFrame, dist_m: float) -> DataFrame:
+    """One row per report and nearby vessel, with the contact's place in its run: `link`, see step_before(), and `ends`.
+
+    `ends` says that the pair's next step is not a contact, by the same argument.
+    """
+    # The radius in NM is on a slightly different sphere; a margin keeps the exact test in metres.
+    near = neighbours(able, able, dist_m / METERS_PER_NM * 1.01, STALE_S)
+    c = F.col
     own_next = c("next_t").isNotNull() & (
         c("o_next_t").isNull() | _before(c("next_t"), c("next_row"), c("o_next_t"), c("o_next_row"))
     )
@@ -85,13 +98,13 @@ def contacts(able: DataFrame, dist_m: float) -> DataFrame:
         & (geo.haversine_m("o_next_lat", "o_next_lon", "latitude", "longitude") <= dist_m)
     )
     return (
-        near.withColumn("distance_m", meters)
+        near.withColumn("distance_m", distance_m())
         .where(c("distance_m") <= dist_m)
         .select(
             F.least("mmsi", "o_mmsi").alias("lo"),
             F.greatest("mmsi", "o_mmsi").alias("hi"),
             "t_s", "row_id", "mmsi", "ship_type", "o_mmsi", "o_t_s", "o_row_id", "o_ship_type", "distance_m",
-            link.alias("link"),
+            step_before(dist_m).alias("link"),
             (~F.coalesce(next_contact, F.lit(False))).alias("ends"),
         )
     )
@@ -122,12 +135,11 @@ def _partings(gaps: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
     seen = able.select(
         *[F.col(c).alias(f"y_{c}") for c in [*place, "next_t", "next_row"]], F.explode(buckets(STALE_S)).alias("bucket")
     )
-    x_cell, y_cell = geo.grid_cell("x_latitude", "x_longitude", CELL), geo.grid_cell("y_latitude", "y_longitude", CELL)
     apart = geo.haversine_m("x_latitude", "x_longitude", "y_latitude", "y_longitude") > dist_m
     return (
         between.join(seen, ["y_mmsi", "bucket"])
         .where(valid_at("y_", F.col("x_t_s"), F.col("x_row_id"), STALE_S))
-        .where((F.abs(x_cell[0] - y_cell[0]) <= 1) & (F.abs(x_cell[1] - y_cell[1]) <= 1) & apart)
+        .where(in_adjacent_cells("x_latitude", "x_longitude", "y_latitude", "y_longitude") & apart)
         .select("lo", "hi", "t_s", "row_id")
         .distinct()
     )
@@ -213,26 +225,36 @@ def rendezvous_events(
         F.col("mmsi").alias("o_mmsi"), F.col("t_s").alias("o_t_s"), F.col("row_id").alias("o_row_id"),
         F.col("ship_name").alias("o_ship_name"),
     )
-    return (
+    return graded(
         chosen.join(distances, encounter)
         .select(*encounter, "mean_distance_m", "r.*")
         .join(report, ["mmsi", "t_s", "row_id"])
         .join(other, ["o_mmsi", "o_t_s", "o_row_id"])
-        .withColumn("severity", F.when(tanker, "HIGH").otherwise("MEDIUM"))
-        .withColumn("title", F.lit("Potential Ship-to-Ship Transfer"))
+    )
+
+
+def graded(events: DataFrame) -> DataFrame:
+    """Severity and title of encounters that qualify."""
+    tanker = ais.is_tanker("ship_type") | ais.is_tanker("o_ship_type")
+    return events.withColumn("severity", F.when(tanker, "HIGH").otherwise("MEDIUM")).withColumn(
+        "title", F.lit("Potential Ship-to-Ship Transfer")
     )
 
 
 def detect_rendezvous(
     positions: DataFrame, dist_m: float = 1500, minutes: int = 3, port_nm: float = 30
 ) -> DataFrame:
+    return rendezvous_alerts(rendezvous_events(positions, dist_m, minutes, port_nm))
+
+
+def rendezvous_alerts(events: DataFrame) -> DataFrame:
     text = F.format_string(
         "Vessels %s and %s within %.0fm for %d minutes at open sea",
         or_unknown("ship_name", F.col("mmsi")), or_unknown("o_ship_name", F.col("o_mmsi")),
         F.col("mean_distance_m"), F.col("duration_minutes"),
     )
     return to_alerts(
-        rendezvous_events(positions, dist_m, minutes, port_nm),
+        events,
         "RENDEZVOUS",
         text,
         {

@@ -35,11 +35,13 @@ def _rearm(handle: StatefulProcessorHandle, at_s: int) -> None:
 class Cooldown(StatefulProcessor):
     """Emit a row, then drop the rows of its key until the cooldown has passed.
 
-    Once the watermark is past the cooldown, the key is forgotten: whatever may still come is kept.
+    Once the watermark is past the cooldown, the key is forgotten: whatever may still come is kept. `behind_s` says how far
+    the rows' own time lies behind their event time.
     """
 
-    def __init__(self, cooldown_s: int, strict: bool = False):
+    def __init__(self, cooldown_s: int, strict: bool = False, behind_s: int = 0):
         self.wait = cooldown_s + 1 if strict else cooldown_s
+        self.behind_s = behind_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -56,7 +58,7 @@ class Cooldown(StatefulProcessor):
                 last = t
         self.last.update((last,))
         if kept:
-            _rearm(self.handle, last + self.wait)
+            _rearm(self.handle, last + self.wait + self.behind_s)
             yield batch.iloc[kept]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -67,10 +69,10 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def throttle_stream(rows: DataFrame, keys: list[str], cooldown_s: int, strict: bool = False) -> DataFrame:
+def throttle_stream(rows: DataFrame, keys: list[str], cooldown_s: int, strict: bool = False, behind_s: int = 0) -> DataFrame:
     """The streaming form of operators.throttle; `rows` carry event_time with a watermark."""
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Cooldown(cooldown_s, strict),
+        statefulProcessor=Cooldown(cooldown_s, strict, behind_s),
         outputStructType=rows.schema,
         outputMode="Append",
         timeMode="EventTime",
