@@ -17,6 +17,7 @@ MIN_CONFIDENCE = 60
 SURE_CONFIDENCE = 80
 MINUTES_PER_POSITION = 3
 VARIANCE_LIMIT = 2.0
+TRACK = ["latitude", "longitude", "speed_over_ground", "course_over_ground"]
 
 
 def fishing_analysis(
@@ -28,10 +29,15 @@ def fishing_analysis(
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Reports whose last 20 positions look like fishing, with the measures behind it."""
-    framed = with_last_rows(
-        positions, "_last", KEEP_POSITIONS, "latitude", "longitude", "speed_over_ground", "course_over_ground",
-        counted=counted,
-    ).where(F.size("_last") >= min_pos)
+    framed = with_last_rows(positions, "_last", KEEP_POSITIONS, *TRACK, counted=counted)
+    return fishing_signs(framed, positions.columns, max_kts, turns_per_h, area_nm2, min_pos)
+
+
+def fishing_signs(
+    framed: DataFrame, columns: list[str], max_kts: float = 5.0, turns_per_h: float = 10.0, area_nm2: float = 100.0, min_pos: int = 10
+) -> DataFrame:
+    """The measures over `_last`, the last positions of each report, where three signs of four are met."""
+    framed = framed.where(F.size("_last") >= min_pos)
 
     def measure(last):
         speeds = F.transform(last, lambda p: p["speed_over_ground"])
@@ -51,7 +57,7 @@ def fishing_analysis(
 
     m = F.col("_m")
     measured = once(framed, "_m", geo.let(F.col("_last"), measure)).select(
-        *positions.columns,
+        *columns,
         *[m[c].alias(c) for c in ("avg_speed", "speed_variance", "course_changes", "positions_analyzed")],
         geo.box_area_nm2(m["south"], m["west"], m["north"], m["east"]).alias("area_nm2"),
     )
@@ -77,30 +83,39 @@ def fishing_analysis(
     )
 
 
-def fishing_events(positions: DataFrame, zones: DataFrame, once_per_visit: bool = False, **limits) -> DataFrame:
-    """Fishing-like reports inside an MPA or EEZ, one row per (report, zone).
+def fishing_grounds(zones: DataFrame) -> DataFrame:
+    return zones.where(F.col("zone_type").isin("MPA", "EEZ"))
 
-    once_per_visit keeps the first of consecutive alerts of a vessel in a zone.
-    """
-    grounds = zones.where(F.col("zone_type").isin("MPA", "EEZ"))
-    # Only vessels that report from such a zone at all need their tracks analysed.
-    visitors = in_zones(positions, grounds).select("mmsi").distinct()
-    tracks = positions.join(visitors, "mmsi", "left_semi")
-    if once_per_visit:
-        tracks = with_history(tracks, previous("_prev", "row_id"), counted=positions)
+
+def fishing_hits(signs: DataFrame, grounds: DataFrame) -> DataFrame:
+    """Reports that likely fish where they must not, with severity and title."""
     fishing = ais.is_fishing("ship_type")
     mpa = F.col("zone_type") == "MPA"
-    likely = fishing_analysis(tracks, counted=positions, **limits).where(F.col("confidence") >= MIN_CONFIDENCE)
+    likely = signs.where(F.col("confidence") >= MIN_CONFIDENCE)
     hits = in_zones(likely, grounds, "zone_id", "zone_name", "zone_type").where(mpa | fishing)
     severity = (
         F.when(mpa & (F.col("confidence") > SURE_CONFIDENCE), "CRITICAL")
         .when(mpa | ~fishing, "HIGH")
         .otherwise("MEDIUM")
     )
-    events = hits.withColumn("severity", severity).withColumn(
+    return hits.withColumn("severity", severity).withColumn(
         "title",
         F.concat(F.when(fishing, "Fishing vessel").otherwise("Vessel"), F.lit(" fishing in "), F.col("zone_name")),
     )
+
+
+def fishing_events(positions: DataFrame, zones: DataFrame, once_per_visit: bool = False, **limits) -> DataFrame:
+    """Fishing-like reports inside an MPA or EEZ, one row per (report, zone).
+
+    once_per_visit keeps the first of consecutive alerts of a vessel in a zone.
+    """
+    grounds = fishing_grounds(zones)
+    # Only vessels that report from such a zone at all need their tracks analysed.
+    visitors = in_zones(positions, grounds).select("mmsi").distinct()
+    tracks = positions.join(visitors, "mmsi", "left_semi")
+    if once_per_visit:
+        tracks = with_history(tracks, previous("_prev", "row_id"), counted=positions)
+    events = fishing_hits(fishing_analysis(tracks, counted=positions, **limits), grounds)
     if once_per_visit:
         seen = with_history(events, previous("_shown", "row_id"), key=("mmsi", "zone_id"), counted=positions)
         goes_on = F.col("_shown.row_id") == F.col("_prev.row_id")

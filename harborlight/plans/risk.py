@@ -47,6 +47,13 @@ def port_of(lat: str = "latitude", lon: str = "longitude") -> Column:
     return found
 
 
+def port_names(ports: Column) -> Column:
+    """Names of an array of port numbers, in the order of the list."""
+    return F.transform(
+        F.array_sort(ports), lambda i: F.element_at(F.array(*[F.lit(n) for n, _, _ in dims.RUSSIAN_PORTS]), i + 1)
+    )
+
+
 def port_visits(positions: DataFrame) -> DataFrame:
     """Reports that count as a visit: more than a day since the last counted visit to the port."""
     near = positions.withColumn("port", port_of()).where(F.col("port").isNotNull())
@@ -101,20 +108,23 @@ def risk_steps(positions: DataFrame, signals: DataFrame | None = None) -> DataFr
     )
 
 
+def crossed_tier() -> Column:
+    """The highest tier that the score has just entered, in words; else null."""
+    crossed = F.lit(None).cast("string")
+    for floor_, name in reversed(TIERS):
+        crossed = F.when(
+            (F.col("score") >= floor_) & (F.col("previous_score") < floor_), F.lit(f"crossed into {name} risk tier")
+        ).otherwise(crossed)
+    return crossed
+
+
 def risk_events(positions: DataFrame, signals: DataFrame | None = None) -> DataFrame:
     """Steps that alert: into a higher tier always, else a rise of 15 or more after four quiet hours.
 
     A life of a vessel has at most a handful of steps, because each one raises a score that
     stops at 100; they are folded as one small array.
     """
-    steps = risk_steps(positions, signals)
-    crossed = F.lit(None).cast("string")
-    for floor_, name in reversed(TIERS):
-        crossed = F.when(
-            (F.col("score") >= floor_) & (F.col("previous_score") < floor_), F.lit(f"crossed into {name} risk tier")
-        ).otherwise(crossed)
-    rise = F.col("score") - F.col("previous_score")
-    known = steps.withColumn("_crossed", crossed).withColumn("_rise", rise)
+    known = risk_steps(positions, signals).withColumn("_crossed", crossed_tier()).withColumn("_rise", F.col("score") - F.col("previous_score"))
     item = F.struct("t_s", "row_id", *[c for c in known.columns if c not in ("t_s", "row_id", "mmsi", "_life")])
     lives = known.groupBy("mmsi", "_life").agg(F.array_sort(F.collect_list(item)).alias("_steps"))
 
@@ -129,15 +139,18 @@ def risk_events(positions: DataFrame, signals: DataFrame | None = None) -> DataF
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("fired"))
     folded = lives.withColumn("_fired", F.aggregate("_steps", start, alerts_at)["fired"])
     out = folded.select("mmsi", "_fired", F.explode("_steps").alias("s")).where(F.array_contains("_fired", F.col("s.row_id")))
-    reason = F.coalesce(F.col("_crossed"), F.format_string("risk score increased by %d points", F.col("_rise")))
+    counts = [f"{k}_count" for k in FACTORS]
+    return described(out.select("s.*").select("r.*", "score", "previous_score", "port", "high_risk_flag", *counts))
+
+
+def described(alerts: DataFrame) -> DataFrame:
+    """Reason, severity and title of steps that alert."""
+    rise = F.format_string("risk score increased by %d points", F.col("score") - F.col("previous_score"))
     tier = risk_tier(F.col("score"))
     return (
-        out.select("s.*")
-        .select("r.*", "score", "previous_score", "port", "high_risk_flag", *[f"{k}_count" for k in FACTORS], "_crossed", "_rise")
-        .withColumn("reason", reason)
+        alerts.withColumn("reason", F.coalesce(crossed_tier(), rise))
         .withColumn("severity", tier)
         .withColumn("title", F.format_string("%s Risk Vessel: %s", tier, or_unknown("ship_name", F.col("mmsi"))))
-        .drop("_crossed", "_rise")
     )
 
 
@@ -145,10 +158,7 @@ def score_vessel_risk(positions: DataFrame, signals: DataFrame | None = None) ->
     events = risk_events(positions, signals)
     # Ports visited up to the alert: an alert has at most six.
     visited = port_visits(positions).select("mmsi", F.col("t_s").alias("_visit_s"), "port")
-    names = F.transform(
-        F.array_sort(F.collect_set("_visited")),
-        lambda i: F.element_at(F.array(*[F.lit(n) for n, _, _ in dims.RUSSIAN_PORTS]), i + 1),
-    )
+    names = port_names(F.collect_set("_visited"))
     ports = (
         events.select("mmsi", "t_s", "row_id")
         .join(visited.withColumnRenamed("port", "_visited"), "mmsi")
@@ -156,7 +166,11 @@ def score_vessel_risk(positions: DataFrame, signals: DataFrame | None = None) ->
         .groupBy("mmsi", "t_s", "row_id")
         .agg(names.alias("visited_ports"))
     )
-    full = events.join(ports, ["mmsi", "t_s", "row_id"], "left")
+    return risk_alerts(events.join(ports, ["mmsi", "t_s", "row_id"], "left"))
+
+
+def risk_alerts(full: DataFrame) -> DataFrame:
+    """Alerts of risk events with `visited_ports`."""
 
     def factor(kind: str, wording: str) -> Column:
         n = F.col(f"{kind}_count")

@@ -13,7 +13,7 @@ from harborlight.plans.geofence import geofence_events
 from harborlight.plans.sanctions_match import COOLDOWN_S as SANCTION_COOLDOWN_S
 from harborlight.plans.sanctions_match import sanction_matches
 from harborlight.plans.serving import TRAIL_POINTS
-from harborlight.plans.spoofing import report_findings, with_jump
+from harborlight.plans.spoofing import name_finding, report_findings, with_jump
 from harborlight.plans.trajectory import COOLDOWN_S as TRAJECTORY_COOLDOWN_S
 from harborlight.plans.trajectory import trajectory_candidates
 from harborlight.session import written
@@ -43,14 +43,13 @@ def trajectory_stream(positions: DataFrame, zones: DataFrame, **limits) -> DataF
 
 
 def spoofing_stream(positions: DataFrame) -> DataFrame:
-    """Failed checks of each report, by the batch rules over the remembered report before.
+    """Failed checks of each report, by the batch rules over what is remembered: the report before, the first IMO and the names.
 
-    All but the name check; its distinct names would grow with the stream. Every failed check
-    comes out; throttle_stream in a second query over the result gives the cooldown.
+    Every failed check comes out; throttle_stream in a second query over the result gives the cooldown.
     """
     before = F.struct(F.col("prev_t").alias("t_s"), F.col("prev_lat").alias("latitude"), F.col("prev_lon").alias("longitude"))
     rows = with_memory(positions).withColumn("_prev", F.when(F.col("prev_t").isNotNull(), before))
-    return report_findings(with_jump(rows), positions.columns)
+    return report_findings(with_jump(rows), positions.columns, name_finding())
 
 
 def anchor_stream(positions: DataFrame) -> DataFrame:

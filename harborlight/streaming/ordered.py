@@ -43,7 +43,7 @@ def to_frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
 
 
 class Ordered(StatefulProcessor):
-    """Calls step() for each row in the order (t_s, row_id).
+    """Calls step() for each row in the order (t_s, row_id), and rank where rows have one.
 
     `memory` is a struct of the key whose first field is the time of its newest row. A row comes out `settled_s` seconds of
     event time after its own time; `event_time` of what it gives is that moment, so that rows stay in order further on.
@@ -58,7 +58,8 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.columns)
         self.memory = handle.getValueState("memory", self.memory_schema)
-        self.time, self.row = self.columns.names.index("t_s"), self.columns.names.index("row_id")
+        self.time = self.columns.names.index("t_s")
+        self.order = [self.columns.names.index(c) for c in ("t_s", "row_id", "rank") if c in self.columns.names]
 
     def step(self, key: tuple, memory: tuple | None, row: tuple, following: tuple | None) -> tuple[tuple, list[tuple]]:
         """The memory after a row, and what the row gives; `following` is the key's next row if it is there already."""
@@ -82,7 +83,8 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() // 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[self.time], r[self.row])) if self.waiting.exists() else []
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows.sort(key=lambda r: [r[i] for i in self.order])
         count = sum(self._due(r) <= now for r in rows)
         memory, out = tuple(self.memory.get()) if self.memory.exists() else None, []
         for i in range(count):

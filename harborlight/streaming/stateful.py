@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from harborlight.plans.anchor import ANCHORED_STATUSES
 from harborlight.plans.dark import MIN_MESSAGES
+from harborlight.plans.spoofing import known_name
 from harborlight.plans.incidents import (
     GAP_S, incident_description, incident_id, incident_score, incident_severity, incident_title,
 )
@@ -23,6 +24,8 @@ from harborlight.plans.incidents import (
 DAY_S = 86400
 #: Vessels silent for so long are forgotten.
 FORGET_S = 7 * DAY_S
+#: Names not used for so long are forgotten.
+NAME_S = 30 * DAY_S
 
 
 def _rearm(handle: StatefulProcessorHandle, at_s: int) -> None:
@@ -186,14 +189,16 @@ def gone_dark_stream(positions: DataFrame, threshold_min: int = 30, forget_s: in
 class Memory(StatefulProcessor):
     """Add to each report what its vessel's earlier reports leave behind.
 
-    The report before (time and place), the first IMO, and the first report of the current
-    spell at anchor. The detector rules then are column expressions, the same as in batch.
-    A vessel silent for `forget_s` is forgotten.
+    The report before (time and place), the first IMO, the first report of the current spell at
+    anchor, and at the first report under a name, how many names that makes. The detector rules
+    then are column expressions, the same as in batch. A vessel silent for `forget_s` is
+    forgotten, and so is a name not used for `name_s`, so the names kept are those in use.
     """
 
-    def __init__(self, anchored: tuple[int, ...], forget_s: int):
+    def __init__(self, anchored: tuple[int, ...], forget_s: int, name_s: int):
         self.anchored = anchored
         self.forget_s = forget_s
+        self.name_s = name_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -201,11 +206,24 @@ class Memory(StatefulProcessor):
             "vessel",
             "t_s long, lat double, lon double, imo string, anchor_row long, anchor_t long, anchor_lat double, anchor_lon double",
         )
+        self.names = handle.getMapState("names", "name string", "rank long, t_s long")
+
+    def _naming(self, name, t_s: int, names: dict[str, tuple[int, int]]) -> tuple[int | None, str | None]:
+        """How many names the vessel has with a new one, and its oldest; nothing for a name it is known by."""
+        if not isinstance(name, str):
+            return None, None
+        for old in [n for n, (_, last) in names.items() if t_s - last >= self.name_s]:
+            del names[old]
+            self.names.removeKey((old,))
+        rank = names[name][0] if name in names else max((r for r, _ in names.values()), default=0) + 1
+        known, names[name] = name in names, (rank, max(t_s, names.get(name, (0, t_s))[1]))
+        return (None, None) if known else (len(names), min(names, key=lambda n: names[n][0]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values(["t_s", "row_id"])
         t, lat, lon, imo, *anchor = tuple(self.vessel.get()) if self.vessel.exists() else (None,) * 8
-        added = []
+        names = {k[0]: tuple(v) for k, v in self.names.iterator()} if self.names.exists() else {}
+        before, added = dict(names), []
         for r in batch.itertuples(index=False):
             if imo is None and isinstance(r.imo_number, str) and r.imo_number not in ("", "0"):
                 imo = r.imo_number
@@ -213,9 +231,12 @@ class Memory(StatefulProcessor):
                 anchor = [None] * 4
             elif anchor[0] is None:
                 anchor = [int(r.row_id), int(r.t_s), float(r.latitude), float(r.longitude)]
-            added.append((t, lat, lon, imo, *anchor))
+            added.append((t, lat, lon, imo, *anchor, *self._naming(r.known_name, int(r.t_s), names)))
             t, lat, lon = int(r.t_s), float(r.latitude), float(r.longitude)
         self.vessel.update((t, lat, lon, imo, *anchor))
+        for name, use in names.items():
+            if before.get(name) != use:
+                self.names.updateValue((name,), use)
         _rearm(self.handle, t + self.forget_s)
         # Column by column, so that row numbers with gaps do not pass through floating point.
         known = pd.DataFrame(
@@ -225,29 +246,34 @@ class Memory(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.vessel.clear()
+        self.names.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-MEMORY_COLUMNS = ["prev_t", "prev_lat", "prev_lon", "first_imo", "anchor_row", "anchor_t", "anchor_lat", "anchor_lon"]
+MEMORY_COLUMNS = [
+    "prev_t", "prev_lat", "prev_lon", "first_imo", "anchor_row", "anchor_t", "anchor_lat", "anchor_lon", "name_index", "first_name",
+]
 MEMORY_TYPES = {
     "prev_t": "Int64", "prev_lat": "float64", "prev_lon": "float64", "first_imo": "object", "anchor_row": "Int64",
-    "anchor_t": "Int64", "anchor_lat": "float64", "anchor_lon": "float64",
+    "anchor_t": "Int64", "anchor_lat": "float64", "anchor_lon": "float64", "name_index": "Int64", "first_name": "object",
 }
 MEMORY_SCHEMA = (
-    "prev_t long, prev_lat double, prev_lon double, first_imo string, anchor_row long, anchor_t long, anchor_lat double, anchor_lon double"
+    "prev_t long, prev_lat double, prev_lon double, first_imo string, anchor_row long, anchor_t long, anchor_lat double, anchor_lon double, "
+    "name_index long, first_name string"
 )
 
 
-def with_memory(positions: DataFrame, forget_s: int = FORGET_S) -> DataFrame:
+def with_memory(positions: DataFrame, forget_s: int = FORGET_S, name_s: int = NAME_S) -> DataFrame:
     """Positions with MEMORY_COLUMNS; missing places come out as null."""
+    positions = positions.withColumn("known_name", known_name())
     schema = StructType(positions.schema.fields + _parse_datatype_string(MEMORY_SCHEMA).fields)
     rows = positions.groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=Memory(ANCHORED_STATUSES, forget_s), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=Memory(ANCHORED_STATUSES, forget_s, name_s), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
-    return rows.withColumns(
+    return rows.drop("known_name").withColumns(
         {c: F.when(F.col("prev_t" if c.startswith("prev") else "anchor_t").isNotNull(), F.col(c))
          for c in ("prev_lat", "prev_lon", "anchor_lat", "anchor_lon")}
     )
