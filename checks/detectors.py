@@ -207,12 +207,8 @@ def rendezvous_(t: Tables):
     ),
 )
 def encounter_mean(t: Tables):
-    return (
-        rendezvous.encounters(t.positions)
-        .groupBy("lo", "hi", "started_s", "started_row")
-        .agg(F.count("*").alias("contacts"), F.round(F.avg("distance_m"), 3).alias("mean_distance_m"))
-        .drop("started_row")
-    )
+    found = rendezvous.encounters(t.positions)
+    return found.select("lo", "hi", "started_s", "contacts", F.round("mean_distance_m", 3).alias("mean_distance_m"))
 
 
 # ---------------------------------------------------------------- fishing

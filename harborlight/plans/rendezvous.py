@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight import dims
@@ -29,22 +34,23 @@ def eligible(port_nm: float, ports=dims.OPEN_SEA_PORTS) -> Column:
 PAIR_COLUMNS = [
     "mmsi", "t_s", "row_id", "latitude", "longitude", "speed_over_ground", "ship_type", "ship_name", "imo_number",
 ]
-NEIGHBOUR_REPORT = ["t_s", "row_id", "latitude", "longitude", "able"]
+PREVIOUS_REPORT = ["t_s", "latitude", "longitude", "able"]
 
 
 def eligible_reports(positions: DataFrame, port_nm: float) -> DataFrame:
-    """Reports that can meet, each with the vessel's report before (`prev_`) and after (`next_`).
+    """Reports that can meet, each with the vessel's report before (`prev_`) and the time of the one after (`next_`).
 
     Stored, because the pair join and the search for partings read it several times.
     """
     rows = with_history(
         positions.select(*PAIR_COLUMNS).withColumn("able", eligible(port_nm)),
-        previous("_prev", *NEIGHBOUR_REPORT),
-        following("_next", *NEIGHBOUR_REPORT),
+        previous("_prev", *PREVIOUS_REPORT),
+        following("_next", "t_s", "row_id"),
     ).where("able")
-    short = {"t_s": "t", "row_id": "row", "latitude": "lat", "longitude": "lon", "able": "able"}
-    sides = [F.col(f"_{side}.{c}").alias(f"{side}_{n}") for side in ("prev", "next") for c, n in short.items()]
-    return written(rows.select(*PAIR_COLUMNS, *sides).drop("prev_row"), "eligible")
+    short = {"t_s": "t", "latitude": "lat", "longitude": "lon", "able": "able"}
+    sides = [F.col(f"_prev.{c}").alias(f"prev_{n}") for c, n in short.items()]
+    sides += [F.col("_next.t_s").alias("next_t"), F.col("_next.row_id").alias("next_row")]
+    return written(rows.select(*PAIR_COLUMNS, *sides), "eligible")
 
 
 def _before(t1: Column, row1: Column, t2: Column, row2: Column) -> Column:
@@ -79,37 +85,100 @@ def in_adjacent_cells(lat: str, lon: str, o_lat: str, o_lon: str) -> Column:
 
 
 def contacts(able: DataFrame, dist_m: float) -> DataFrame:
-    """One row per report and nearby vessel, with the contact's place in its run: `link`, see step_before(), and `ends`.
-
-    `ends` says that the pair's next step is not a contact, by the same argument.
-    """
+    """One row per report and nearby vessel, with `low`: the reporting
+    vessel is `lo`; `link`: step_before(); `soon`: the pair's types alert after the shorter time."""
     # The radius in NM is on a slightly different sphere; a margin keeps the exact test in metres.
     near = neighbours(able, able, dist_m / METERS_PER_NM * 1.01, STALE_S)
-    c = F.col
-    own_next = c("next_t").isNotNull() & (
-        c("o_next_t").isNull() | _before(c("next_t"), c("next_row"), c("o_next_t"), c("o_next_row"))
-    )
-    next_contact = F.when(
-        own_next,
-        c("next_able") & (c("next_t") - c("o_t_s") < STALE_S)
-        & (geo.haversine_m("next_lat", "next_lon", "o_latitude", "o_longitude") <= dist_m),
-    ).otherwise(
-        c("o_next_able") & (c("o_next_t") - c("t_s") < STALE_S)
-        & (geo.haversine_m("o_next_lat", "o_next_lon", "latitude", "longitude") <= dist_m)
-    )
     return (
         near.withColumn("distance_m", distance_m())
-        .where(c("distance_m") <= dist_m)
+        .where(F.col("distance_m") <= dist_m)
         .select(
-            F.least("mmsi", "o_mmsi").alias("lo"),
-            F.greatest("mmsi", "o_mmsi").alias("hi"),
-            "t_s", "row_id", "mmsi", "ship_type", "o_mmsi", "o_t_s", "o_row_id", "o_ship_type", "distance_m",
-            step_before(dist_m).alias("link"),
-            (~F.coalesce(next_contact, F.lit(False))).alias("ends"),
+            F.least("mmsi", "o_mmsi").alias("lo"), F.greatest("mmsi", "o_mmsi").alias("hi"),
+            (F.col("mmsi") < F.col("o_mmsi")).alias("low"),
+            "t_s", "row_id", "ship_type", "o_t_s", "o_row_id", "o_ship_type", "distance_m",
+            step_before(dist_m).alias("link"), alert_soon().alias("soon"),
         )
     )
 
 
+def alert_soon() -> Column:
+    """A tanker takes part, or a cargo and a fishing vessel meet."""
+    tanker = ais.is_tanker("ship_type") | ais.is_tanker("o_ship_type")
+    cargo = ais.is_cargo("ship_type") | ais.is_cargo("o_ship_type")
+    fishing = ais.is_fishing("ship_type") | ais.is_fishing("o_ship_type")
+    return tanker | (cargo & fishing)
+
+
+#: A contact within a stretch, and contacts and metres of the stretch up to it.
+CONTACT = ["t_s", "row_id", "mmsi", "ship_type", "o_mmsi", "o_t_s", "o_row_id", "o_ship_type", "soon", "contacts", "meters"]
+_CONTACT_DDL = (
+    "struct<t_s: long, row_id: long, mmsi: string, ship_type: int, o_mmsi: string, o_t_s: long, o_row_id: long, "
+    "o_ship_type: int, soon: boolean, contacts: long, meters: double>"
+)
+STRETCH = (
+    "lo string, hi string, t_s long, row_id long, begins string, last_t long, last_row long, contacts long, meters double, "
+    f"told {_CONTACT_DDL}, head array<{_CONTACT_DDL}>"
+)
+
+
+def stretches(met: DataFrame, minutes: int) -> DataFrame:
+    """Contacts of a pair in order, summed up between those where an encounter may begin.
+
+    `begins` is the link of a stretch's first contact: starts, unsure, or goes_on where a stretch only carries on the one
+    before, which it does at the turn of an hour and wherever a batch of rows ends. So a pair is not bound to one task, and
+    the pass remembers nothing from batch to batch. `told` is the first contact to alert if the encounter begins with the
+    stretch. If it began earlier, `head` has the answer: the contacts of the first minutes, and the one after them, by
+    when any pair alerts.
+    """
+    wait, late = 60 * minutes, 120 * minutes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            t, meters = batch.column("t_s").to_numpy(), batch.column("distance_m").to_numpy()
+            links, soon = batch.column("link"), batch.column("soon").to_numpy(zero_copy_only=False)
+            begin = pc.not_equal(links, "goes_on").to_numpy(zero_copy_only=False).copy()
+            for c in ("lo", "hi", "hour"):
+                column = batch.column(c)
+                begin[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            begin[0] = True
+            first = np.flatnonzero(begin)
+            of = np.cumsum(begin) - 1
+            last = np.append(first[1:], n) - 1
+            total = np.cumsum(meters)
+            counts, sums = np.arange(n) - first[of] + 1, total - (total - meters)[first[of]]
+            age = t - t[first[of]]
+            alerts = (age // 60 >= minutes) & (soon | (age // 60 >= 2 * minutes))
+            told = np.minimum.reduceat(np.where(alerts, np.arange(n), n), first)
+            # The first contact after the first minutes is one that has a predecessor within them, or begins the stretch.
+            within = age < late
+            head = within | (age >= late) & np.append(True, within[:-1])
+            head &= ~pc.equal(links, "starts").to_numpy(zero_copy_only=False)[first[of]]
+            low = batch.column("low")
+            sides = {"mmsi": pc.if_else(low, batch.column("lo"), batch.column("hi")), "o_mmsi": pc.if_else(low, batch.column("hi"), batch.column("lo"))}
+            known = {c: batch.column(c) for c in CONTACT[:9] if c not in sides} | sides | {"contacts": pa.array(counts), "meters": pa.array(sums)}
+            every = pa.StructArray.from_arrays([known[c] for c in CONTACT], CONTACT)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(of[head], minlength=len(first)))))
+            at_first, at_last = pa.array(first), pa.array(last)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("lo").take(at_first), batch.column("hi").take(at_first), batch.column("t_s").take(at_first),
+                    batch.column("row_id").take(at_first), links.take(at_first), batch.column("t_s").take(at_last),
+                    batch.column("row_id").take(at_last), pa.array(last - first + 1), pa.array(sums[last]),
+                    every.take(pa.array(told, mask=told == n)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), every.filter(pa.array(head))),
+                ],
+                names=["lo", "hi", "t_s", "row_id", "begins", "last_t", "last_row", "contacts", "meters", "told", "head"],
+            )
+
+    # Sorted by a number first: MMSIs of one flag differ in their last digits only, which makes them slow to compare.
+    by_hour = met.withColumn("hour", F.floor(F.col("t_s") / 3600)).withColumn("pair", F.xxhash64("lo", "hi", "hour"))
+    ordered = by_hour.repartition("pair").sortWithinPartitions("pair", "lo", "hi", "hour", "t_s", "row_id").drop("pair")
+    return ordered.mapInArrow(run, STRETCH)
+
+
 def _partings(gaps: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
     """The gaps (lo, hi, t_s, row_id) in which some report saw the other vessel beyond `dist_m`.
 
@@ -145,53 +214,50 @@ def _partings(gaps: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
     )
 
 
-def _resumed(met: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
-    """The unsure contacts (lo, hi, t_s, row_id) that carry on an earlier run.
+def _resumed(found: DataFrame, able: DataFrame, dist_m: float) -> DataFrame:
+    """The unsure stretches (lo, hi, t_s, row_id) that carry on the encounter before.
 
-    The run before ended within two hours and no report in between saw the vessels apart. Only
-    run ends and unsure contacts take part, about two per encounter.
+    Its last contact is at most two hours back and no report in between saw the vessels apart.
     """
-    hour = 3600
     pair = ["lo", "hi"]
-    unsure = met.where(F.col("link") == "unsure").select(*pair, "t_s", "row_id")
-    ends = met.where("ends").select(
-        *pair, F.col("t_s").alias("from_t"), F.col("row_id").alias("from_row"), F.floor(F.col("t_s") / hour).alias("hour")
-    )
-    hours = F.sequence(F.floor((F.col("t_s") - FORGET_S) / hour), F.floor(F.col("t_s") / hour))
-    before = _before(F.col("from_t"), F.col("from_row"), F.col("t_s"), F.col("row_id"))
-    gaps = (
-        unsure.withColumn("hour", F.explode(hours))
-        .join(ends, [*pair, "hour"])
-        .where(before & (F.col("t_s") - F.col("from_t") <= FORGET_S))
-        .groupBy(*pair, "t_s", "row_id")
-        .agg(F.max(F.struct("from_t", "from_row")).alias("f"))
-        .select(*pair, "t_s", "row_id", "f.from_t", "f.from_row")
+    gaps = written(
+        found.where((F.col("begins") == "unsure") & (F.col("t_s") - F.col("_before.last_t") <= FORGET_S)).select(
+            *pair, "t_s", "row_id", F.col("_before.last_t").alias("from_t"), F.col("_before.last_row").alias("from_row")
+        ),
+        "gaps",
     )
-    gaps = written(gaps, "gaps")
     return gaps.join(_partings(gaps, able, dist_m), [*pair, "t_s", "row_id"], "left_anti").select(*pair, "t_s", "row_id")
 
 
-def encounters(positions: DataFrame, dist_m: float = 1500, port_nm: float = 30) -> DataFrame:
-    """Contacts with `started_s`, `started_row`: the first contact of their encounter.
+ENCOUNTER = ["lo", "hi", "started_s", "started_row"]
+
+
+def encounter_stretches(positions: DataFrame, dist_m: float = 1500, minutes: int = 3, port_nm: float = 30) -> DataFrame:
+    """Stretches with `started_s`, `started_row`: the first contact of their encounter.
 
-    An encounter ends when a report of either vessel sees the other beyond `dist_m`, or after
-    two hours without contact. The contacts are stored, as the steps below read them repeatedly.
+    An encounter ends when a report of either vessel sees the other beyond `dist_m`, or after two hours without contact.
+    Contacts are summed up on their way from the join; what is stored are stretches.
     """
     able = eligible_reports(positions, port_nm)
-    met = written(contacts(able, dist_m), "contacts")
+    known = written(stretches(contacts(able, dist_m), minutes), "stretches")
     place = ["lo", "hi", "t_s", "row_id"]
-    resumed = _resumed(met, able, dist_m).withColumn("_resumed", F.lit(True))
-    unsure = F.col("link") == "unsure"
-    sure = met.where(~unsure).withColumn("_starts", F.col("link") == "starts")
-    settled = met.where(unsure).join(resumed, place, "left").withColumn("_starts", F.col("_resumed").isNull()).drop("_resumed")
+    linked = with_history(known.select(*place, "begins", "last_t", "last_row"), previous("_before", "last_t", "last_row"), key=("lo", "hi"), counted=known)
+    resumed = _resumed(linked, able, dist_m).withColumn("_resumed", F.lit(True))
+    starts = (F.col("begins") == "starts") | ((F.col("begins") == "unsure") & F.col("_resumed").isNull())
     begun = with_history(
-        sure.unionByName(settled).drop("link", "ends"),
+        known.join(resumed, place, "left").withColumn("_starts", starts).drop("_resumed", "begins"),
         last_seen("_start", F.when(F.col("_starts"), F.struct("t_s", "row_id"))),
         key=("lo", "hi"),
-        counted=met,
+        counted=known,
     )
-    return begun.withColumn("started_s", F.col("_start.t_s")).withColumn("started_row", F.col("_start.row_id")).drop(
-        "_starts", "_start"
+    return begun.withColumn("started_s", F.col("_start.t_s")).withColumn("started_row", F.col("_start.row_id")).drop("_start")
+
+
+def encounters(positions: DataFrame, dist_m: float = 1500, port_nm: float = 30) -> DataFrame:
+    """One row per encounter: its first contact, number of contacts and mean distance."""
+    total = F.sum("contacts")
+    return encounter_stretches(positions, dist_m, port_nm=port_nm).groupBy(*ENCOUNTER).agg(
+        total.alias("contacts"), (F.sum("meters") / total).alias("mean_distance_m")
     )
 
 
@@ -199,35 +265,33 @@ def rendezvous_events(
     positions: DataFrame, dist_m: float = 1500, minutes: int = 3, port_nm: float = 30
 ) -> DataFrame:
     """One row per encounter that qualifies: its first qualifying contact."""
-    met = written(encounters(positions, dist_m, port_nm), "encounters")
-    timed = met.withColumn("duration_minutes", F.floor((F.col("t_s") - F.col("started_s")) / 60))
-    tanker = ais.is_tanker("ship_type") | ais.is_tanker("o_ship_type")
-    cargo = ais.is_cargo("ship_type") | ais.is_cargo("o_ship_type")
-    fishing = ais.is_fishing("ship_type") | ais.is_fishing("o_ship_type")
-    long_enough = (F.col("duration_minutes") >= minutes) & (
-        tanker | (cargo & fishing) | (F.col("duration_minutes") >= 2 * minutes)
-    )
-    encounter = ["lo", "hi", "started_s", "started_row"]
-    row = F.struct(*[c for c in timed.columns if c not in encounter])
-    order = F.struct("t_s", "row_id")
-    chosen = timed.where(long_enough).groupBy(*encounter).agg(F.min_by(row, order).alias("r"))
-    # Mean distance of the encounter up to the chosen contact.
-    distances = (
-        met.select(*encounter, order.alias("_at"), "distance_m")
-        .join(chosen.select(*encounter, F.struct("r.t_s", "r.row_id").alias("_to")), encounter)
-        .where(F.col("_at") <= F.col("_to"))
-        .groupBy(*encounter)
-        .agg(F.avg("distance_m").alias("mean_distance_m"))
-    )
+
+    def lasts(c: Column) -> Column:
+        whole = F.floor((c["t_s"] - F.col("started_s")) / 60)
+        return (whole >= minutes) & (c["soon"] | (whole >= 2 * minutes))
+
+    parts = encounter_stretches(positions, dist_m, minutes, port_nm)
+    chosen = F.when(F.col("_starts"), F.col("told")).otherwise(F.get(F.filter("head", lasts), F.lit(0)))
+    # An encounter has a stretch for each hour, and for each time its vessels lost sight of each other.
+    earlier = Window.partitionBy(*ENCOUNTER).orderBy("t_s", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+
+    def so_far(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(earlier), F.lit(0)) + F.col(f"_c.{c}")
+
+    candidates = parts.withColumn("_c", chosen).select(
+        *ENCOUNTER, "_c", (so_far("meters") / so_far("contacts")).alias("mean_distance_m")
+    ).where("_c is not null")
+    order = F.struct("_c.t_s", "_c.row_id")
+    told = candidates.groupBy(*ENCOUNTER).agg(F.min_by(F.struct("_c", "mean_distance_m"), order).alias("r"))
     # Names and places of the few chosen contacts.
     report = positions.select(*[c for c in PAIR_COLUMNS if c != "ship_type"])
     other = positions.select(
         F.col("mmsi").alias("o_mmsi"), F.col("t_s").alias("o_t_s"), F.col("row_id").alias("o_row_id"),
         F.col("ship_name").alias("o_ship_name"),
     )
+    kept = told.select(*ENCOUNTER, "r.mean_distance_m", "r._c.*").drop("soon", "contacts", "meters")
     return graded(
-        chosen.join(distances, encounter)
-        .select(*encounter, "mean_distance_m", "r.*")
+        kept.withColumn("duration_minutes", F.floor((F.col("t_s") - F.col("started_s")) / 60))
         .join(report, ["mmsi", "t_s", "row_id"])
         .join(other, ["o_mmsi", "o_t_s", "o_row_id"])
     )

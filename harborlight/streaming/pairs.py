@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from harborlight.functions import ais
 from harborlight.functions.geo import METERS_PER_NM
 from harborlight.operators.once import once
 from harborlight.operators.pairs import neighbours
@@ -134,12 +133,10 @@ def rendezvous_stream(feed: Feed, dist_m: float = 1500, minutes: int = 3, port_n
     # Worked out once, behind the join: as join conditions these formulas would be multiplied out.
     judged = F.struct(rendezvous.distance_m().alias("distance_m"), meets.alias("meets"), parts.alias("parts"))
     near = once(_neighbours(looking, seen, reach), "_j", judged).where("_j.meets or _j.parts")
-    tanker = ais.is_tanker("ship_type") | ais.is_tanker("o_ship_type")
-    mixed = (ais.is_cargo("ship_type") | ais.is_cargo("o_ship_type")) & (ais.is_fishing("ship_type") | ais.is_fishing("o_ship_type"))
     kept = [*rendezvous.PAIR_COLUMNS, "o_mmsi", "o_t_s", "o_row_id", "o_ship_type", "o_ship_name", "distance_m"]
     events = near.withColumn("distance_m", F.col("_j.distance_m")).select(
         F.least("mmsi", "o_mmsi").alias("lo"), F.greatest("mmsi", "o_mmsi").alias("hi"), *kept, F.col("_j.meets").alias("meets"),
-        (tanker | mixed).alias("soon"), F.unix_seconds("event_time").alias("settled_s"), "event_time",
+        rendezvous.alert_soon().alias("soon"), F.unix_seconds("event_time").alias("settled_s"), "event_time",
     )
     fields = {f.name: f for f in events.schema}
     output = StructType([
