@@ -1,7 +1,8 @@
-"""Streaming forms of the rules about one vessel's past: fishing patterns and risk scores."""
+"""Streaming forms of the rules about one vessel's past: fishing patterns, loitering and risk scores."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -9,9 +10,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from harborlight import dims
 from harborlight.functions import ais
 from harborlight.operators.once import once
-from harborlight.plans import fishing, risk
+from harborlight.plans import fishing, loitering, risk
 from harborlight.plans.state import KEEP_POSITIONS
 from harborlight.streaming.ordered import Ordered, in_order
+from harborlight.streaming.stateful import throttle_stream
 
 
 class LastReports(Ordered):
@@ -39,6 +41,40 @@ def fishing_stream(positions: DataFrame, zones: DataFrame, **limits) -> DataFram
     return fishing.fishing_hits(fishing.fishing_signs(framed, [*columns, "event_time"], **limits), fishing.fishing_grounds(zones))
 
 
+LOITER_MEMORY = "t_s long, times array<long>, lats array<double>, lons array<double>, speeds array<double>"
+
+
+class Loitering(Ordered):
+    """Reports whose vessel's last reports stay in the circle. What is remembered is the time frame itself."""
+
+    def __init__(self, columns, memory, output, settled_s, forget_s, radius_nm: float, minutes: int, history_s: int):
+        super().__init__(columns, memory, output, settled_s, forget_s)
+        self.radius_nm, self.minutes, self.history_s = radius_nm, minutes, history_s
+
+    def step(self, key, memory, row, following):
+        own = dict(zip(self.columns.names, row))
+        kept = [list(m) for m in memory[1:]] if memory else [[], [], [], []]
+        old = next((i for i, t in enumerate(kept[0]) if t >= own["t_s"] - self.history_s), len(kept[0]))
+        kept = [m[old:] for m in kept]
+        if own["latitude"] is None or own["longitude"] is None:
+            return (own["t_s"], *kept), []
+        kept = [[*m, own[c]] for m, c in zip(kept, loitering.FRAME)]
+        times, *places = kept
+        frames = loitering.Frames(np.array(times), *(np.array(m, float) for m in places), self.history_s)
+        found = frames.measure(len(times) - 1, self.radius_nm, self.minutes)
+        return (own["t_s"], *kept), [(*row, *found)] if found else []
+
+
+def loitering_stream(positions: DataFrame, radius_nm: float = 0.5, minutes: int = 45, history_min: int = 120) -> DataFrame:
+    """The rows of loitering_events as a stream. A vessel is forgotten when its reports are older than the time frame."""
+    output = StructType([*positions.drop("event_time").schema.fields, *_parse_datatype_string(loitering.MEASURE_DDL).fields])
+    found = in_order(
+        positions, Loitering, LOITER_MEMORY, output, forget_s=history_min * 60 + 1, radius_nm=radius_nm, minutes=minutes,
+        history_s=history_min * 60,
+    )
+    return loitering.graded(throttle_stream(found, ["mmsi"], loitering.COOLDOWN_S, strict=True, behind_s=1))
+
+
 RISK_MEMORY = (
     "t_s long, score int, alerted_s long, n_port int, n_dark int, n_sts int, n_name int, n_erratic int, visit_ports array<int>, visit_s array<long>, visited array<int>"
 )

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import random
 
+import numpy as np
 import pytest
 from test_pair_streams import batch, feed, line, ordered_files, run, shuffled
 
 from harborlight import dims
-from harborlight.plans import fishing, risk, spoofing
+from harborlight.plans import fishing, loitering, risk, spoofing
 from harborlight.plans.geofence import geofence_events
 from harborlight.plans.sanctions_match import sanction_events, sanction_matches
 from harborlight.sources.reference import parse_reference, parse_sanctions
@@ -197,3 +198,50 @@ def test_shadow_fleet_stream_equals_batch(spark, tmp_path):
     want = sanction_events(batch(spark, folder), records).collect()
     rows = lambda found: sorted((r.mmsi, r.t_s, r.match_type, r.record.vessel_name) for r in found)
     assert len(want) == 9 and rows(got) == rows(want)
+
+
+def test_loitering_stream_equals_batch(spark, tmp_path):
+    rng, lines = random.Random(6), []
+    for v in range(4):
+        lat, lon = 57.5 + v, 20.5
+        for t in range(v * 7, 8 * 3600, 110 + 40 * v):
+            speed = rng.choice([0.1, 0.4, None])
+            lines.append((t, line(t, f"23000020{v}", lat, lon, speed_over_ground=speed)))
+            step = 0.05 if rng.random() < 0.01 * v else 0.0008
+            lat, lon = lat + rng.uniform(-step, step), lon + rng.uniform(-step, step)
+    folder = tmp_path / "feed"
+    feed(folder, shuffled(sorted(lines)), 2)
+    columns = ["mmsi", "t_s", "row_id", "loiter_minutes", "position_count", "severity", "title"]
+
+    def rows(found):
+        return sorted((*(r[c] for c in columns), *(round(r[c], 6) for c in ("loiter_radius_nm", "average_speed", "center_lat"))) for r in found)
+
+    got, left = run(vessels.loitering_stream(ordered_files(spark, folder)), "loiter", tmp_path / "c")
+    want = loitering.loitering_events(batch(spark, folder)).collect()
+    assert len(want) >= 8 and rows(got) == rows(want)
+    assert left["transformWithStateInPandasExec"] <= 4
+
+
+def test_a_report_each_second_for_a_day(spark):
+    """86,400 reports with frames of 7,200: measured without a list per report, and as over the plain frames."""
+    rng = np.random.default_rng(5)
+    n = 86_400
+    lat, lon = 57.0 + np.cumsum(rng.normal(0, 1e-6, n)), 20.0 + np.cumsum(rng.normal(0, 1e-6, n))
+    frames = loitering.Frames(np.arange(n), lat, lon, np.full(n, np.nan), 7200)
+    for i in [*range(0, n, 9973), n - 1]:
+        first = max(0, i - 7200)
+        centre = lat[first : i + 1].mean(), lon[first : i + 1].mean()
+        farthest = loitering.nm_from(*centre, np.column_stack((lat, lon))[first : i + 1]).max()
+        found = frames.measure(i, 50.0, 0)
+        assert found is None if i < 2 else abs(found[0] - farthest) < 1e-9 and found[2:4] == (i + 1 - first, 0.0)
+    sharp = np.random.default_rng(6).uniform(-1, 1, (500, 2))
+    corners = loitering.hull(sharp)
+    for angle in np.linspace(0, 6.28, 50):
+        way = np.array([np.cos(angle), np.sin(angle)])
+        assert np.isclose((sharp @ way).max(), (corners @ way).max())
+    day = spark.range(n).selectExpr(
+        "'230000001' as mmsi", "1704067200 + id as t_s", "id as row_id", "57.0 + 0.001 * sin(id / 500) as latitude",
+        "20.0D + 0.001 * cos(id / 300) as longitude", "0.1D as speed_over_ground", "'S' as ship_name",
+    ).selectExpr("*", "cast(null as string) as imo_number")
+    kept = loitering.loitering_candidates(day)
+    assert kept.count() == n - 45 * 60
