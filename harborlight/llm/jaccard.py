@@ -487,13 +487,16 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     the smallest hash stays. Rows without a doc_id, and null, empty or blank texts, link with nothing and stay. An empty
     table stays empty.
     """
-    own, gone, text = (free_name(documents, name) for name in ("own_key", "gone_key", "text_hash"))
+    own, gone, text, free = (free_name(documents, name) for name in ("own_key", "gone_key", "text_hash", "lost_key"))
     rows = documents.where("doc_id is not null").withColumn(text, F.xxhash64("text"))
-    several = rows.groupBy(F.col("doc_id").alias(gone)).agg(F.min(text).alias(own), F.max(text).alias(text)).where(f"`{own}` <> `{text}`")
+    # Ids of several rows. This list and that of lost documents are stored, so that Spark knows their sizes before it joins:
+    # short ones are broadcast, and the texts stay where they are.
+    times = rows.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high"), F.count("*").alias("n"))
+    shared = written(times.where("n > 1").select(F.col("doc_id").alias(gone), (F.col("low") != F.col("high")).alias(own)), "shared-ids")
+    rows = rows.join(shared, F.col("doc_id") == F.col(gone), "left")
     # The doc_id names a document where it has one text.
-    rows = rows.join(several.select(gone), F.col("doc_id") == F.col(gone), "left")
-    key = F.when(F.col(gone).isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", text))
-    rows = rows.withColumn(own, key).select(*documents.columns, own)
+    key = F.when(F.coalesce(own, F.lit(False)), F.xxhash64("doc_id", text)).otherwise(F.col("doc_id").cast("long"))
+    rows = rows.withColumn(own, key).withColumn(gone, F.col(gone).isNotNull()).select(*documents.columns, own, gone)
     linked = jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"))
     linked = written(linked.where("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id").distinct(), "linked")
     names = rows.select("doc_id", F.col(own).alias("node")).distinct()
@@ -501,6 +504,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     larger = linked.where("node <> component_id").select("component_id").distinct()
     members = linked.join(larger, "component_id", "left_semi").join(names, "node")
     kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "node"))["node"].alias("kept"))
-    lost = members.join(kept, "component_id").where("node <> kept").select(F.col("node").alias(gone))
-    stay = rows.join(lost, F.col(own) == F.col(gone), "left_anti").dropDuplicates([own]).select(*documents.columns)
+    lost = members.join(kept, "component_id").where("node <> kept").select(F.col("node").alias(free))
+    stay = rows.join(written(lost, "lost"), F.col(own) == F.col(free), "left_anti")
+    stay = stay.where(~F.col(gone)).unionByName(stay.where(gone).dropDuplicates([own])).select(*documents.columns)
     return stay.unionByName(documents.where("doc_id is null"))
