@@ -712,30 +712,60 @@ def port_within_reach(t: Tables):
     return t.positions.withColumn("port", risk.port_of()).where("port is not null").select("row_id", "port")
 
 
-# ---------------------------------------------------------------- the alerts of several detectors, for incidents
+# ---------------------------------------------------------------- the alerts of all detectors, for incidents
 
-def _alert_sql(kind: str, source: str, subject: str, title: str) -> str:
+#: An alert's columns come from the detector's own SQL (`a`) and from the report that it is about (`p`).
+def _alert_sql(kind: str, sql: str, subject: str | None, title: str, name: str = "p.ship_name", more: str = "") -> str:
+    parts = f"'{kind}', a.mmsi, a.t_s::varchar, a.row_id::varchar" + (f", {subject}" if subject else "")
     return (
-        f"select substr(sha256(concat_ws('|', '{kind}', mmsi, t_s::varchar, row_id::varchar, {subject})), 1, 32) as alert_id, "
-        f"'{kind}' as alert_type, severity, mmsi, ship_name as vessel_name, latitude, longitude, t_s, {title} as title, row_id from {source}"
+        f"select substr(sha256(concat_ws('|', {parts})), 1, 32) as alert_id, '{kind}' as alert_type, a.severity, a.mmsi, "
+        f"{name} as vessel_name, p.latitude, p.longitude, a.t_s, {title} as title, a.row_id from ({sql}) a join p using (row_id) {more}"
     )
 
 
+_CABLE_TITLE = (
+    "case when a.risk_factor = 'STOPPED_IN_ZONE' then 'CRITICAL: Vessel Stopped in Cable Zone' "
+    "when a.severity = 'CRITICAL' then 'CRITICAL: Suspicious Slow Vessel Near Cable' "
+    "when a.severity = 'HIGH' then 'HIGH: Slow Vessel in Cable Zone' "
+    "when a.severity = 'MEDIUM' then 'Flagged State Vessel in Cable Zone' else 'Large Vessel in Cable Zone' end"
+)
+_SPOOF_TITLE = (
+    "case a.\"check\" when 'invalid_mmsi' then case when length(a.mmsi) <> 9 then 'Invalid MMSI Format' "
+    "when regexp_full_match(a.mmsi, '0{9}|9{9}') or a.mmsi in ('123456789', '111111111') then 'Suspicious MMSI Pattern' "
+    "when try_cast(substr(a.mmsi, 1, 3) as int) is null then 'Invalid MMSI Characters' else 'Invalid MID Code' end "
+    "when 'impossible_speed' then 'Impossible Speed Reported' when 'teleport' then 'Position Teleportation Detected' "
+    "when 'heading' then 'Heading/COG Inconsistency' when 'coordinates' then case when a.severity = 'CRITICAL' then 'Invalid Coordinates' "
+    "else 'Null Island Position' end when 'imo_change' then 'IMO Number Changed - Identity Spoofing' "
+    "when 'uncommon_mid' then 'Uncommon Flag State MID' else 'Multiple Vessel Names Detected' end"
+)
+_ANCHOR_TITLE = (
+    "case when not a.near_cable then 'Anchor Dragging Detected' when a.severity = 'CRITICAL' then 'CRITICAL: Anchor Dragging Near Cable!' "
+    "else 'Anchor Dragging Near Infrastructure' end"
+)
+# The registered query rounds the minutes, the title rounds them once.
+_PATH_SQL = S.query(
+    S.POSITIONS, S.zones(), *TRAJECTORY_CTE,
+    "select row_id, mmsi, t_s, zone_id, 'PREDICTIVE: Vessel approaching ' || zone_name || ' in ~' || cast(round(eta_minutes) as bigint) || ' min' as title, "
+    "case when eta_minutes < 15 then 'HIGH' when eta_minutes < 30 then 'MEDIUM' else 'LOW' end as severity from traj_kept join z using (zone_id)",
+)
+
 ALERTS_CTE = [
-    S.zones(),
-    *GEOFENCE_CTE,
-    *CABLE_CTE,
-    *APPEARED_CTE,
-    f"""app as (select *, case when {TANKER} or {CARGO} or shore_nm > 20 then 'HIGH' else 'MEDIUM' end as severity from appeared where shore_nm > 5)""",
     "alerts as materialized ("
     + " union all ".join([
-        _alert_sql("GEOFENCE_VIOLATION", "geo", "zone_id", "concat('Geofence Violation: ', zone_name)"),
-        _alert_sql("CABLE_PROXIMITY", "cab_kept", "zone_id",
-                   "case when risk_factor = 'STOPPED_IN_ZONE' then 'CRITICAL: Vessel Stopped in Cable Zone' "
-                   "when severity = 'CRITICAL' then 'CRITICAL: Suspicious Slow Vessel Near Cable' "
-                   "when severity = 'HIGH' then 'HIGH: Slow Vessel in Cable Zone' "
-                   "when severity = 'MEDIUM' then 'Flagged State Vessel in Cable Zone' else 'Large Vessel in Cable Zone' end"),
-        _alert_sql("DARK_EVENT", "app", "'appeared'", "concat('Dark AIS: ', coalesce(ship_name, mmsi), ' Appeared in Open Water')"),
+        _alert_sql("GEOFENCE_VIOLATION", SQL["j01_geofence"], "a.zone_id", "a.title"),
+        _alert_sql("DARK_EVENT", SQL["j02_gone_dark"], "'gone'", "'Vessel Gone Dark'", name="a.ship_name"),
+        _alert_sql("DARK_EVENT", SQL["j03_appeared_dark"], "'appeared'", "a.title"),
+        _alert_sql("RENDEZVOUS", SQL["j04_rendezvous"], "a.vessel2_mmsi", "'Potential Ship-to-Ship Transfer'"),
+        _alert_sql("FISHING_IN_MPA", SQL["j05_fishing"], "a.zone_id", "a.title"),
+        _alert_sql("CABLE_PROXIMITY", SQL["j06_cable_proximity"], "a.zone_id", _CABLE_TITLE),
+        _alert_sql("TRAJECTORY_PREDICTION", _PATH_SQL, "a.zone_id", "a.title"),
+        _alert_sql("AIS_SPOOFING", SQL["j09_spoofing"], 'a."check"', _SPOOF_TITLE),
+        _alert_sql("CONVOY", SQL["j10_convoy"], "a.convoy_id", "'Convoy Detected'"),
+        _alert_sql("ANCHOR_DRAGGING", SQL["j11_anchor_drag"], None, _ANCHOR_TITLE),
+        _alert_sql("SANCTIONS_MATCH", SQL["j12_shadow_fleet"], "a.match_type",
+                   "case when a.match_type = 'HIGH_RISK_FLAG' then 'Tanker with ' || a.listed_as || ' Flag' "
+                   "else 'SHADOW FLEET: ' || coalesce(p.ship_name, 'Unknown Vessel') || ' Detected' end"),
+        _alert_sql("SANCTIONS_MATCH", SQL["j13_vessel_risk"], "'risk'", "a.severity || ' Risk Vessel: ' || coalesce(p.ship_name, a.mmsi)"),
     ])
     + ")",
 ]
@@ -755,24 +785,23 @@ inc0 as (select *, cast(least(100, floor((case when k >= 3 then floor(w * 1.3::d
 inc as materialized (select *, substr(sha256(mmsi || '|' || first_s), 1, 32) as id,
    case when risk_score >= 85 or list_contains(alert_types, 'ANCHOR_DRAGGING') then 'CRITICAL'
         when risk_score >= 70 or list_contains(alert_types, 'CABLE_PROXIMITY') then 'HIGH' when risk_score >= 50 then 'MEDIUM' else 'LOW' end as severity,
-   case when list_contains(alert_types, 'CABLE_PROXIMITY') and list_contains(alert_types, 'DARK_EVENT') then 'Suspicious Activity: ' || last_name || ' went dark near cable zone'
+   case when list_contains(alert_types, 'ANCHOR_DRAGGING') and list_contains(alert_types, 'CABLE_PROXIMITY') then 'Potential Cable Threat: ' || last_name || ' dragging anchor near infrastructure'
+        when list_contains(alert_types, 'ANCHOR_DRAGGING') then 'Anchor Dragging Alert: ' || last_name
+        when list_contains(alert_types, 'CABLE_PROXIMITY') and list_contains(alert_types, 'DARK_EVENT') then 'Suspicious Activity: ' || last_name || ' went dark near cable zone'
         when list_contains(alert_types, 'CABLE_PROXIMITY') then 'Cable Zone Intrusion: ' || last_name
-        when list_contains(alert_types, 'DARK_EVENT') then 'AIS Transmission Gap: ' || last_name else 'Maritime Alert: ' || last_name end as title,
+        when list_contains(alert_types, 'SANCTIONS_MATCH') then 'Sanctioned Vessel Activity: ' || last_name
+        when list_contains(alert_types, 'AIS_SPOOFING') then 'Potential AIS Spoofing: ' || last_name
+        when list_contains(alert_types, 'DARK_EVENT') then 'AIS Transmission Gap: ' || last_name
+        when list_contains(alert_types, 'RENDEZVOUS') then 'Ship-to-Ship Meeting: ' || last_name else 'Maritime Alert: ' || last_name end as title,
    alert_count || ' related alerts (' || array_to_string(alert_types, ', ') || ')' ||
      case when secs > 3600 then ' over ' || cast(round(secs / 3600.0, 1) as decimal(12, 1)) || ' hours'
           when secs > 60 then ' over ' || cast(round(secs / 60.0) as bigint) || ' minutes' else '' end as description from inc0)""",
 ]
 
 
-def sample_alerts(t: Tables):
-    """Alerts of three detectors, the input of the incident and serving queries."""
-    p, z = t.positions, t.zones
-    alerts = (
-        geofence.detect_geofence(p, z)
-        .unionByName(cable.detect_cable_proximity(p, z))
-        .unionByName(dark.detect_appeared_dark(p))
-    )
-    return written(alerts, "alerts")
+def all_detector_alerts(t: Tables):
+    """Alerts of all detectors, the input of the incident and serving queries; stored once per session, like the positions."""
+    return t.stored("alerts", lambda: pipeline.run_pipeline(t.positions, t.zones, written(sanction_records(t), "sanctions")))
 
 
 @register(
@@ -784,7 +813,7 @@ def sample_alerts(t: Tables):
     ),
 )
 def incidents_(t: Tables):
-    return incidents.correlate_incidents(sample_alerts(t)).select(
+    return incidents.correlate_incidents(all_detector_alerts(t)).select(
         "id", "mmsi", "ship_name", "severity", "title", "description", F.array_join("alert_types", ",").alias("alert_types"),
         "alert_count", F.unix_seconds("first_alert_time").alias("first_s"),
         F.unix_seconds("last_alert_time").alias("last_s"), "risk_score", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"),

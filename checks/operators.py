@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
-from checks.detectors import ALERTS_CTE, INCIDENT_CTE, sample_alerts
+from checks.detectors import ALERTS_CTE, INCIDENT_CTE, all_detector_alerts
 from checks.registry import Tables, register
 from harborlight import dims
 from harborlight.functions import ais, alerts, geo
@@ -683,7 +683,7 @@ def _show(df):
 
 @register("h01_all_alerts", S.query(S.POSITIONS, *ALERTS_CTE, f"select {_SHOW} from alerts"))
 def all_alerts(t: Tables):
-    return _show(sample_alerts(t))
+    return _show(all_detector_alerts(t))
 
 
 @register(
@@ -692,13 +692,13 @@ def all_alerts(t: Tables):
 )
 def filter_alerts(t: Tables):
     # The search also looks at descriptions; this word is in a title whenever it is in one.
-    out = serving.filter_alerts(sample_alerts(t), ["HIGH", "CRITICAL"], ["CABLE_PROXIMITY", "DARK_EVENT"], "Cable")
+    out = serving.filter_alerts(all_detector_alerts(t), ["HIGH", "CRITICAL"], ["CABLE_PROXIMITY", "DARK_EVENT"], "Cable")
     return _show(out)
 
 
 @register("g02_recent_alerts", S.query(S.POSITIONS, *ALERTS_CTE, f"select {_SHOW} from alerts order by t_s desc, alert_id limit 250"))
 def recent_alerts(t: Tables):
-    return _show(serving.recent_alerts(sample_alerts(t)))
+    return _show(serving.recent_alerts(all_detector_alerts(t)))
 
 
 @register(
@@ -706,7 +706,7 @@ def recent_alerts(t: Tables):
     S.query(S.POSITIONS, *ALERTS_CTE, f"select {_SHOW} from (select *, row_number() over (partition by mmsi order by t_s desc, alert_id) as n from alerts) where n <= 5"),
 )
 def top_alerts(t: Tables):
-    return _show(serving.top_alerts_per_vessel(sample_alerts(t)))
+    return _show(serving.top_alerts_per_vessel(all_detector_alerts(t)))
 
 
 @register(
@@ -715,21 +715,21 @@ def top_alerts(t: Tables):
             "select 'severity' as dimension, severity as value, count(*) as alerts from alerts group by 2 union all select 'alert_type', alert_type, count(*) from alerts group by 2 union all select 'total', 'all', count(*) from alerts"),
 )
 def alert_stats(t: Tables):
-    return serving.alert_stats(sample_alerts(t))
+    return serving.alert_stats(all_detector_alerts(t))
 
 
 @register("d06_vessels_with_alerts", S.query(S.POSITIONS, *ALERTS_CTE, CUR, "select row_id, mmsi from cur where mmsi in (select mmsi from alerts)"))
 def vessels_with_alerts(t: Tables):
-    return serving.with_alerts_only(cur(t), sample_alerts(t)).select("row_id", "mmsi")
+    return serving.with_alerts_only(cur(t), all_detector_alerts(t)).select("row_id", "mmsi")
 
 
 @register("c30_severity_rank", S.query(S.POSITIONS, *ALERTS_CTE, "select mmsi, max(case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 else 1 end) as worst from alerts group by 1"))
 def severity_rank(t: Tables):
-    return sample_alerts(t).groupBy("mmsi").agg(F.max(alerts.severity_rank("severity")).alias("worst"))
+    return all_detector_alerts(t).groupBy("mmsi").agg(F.max(alerts.severity_rank("severity")).alias("worst"))
 
 
 def _incidents(t: Tables):
-    return written(incidents.correlate_incidents(sample_alerts(t)), "incidents")
+    return written(incidents.correlate_incidents(all_detector_alerts(t)), "incidents")
 
 
 @register(
@@ -767,7 +767,7 @@ def incident_shown_alerts(t: Tables):
 
 @register("g06_incident_all_alerts", S.query(S.POSITIONS, *INCIDENT_CTE, "select inc.id as incident_id, alert_id from ses join inc using (mmsi, session)"))
 def incident_all_alerts(t: Tables):
-    return incidents.incident_alerts(sample_alerts(t)).select("incident_id", "alert_id")
+    return incidents.incident_alerts(all_detector_alerts(t)).select("incident_id", "alert_id")
 
 
 @register(
@@ -781,7 +781,7 @@ def vessel_incidents(t: Tables):
 
 @register("d09_alert_incident_ids", S.query(S.POSITIONS, *INCIDENT_CTE, "select alert_id, inc.id as incident_id from ses join inc using (mmsi, session)"))
 def alert_incident_ids(t: Tables):
-    a = sample_alerts(t)
+    a = all_detector_alerts(t)
     out = serving.alerts_with_incident(incidents.with_sessions(a), incidents.correlate_incidents(a))
     return out.select("alert_id", "incident_id")
 
@@ -802,14 +802,14 @@ def incident_detail(t: Tables):
             "select (select count(*) from cur) as total_vessels, (select count(*) from alerts) as total_alerts, (select count(*) from inc) as total_incidents, (select count(*) from inc) as active_incidents"),
 )
 def system_stats(t: Tables):
-    a = sample_alerts(t)
+    a = all_detector_alerts(t)
     return serving.system_stats(cur(t), a, written(incidents.correlate_incidents(a), "incidents"))
 
 
 @register(
     "e03_storage_stats",
     S.query(S.POSITIONS, *INCIDENT_CTE, THIN, TRAILS,
-            "select (select count(*) from tra) as trail_vessels, (select cast(sum(point_count) as bigint) from tra) as trail_points, (select count(*) from inc) as incidents, (select cast(sum(least(alert_count, 30)) as bigint) from inc) as incident_alerts, (select count(*) from inc) as active, 0::bigint as resolved"),
+            "select (select count(*) from tra) as trail_vessels, (select cast(sum(point_count) as bigint) from tra) as trail_points, (select count(*) from inc) as incidents, (select cast(sum(alert_count) as bigint) from inc) as incident_alerts, (select count(*) from inc) as active, 0::bigint as resolved"),
 )
 def storage_stats(t: Tables):
     return serving.storage_stats(_trails(t), _incidents(t))

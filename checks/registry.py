@@ -13,7 +13,7 @@ from harborlight.sources.derived import positions_from_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_POSITIONS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
@@ -25,16 +25,21 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What `build` gives, written once per session and folder of tables and then read like any table."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, label)
+        if key not in _STORED:
+            _STORED[key] = written(build(), label)
+        return _STORED[key]
+
     @property
     def positions(self) -> DataFrame:
-        """The position table, derived from the events once per session and stored like any table."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _POSITIONS:
-            derived = positions_from_events(self.spark, self.table("events"))
-            # Files by time, as a position table grows, and enough of them for every core.
-            files = self.spark.sparkContext.defaultParallelism
-            _POSITIONS[key] = written(derived.repartitionByRange(files, "t_s"), "positions")
-        return _POSITIONS[key]
+        """The position table, derived from the events."""
+        # Files by time, as a position table grows, and enough of them for every core.
+        files = self.spark.sparkContext.defaultParallelism
+        return self.stored(
+            "positions", lambda: positions_from_events(self.spark, self.table("events")).repartitionByRange(files, "t_s")
+        )
 
     @property
     def zones(self) -> DataFrame:

@@ -175,7 +175,7 @@ def storage_stats(trail: DataFrame, incidents: DataFrame) -> DataFrame:
     points = trail.agg(F.count("*").alias("trail_vessels"), F.coalesce(F.sum("point_count"), F.lit(0)).alias("trail_points"))
     held = incidents.agg(
         F.count("*").alias("incidents"),
-        F.coalesce(F.sum(F.size("alerts")), F.lit(0)).alias("incident_alerts"),
+        F.coalesce(F.sum("alert_count"), F.lit(0)).alias("incident_alerts"),
         F.count_if(F.col("status") == "ACTIVE").alias("active"),
         F.count_if(F.col("status") == "RESOLVED").alias("resolved"),
     )
