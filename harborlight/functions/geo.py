@@ -196,6 +196,17 @@ def points_area_nm2(points: Column) -> Column:
     return F.when(F.size(points) < 2, F.lit(0.0)).otherwise(area)
 
 
+def on_edges(lat, lon, edges: Column) -> Column:
+    """On one of `edges`, its ends included."""
+    x, y = _col(lon), _col(lat)
+    return F.exists(
+        edges,
+        lambda e: ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
+        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])),
+    )
+
+
 def point_in_edges(lat, lon, edges: Column) -> Column:
     """Strictly inside the even-odd area of `edges`, array of struct(x1, y1, x2, y2); x is longitude."""
     x, y = _col(lon), _col(lat)
@@ -204,10 +215,4 @@ def point_in_edges(lat, lon, edges: Column) -> Column:
         lambda e: ((e["y1"] > y) != (e["y2"] > y))
         & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]),
     )
-    on_edge = F.exists(
-        edges,
-        lambda e: ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
-        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])),
-    )
-    return (F.size(crossings) % 2 == 1) & ~on_edge
+    return (F.size(crossings) % 2 == 1) & ~on_edges(lat, lon, edges)

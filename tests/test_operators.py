@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from harborlight import dims
@@ -13,7 +15,7 @@ from harborlight.operators.history import (
 )
 from harborlight.session import SLICE_ROWS_CONF
 from harborlight.operators.throttle import thin_track, throttle
-from harborlight.operators.zones import in_zones
+from harborlight.operators.zones import in_zones, zone_cells
 
 
 def rows(seed=1, n=300, vessels=3):
@@ -173,6 +175,56 @@ def test_zone_with_hole(spark):
     assert {r.row_id for r in in_zones(df, zone, "zone_id").collect()} == {1, 2}
 
 
+def _strictly_inside(x, y, edges):
+    """Even-odd by a ray to the east; on an edge is outside."""
+    x1, y1, x2, y2 = edges.T
+    on = ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2))
+    if (on & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))).any():
+        return False
+    meets = (y1 > y) != (y2 > y)
+    x1, y1, x2, y2 = edges[meets].T
+    return int((x < (x2 - x1) * (y - y1) / (y2 - y1) + x1).sum()) % 2 == 1
+
+
+def _zone(spark, ring):
+    return spark.createDataFrame([("Z", "Z", "MPA", "EU", None, "HIGH", False, [ring])], dims.ZONE_SCHEMA)
+
+
+def _contained(spark, ring, points, size=0.5):
+    df = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(points)], "row_id long, latitude double, longitude double")
+    return {r.row_id for r in in_zones(df, _zone(spark, ring), "zone_id", size=size).collect()}
+
+
+def test_clipped_zone_edges_match_brute_force(spark):
+    rng = random.Random(11)
+    # Corners, edges and points on a half-degree lattice, so that ways to the reference points pass through corners and along edges.
+    stairs = [(0, 0), (4, 0), (4, 1), (2.5, 1), (2.5, 2), (4, 2), (4, 3.5), (1.5, 3.5), (1.5, 2.5), (1, 2.5), (1, 3.5), (0, 3.5)]
+    # A ring that crosses itself, with edges longer than cells.
+    crossed = [(round(rng.uniform(-3, 3), 1), round(rng.uniform(-3, 3), 1)) for _ in range(40)]
+    for corners in (stairs, crossed):
+        ring = [(float(x), float(y)) for x, y in [*corners, corners[0]]]
+        edges = np.array([(*a, *b) for a, b in zip(ring[:-1], ring[1:])])
+        points = [(x / 4, y / 4) for x in range(-14, 19) for y in range(-14, 19)]
+        points += [(rng.uniform(-3, 4), rng.uniform(-3, 4)) for _ in range(300)] + ring
+        want = {i for i, (x, y) in enumerate(points) if _strictly_inside(x, y, edges)}
+        assert want and _contained(spark, ring, points) == want
+        assert _contained(spark, ring, points, size=0.3) == want
+
+
+def test_a_zone_of_many_points_costs_about_its_edges(spark):
+    n = 100_000
+    angle = np.arange(n) * 2 * np.pi / n
+    radius = 4 + 0.5 * np.sin(37 * angle) + 0.01 * np.sin(1000 * angle)
+    ring = [(float(x), float(y)) for x, y in zip(20 + radius * np.cos(angle), 57 + radius * np.sin(angle))]
+    ring.append(ring[0])
+    kept = zone_cells(_zone(spark, ring)).agg(F.sum(F.size("edges"))).first()[0]
+    assert n <= kept < 1.05 * n
+    rng = random.Random(3)
+    points = [(20 + r * math.cos(a), 57 + r * math.sin(a)) for r, a in ((rng.uniform(3, 5), rng.uniform(0, 7)) for _ in range(200))]
+    edges = np.array([(*a, *b) for a, b in zip(ring[:-1], ring[1:])])
+    assert _contained(spark, ring, points) == {i for i, (x, y) in enumerate(points) if _strictly_inside(x, y, edges)}
+
+
 def test_haversine_is_symmetric_and_bearings(spark):
     df = spark.range(1).select(
         geo.haversine_nm(F.lit(44.4072), F.lit(8.9342), F.lit(43.2965), F.lit(5.3698)).alias("a"),
