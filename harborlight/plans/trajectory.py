@@ -9,7 +9,7 @@ from harborlight.functions import geo
 from harborlight.functions.alerts import or_unknown, to_alerts
 from harborlight.operators.once import once
 from harborlight.operators.throttle import throttle
-from harborlight.operators.zones import CELL_DEGREES, with_edges
+from harborlight.operators.zones import CELL_DEGREES, in_cell, with_edges, zone_cells
 from harborlight.plans.cable import zones_of_type
 
 # Fixed values.
@@ -52,7 +52,7 @@ def _touching(a: Column, b: Column) -> Column:
 
 
 def first_hit(path: Column, box: Column, edges: Column) -> Column:
-    """Where the path first meets an edge: struct(t, x, y) on its first segment that does; else null.
+    """Where the path first meets an edge: struct(i, hit) of its first segment that does, hit as by segment_hit; else null.
 
     `box` is the path's box; edges outside it are dropped before any intersection is worked out.
     """
@@ -63,54 +63,51 @@ def first_hit(path: Column, box: Column, edges: Column) -> Column:
     )
     segments = F.transform(
         F.sequence(F.lit(1), F.size(path) - 1),
-        lambda i: F.struct(F.element_at(path, i).alias("p"), F.element_at(path, i + 1).alias("q")),
+        lambda i: F.struct(i.alias("i"), F.element_at(path, i).alias("p"), F.element_at(path, i + 1).alias("q")),
     )
 
     def nearest(s: Column, candidates: Column) -> Column:
         p, q = s["p"], s["q"]
-        return F.array_min(
+        hit = F.array_min(
             F.transform(
                 candidates,
                 lambda e: geo.segment_hit(p["lon"], p["lat"], q["lon"], q["lat"], e["x1"], e["y1"], e["x2"], e["y2"]),
             )
         )
+        return F.struct(s["i"].alias("i"), hit.alias("hit"))
 
     def along(candidates: Column) -> Column:
         hits = F.transform(segments, lambda s: nearest(s, candidates))
-        return F.when(F.size(candidates) > 0, F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0)))
+        return F.when(F.size(candidates) > 0, F.get(F.filter(hits, lambda h: h["hit"].isNotNull()), F.lit(0)))
 
     return geo.let(near, along)
 
 
-def path_zone_hits(
-    positions: DataFrame, zones: DataFrame, minutes: int = 45, step: int = 5, size: float = CELL_DEGREES
-) -> DataFrame:
-    """(report, cable zone) whose predicted path meets the zone from outside, with the entry point.
+def _meeting(box: Column, other: Column) -> Column:
+    """What two boxes share."""
+    lows, highs = ("min_lat", "min_lon"), ("max_lat", "max_lon")
+    return F.struct(
+        *[F.greatest(box[c], other[c]).alias(c) for c in lows], *[F.least(box[c], other[c]).alias(c) for c in highs]
+    )
+
 
-    Vessels and zones first meet on grid cells, by how far the vessel can get at all; only then
-    is the path worked out. A pair that shares several cells is taken in the lowest shared one
-    only, so no distinct is needed. The reach is cut to the box around all zones, so a report
-    with any speed is copied to no more cells than the zones lie among.
+def _near_zones(positions: DataFrame, targets: DataFrame, reach: Column, size: float) -> DataFrame:
+    """(report, zone) whose boxes touch, the report's taken as far as it can get; each pair once.
+
+    The reach is cut to the box around all zones, so a report with any speed is copied to no more cells than the zones
+    lie among. A pair that shares several cells is taken in the lowest shared one only, so no distinct is needed.
     """
-    lat, lon, knots = F.col("latitude"), F.col("longitude"), F.col("speed_over_ground")
-    reach = F.lit(minutes / 60.0 * 1.01) * knots
-    targets = with_edges(zones_of_type(zones)).select("zone_id", "zone_name", "edges", "bbox")
+    lat, lon = F.col("latitude"), F.col("longitude")
     lows, highs = ("min_lat", "min_lon"), ("max_lat", "max_lon")
     around = targets.agg(F.struct(
         *[F.min(f"bbox.{c}").alias(c) for c in lows], *[F.max(f"bbox.{c}").alias(c) for c in highs]
     ).alias("box")).scalar()
-    box, whole = F.col("_reach"), F.col("_around")
-    cut = F.struct(
-        *[F.greatest(box[c], whole[c]).alias(c) for c in lows], *[F.least(box[c], whole[c]).alias(c) for c in highs]
-    )
     moving = (
         positions.where(lat.between(-90, 90) & lon.between(-180, 180))
-        .withColumn("course", F.coalesce(F.col("course_over_ground"), F.col("heading")))
-        .where(F.col("course").isNotNull())
         .withColumn("_reach", _reach_box(lat, lon, reach))
         .withColumn("_around", around)
-        .where(_touching(box, whole))
-        .withColumn("_reach", cut)
+        .where(_touching(F.col("_reach"), F.col("_around")))
+        .withColumn("_reach", _meeting(F.col("_reach"), F.col("_around")))
         .drop("_around")
     )
     vlats, vlons = _box_cells(F.col("_reach"), size)
@@ -120,19 +117,43 @@ def path_zone_hits(
     lowest = (
         F.col("_cell_lat") == F.floor(F.greatest(F.col("_reach.min_lat"), F.col("bbox.min_lat")) / size)
     ) & (F.col("_cell_lon") == F.floor(F.greatest(F.col("_reach.min_lon"), F.col("bbox.min_lon")) / size))
-    outside = ~(geo.in_bbox("latitude", "longitude", F.col("bbox")) & geo.point_in_edges("latitude", "longitude", F.col("edges")))
     near = vessels.join(cells, ["_cell_lat", "_cell_lon"]).where(lowest & _touching(F.col("_reach"), F.col("bbox")))
+    return near.drop("_reach", "_cell_lat", "_cell_lon")
+
+
+def path_zone_hits(
+    positions: DataFrame, zones: DataFrame, minutes: int = 45, step: int = 5, size: float = CELL_DEGREES
+) -> DataFrame:
+    """(report, cable zone) whose predicted path meets the zone from outside, with the entry point.
+
+    Vessels and zones first meet by their boxes; only then is the path worked out, and only if it comes to the zone's
+    box does it meet the zone's cells, each with the edges in it. The first of the hits in all cells is the entry.
+    Zones are told apart by zone_id.
+    """
+    knots = F.col("speed_over_ground")
+    targets = with_edges(zones_of_type(zones)).select("zone_id", "zone_name", "bbox")
+    cells = zone_cells(zones_of_type(zones), size).select("zone_id", "_cell_lat", "_cell_lon", "_whole", "_ref", "edges")
+    headed = positions.withColumn("course", F.coalesce(F.col("course_over_ground"), F.col("heading"))).where("course is not null")
+    near = _near_zones(headed, targets, F.lit(minutes / 60.0 * 1.01) * knots, size)
     ahead = once(near, "_path", geo.path_points("latitude", "longitude", "course", "speed_over_ground", minutes, step))
-    boxed = once(ahead, "_box", path_box(F.col("_path")))
-    hit = F.when(_touching(F.col("_box"), F.col("bbox")), first_hit(F.col("_path"), F.col("_box"), F.col("edges")))
-    return (
-        once(boxed, "_hit", hit, keep_null=False)
-        .where(outside)
-        .select(
-            *positions.columns, "course", "zone_id", "zone_name",
-            F.col("_hit.y").alias("entry_lat"), F.col("_hit.x").alias("entry_lon"),
-        )
+    boxed = once(ahead, "_box", path_box(F.col("_path"))).where(_touching(F.col("_box"), F.col("bbox")))
+    cell_lat, cell_lon = geo.grid_cell("latitude", "longitude", size)
+    inside = F.col("_whole") | (geo.in_bbox("latitude", "longitude", F.col("bbox")) & in_cell("latitude", "longitude", size))
+    place = ["zone_id", "_cell_lat", "_cell_lon"]
+    outside = (
+        boxed.withColumn("_cell_lat", cell_lat).withColumn("_cell_lon", cell_lon)
+        .join(cells, place, "left")
+        .where(~F.coalesce(inside, F.lit(False)))
+        .drop("_cell_lat", "_cell_lon", "_whole", "_ref", "edges")
     )
+    lats, lons = _box_cells(_meeting(F.col("_box"), F.col("bbox")), size)
+    spread = outside.withColumn("_cell_lat", F.explode(lats)).withColumn("_cell_lon", F.explode(lons))
+    met = spread.join(cells.where(~F.col("_whole")), place)
+    found = once(met, "_hit", first_hit(F.col("_path"), F.col("_box"), F.col("edges")), keep_null=False)
+    out = [*positions.columns, "course", "zone_id", "zone_name"]
+    first = F.min_by(F.struct(*out, "_hit"), F.struct("_hit.i", "_hit.hit")).alias("r")
+    entered = found.groupBy("mmsi", "t_s", "row_id", "zone_id").agg(first).select("r.*")
+    return entered.select(*out, F.col("_hit.hit.y").alias("entry_lat"), F.col("_hit.hit.x").alias("entry_lon"))
 
 
 def trajectory_candidates(
