@@ -146,14 +146,19 @@ def path_zone_hits(
         .where(~F.coalesce(inside, F.lit(False)))
         .drop("_cell_lat", "_cell_lon", "_whole", "_ref", "edges")
     )
-    lats, lons = _box_cells(_meeting(F.col("_box"), F.col("bbox")), size)
-    spread = outside.withColumn("_cell_lat", F.explode(lats)).withColumn("_cell_lon", F.explode(lons))
-    met = spread.join(cells.where(~F.col("_whole")), place)
-    found = once(met, "_hit", first_hit(F.col("_path"), F.col("_box"), F.col("edges")), keep_null=False)
     out = [*positions.columns, "course", "zone_id", "zone_name"]
-    first = F.min_by(F.struct(*out, "_hit"), F.struct("_hit.i", "_hit.hit")).alias("r")
-    entered = found.groupBy("mmsi", "t_s", "row_id", "zone_id").agg(first).select("r.*")
-    return entered.select(*out, F.col("_hit.hit.y").alias("entry_lat"), F.col("_hit.hit.x").alias("entry_lon"))
+    if positions.isStreaming:
+        # Hits of several cells need an aggregate, and that would hold rows back until the watermark.
+        met = outside.join(with_edges(zones_of_type(zones)).select("zone_id", "edges"), "zone_id")
+    else:
+        lats, lons = _box_cells(_meeting(F.col("_box"), F.col("bbox")), size)
+        spread = outside.withColumn("_cell_lat", F.explode(lats)).withColumn("_cell_lon", F.explode(lons))
+        met = spread.join(cells.where(~F.col("_whole")), place)
+    found = once(met, "_hit", first_hit(F.col("_path"), F.col("_box"), F.col("edges")), keep_null=False)
+    if not positions.isStreaming:
+        first = F.min_by(F.struct(*out, "_hit"), F.struct("_hit.i", "_hit.hit")).alias("r")
+        found = found.groupBy("mmsi", "t_s", "row_id", "zone_id").agg(first).select("r.*")
+    return found.select(*out, F.col("_hit.hit.y").alias("entry_lat"), F.col("_hit.hit.x").alias("entry_lon"))
 
 
 def trajectory_candidates(

@@ -45,12 +45,15 @@ def extract_sanction_rows(pages: DataFrame) -> DataFrame:
 
     listed = F.array_compact(F.transform(rows, from_row))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", " "), TAG, "")
-    pattern = F.lit(r"(?i)([A-Z][A-Z\s]+?)\s*(?:\(|\[)?IMO[:\s]*(\d{7})(?:\)|\])?")
+    # From each number back over the letters before it: a pattern that begins with the name would try every letter of the text.
+    number = r"(?i)IMO[:\s]*(\d{7})"
+    before = F.transform(F.split(text, number), F.reverse)
     named = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, 2).alias("imo"), F.transform(F.regexp_extract_all(text, pattern, 1), F.trim).alias("name")
+        F.regexp_extract_all(text, F.lit(number), 1).alias("imo"),
+        F.transform(before, lambda x: F.reverse(F.regexp_extract(x, r"(?i)^[(\[]?\s*+([A-Z\s]*[A-Z])", 1))).alias("name"),
     )
     in_text = F.transform(
-        F.filter(named, lambda x: (F.length(x["name"]) > 2) & (F.length(x["name"]) < 50)),
+        F.filter(named, lambda x: x["imo"].isNotNull() & (F.length(x["name"]) > 2) & (F.length(x["name"]) < 50)),
         lambda x: F.struct(x["imo"].alias("imo"), x["name"].alias("name"), F.lit("").alias("flag")),
     )
     scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1), "\n")

@@ -133,14 +133,18 @@ def read_history_topic(spark: SparkSession, options: dict[str, str], start_ms: i
 REPLAY_SCHEMA = (
     "metadata struct<vessel:string, mmsi:string, imo:string, flag:string>, "
     "track array<struct<timestamp:string, lat:double, lon:double, speed_kn:double, status:string, location:string, alert:string>>, "
-    "ais_positions_for_replay array<struct<mmsi:string, timestamp:bigint, lat:double, lon:double, sog:double, cog:double>>"
+    "ais_positions_for_replay array<struct<mmsi:string, timestamp:bigint, lat:double, lon:double, sog:double, cog:double, nav_status:int>>"
 )
 
 
-def read_replay_track(spark: SparkSession, path: str) -> DataFrame:
-    """The replay list of a stored track -> positions with t_s and row_id."""
-    docs = spark.read.schema(REPLAY_SCHEMA).option("multiLine", True).json(path)
-    rows = docs.select("metadata", F.posexplode("ais_positions_for_replay").alias("row_id", "p"))
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """Stored tracks, a JSON document per file."""
+    return spark.read.schema(REPLAY_SCHEMA).option("multiLine", True).json(path)
+
+
+def replay_positions(tracks: DataFrame) -> DataFrame:
+    """The replay lists of stored tracks -> positions with t_s and row_id; `tracks` may be a stream of files."""
+    rows = tracks.select("metadata", F.posexplode("ais_positions_for_replay").alias("row_id", "p"))
     return rows.select(
         F.col("row_id").cast("long").alias("row_id"),
         F.col("p.timestamp").alias("t_s"),
@@ -151,17 +155,21 @@ def read_replay_track(spark: SparkSession, path: str) -> DataFrame:
         F.col("p.sog").alias("speed_over_ground"),
         F.col("p.cog").alias("course_over_ground"),
         F.lit(None).cast("double").alias("heading"),
-        F.lit(None).cast("int").alias("nav_status"),
+        F.col("p.nav_status").alias("nav_status"),
         F.lit(None).cast("int").alias("ship_type"),
         F.col("metadata.vessel").alias("ship_name"),
         F.col("metadata.imo").alias("imo_number"),
     )
 
 
-def investigation_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Waypoints of a stored track that carry an alert tag -> alert rows."""
-    docs = spark.read.schema(REPLAY_SCHEMA).option("multiLine", True).json(path)
-    rows = docs.select("metadata", F.posexplode("track").alias("i", "w")).where(F.col("w.alert") != "")
+def read_replay_track(spark: SparkSession, path: str) -> DataFrame:
+    """The replay list of a stored track -> positions with t_s and row_id."""
+    return replay_positions(read_tracks(spark, path))
+
+
+def tagged_waypoints(tracks: DataFrame) -> DataFrame:
+    """Waypoints of stored tracks that carry an alert tag -> alert rows."""
+    rows = tracks.select("metadata", F.posexplode("track").alias("i", "w")).where(F.col("w.alert") != "")
     tag = F.col("w.alert")
     severe = tag.contains("ANCHOR_DRAG") | tag.contains("CRITICAL")
     return rows.select(
@@ -176,3 +184,8 @@ def investigation_alerts(spark: SparkSession, path: str) -> DataFrame:
         F.translate(tag, "_", " ").alias("title"),
         F.format_string("%s. Speed: %s kts. Status: %s.", F.col("w.location"), F.col("w.speed_kn").cast("string"), F.col("w.status")).alias("description"),
     )
+
+
+def investigation_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The tagged waypoints of a stored track as alerts."""
+    return tagged_waypoints(read_tracks(spark, path))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -91,6 +92,18 @@ def test_page_extraction_prefers_tables(spark):
     assert got == [(1, "9123456", "A & B", "RU"), (2, "9000001", "LONE STAR", "")]
 
 
+def test_names_in_text_take_time_in_proportion(spark):
+    texts = {
+        1: "THE GOOD SHIP (IMO 9000001) met Other One [IMO: 9000002], 7 IMO 9000003 and no imo 123; AB IMO9000004, LOST ( IMO 9000006); TWO\n WORDS\n(IMO 9000007)",
+        2: "word " * 400_000 + "IMO 9000005", 3: " " * 300_000 + "x", 4: "a" * 300_000, 5: None, 6: "",
+    }
+    pages = spark.createDataFrame(list(texts.items()), "page_id long, html string")
+    start = time.time()
+    got = sorted(tuple(r) for r in fleet.extract_sanction_rows(pages).collect())
+    assert got == [(1, "9000001", "THE GOOD SHIP", ""), (1, "9000002", "met Other One", ""), (1, "9000007", "TWO\n WORDS", "")]
+    assert time.time() - start < 30
+
+
 def test_scalar_cases(spark):
     one = spark.range(1)
 
