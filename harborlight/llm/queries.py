@@ -91,6 +91,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op9_url_filters": r"""
+with u as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), h as (
+  select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u
+), p as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h
+), l as (
+  select *, case when ('.' || host) like '%.example.org' and starts_with(path, '/en/1') then 'example.org/en/1'
+    when ('.' || host) like '%.example.org' and starts_with(path, '/es/') then 'example.org/es/'
+    when ('.' || host) like '%.com' and starts_with(path, '/fr/') then 'com/fr/'
+    when ('.' || host) like '%.com' and starts_with(path, '/de/') then 'com/de/'
+    when ('.' || host) like '%.org' and starts_with(path, '/') then 'org/' end as rule,
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{n}', 'g')) as tokens
+  from p
+), c as (
+  select host, tokens, count(*) filter (where rule in ('example.org/en/1', 'example.org/es/', 'com/de/')) as blocked, count(rule) as labelled
+  from l group by host, tokens
+), n as (
+  select host, tokens, i, tokens[i] as child, tokens[1:i - 1] as parent from (select host, tokens, unnest(generate_series(1, len(tokens))) as i from c)
+), v as (
+  select host, parent from n group by host, parent having count(distinct child) >= 12 and count(distinct child) >= 2e-1 * count(*)
+), t as (
+  select n.host, n.tokens, list(case when v.host is null then n.child else '*' end order by i) as template
+  from n left join v on n.host = v.host and n.parent = v.parent group by n.host, n.tokens
+), f as (
+  select c.*, coalesce(template, []::varchar[]) as template, coalesce(template[1:greatest(len(template) - 1, 0)], []::varchar[]) as parent
+  from c left join t on c.host = t.host and c.tokens = t.tokens
+), bt as (
+  select host, parent, template, sum(blocked)::double as b, sum(labelled)::double as k from f group by host, parent, template
+), bh as (
+  select host, (sum(b) + 5e0 * 5e-1) / (sum(k) + 5e0) as share from bt group by host
+), bp as (
+  select bt.host, parent, (sum(b) + 5e0 * any_value(bh.share)) / (sum(k) + 5e0) as share from bt join bh using (host) group by bt.host, parent
+), j as (
+  select bt.host, bt.template,
+    case when k > 0 and abs(b / k - bp.share) > 1.5e0 * sqrt(bp.share * (1 - bp.share) / greatest(k, 1)) then (b + 5e0 * bp.share) / (k + 5e0)
+      else bp.share end as share
+  from bt join bp on bt.host = bp.host and bt.parent = bp.parent
+)
+select page_id, l.host, path, rule,
+  case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when share >= 7e-1 then 'block' else 'allow' end as verdict,
+  '/' || array_to_string(f.template, '/') as template
+from l join f on l.host = f.host and l.tokens = f.tokens join j on f.host = j.host and f.template = j.template""",
     "op1_substring_dedup": r"""
 with d as (
   select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents

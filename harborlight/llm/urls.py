@@ -17,9 +17,7 @@ from harborlight.session import written
 RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 ]
-#: Segments of a path that are nodes of the tree; what follows is one node.
-DEPTH = 6
-#: A node gets a wildcard child if it has so many different children, and at least this share of its pages.
+#: A node gets a wildcard child if it has so many different children, and at least this share of its different paths.
 MANY, VARIED = 12, 0.2
 #: Pages that the next wider count is worth when a share is smoothed, the share from which a template is rejected, and
 #: standard errors by which branches may differ and still be judged together.
@@ -56,19 +54,23 @@ def rule_for(rules: list[tuple[str, str, str]]) -> Column:
 
 
 def tokens(path: str) -> Column:
-    """The segments of a path, digits replaced, at most DEPTH of them and one for the rest."""
+    """The segments of a path, all of them, digits replaced."""
     parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, "[0-9]+", "{n}"))
-    rest = F.when(F.size(parts) > DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.slice(parts, 1, DEPTH), rest)
+    return F.transform(parts, lambda x: F.regexp_replace(x, "[0-9]+", "{n}"))
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """Add `template` to rows (host, tokens, n, ...): their tokens, wildcards where a node's children vary."""
-    nodes = counted.select(
-        "host", "tokens", "n", F.posexplode("tokens").alias("depth", "child")
-    ).withColumn("parent", F.expr("slice(tokens, 1, depth)"))
-    children = nodes.groupBy("host", "parent", "child").agg(F.sum("n").alias("n"))
+    """Add `template` to rows (host, tokens, ...), one per path form: their tokens, wildcards where a node's children vary.
+
+    Every segment is a node, known by a digest of the path down to it, so what is moved for a path grows with its segments.
+    How often a page comes does not count: children are compared with different path forms.
+    """
+    key = lambda parts: F.sha2(F.array_join(parts, "/"), 256)
+    keyed = counted.withColumn("tkey", key(F.col("tokens")))
+    nodes = keyed.select("host", "tkey", "tokens", F.posexplode("tokens").alias("depth", "child")).select(
+        "host", "tkey", "depth", "child", key(F.expr("slice(tokens, 1, depth)")).alias("parent")
+    )
+    children = nodes.groupBy("host", "parent", "child").agg(F.count("*").alias("n"))
     varied = (
         children.groupBy(F.col("host").alias("vhost"), F.col("parent").alias("vparent"))
         .agg(F.count("*").alias("different"), F.sum("n").alias("total"))
@@ -77,16 +79,19 @@ def templates(counted: DataFrame) -> DataFrame:
     )
     placed = (
         nodes.join(varied, (F.col("host") == F.col("vhost")) & (F.col("parent") == F.col("vparent")), "left")
-        .groupBy(F.col("host").alias("thost"), F.col("tokens").alias("ttokens"))
+        .groupBy(F.col("host").alias("thost"), F.col("tkey").alias("ttkey"))
         .agg(F.array_sort(F.collect_list(F.struct("depth", F.when(F.col("wild"), "*").otherwise(F.col("child")).alias("name")))).alias("names"))
     )
-    joined = counted.join(placed, (F.col("host") == F.col("thost")) & (F.col("tokens") == F.col("ttokens")), "left")
+    joined = keyed.join(placed, (F.col("host") == F.col("thost")) & (F.col("tkey") == F.col("ttkey")), "left")
     names = F.transform("names", lambda x: x["name"])
-    return joined.withColumn("template", F.coalesce(names, F.array().cast("array<string>"))).drop("thost", "ttokens", "names")
+    return joined.withColumn("template", F.coalesce(names, F.array().cast("array<string>"))).drop("tkey", "thost", "ttkey", "names")
 
 
 def judged(counted: DataFrame) -> DataFrame:
-    """Rows (host, tokens, n, blocked, labelled) with `share`: the smoothed share of blocked pages of their template."""
+    """Rows (host, tokens, n, blocked, labelled) with `share`: the smoothed share of blocked pages of their template.
+
+    An empty table gives an empty one.
+    """
     rows = templates(counted).withColumn("parent", F.expr("slice(template, 1, greatest(size(template) - 1, 0))"))
     sums = [F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")]
     smooth = lambda blocked, labelled, prior: (blocked + SMOOTHING * prior) / (labelled + SMOOTHING)

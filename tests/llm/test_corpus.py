@@ -8,6 +8,7 @@ import re
 import zlib
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from harborlight.llm import (
-    decontaminate, jaccard, languages, personal, sentencepieces, substrings, token_files, toxicity, urls, vectors,
+    decontaminate, jaccard, languages, personal, queries, sentencepieces, substrings, token_files, toxicity, urls, vectors,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, n long, found string, tokens string"
@@ -359,6 +360,27 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_templates(spark):
+    """Against the query's SQL, on deep and very long paths, repeated pages and two labels below one branch."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = [(i, f"http://w.net/p/{letters[i % 26]}") for i in range(6 * 26)]
+    made += [(200 + i, f"http://x.net/a/b/c/d/e/f/{'bad' if i % 2 else 'good'}/x{i}") for i in range(40)]
+    made += [(300 + i, f"http://s.com/{'de' if i % 3 else 'it'}/{letters[i % 26]}/{i}") for i in range(90)]
+    made += [(400 + i, f"http://s.com/DE/{letters[i % 26]}") for i in range(40)] + [(500, "http://long.net/" + "y/" * 3000), (501, "http://long.net/" + "z" * 200_000)]
+    made += [(None, None), (502, ""), (502, "http://"), (502, "http://"), (503, "http://h.org"), (504, "a://b//c///"), (505, "http://h.net/%\\_\"/é\n/x")]
+    pages = spark.createDataFrame(made, "page_id long, url string")
+    found = urls.digest(urls.judge_urls(pages))
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    rel = con.sql(queries.SQL["op9_url_filters"])
+    rows = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
+    names = ["page_id", "host", "path", "rule", "verdict", "template"]
+    same([tuple(r) for r in found.select(*names).collect()], [tuple(r[c] for c in names) for r in rows])
+    template = {r.page_id: r.template for r in found.collect()}
+    assert template[0] == "/p/*"  # six times each page is still one branch of 26
+    assert template[200] != template[201] and template[200].startswith("/a/b/c/d/e/f/good/") and template[500] == "/" + "/".join(["y"] * 3000)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(3)
     made, labels = [], []
