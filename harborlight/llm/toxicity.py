@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import crc_remainder, held, share
+from harborlight.llm.common import crc_remainder, held, parts_for, share
 from harborlight.llm.words import NOT_ALNUM, Words, hashes, mix, slices, text_bytes
 from harborlight.session import written
 
@@ -31,6 +31,8 @@ LEAST_PAIRS = 2
 DISCOUNT = 0.75
 #: Log-likelihoods are divided by this power of the number of words.
 LENGTH_POWER = 0.75
+#: Bytes of different words whose letters ask for shared probabilities together.
+LOT_BYTES = 4 << 20
 
 
 def read_words(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, pa.Array]:
@@ -111,7 +113,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, n) to (key, context, low, n): sequences of 1 to LONGEST letters, without their last and without their first."""
+    """Rows (word, n) to (m, key, context, low, n): sequences of m = 1 to LONGEST letters, without their last and without their first."""
     for batch in slices(batches, "word", 1 << 20):
         keys, before, room, first = sequences(batch.column("word"), LONGEST)
         times = np.repeat(batch.column("n").to_numpy(), np.diff(np.append(first, len(room))))
@@ -123,8 +125,9 @@ def count_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             some = order[first_]
             if len(some):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[some].view(np.int64)) for x in (key, context, low)] + [pa.array(np.add.reduceat(n[order], first_))],
-                    names=["key", "context", "low", "n"],
+                    [pa.array(np.full(len(some), m, np.int32)), *(pa.array(x[some].view(np.int64)) for x in (key, context, low)),
+                     pa.array(np.add.reduceat(n[order], first_))],
+                    names=["m", "key", "context", "low", "n"],
                 )
 
 
@@ -144,45 +147,42 @@ def count_by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word) to (word, key): a word's hash with the key of the longest sequence up to each letter."""
-    for batch in slices(batches, "word", 1 << 20):
-        keys, _, room, first = sequences(batch.column("word"), LONGEST)
-        word = np.repeat(hashes(batch.column("word")).view(np.int64), np.diff(np.append(first, len(room))))
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(keys[-1].view(np.int64))], names=["word", "key"])
+def asked(lot: pa.Table) -> pa.Table:
+    """The words of a lot to (lot, key): the different longest sequences up to their letters."""
+    keys = [np.unique(sequences(batch.column("word"), LONGEST)[0][-1]) for batch in slices(iter(lot.to_batches()), "word", 1 << 20)]
+    every = np.unique(np.concatenate(keys))
+    return pa.table({"lot": pa.array(np.full(len(every), lot.column("lot")[0].as_py(), np.int32)), "key": pa.array(every.view(np.int64))})
 
 
 def shared_model(words: DataFrame) -> DataFrame:
     """(key, p): the probability of the last letter of each sequence given the others, from rows (word, n) of all documents.
 
-    Kneser-Ney's interpolation down to single letters; each order is one join with the next shorter one.
+    Kneser-Ney's interpolation down to single letters. Each order is joined once with the next shorter one and stored, so that
+    Spark knows how long it is; a context has no more sequences than there are different letters.
     """
     counted = (
-        words.mapInArrow(count_sequences, "key long, context long, low long, n long")
-        .groupBy("key", "context", "low")
+        words.mapInArrow(count_sequences, "m int, key long, context long, low long, n long")
+        .groupBy("m", "key", "context", "low")
         .agg(F.sum("n").alias("n"))
     )
-    counted = written(counted, "toxicity-sequences")
-    totals = counted.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-    single = F.col("low") == F.bitwise_not("key")
+    of_context = Window.partitionBy("context")
+    total, types = F.sum("n").over(of_context), F.count("*").over(of_context)
+    single = F.col("m") == 1
     orders = written(
-        counted.join(totals, "context").select(
-            "key", "low",
-            F.when(single, F.col("n") / F.col("total")).otherwise((F.col("n") - DISCOUNT) / F.col("total")).alias("own"),
-            F.when(single, F.lit(0.0)).otherwise(DISCOUNT * F.col("types") / F.col("total")).alias("rest"),
+        counted.select(
+            "m", "key", "low",
+            F.when(single, F.col("n") / total).otherwise((F.col("n") - DISCOUNT) / total).alias("own"),
+            F.when(single, F.lit(0.0)).otherwise(DISCOUNT * types / total).alias("rest"),
         ),
         "toxicity-orders",
     )
-    found = orders.select("key", "low", F.col("own").alias("p"), F.col("rest").alias("left"))
-    shorter = orders.select(F.col("key").alias("low"), F.col("low").alias("lower"), "own", "rest")
-    for _ in range(LONGEST - 1):
-        # Where single letters are reached, `low` matches nothing.
-        found = found.join(shorter, "low", "left").select(
-            "key", F.coalesce("lower", "low").alias("low"),
-            (F.col("p") + F.col("left") * F.coalesce("own", F.lit(0.0))).alias("p"),
-            (F.col("left") * F.coalesce("rest", F.lit(0.0))).alias("left"),
-        )
-    return written(found.select("key", "p"), "toxicity-shared")
+    found = every = written(orders.where(single).select("key", F.col("own").alias("p")), "toxicity-shared")
+    for m in range(2, LONGEST + 1):
+        shorter = found.select(F.col("key").alias("low"), F.col("p").alias("lower"))
+        longer = orders.where(F.col("m") == m).join(shorter, "low")
+        found = written(longer.select("key", (F.col("own") + F.col("rest") * F.col("lower")).alias("p")), "toxicity-shared")
+        every = every.unionAll(found)
+    return every
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -221,9 +221,13 @@ class Model:
                 own[k] = np.where(some[group], np.maximum(n[k] - DISCOUNT, 0) / np.maximum(total[group], 1), 0.0)
             self.orders.append((seen, own, context, rest))
 
-    def letters(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (word) to the longest sequences up to their letters: the key, and a and b of each class."""
-        for batch in slices(batches, "word", 1 << 20):
+    def word_ratios(self, lot: pa.Table, shared: pa.Table) -> pa.Table:
+        """The words of a lot to (word, ratio), with the shared probabilities (key, p) of all sequences that they asked for."""
+        known, p = shared.column("key").to_numpy().view(np.uint64), shared.column("p").to_numpy()
+        order = np.argsort(known)
+        known, p = known[order], p[order]
+        found, ratio = [], []
+        for batch in slices(iter(lot.to_batches()), "word", 1 << 20):
             names = batch.column("word")
             keys, before, room, first = sequences(names, LONGEST)
             a, b = np.zeros((2, len(room))), np.ones((2, len(room)))
@@ -233,12 +237,10 @@ class Model:
                 a += np.where(there, b * own[:, slot], 0.0)
                 slot, there = lookup(context, before[m - 1])
                 b *= np.where(there, rest[:, slot], 1.0)
-            order, some = runs([keys[-1]])
-            some = order[some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[-1][some].view(np.int64)), *(pa.array(x[some]) for x in (a[0], b[0], a[1], b[1]))],
-                names=["key", "a0", "b0", "a1", "b1"],
-            )
+            like = np.log(a + b * p[np.searchsorted(known, keys[-1])])
+            found.append(hashes(names).view(np.int64))
+            ratio.append(np.add.reduceat(like[1] - like[0], first))
+        return pa.table({"word": pa.array(np.concatenate(found)), "ratio": pa.array(np.concatenate(ratio))})
 
     def learn_pairs(self, known: pa.Table, pairs: pa.Table) -> None:
         """Take the words' differences (word, ratio) and the pairs (before, word, n0, n1, total0, total1)."""
@@ -316,20 +318,23 @@ def chosen(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def word_ratios(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ratio): for the hash of each word the difference of its letters' log-likelihoods, over the shared model."""
+    """(word, ratio): for the hash of each word the difference of its letters' log-likelihoods, over the shared model.
+
+    Words lie in lots by a hash. A lot asks for each sequence of its words once, however many of them hold it, so a
+    frequent sequence has no more rows than there are lots, and the words' letters are not moved.
+    """
     if not model.orders:
         return words.select(F.lit(0).cast("long").alias("word"), F.lit(0.0).alias("ratio")).limit(0)
     sent = share(words.sparkSession, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from held(sent).letters(batches)
-
-    placed = words.select("word").mapInArrow(run, "key long, a0 double, b0 double, a1 double, b1 double").dropDuplicates(["key"])
-    one = F.log((F.col("a1") + F.col("b1") * F.col("p")) / (F.col("a0") + F.col("b0") * F.col("p")))
-    # Written, so that Spark knows its size and moves the letters of all words only if it is large.
-    letters = written(placed.join(shared_model(words), "key").select("key", one.alias("one")), "toxicity-letters")
-    spelt = words.select("word").mapInArrow(spell, "word long, key long")
-    return written(spelt.join(letters, "key").groupBy("word").agg(F.sum("one").alias("ratio")), "toxicity-words")
+    def run(lot: pa.Table, shared: pa.Table) -> pa.Table:
+        return held(sent).word_ratios(lot, shared)
+
+    lots = parts_for(words.agg(F.sum(F.octet_length("word"))).first()[0], LOT_BYTES)
+    lot = F.pmod(F.xxhash64("word"), F.lit(lots)).cast("int").alias("lot")
+    dealt = words.select(lot, "word").groupBy("lot")
+    answers = dealt.applyInArrow(asked, "lot int, key long").join(shared_model(words), "key").select("lot", "key", "p")
+    return written(dealt.cogroup(answers.groupBy("lot")).applyInArrow(run, "word long, ratio double"), "toxicity-words")
 
 
 def ratios(texts: DataFrame, model: Model, words: DataFrame) -> DataFrame:

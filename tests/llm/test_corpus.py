@@ -428,6 +428,77 @@ def test_toxicity_order_and_shared_counts(spark):
     assert len(room) == 12 and set(keys[-1].view("int64").tolist()) <= {r.key for r in sizes[1]}
 
 
+def plain_ratios(words: dict[str, int], by_class: list[dict[str, int]]) -> dict[str, float]:
+    """Differences of words by Kneser-Ney on plain strings: shared counts of `words`, class counts of both dictionaries."""
+    top, low, d = toxicity.LONGEST, toxicity.SHORTEST, toxicity.DISCOUNT
+
+    def places(word):
+        return [(i, f" {word} ") for i in range(1, len(word) + 2)]
+
+    shared = {}
+    for word, n in words.items():
+        for i, s in places(word):
+            for m in range(1, min(top, i + 1) + 1):
+                shared[s[i - m + 1 : i + 1]] = shared.get(s[i - m + 1 : i + 1], 0) + n
+    after = {}
+    for seq, n in shared.items():
+        total, types = after.get(seq[:-1], (0, 0))
+        after[seq[:-1]] = (total + n, types + 1)
+
+    def p(seq):
+        total, types = after[seq[:-1]]
+        return shared[seq] / total if len(seq) == 1 else (shared[seq] - d) / total + d * types / total * p(seq[1:])
+
+    counted = [{}, {}]
+    for k in (0, 1):
+        for word, n in by_class[k].items():
+            for i, s in places(word):
+                for m in range(low, top + 1):
+                    key = (m, s[max(0, i - m + 1) : i + 1])
+                    counted[k][key] = counted[k].get(key, 0) + n
+    contexts = [{}, {}]
+    for k in (0, 1):
+        for (m, seq), n in counted[k].items():
+            total, types = contexts[k].get((m, seq[:-1]), (0, 0))
+            contexts[k][m, seq[:-1]] = (total + n, types + 1)
+    found = {}
+    for word in words:
+        found[word] = 0.0
+        for i, s in places(word):
+            like = []
+            for k in (0, 1):
+                a, b = 0.0, 1.0
+                for m in range(top, low - 1, -1):
+                    seq = s[max(0, i - m + 1) : i + 1]
+                    if (m, seq[:-1]) in contexts[k]:
+                        total, types = contexts[k][m, seq[:-1]]
+                        a += b * max(counted[k].get((m, seq), 0) - d, 0) / total
+                        b *= d * types / total
+                like.append(np.log(a + b * p(s[max(0, i - top + 1) : i + 1])))
+            found[word] += like[1] - like[0]
+    return found
+
+
+def test_toxicity_words_against_plain_counts(spark):
+    rng = random.Random(5)
+    stems = ["grub", "skum", "the", "an", "é", "река", "日本", "x" * 40, "0"]
+    words = {rng.choice(stems) + rng.choice(["", "s", "ing", rng.choice(SYLLABLES)]): rng.randrange(1, 90) for _ in range(150)}
+    words |= {"".join(rng.choice("abñ") for _ in range(rng.randrange(1, 9))): 1 for _ in range(300)}
+    by_class = [{w: rng.randrange(1, 5) for w in rng.sample(sorted(words), 60)} for _ in (0, 1)]
+    table = spark.createDataFrame([(f"{w} ".encode(), n) for w, n in words.items()], "word binary, n long")
+    own = [(f"{w} ".encode(), by_class[0].get(w, 0), by_class[1].get(w, 0)) for w in sorted({*by_class[0], *by_class[1]})]
+    counts = spark.createDataFrame(own, "name binary, n0 long, n1 long").mapInArrow(
+        toxicity.count_by_class, "m long, key long, context long, n0 long, n1 long"
+    )
+    model = toxicity.Model(counts.groupBy("m", "key", "context").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow())
+    found = {r.word: r.ratio for r in toxicity.word_ratios(table, model).collect()}
+    plain = plain_ratios(words, by_class)
+    names = toxicity.hashes(pa.array([f"{w} ".encode() for w in plain])).view("int64").tolist()
+    assert len(found) == len(words)
+    assert max(abs(found[h] - r) for h, r in zip(names, plain.values())) < 1e-9 and max(map(abs, plain.values())) > 1
+    assert toxicity.word_ratios(table.limit(0), model).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(8)
     item, base = prose(rng, 30), prose(rng, 60)
