@@ -754,6 +754,72 @@ _SPOOF_TITLE = (
     "else 'Null Island Position' end when 'imo_change' then 'IMO Number Changed - Identity Spoofing' "
     "when 'uncommon_mid' then 'Uncommon Flag State MID' else 'Multiple Vessel Names Detected' end"
 )
+
+
+def _fixed(value: str, places: int) -> str:
+    """A number as text, halves rounded up as Spark's format_string does."""
+    return f"printf('%.{places}f', round(cast({value} as decimal(24, 10)), {places})::double)"
+
+
+_WHO = "coalesce(a.ship_name, 'Unknown') || ', MMSI ' || a.mmsi"
+_CABLE_TEXT = (
+    f"{_WHO} || ', flag ' || coalesce(a.flag, 'unknown') || ': ' || {_fixed('a.speed', 1)} || ' knots in ' || a.zone_name || '; ' || "
+    "case a.risk_factor when 'STOPPED_IN_ZONE' then 'lies still and may be at anchor' "
+    "when 'FLAGGED_STATE_SLOW' then 'slow under a watched flag' when 'HIGH_RISK_SHIP_SLOW' then 'slow cargo ship or tanker' "
+    "when 'SLOW_IN_ZONE' then 'slow in a protected zone' when 'FLAGGED_STATE_TRANSIT' then 'passes under a watched flag' "
+    "else 'cargo ship or tanker passes at reduced speed' end || '.'"
+)
+_PLACE = f"{_fixed('a.latitude', 4)} || ', ' || {_fixed('a.longitude', 4)}"
+_TURN = "abs(a.heading - a.course_over_ground)"
+_SPOOF_TEXT = (
+    f"{_WHO} || ': ' || case a.\"check\" when 'invalid_mmsi' then case "
+    "when length(a.mmsi) <> 9 then 'the identity has ' || length(a.mmsi) || ' characters, not nine' "
+    "when regexp_full_match(a.mmsi, '0{9}|9{9}') or a.mmsi in ('123456789', '111111111') then 'the identity looks made up' "
+    "when try_cast(substr(a.mmsi, 1, 3) as int) is null then 'the identity is not a number' "
+    "else 'no country has the digits ' || substr(a.mmsi, 1, 3) end "
+    f"when 'impossible_speed' then 'gives its speed as ' || {_fixed('a.speed_over_ground', 1)} || ' knots' "
+    f"when 'teleport' then {_fixed('a.jump_nm', 1)} || ' nautical miles from its last report, ' || a.jump_s || "
+    f"' seconds before; that takes ' || {_fixed('a.jump_nm / a.jump_s * 3600', 0)} || ' knots' "
+    f"when 'heading' then 'points to ' || {_fixed('a.heading', 0)} || '° but travels to ' || {_fixed('a.course_over_ground', 0)} || '°, ' || "
+    f"{_fixed(f'least({_TURN}, 360 - {_TURN})', 0)} || '° apart, at ' || {_fixed('a.speed_over_ground', 1)} || ' knots' "
+    f"when 'coordinates' then case when a.severity = 'CRITICAL' then 'the place ' || {_PLACE} || ' is not on the globe' "
+    "else 'the place is the origin of coordinates, as receivers without a fix give it' end "
+    "when 'imo_change' then 'the ship''s number was IMO ' || a.first_imo || ' and is now ' || a.imo_number "
+    "when 'uncommon_mid' then 'the digits ' || substr(a.mmsi, 1, 3) || ' belong to a register that ships seldom use' "
+    "else 'name ' || a.name_index || ' of this identity is ' || a.ship_name || '; the first was ' || a.first_name end"
+)
+_REASON = "case title " + " ".join(f"when '{title}' then '{reason}'" for title, reason in dims.SPOOFING_ALERTS.values()) + " end"
+
+
+@register(
+    "c31_cable_texts",
+    S.query(S.POSITIONS, S.zones(), *CABLE_CTE,
+            f"select a.mmsi, a.t_s, a.zone_id, a.severity, {_CABLE_TITLE} as title, {_CABLE_TEXT} as description from cab_kept a"),
+)
+def cable_texts(t: Tables):
+    alerts = cable.detect_cable_proximity(t.positions, t.zones)
+    return alerts.select(
+        "mmsi", F.unix_seconds("detected_at").alias("t_s"), F.get_json_object("details", "$.zone_id").alias("zone_id"),
+        "severity", "title", "description",
+    )
+
+
+@register(
+    "c31_spoofing_texts",
+    S.query(
+        _MOVED.format(S.query(S.POSITIONS, "select * from p")), *SPOOF_CTE,
+        f"""texts as (select a.row_id, a."check", {_SPOOF_TITLE} as title, {_SPOOF_TEXT} as text from (
+   select fnd.row_id, fnd."check", fnd.severity, sj.* exclude (row_id), nmf.name_index, n1.nm as first_name
+     from fnd join sj using (row_id) left join nmf using (row_id) left join (select mmsi, nm from nmf where name_index = 1) n1
+     on n1.mmsi = sj.mmsi) a)""",
+        f"select *, {_REASON} as reason from texts",
+    ),
+)
+def spoofing_texts(t: Tables):
+    found = spoofing.spoofing_findings(_moved(t.positions))
+    return found.select("row_id", "check", "title", "text", F.get_json_object("details", "$.reason").alias("reason"))
+
+
 _ANCHOR_TITLE = (
     "case when not a.near_cable then 'Anchor Dragging Detected' when a.severity = 'CRITICAL' then 'CRITICAL: Anchor Dragging Near Cable!' "
     "else 'Anchor Dragging Near Infrastructure' end"

@@ -41,7 +41,7 @@ def test_alert_layout_and_stable_ids(track, zones):
     df = track([dict(t=0, speed_over_ground=0.2, ship_name=None)])
     a, b = (cable.detect_cable_proximity(df, zones).first() for _ in range(2))
     assert list(a.asDict()) == ALERT_COLUMNS and a.alert_id == b.alert_id
-    assert a.description.startswith("Vessel Unknown (MMSI: 230000001) is STOPPED (0.2 kts) in C-Lion1")
+    assert a.description.startswith("Unknown, MMSI 230000001, flag FI: 0.2 knots in C-Lion1")
     assert json.loads(a.details)["risk_factor"] == "STOPPED_IN_ZONE" and a.flag_state == "FI"
 
 
