@@ -19,6 +19,8 @@ from harborlight.sources import positions as src, reference
 
 #: Items of a file at most; a file is read by one task.
 ITEMS = 500
+#: Reports in a file of stored tracks, about; a track is in one file.
+FILE_REPORTS = 20_000
 
 
 def _json_files(t: Tables, label: str, items: DataFrame, group: list, wrap) -> str:
@@ -31,7 +33,7 @@ def _json_files(t: Tables, label: str, items: DataFrame, group: list, wrap) -> s
 
 
 def _zone_files(t: Tables) -> str:
-    """A box a customer, in feature collections by nation; some have a type of their own, some no name."""
+    """A box a customer, in feature collections; some have a type of their own, some no name."""
     c = t.table("customer")
     west, south = F.col("c_custkey") % 40 * 0.5, 50 + F.floor(F.col("c_custkey") / 40) % 20 * 0.25
     corners = [(0.0, 0.0), (0.25, 0.0), (0.25, 0.25), (0.0, 0.25), (0.0, 0.0)]
@@ -45,12 +47,12 @@ def _zone_files(t: Tables) -> str:
         F.lit("Feature").alias("type"), F.map_filter(properties, lambda k, v: v.isNotNull()).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
     )
-    items = c.select("c_nationkey", F.floor(F.col("c_custkey") / ITEMS).alias("part"), F.to_json(feature).alias("x"))
-    docs = items.groupBy("c_nationkey", "part").agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("xs"))
+    items = c.select(F.floor(F.col("c_custkey") / ITEMS).alias("part"), F.to_json(feature).alias("x"))
+    docs = items.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("xs"))
     folder = f"{shared_folder(t.spark)}/zones-{uuid.uuid4().hex}"
     docs.select(
         F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("xs"), F.lit("]}")).alias("value"),
-        F.concat_ws("-", "c_nationkey", "part").alias("doc"),
+        F.col("part").alias("doc"),
     ).repartition("doc").write.partitionBy("doc").text(folder)
     return folder
 
@@ -122,8 +124,8 @@ def sanction_entities(t: Tables):
         F.when(key % 3 == 0, F.array("c_mktsegment", "c_name")).alias("aliases"), F.lit("EU").alias("source"),
         F.when(key % 5 == 0, F.concat(F.lit("balance "), F.col("c_nationkey"))).alias("reason"),
     )
-    rows = t.table("customer").select("c_nationkey", F.floor(key / ITEMS).alias("part"), item.alias("x"))
-    folder = _json_files(t, "entities", rows, ["c_nationkey", "part"], lambda xs: F.struct(xs.alias("entities")))
+    rows = t.table("customer").select(F.floor(key / ITEMS).alias("part"), item.alias("x"))
+    folder = _json_files(t, "entities", rows, ["part"], lambda xs: F.struct(xs.alias("entities")))
     return reference.read_sanction_entities(t.spark, folder + "/*").select(
         "entity_id", "entity_type", "name", F.array_join("aliases", "|").alias("aliases"), "sanctions_source", "reason"
     )
@@ -132,7 +134,7 @@ def sanction_entities(t: Tables):
 # ---------------------------------------------------------------- stored tracks
 
 def _tracks(t: Tables) -> DataFrame:
-    """A track a vessel and day: its reports as the replay list, and as waypoints of which some are tagged."""
+    """A track a vessel and day, in lists of tracks: its reports as the replay list, and as waypoints of which some are tagged."""
     day = F.floor(F.col("t_s") / 86400)
     point = F.struct(
         "t_s", "row_id",
@@ -148,13 +150,16 @@ def _tracks(t: Tables) -> DataFrame:
         ).alias("w"),
     )
     grouped = t.positions.groupBy("mmsi", day.alias("day")).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    # Files of several tracks, or their number would be that of the vessels and days.
+    files = t.positions.agg(F.ceil(F.greatest(F.count("*"), F.lit(1)) / FILE_REPORTS).cast("long")).scalar()
     docs = grouped.select(
         F.to_json(F.struct(
             F.struct(F.concat(F.lit("V "), "mmsi").alias("vessel"), "mmsi").alias("metadata"),
             F.transform("points", lambda x: x["w"]).alias("track"), F.transform("points", lambda x: x["p"]).alias("ais_positions_for_replay"),
         )).alias("value"),
-        F.concat_ws("-", "mmsi", "day").alias("doc"),
+        F.pmod(F.xxhash64("mmsi", "day"), files).alias("doc"),
     )
+    docs = docs.groupBy("doc").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
     folder = f"{shared_folder(t.spark)}/tracks-{uuid.uuid4().hex}"
     docs.repartition("doc").write.partitionBy("doc").text(folder)
     return src.read_tracks(t.spark, folder + "/*")
