@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import pyarrow as pa
@@ -78,6 +79,36 @@ def test_same_encounters_whatever_the_blocks(track, monkeypatch):
     assert want and got == want
 
 
+def test_stretches_of_a_pair_are_moved_once(track):
+    plan = rendezvous.rendezvous_events(track(crowd(1.0)))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(lo#\d+, hi#\d+, \d+\)", plan)) == 1
+    assert not re.search(r"Exchange hashpartitioning\((_pair#|lo#\d+, hi#\d+, started_s)", plan)
+
+
+def test_stretches_hold_only_what_can_alert(track):
+    able = rendezvous.eligible_reports(track(crowd(1.0)), 30)
+    every = rendezvous.stretches(able, 1500, 3, told=False)
+    rows = rendezvous.stretches(able, 1500, 3, told=True).collect()
+    assert every.count() > len(rows)
+    for r in rows:
+        by = [c.t_s - (180 if c.soon else 360) for c in r.head]
+        assert all(x < y for x, y in zip(by, by[1:])) and all(x < r.t_s for x in by[:-1])
+    # Whatever the beginning, the first contact that lasts is among them.
+    contacts = {}
+    for a, b in seen_by(crowd(1.0)):
+        if 6371000.0 * angle(a, b) <= 1500:
+            contacts.setdefault(tuple(sorted((a["mmsi"], b["mmsi"]))), []).append((T0 + a["t"], a["row"]))
+    checked = 0
+    for r in rows:
+        own = [c for c in contacts[r.lo, r.hi] if (r.t_s, r.row_id) <= c <= (r.last_t, r.last_row)]
+        for began in range(r.t_s - 400, r.t_s + 1, 20) if r.begins != "starts" else ():
+            want = next((c for c in own if c[0] - began >= 360), None)
+            got = next(((c.t_s, c.row_id) for c in r.head if (c.t_s - began) // 60 >= 6), None)
+            checked += want is not None
+            assert got == want
+    assert checked
+
+
 def test_companions_in_small_blocks(track, small_blocks):
     rows = crowd(10.0)
     want = defaultdict(lambda: 1)
