@@ -213,20 +213,22 @@ class PieceEncoder:
         What isn't remembered and is a space and letters, with a mark behind at most, goes to the library's model at
         once, as the pattern would give it: the letters with their space, and the mark.
         """
-        tokens, numbers, plain = self.tokenizer.model.tokenize, self.numbers, PLAIN.fullmatch
+        tokens, numbers, plain, marks = self.tokenizer.model.tokenize, self.numbers, PLAIN.fullmatch, self.marks
         coded = list(map(self.known.get, stretches))
         missing = [i for i, c in enumerate(coded) if c is None]
         for i in missing:
             s = stretches[i]
             if not plain(s):
                 coded[i] = self.tokenizer.encode(s.decode(), add_special_tokens=False).ids
-            elif s[-1] in self.marks:
-                name = charmap_decode(s, "strict", BYTE_NAMES)[0]
-                coded[i] = [numbers[t.id] for t in tokens(name[:-1])] + self.marks[s[-1]]
+                continue
+            name, mark = charmap_decode(s, "strict", BYTE_NAMES)[0], marks.get(s[-1])
+            if mark is None:
+                coded[i] = [numbers[t.id] for t in tokens(name)]
             else:
-                coded[i] = [numbers[t.id] for t in tokens(charmap_decode(s, "strict", BYTE_NAMES)[0])]
-        for i in missing[: KNOWN - len(self.known)]:
-            self.known[stretches[i]] = coded[i]
+                coded[i] = [numbers[t.id] for t in tokens(name[:-1])] + mark
+        kept = missing[: KNOWN - len(self.known)]
+        if kept:
+            self.known.update((stretches[i], coded[i]) for i in kept)
         return coded
 
     def _whole(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -252,8 +254,11 @@ class PieceEncoder:
         gc.enable()
         starts = np.cumsum(lengths) - lengths
         each = lengths[words]
-        ids = flat[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[words], each)]
-        done = np.concatenate(([0], np.cumsum(each)))[np.searchsorted(offsets, np.concatenate(([0], begins + sizes)))]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[words] - (ends - each), each)
+        at += np.arange(len(at))
+        ids = flat[at]
+        done = np.concatenate(([0], ends))[np.searchsorted(offsets, np.concatenate(([0], begins + sizes)))]
         return ids, np.diff(done)
 
 
@@ -305,7 +310,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     totals = blocks.groupBy(F.col("part").alias("own")).agg(F.sum("n_ids").alias("ids"))
     before = F.sum("ids").over(Window.orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select("own", F.coalesce(before, F.lit(0)).alias("before"))
-    placed = blocks.join(starts, F.col("part") == F.col("own")).withColumn("offset", F.col("offset") + F.col("before"))
+    # A row per part, and so few: without the hint the blocks are moved before their number is known.
+    placed = blocks.join(F.broadcast(starts), F.col("part") == F.col("own")).withColumn("offset", F.col("offset") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -518,3 +518,20 @@ def test_pipeline(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     same([(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in found.collect()], [(i, library.encode(t, add_bos=True, add_eos=True)) for i, t in left.items()])
     assert found.where(F.col("n_tokens") < 2).count() == 0
+
+
+def test_blocks_of_ids_are_not_moved_to_be_placed(spark, tmp_path):
+    """Their parts' beginnings are few, whatever Spark thinks of their size."""
+    from harborlight.llm import token_files
+
+    documents = spark.createDataFrame([(i, f"one {i} two") for i in range(20)], "doc_id long, text string")
+    blocks = token_files.write_blocks(documents, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = token_files.read_documents(blocks)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r.doc_id for r in placed.orderBy("start").collect()] == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
