@@ -91,3 +91,15 @@ def test_sql_functions_equal_the_column_functions(spark):
     assert {k for k, v in sums.items() if v} <= rounded
     close = [F.max(F.abs(F.expr(q) - c)) for q, c in pairs.items() if q.split("(")[0] in rounded]
     assert max(df.agg(*close).first()) < 1e-6
+
+
+def test_track_files_follow_the_reports_not_the_vessels(spark, tmp_path):
+    from checks.files import _tracks
+    from checks.registry import Tables
+
+    events = spark.range(600).selectExpr(
+        "id as event_id", "timestamp '2024-01-01 00:00:00' as ts", "id % 200 as user_id", "'x' as event_type", "1d as value", "'' as props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    tracks = _tracks(Tables(spark, str(tmp_path)))
+    assert tracks.count() > 100 and len(tracks.inputFiles()) == 1
