@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from harborlight.llm.common import free_name, held, share
+from harborlight.llm.common import held, share
 from harborlight.llm.words import NOT_ALNUM, Words, mix, slices, text_bytes
 
 #: Words of a pattern, and words of the blocks that the shift table knows.
@@ -19,6 +20,8 @@ WINDOW, BLOCK = 10, 2
 BENCHMARK_BYTES = 1 << 20
 #: Words that one search cursor looks after.
 LANE = 4096
+#: Bytes of text searched together. A task's arrays take about six times as much.
+SEARCH_BYTES = 2 << 20
 
 
 class Patterns:
@@ -139,8 +142,8 @@ SPANS = "array<struct<start:long,stop:long>>"
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted as strings), hits (word spans).
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
+    """One row per document: doc_id, text (if `texts`), n_words, n_hit, items (sorted as strings), hits (word spans).
 
     Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters.
     An item's windows are its runs of `window` words, or all its words if there are fewer; words
@@ -148,7 +151,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     broadcast and searched in a pass over the texts; one pass hands its findings on to the next,
     without a shuffle. Nulls and empty texts have no words; items without words never occur; an
     item without an id hits words but is not listed; rows of one item_id count as one item;
-    repeated documents each get their row. An empty benchmark gives rows without hits.
+    repeated documents each get their row. An empty benchmark gives rows without hits. `doc_id` is
+    handed on as it is and may be of any type.
     """
     items = benchmark.where("text is not null").select("item_id", "text")
     parts = max(1, 8 * (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BENCHMARK_BYTES)
@@ -166,16 +170,16 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     for k, chosen in enumerate(sets):
         rows = items.where(F.col("part").isin(chosen)).collect() if chosen else []
         index = Index([(r.item_id, r.text.encode()) for r in rows], window)
-        found = _search(found, index, last=k == len(sets) - 1)
+        found = _search(found, index, texts=texts or k < len(sets) - 1)
     return found
 
 
-def _search(found: DataFrame, index: Index, last: bool) -> DataFrame:
+def _search(found: DataFrame, index: Index, texts: bool) -> DataFrame:
     shared = share(found.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held(shared)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SEARCH_BYTES):
             words = Words(text_bytes(batch.column("text")), NOT_ALNUM, lower=True)
             edges, text, item = index.search(words, words.dictionary())
             names = [set(x) for x in batch.column("items").to_pylist()]
@@ -194,13 +198,13 @@ def _search(found: DataFrame, index: Index, last: bool) -> DataFrame:
                 "n_hit": pa.array(np.diff(total[words.bounds])),
                 "items": pa.array([sorted(x) for x in names], pa.list_(pa.string())), "hits": pa.array(spans, SPAN_TYPE),
             }
-            if last:
+            if not texts:
                 del columns["text"]
             yield pa.RecordBatch.from_pydict(columns)
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {'' if last else 'text string, '}n_words long, n_hit long, items array<string>, hits {SPANS}"
-    return found.mapInArrow(run, schema)
+    given = [StructField(f.name, f.dataType) for f in found.schema if f.name in (("doc_id", "text") if texts else ("doc_id",))]
+    found_out = _parse_datatype_string(f"n_words long, n_hit long, items array<string>, hits {SPANS}")
+    return found.mapInArrow(run, StructType([*given, *found_out]))
 
 
 def _spans(hit: np.ndarray) -> list[dict]:
@@ -221,7 +225,9 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
     Null, empty and blank texts hold no words and stay; repeated rows share one fate; an empty benchmark keeps all documents.
     """
-    key = F.xxhash64("doc_id", "text")
-    found = find_contamination(documents.select(key.alias("doc_id"), "text"), benchmark).where("n_hit > 0")
-    gone = free_name(documents, "gone")
-    return documents.join(found.select(F.col("doc_id").alias(gone)).distinct(), key == F.col(gone), "left_anti")
+    text = next(c for c in documents.columns if c.lower() == "text")
+    # The other columns go along as the id, so the documents are read once and neither joined nor moved.
+    rest = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text])
+    found = find_contamination(documents.select(rest.alias("doc_id"), F.col(text).alias("text")), benchmark, texts=True)
+    kept = [F.col("text" if c == text else f"doc_id.`{c}`").alias(c) for c in documents.columns]
+    return found.where("n_hit = 0").select(*kept)

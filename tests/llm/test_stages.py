@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from harborlight.llm import jaccard
+from harborlight.llm import decontaminate, jaccard
 
 HELPERS = "gone long, gone_ long, gone_id long, gone_key long, own_key long, text_hash long, node long, kept long, component_id long, key long, found long, own long"
 COLUMNS = f"doc_id long, text string, lang string, source string, n_chars long, {HELPERS}"
@@ -54,3 +54,15 @@ def test_smallest_id_stays_whatever_the_hashes(spark):
     texts = [ENGLISH + " ".join(f"w{i}" for i in range(40)), ENGLISH + " ".join(f"w{i}" for i in range(40)) + " end"]
     docs = spark.createDataFrame([(9, texts[0]), (7, texts[1]), (7, "another text of seven words in all"), (8, texts[0])], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()) == sorted([(7, texts[1]), (7, "another text of seven words in all")])
+
+
+def test_decontamination_moves_no_texts(spark, sf_dir, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    left = decontaminate.without_contaminated(docs, benchmark)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    wanted = Counter(r for r in rows() if not (r[1] or "").startswith("quite another"))
+    assert Counter(map(tuple, left.collect())) == wanted
+    # Texts are searched a few at a time, whatever the size of the batch.
+    monkeypatch.setattr(decontaminate, "SEARCH_BYTES", 100)
+    assert Counter(map(tuple, decontaminate.without_contaminated(docs, benchmark).collect())) == wanted
