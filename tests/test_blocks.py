@@ -85,6 +85,20 @@ def test_stretches_of_a_pair_are_moved_once(track):
     assert not re.search(r"Exchange hashpartitioning\((_pair#|lo#\d+, hi#\d+, started_s)", plan)
 
 
+def test_only_pairs_seen_apart_are_noted(track):
+    def at(t, mmsi, lon=20.0, speed=1.0):
+        return dict(t=t, row=t, mmsi=mmsi, latitude=58.0 if mmsi in "ab" else 59.0, longitude=lon, speed_over_ground=speed)
+
+    rows = [at(t + 5 * k, mmsi, 20.0 + 0.002 * (k % 2)) for t in (0, 60, 3600, 3660) for k, mmsi in enumerate("abcd")]
+    rows += [at(1000, "a", speed=9.0), at(300, "d", 20.05)]
+    rows = track(sorted(rows, key=lambda r: r["t"]))
+    able = rendezvous.eligible_reports(rows, 30)
+    known = rendezvous.stretches(able, 1500, 3, told=False)
+    assert known.where("begins = 'unsure' and t_s > 1704070000").select("lo").distinct().count() == 2
+    assert [(r.lo, r.hi) for r in rendezvous._parted(known, able, 1500).collect()] == [("c", "d")]
+    assert sorted((r.lo, r.contacts) for r in rendezvous.encounters(rows).collect()) == [("a", 6), ("c", 3), ("c", 3)]
+
+
 def test_stretches_hold_only_what_can_alert(track):
     able = rendezvous.eligible_reports(track(crowd(1.0)), 30)
     every = rendezvous.stretches(able, 1500, 3, told=False)

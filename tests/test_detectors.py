@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 
 import pytest
 from conftest import T0
@@ -204,3 +205,20 @@ def test_all_detectors_union(spark, track, zones):
     out = pipeline.run_pipeline(track(rows), zones, records)
     kinds = {r.alert_type for r in out.collect()}
     assert out.columns == ALERT_COLUMNS and {"CABLE_PROXIMITY", "SANCTIONS_MATCH", "DARK_EVENT"} <= kinds
+
+
+def test_detectors_are_prepared_side_by_side(spark, track, monkeypatch):
+    # Every detector waits until all have begun; one by one, none would ever go on.
+    begun = threading.Barrier(12, timeout=20)
+
+    def detector(*args, **options):
+        begun.wait()
+        kept = spark.sparkContext.getLocalProperty("callers")
+        return spark.range(1).select(F.lit(kept).alias("kept"))
+
+    for name in [n for n in vars(pipeline) if n.startswith("detect_")] + ["score_vessel_risk"]:
+        monkeypatch.setattr(pipeline, name, detector)
+    spark.sparkContext.setLocalProperty("callers", "own")
+    out = pipeline.run_pipeline(track([dict(t=0)]), None, None)
+    spark.sparkContext.setLocalProperty("callers", None)
+    assert [r.kept for r in out.collect()] == ["own"] * 12
