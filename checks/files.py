@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks import sqlparts as S
@@ -157,11 +157,14 @@ def _tracks(t: Tables) -> DataFrame:
             F.struct(F.concat(F.lit("V "), "mmsi").alias("vessel"), "mmsi").alias("metadata"),
             F.transform("points", lambda x: x["w"]).alias("track"), F.transform("points", lambda x: x["p"]).alias("ais_positions_for_replay"),
         )).alias("value"),
-        F.pmod(F.xxhash64("mmsi", "day"), files).alias("doc"),
+        F.pmod(F.xxhash64("mmsi", "day"), files).alias("doc"), "mmsi", "day",
     )
-    docs = docs.groupBy("doc").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    # A line a track, in order, with the signs that make a list of the file's lines, so no task holds whole files.
+    in_doc = Window.partitionBy("doc").orderBy("mmsi", "day")
+    begins = F.when(F.row_number().over(in_doc) == 1, "[").otherwise(",")
+    ends = F.when(F.lead(F.lit(True)).over(in_doc).isNull(), "]").otherwise("")
     folder = f"{shared_folder(t.spark)}/tracks-{uuid.uuid4().hex}"
-    docs.repartition("doc").write.partitionBy("doc").text(folder)
+    docs.select(F.concat(begins, "value", ends).alias("value"), "doc").write.partitionBy("doc").text(folder)
     return src.read_tracks(t.spark, folder + "/*")
 
 

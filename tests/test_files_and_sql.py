@@ -103,3 +103,7 @@ def test_track_files_follow_the_reports_not_the_vessels(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     tracks = _tracks(Tables(spark, str(tmp_path)))
     assert tracks.count() > 100 and len(tracks.inputFiles()) == 1
+    # A line a track: the whole file is in no single row, but still one document.
+    assert spark.read.text(tracks.inputFiles()).count() == tracks.count() > 1
+    listed = json.loads("\n".join(r.value for r in spark.read.text(tracks.inputFiles(), wholetext=True).collect()))
+    assert len(listed) == tracks.count()
