@@ -142,3 +142,30 @@ def test_reports_without_a_number_are_not_ordered_within_a_second():
     }
     pairs = blocks.Pairs(pa.table(columns), 600)
     assert [(a.tolist(), b.tolist()) for a, b in pairs.batches(both=False)] == [([2], [0])]
+
+
+def test_crowds_are_dealt_with_few_copies(spark):
+    """600 vessels on one spot: a report goes to few blocks, where it went to one for every 128 vessels."""
+    reports = spark.range(1800).selectExpr(
+        "cast(id % 600 as string) as mmsi", f"{T0} + id div 600 * 150 as t_s", "id as row_id", "57.6d as latitude", "21.0d as longitude",
+        f"if(id < 1200, {T0} + id div 600 * 150 + 150, null) as next_t", "if(id < 1200, id + 600, null) as next_row",
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = table.column("_right").to_numpy()
+        return pa.table({"looking": pa.array([int((~sides).sum())]), "seen": pa.array([int(sides.sum())])})
+
+    dealt = blocks.in_blocks(reports, reports, 3.0, 600, run, "looking long, seen long").agg({"looking": "sum", "seen": "sum"}).first()
+    assert dealt["sum(looking)"] == 1800 and dealt["sum(seen)"] <= 2 * 1800
+
+
+def test_large_blocks_are_worked_through_in_parts(track, monkeypatch):
+    def found():
+        met = rendezvous.rendezvous_events(track(crowd(1.0))).select("lo", "hi", "started_s", "t_s", "row_id", "mean_distance_m")
+        alike = convoy.convoy_reports(convoy.tracked_reports(track(crowd(10.0))))
+        return [sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()) for df in (met, alike)]
+
+    want = found()
+    for name, value in (("VESSELS", 4), ("BATCH_ROWS", 16), ("BATCH_PAIRS", 50)):
+        monkeypatch.setattr(blocks, name, value)
+    assert all(want) and found() == want
